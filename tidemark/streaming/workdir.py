@@ -1,0 +1,22 @@
+"""Where streaming jobs keep state and tables."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``.
+
+    Only a local session without that setting falls back to a temporary folder of this
+    machine, as in tests.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="run-")
+    return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
