@@ -34,17 +34,6 @@ def full_window(agg: Callable[[Column], Column], c: str | Column, w: WindowSpec,
     return F.when(F.count(x).over(w) == n, agg(x).over(w))
 
 
-def pair_corr(x: str | Column, y: str | Column) -> Column:
-    """Pearson correlation over rows where both are present; null when either is constant."""
-    x, y = as_col(x).cast("double"), as_col(y).cast("double")
-    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    spread = F.stddev_samp(a) * F.stddev_samp(b)
-    return F.covar_samp(a, b) / F.nullif(spread, F.lit(0.0))
-
-
 def is_infinite(c: str | Column) -> Column:
     return F.abs(as_col(c)) == F.lit(float("inf"))
 
-
-def clamp01(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))

@@ -13,11 +13,13 @@ from tidemark.operators.checks.rows import DEFAULTS, CheckConfig, check, driver_
 from tidemark.operators.profile import correlation_pairs, iqr_outliers, melt_numbers, per_column
 from tidemark.operators.windows import change_from_last_valid
 
-_COL = F.col("column")
+
+def _column() -> Column:
+    return F.col("column")
 
 
 def _about(text: str) -> Column:
-    return F.concat(F.lit(text), _COL)
+    return F.concat(F.lit(text), _column())
 
 
 def column_facts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -39,7 +41,7 @@ def column_facts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def _nulls(cfg: CheckConfig) -> Column:
     ratio = safe_div("nulls", "rows")
-    return check("feature_completeness", ~(ratio > cfg.missing_ratio), severity="warning", subject=_COL,
+    return check("feature_completeness", ~(ratio > cfg.missing_ratio), severity="warning", subject=_column(),
                  metric="null_ratio", value=ratio, threshold=cfg.missing_ratio,
                  good=_about("few nulls in "), bad=_about("many nulls in "))
 
@@ -47,7 +49,7 @@ def _nulls(cfg: CheckConfig) -> Column:
 def _distribution(cfg: CheckConfig) -> Column:
     same = F.col("lo") == F.col("hi")
     steep = F.abs("skew") > cfg.skew_limit
-    return check("feature_distribution", ~same, severity="warning", subject=_COL, metric="skewness",
+    return check("feature_distribution", ~same, severity="warning", subject=_column(), metric="skewness",
                  value=F.when(~same, F.col("skew")), threshold=cfg.skew_limit,
                  good=F.when(steep, _about("highly skewed: ")).otherwise(_about("normal distribution: ")),
                  bad=_about("constant values in "))
@@ -80,7 +82,7 @@ def check_stability(df: DataFrame, cols: Sequence[str], cfg: CheckConfig = DEFAU
     facts = per_column(chg, cols, {"rows": lambda c: F.count(F.lit(1)),
                                    "extreme": lambda c: F.count_if(F.abs(f"{c}_chg") > cfg.max_change)})
     return emit_where(facts, [(F.col("rows") >= 2, check(
-        "feature_stability", F.col("extreme") == 0, severity="warning", subject=_COL, metric="extreme_changes",
+        "feature_stability", F.col("extreme") == 0, severity="warning", subject=_column(), metric="extreme_changes",
         value=F.col("extreme"), threshold=cfg.max_change * 100,
         good=_about("stable: "), bad=_about("extreme changes in ")))])
 
@@ -89,7 +91,7 @@ def check_iqr_outliers(df: DataFrame, cols: Sequence[str], cfg: CheckConfig = DE
     """Share of values outside the IQR fences; informative, passes below the limit."""
     ratio = safe_div("outliers", "n")
     return emit_where(iqr_outliers(df, cols), [(F.col("n") > cfg.min_for_distribution, check(
-        "feature_outliers", ratio < cfg.iqr_pass_ratio, severity="info", subject=_COL, metric="outlier_ratio",
+        "feature_outliers", ratio < cfg.iqr_pass_ratio, severity="info", subject=_column(), metric="outlier_ratio",
         value=ratio, threshold=cfg.iqr_pass_ratio, good=_about("few outliers in "), bad=_about("outliers in "),
         details={"lower": F.col("lower"), "upper": F.col("upper")}))])
 
@@ -103,7 +105,7 @@ def validate_features(df: DataFrame, cols: Sequence[str] | None = None, cfg: Che
         c for c in df.columns if c not in (*keys, *orders) and not c.startswith("__")]
     numbers = [c for c in cols if c in set(numeric_columns(df))]
     parts = [emit_where(column_facts(df, cols), [
-        (F.col("rows") == 0, check("data_availability", F.lit(False), severity="critical", subject=_COL,
+        (F.col("rows") == 0, check("data_availability", F.lit(False), severity="critical", subject=_column(),
                                    metric="record_count", value=F.col("rows"), threshold=1, bad="no features found")),
         (F.col("rows") > 0, _nulls(cfg)),
         (F.col("n") > cfg.min_for_distribution, _distribution(cfg))])]
@@ -147,7 +149,7 @@ def zscore_facts(df: DataFrame, cols: Sequence[str], limit: float) -> DataFrame:
 def check_zscore_share(df: DataFrame, cols: Sequence[str], cfg: CheckConfig = DEFAULTS) -> DataFrame:
     pct = safe_div(F.col("outliers") * 100, "rows")
     return emit(zscore_facts(df, cols, cfg.z_limit), [check(
-        "zscore_share", ~(pct > cfg.outlier_pct), severity="error", subject=_COL, metric="outlier_pct", value=pct,
+        "zscore_share", ~(pct > cfg.outlier_pct), severity="error", subject=_column(), metric="outlier_pct", value=pct,
         threshold=cfg.outlier_pct, good=_about("few outliers in "), bad=_about("outliers in "))])
 
 

@@ -17,7 +17,9 @@ from tidemark.operators.profile import (category_profile, completeness_score, co
                                         iqr_outliers, numeric_profile, per_column)
 from tidemark.operators.windows import change_from_last_valid, out_of_order_rows
 
-_COL = F.col("column")
+
+def _column() -> Column:
+    return F.col("column")
 
 
 def check_min_rows(df: DataFrame, cfg: CheckConfig = DEFAULTS) -> DataFrame:
@@ -43,12 +45,12 @@ def check_columns(df: DataFrame) -> DataFrame:
         "rows": lambda c: F.count(F.lit(1)),
         "nulls": lambda c: F.count_if(F.col(c).isNull())})
     empty = emit_where(facts, [(F.col("rows") > 0, check(
-        "all_null_column", F.col("nulls") < F.col("rows"), severity="error", subject=_COL, metric="nulls",
+        "all_null_column", F.col("nulls") < F.col("rows"), severity="error", subject=_column(), metric="nulls",
         value=F.col("nulls"), threshold=None, bad="only null values"))])
     parts = [names, empty]
     if numbers:
         parts.append(emit_where(constant_columns(df, numbers), [(F.col("rows") > 0, check(
-            "constant_column", ~F.col("is_constant"), severity="error", subject=_COL, metric="is_constant",
+            "constant_column", ~F.col("is_constant"), severity="error", subject=_column(), metric="is_constant",
             value=F.col("is_constant").cast("int"), threshold=0, bad="constant values"))]))
     return union_checks(parts)
 
@@ -76,7 +78,7 @@ def check_rates(df: DataFrame, cols: Sequence[str] | None = None, cfg: CheckConf
         "spread": spread})
 
     def rule(name: str, bad: Column, value: Column, limit: float) -> Column:
-        return check(name, ~F.coalesce(bad, F.lit(False)), severity="error", subject=_COL, metric=name, value=value,
+        return check(name, ~F.coalesce(bad, F.lit(False)), severity="error", subject=_column(), metric=name, value=value,
                      threshold=limit, good="ok", bad=name.replace("_", " ") + " outside limits")
 
     lo, hi, move = F.col("lo"), F.col("hi"), F.col("move")
@@ -194,15 +196,15 @@ def check_numeric(df: DataFrame, cols: Sequence[str], cfg: CheckConfig = DEFAULT
         facts = per_column(df, numbers, {"n": lambda c: F.count(c),
                                          "infinite": lambda c: F.count_if(is_infinite(F.col(c).cast("double")))})
         parts.append(emit_where(facts, [
-            (F.lit(True), check("all_null", F.col("n") > 0, severity="error", subject=_COL, metric="valid_count",
+            (F.lit(True), check("all_null", F.col("n") > 0, severity="error", subject=_column(), metric="valid_count",
                                 value=F.col("n"), threshold=1, bad="only null values")),
-            (F.col("n") > 0, check("infinite_values", F.col("infinite") == 0, severity="error", subject=_COL,
+            (F.col("n") > 0, check("infinite_values", F.col("infinite") == 0, severity="error", subject=_column(),
                                    metric="infinite_count", value=F.col("infinite"), threshold=0,
                                    bad="infinite values"))]))
         pct = safe_div(F.col("outliers") * 100, "n")
-        parts.append(emit(iqr_outliers(df, numbers), [_two_step("iqr_share", pct, cfg.iqr_pct, _COL, "outlier_pct")]))
+        parts.append(emit(iqr_outliers(df, numbers), [_two_step("iqr_share", pct, cfg.iqr_pct, _column(), "outlier_pct")]))
         parts.append(emit(zscore_facts(df, numbers, cfg.extreme_z), [check(
-            "extreme_values", F.col("outliers") == 0, severity="warning", subject=_COL, metric="extreme_count",
+            "extreme_values", F.col("outliers") == 0, severity="warning", subject=_column(), metric="extreme_count",
             value=F.col("outliers"), threshold=cfg.extreme_z, bad="extreme values")]))
     return union_checks(parts)
 
@@ -216,10 +218,10 @@ def check_categorical(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         for c in cols if c not in have])] if len(known) < len(cols) else []
     if known:
         parts.append(emit_where(category_profile(df, known), [
-            (F.lit(True), check("cardinality", ~F.col("high_cardinality"), severity="warning", subject=_COL,
+            (F.lit(True), check("cardinality", ~F.col("high_cardinality"), severity="warning", subject=_column(),
                                 metric="unique_ratio", value=safe_div("unique_values", "rows"), threshold=0.5,
                                 bad="many distinct values")),
-            (F.col("unique_values") > 1, check("imbalance", ~F.col("imbalanced"), severity="warning", subject=_COL,
+            (F.col("unique_values") > 1, check("imbalance", ~F.col("imbalanced"), severity="warning", subject=_column(),
                                                metric="max_to_min", value=safe_div("max_count", "min_count"),
                                                threshold=10, bad="imbalanced categories"))]))
     return union_checks(parts)
@@ -246,7 +248,7 @@ def check_schema(df: DataFrame, required: Sequence[str] = (), types: Mapping[str
             for name, bound, seen, bad in (("min_value", lo, F.col("lo"), F.col("lo") < F.lit(lo)),
                                            ("max_value", hi, F.col("hi"), F.col("hi") > F.lit(hi))):
                 if bound is not None:
-                    checks.append((_COL == c, check(name, ~F.coalesce(bad, F.lit(False)), severity="error", subject=_COL,
+                    checks.append((_column() == c, check(name, ~F.coalesce(bad, F.lit(False)), severity="error", subject=_column(),
                                                     metric=name, value=seen, threshold=bound, bad="value outside limit")))
         parts.append(emit_where(facts, checks))
     return union_checks(parts)
@@ -266,10 +268,10 @@ def check_fx(df: DataFrame, col: str, date: str = "date", cfg: CheckConfig = DEF
     lo, hi = cfg.fx_mean
     mean, std = F.col("mean"), F.col("std")
     return union_checks([schema, emit_where(numeric_profile(df, [col]), [
-        (F.col("count") > 0, check("fx_mean", mean.between(lo, hi), severity="warning", subject=_COL, metric="mean",
+        (F.col("count") > 0, check("fx_mean", mean.between(lo, hi), severity="warning", subject=_column(), metric="mean",
                                    value=mean, threshold=hi, bad="mean outside normal band")),
         (F.col("count") > 0, check("fx_volatility", ~F.coalesce(std > mean * cfg.fx_volatility, F.lit(False)),
-                                   severity="warning", subject=_COL, metric="std", value=std,
+                                   severity="warning", subject=_column(), metric="std", value=std,
                                    threshold=mean * cfg.fx_volatility, bad="high volatility"))])])
 
 

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numeric import nan_to_null, pair_corr, safe_div
+from tidemark.functions.numeric import nan_to_null, safe_div
 from tidemark.operators.quantiles import exact_quantiles
 
 
@@ -113,13 +113,28 @@ def constant_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pairwise-complete Pearson correlation of every column pair, in one aggregate."""
-    pairs = list(combinations(cols, 2))
-    one = df.agg(*[pair_corr(_num(a), _num(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.explode(F.array(*[
-        F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2"), F.col(f"r{i}").alias("correlation"))
-        for i, (a, b) in enumerate(pairs)])).alias("r")
-    return one.select(rows).select("r.*")
+    """Pairwise-complete Pearson correlation of every column pair; null when a side is constant.
+
+    Each row is unrolled to its column pairs and grouped by pair. The group count is fixed by
+    the columns and combines before the shuffle, and the generated code stays small however
+    many pairs there are (one aggregate with a term per pair does not compile beyond a few
+    dozen columns).
+    """
+    k = len(cols)
+    rows = df.select(F.array(*[_num(c) for c in cols]).alias("vals"))
+    left = rows.select("vals", F.posexplode("vals").alias("i", "x")).where(
+        F.col("x").isNotNull() & (F.col("i") < k - 1))
+    pairs = left.select("i", "x", F.posexplode(F.slice("vals", F.col("i") + 2, F.lit(k))).alias("d", "y")).where(
+        F.col("y").isNotNull())
+    per = pairs.groupBy("i", "d").agg(F.covar_samp("x", "y").alias("c"),
+                                      (F.stddev_samp("x") * F.stddev_samp("y")).alias("s"))
+    names = F.array(*[F.lit(c) for c in cols])
+    seen = per.select(names[F.col("i")].alias("feature1"), names[F.col("i") + F.col("d") + 1].alias("feature2"),
+                      (F.col("c") / F.nullif(F.col("s"), F.lit(0.0))).alias("correlation"))
+    # Pairs that never occur together are kept with a null; the list is fixed by the columns.
+    every = df.sparkSession.range(0, 1, 1, 1).select(F.explode(F.array(*[
+        F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2")) for a, b in combinations(cols, 2)])).alias("p"))
+    return every.select("p.*").join(F.broadcast(seen), ["feature1", "feature2"], "left")
 
 
 def category_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:

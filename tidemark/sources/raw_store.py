@@ -12,6 +12,7 @@ from tidemark.schemas import RAW
 from tidemark.sources.registry import SOURCE_FIELDS, Registry
 
 KEY = ("source", "series", "date")
+PARTITIONS = ("source", "date")
 
 
 def range_scan(raw: DataFrame, start: date | str, end: date | str,
@@ -80,18 +81,22 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def upsert_raw(new: DataFrame, path: str) -> None:
     """Merge ``new`` into the Parquet table at ``path``; newest row per key wins.
 
-    The table is partitioned by date, and only the dates that ``new`` touches are read and
-    rewritten (dynamic partition overwrite: files are staged, then swapped in at commit).
-    Running the same batch again leaves the same rows, so a retried batch is harmless.
+    The table is partitioned by source and date, and only the partitions that ``new``
+    touches are read and rewritten (dynamic partition overwrite: files are staged, then
+    swapped in at commit). Running the same batch again leaves the same rows, so a retried
+    batch is harmless. The rebalance hint lets AQE split a hot (source, date) over several
+    files and merge small ones.
     """
     spark = new.sparkSession
     cols = RAW.fieldNames()
     new = new.select(*cols)
     if _exists(spark, path):
         old = spark.read.schema(RAW).parquet(path).select(*cols)
-        new = old.join(new.select("date").distinct(), "date", "left_semi").select(*cols).unionByName(new)
-    (latest_wins(new).repartition("date").write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path))
+        parts = list(PARTITIONS)
+        touched = new.select(*parts).distinct()
+        new = old.join(touched, parts, "left_semi").select(*cols).unionByName(new)
+    (latest_wins(new).hint("rebalance", *PARTITIONS).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path))
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
