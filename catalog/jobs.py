@@ -120,7 +120,7 @@ MARKET_SOURCES = ("cbn_rates", "worldbank_reserves", "dmo_debt", "eia_brent", "n
 @query("full_run_report")
 def _full_run(spark, sf):
     out = full_run(spark, raw_market(spark, sf), shared_folder(spark), MARKET_SOURCES, SPEC, start=START, end=END,
-                   as_of=ORDERS_AS_OF, check_cols=["exchange_rate", "rate_spread", "oil_price", "fx_reserves", "exchange_rate_rsi"])
+                   as_of=ORDERS_AS_OF, grain="year", check_cols=["exchange_rate", "rate_spread", "oil_price", "fx_reserves", "exchange_rate_rsi"])
     return out.withColumn("quality_score", r6("quality_score"))
 
 

@@ -32,15 +32,16 @@ def stage_report(raw_checks: DataFrame, feature_checks: DataFrame) -> DataFrame:
 
 def full_run(spark: SparkSession, new_rows: DataFrame, work: str, sources: Sequence[str], spec: FeatureSpec, *,
              start: str, end: str, as_of: str, check_cols: Sequence[str] | None = None,
-             cfg: CheckConfig = DEFAULTS) -> DataFrame:
+             grain: str = "month", cfg: CheckConfig = DEFAULTS) -> DataFrame:
     """Run every stage under the folder ``work`` and return the report.
 
     Each stage reads what the stage before wrote, so a lost executor costs at most one
     stage, and the wide feature frame is computed once for validation and storage.
     """
-    upsert_raw(new_rows, f"{work}/raw")
+    upsert_raw(new_rows, f"{work}/raw", grain)
     raw = read_raw(spark, f"{work}/raw")
-    create_features(raw, spec, start, end).write.mode("overwrite").parquet(f"{work}/frame")
+    window = read_raw(spark, f"{work}/raw", start, end, grain)
+    create_features(window, spec, start, end).write.mode("overwrite").parquet(f"{work}/frame")
     frame = spark.read.parquet(f"{work}/frame")
     numbers = numeric_columns(frame, exclude=(*spec.key, spec.order))
     write_features(pack_features(frame, numbers), f"{work}/features", mode="overwrite")

@@ -7,12 +7,13 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.schemas import RAW
 from tidemark.sources.registry import SOURCE_FIELDS, Registry
 
 KEY = ("source", "series", "date")
-PARTITIONS = ("source", "date")
+PARTITIONS = ("source", "part")
 
 
 def range_scan(raw: DataFrame, start: date | str, end: date | str,
@@ -78,41 +79,56 @@ def _exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
-def upsert_raw(new: DataFrame, path: str) -> None:
+def _part(day: Column, grain: str) -> Column:
+    """First day of the storage period of ``day``; ``grain`` is day, week, month, quarter or year."""
+    return day if grain == "day" else F.trunc(day, grain)
+
+
+def upsert_raw(new: DataFrame, path: str, grain: str = "month") -> None:
     """Merge ``new`` into the Parquet table at ``path``; newest row per key wins.
 
-    The table is partitioned by source and date, and only the partitions that ``new``
-    touches are read and rewritten (dynamic partition overwrite: files are staged, then
-    swapped in at commit). Running the same batch again leaves the same rows, so a retried
-    batch is harmless. The rebalance hint lets AQE split a hot (source, date) over several
-    files and merge small ones.
+    The table is partitioned by source and storage period, and only the partitions that
+    ``new`` touches are read and rewritten (dynamic partition overwrite: files are staged,
+    then swapped in at commit). Running the same batch again leaves the same rows, so a
+    retried batch is harmless. Choose ``grain`` once per table so that a period of one
+    source is a few files. The rebalance hint lets AQE split a hot (source, period) over
+    several files and merge small ones.
     """
     spark = new.sparkSession
-    cols = RAW.fieldNames()
-    new = new.select(*cols)
+    cols = [*RAW.fieldNames(), "part"]
+    new = new.withColumn("part", _part(F.col("date"), grain)).select(*cols)
     if _exists(spark, path):
-        old = spark.read.schema(RAW).parquet(path).select(*cols)
-        parts = list(PARTITIONS)
-        touched = new.select(*parts).distinct()
-        new = old.join(touched, parts, "left_semi").select(*cols).unionByName(new)
+        touched = new.select(*PARTITIONS).distinct()
+        old = _table(spark, path).join(touched, list(PARTITIONS), "left_semi").select(*cols)
+        new = old.unionByName(new)
     (latest_wins(new).hint("rebalance", *PARTITIONS).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path))
 
 
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RAW).parquet(path).select(*RAW.fieldNames())
+def _table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(T.StructType([*RAW, T.StructField("part", T.DateType())])).parquet(path)
+
+
+def read_raw(spark: SparkSession, path: str, start: date | str | None = None, end: date | str | None = None,
+             grain: str = "month") -> DataFrame:
+    """The raw table, or its rows dated ``start`` to ``end``: other periods are not listed or read."""
+    df = _table(spark, path)
+    if start is not None and end is not None:
+        lo, hi = F.lit(start).cast("date"), F.lit(end).cast("date")
+        df = df.where(F.col("part").between(_part(lo, grain), hi) & F.col("date").between(lo, hi))
+    return df.select(*RAW.fieldNames())
 
 
 def ingest_source(spark: SparkSession, registry: Registry, name: str, path: str, target: str,
-                  start: date | str, end: date | str, ingested_at: Column | None = None) -> int:
+                  start: date | str, end: date | str, ingested_at: Column | None = None, grain: str = "month") -> int:
     """Fetch, normalise and upsert one source; returns the rows fetched."""
     rows = normalise_raw(registry.fetch(spark, name, path, start, end), name, ingested_at)
-    upsert_raw(rows, target)
+    upsert_raw(rows, target, grain)
     return rows.count()
 
 
 def ingest_all(spark: SparkSession, registry: Registry, path: str, target: str, start: date | str,
-               end: date | str, ingested_at: Column | None = None) -> DataFrame:
+               end: date | str, ingested_at: Column | None = None, grain: str = "month") -> DataFrame:
     """Ingest every source; one that fails is reported and the rest go on.
 
     Returns (source, records_ingested, error), one row per registered source.
@@ -120,7 +136,7 @@ def ingest_all(spark: SparkSession, registry: Registry, path: str, target: str,
     done = []
     for name in registry.readers:
         try:
-            done.append((name, ingest_source(spark, registry, name, path, target, start, end, ingested_at), None))
+            done.append((name, ingest_source(spark, registry, name, path, target, start, end, ingested_at, grain), None))
         except Exception as e:
             done.append((name, 0, str(e).split("\n")[0]))
     return spark.createDataFrame(done, "source STRING, records_ingested BIGINT, error STRING")

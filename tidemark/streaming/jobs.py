@@ -38,9 +38,10 @@ def without_repeats(stream: DataFrame, key: Sequence[str], ts: str, delay: str =
     return timed.dropDuplicatesWithinWatermark(list(key))
 
 
-def stream_ingest(stream: DataFrame, normalise: Callable[[DataFrame], DataFrame], target: str, state: str) -> None:
+def stream_ingest(stream: DataFrame, normalise: Callable[[DataFrame], DataFrame], target: str, state: str,
+                  grain: str = "month") -> None:
     """Upsert every micro-batch into the raw table; replaying a batch changes nothing."""
-    run_available(stream, state, lambda batch, _: upsert_raw(normalise(batch), target))
+    run_available(stream, state, lambda batch, _: upsert_raw(normalise(batch), target, grain))
 
 
 def stream_quality(stream: DataFrame, normalise: Callable[[DataFrame], DataFrame], sources: Sequence[str], as_of: str,
