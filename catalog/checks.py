@@ -17,6 +17,7 @@ from tidemark.operators.checks import features as fc
 from tidemark.operators.checks import raw as rc
 from tidemark.operators.checks import tables as tc
 from tidemark.operators.checks.rows import CheckConfig, report, score_validation, union_checks
+from tidemark.sources.workdir import stage
 
 BY = {"key": ["series"], "order": "date"}
 RATE_COLS = ["official_rate", "parallel_rate"]
@@ -236,8 +237,10 @@ FEATS = ["cbn_rates_central_rate", "cbn_rates_parallel_rate", "eia_brent_price_u
 FEATS_CTE = f"{MARKET_CTE}, feats AS (SELECT *, 1::DOUBLE AS flat FROM market)"
 
 
-def feats(spark, sf):
-    return one_per_day(align_sources(market_sources(spark, sf)).select("series", "date", *FEATS[:-1]).withColumn("flat", F.lit(1.0)))
+def feats(spark, sf, staged: bool = False):
+    """Aligned sources plus a constant column; ``staged`` for checks that scan the frame several times."""
+    df = align_sources(market_sources(spark, sf)).select("series", "date", *FEATS[:-1]).withColumn("flat", F.lit(1.0))
+    return one_per_day(stage(df) if staged else df)
 
 
 NULLS_SQL = [row("feats", "feature_completeness", f"NOT ((COUNT(*) - COUNT({c}))::DOUBLE / COUNT(*) > 0.1)", W, f"'{c}'", "null_ratio",
@@ -287,7 +290,7 @@ def _stability(spark, sf):
 
 @query("check_iqr_outliers", f"WITH {FEATS_CTE}, {IQR_CTE} {IQR_SQL}")
 def _iqr(spark, sf):
-    return shown(fc.check_iqr_outliers(feats(spark, sf), FEATS))
+    return shown(fc.check_iqr_outliers(feats(spark, sf, staged=True), FEATS))
 
 
 FEATURE_ALL = f"""WITH {FEATS_CTE}, {DIST_CTE}, {CORR_CTE}, {stab_cte(FEATS, 'feats')}, {IQR_CTE},
@@ -296,14 +299,14 @@ FEATURE_ALL = f"""WITH {FEATS_CTE}, {DIST_CTE}, {CORR_CTE}, {stab_cte(FEATS, 'fe
 
 @query("feature_validation", FEATURE_ALL + " SELECT * FROM checks")
 def _feature_validation(spark, sf):
-    return shown(fc.validate_features(feats(spark, sf), FEATS, **BY))
+    return shown(fc.validate_features(feats(spark, sf, staged=True), FEATS, **BY))
 
 
 @query("all_checks", f"WITH c1 AS ({RAW_ALL} SELECT * FROM checks), c2 AS ({FEATURE_ALL} SELECT * FROM checks) "
        "SELECT * FROM c1 UNION ALL SELECT * FROM c2")
 def _all_checks(spark, sf):
     raw = rc.validate_raw(raw_numbers(spark, sf), DECLARED, EVENTS_AS_OF, RANGE_CFG)
-    return shown(union_checks([raw, fc.validate_features(feats(spark, sf), FEATS, **BY)]))
+    return shown(union_checks([raw, fc.validate_features(feats(spark, sf, staged=True), FEATS, **BY)]))
 
 
 # --- rule sets --------------------------------------------------------------------------

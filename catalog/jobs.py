@@ -17,7 +17,7 @@ from tidemark.sources.feature_store import write_predictions, write_report
 from tidemark.sources.raw_store import ingest_all, read_raw
 from tidemark.sources.registry import Registry
 from tidemark.streaming import jobs
-from tidemark.streaming.workdir import shared_folder
+from tidemark.sources.workdir import shared_folder
 
 
 def _failing(spark, path):

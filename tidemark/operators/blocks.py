@@ -77,13 +77,14 @@ def _big_chunks(df: DataFrame, key: list[str], chunk: Column, lookback: int, row
 
 
 def split_series(df: DataFrame, *, key: str | Sequence[str], order: str | Sequence[str], lookback: int,
-                 rows: int = MAX_ROWS) -> DataFrame:
-    """Cut series above ``rows`` into blocks with ``lookback`` halo rows.
+                 rows: int | None = None) -> DataFrame:
+    """Cut series above ``rows`` (default ``MAX_ROWS``) into blocks with ``lookback`` halo rows.
 
     Starts one job per chunk width tried (a grouped count of key and order columns); when no
     series is above ``rows`` the frame comes back with a constant block and no other change.
     """
     keys, orders = as_list(key), as_list(order)
+    rows = MAX_ROWS if rows is None else rows
     pos, width = _ordinal(df, orders[0])
     while True:
         chunk = F.floor(pos / F.lit(width))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numeric import nan_to_null, safe_div
+from tidemark.functions.numeric import safe_div
 from tidemark.operators.blocks import one_per_day, block_key, series_window
 from tidemark.operators.checks.rows import DEFAULTS, CheckConfig, check, emit, emit_where, listed, union_checks
 from tidemark.sources.raw_store import recent_rows
@@ -104,11 +104,16 @@ def check_null_payload(raw: DataFrame, sources: Sequence[str], cfg: CheckConfig
 
 
 def payload_numbers(raw: DataFrame, sources: Sequence[str]) -> DataFrame:
-    """(source, value): every number in the JSON payloads of the declared sources."""
-    parsed = raw.where(F.col("source").isin(*sources)).select(
-        "source", F.explode(F.map_values(F.from_json("data", "map<string,string>"))).alias("text"))
-    value = nan_to_null(F.col("text").try_cast("double"))
-    return parsed.select("source", value.alias("value")).where(F.col("value").isNotNull())
+    """(source, value): every top-level JSON number in the payloads of the declared sources.
+
+    Texts that look like numbers, booleans and nested values do not count.
+    """
+    doc = raw.where(F.col("source").isin(*sources)).select("source", F.try_parse_json("data").alias("doc"))
+    fields = doc.lateralJoin(raw.sparkSession.tvf.variant_explode(F.col("doc").outer()))
+    kind = F.schema_of_variant("value")
+    number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+    value = F.try_variant_get("value", "$", "double")
+    return fields.where(number).select("source", value.alias("value")).where(F.col("value").isNotNull())
 
 
 def outlier_facts(raw: DataFrame, sources: Sequence[str], cfg: CheckConfig = DEFAULTS) -> DataFrame:

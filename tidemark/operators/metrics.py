@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.quantiles import exact_quantiles
+
 # Upper bounds of the duration histogram, in seconds.
 BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
@@ -37,12 +39,10 @@ def metric_histogram(events: DataFrame, bounds: Sequence[float] = BUCKETS, name:
 def metric_durations(events: DataFrame, status: str, name: str = "name", value: str = "value",
                      success: str = "success", p: float = 0.95) -> DataFrame:
     """Per operation: calls, mean, max and the exact ``p`` quantile of duration, share that succeeded."""
-    from tidemark.operators.quantiles import exact_quantiles
-
     stats = events.groupBy(name).agg(
         F.count(F.lit(1)).alias("calls"), F.avg(value).alias("mean"), F.max(value).alias("max"),
         (F.count_if(F.col(status) == success) / F.count(F.lit(1))).alias("success_ratio"))
-    high = exact_quantiles(events, value, (p,), group=[name], names=("p",)).select(name, F.col("p").alias(f"p{p * 100:g}"))
+    high = exact_quantiles(events, value, (p,), group=[name], names=("p",)).select(name, F.col("p").alias("p" + f"{p * 100:g}".replace(".", "_")))
     return stats.join(high, name, "left")
 
 

@@ -77,7 +77,7 @@ def numeric_profile(df: DataFrame, cols: Sequence[str], *, key: Sequence[str] =
 def iqr_fences(df: DataFrame, cols: Sequence[str], *, key: Sequence[str] = (), k: float = 1.5) -> DataFrame:
     """Quartiles and ``q1 - k*iqr``, ``q3 + k*iqr`` per column (and key)."""
     q = exact_quantiles(melt_numbers(df, cols, key), "value", (0.25, 0.75), group=[*key, "column"],
-                        names=("q1", "q3"), few_groups=not key)
+                        names=("q1", "q3"))
     iqr = F.col("q3") - F.col("q1")
     return q.select(*key, "column", "n", "q1", "q3", (F.col("q1") - k * iqr).alias("lower"),
                     (F.col("q3") + k * iqr).alias("upper"))

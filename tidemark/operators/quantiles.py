@@ -1,79 +1,100 @@
 """Exact interpolated quantiles without holding a group in one task.
 
-``percentile`` keeps every distinct value of a group in one buffer. Here each group is
-narrowed instead: count values per equal-width bucket, keep the buckets that hold a wanted
-rank (with the true min and max of their values), and repeat on those buckets only. The
-values left are then counted one by one. Every pass is a grouped count with map-side
-combine, and all rows are counted in every pass that concerns them, so the result is exact.
+``percentile`` keeps every distinct value of a group in one buffer. Here a group is narrowed
+first: count its values per equal-width bucket, keep the buckets that hold a wanted rank
+(with the true min and max of their values), and repeat on those until each holds at most
+``SMALL`` values or a single one. Only then are the values left counted one by one. Every
+pass is a grouped count with map-side combine over all rows, so the result is exact for any
+distribution, and groups that are small from the start need no narrowing pass at all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 4096
+# Values of one group that a single task may sort.
+SMALL = 20_000
+# Buckets in progress (a few per group) that are kept on the driver and broadcast.
+MAX_NODES = 50_000
 
 
-def _inside(base: DataFrame, nodes: DataFrame, group: list[str], small: bool) -> DataFrame:
-    """Values of ``base`` inside a node of their group, with that node's columns."""
-    on = [F.col(f"b.{g}").eqNullSafe(F.col(f"n.{g}")) for g in group]
-    on += [F.col("b.v") >= F.col("n.lo"), F.col("b.v") <= F.col("n.hi")]
-    side = F.broadcast(nodes) if small else nodes
-    return base.alias("b").join(side.alias("n"), on).select(
-        *[F.col(f"b.{g}").alias(g) for g in group], "b.v", "n.n", "n.lo", "n.hi", "n.before", "n.ranks")
+def _same(a: str, b: str, names: Sequence[str]) -> list[Column]:
+    return [F.col(f"{a}.{x}").eqNullSafe(F.col(f"{b}.{x}")) for x in names]
 
 
-def _holding(counts: DataFrame, group: list[str], by: str) -> DataFrame:
-    """Counted cells whose cumulative position range holds one of the wanted ranks."""
+def _inside(base: DataFrame, nodes: DataFrame, group: list[str]) -> DataFrame:
+    """(group, before, lo, hi, v): values of ``base`` inside a node of their group."""
+    on = _same("b", "n", group) + [F.col("b.v") >= F.col("n.lo"), F.col("b.v") <= F.col("n.hi")]
+    return base.alias("b").join(nodes.alias("n"), on).select(
+        *[F.col(f"b.{g}").alias(g) for g in group], "n.before", "n.lo", "n.hi", "b.v")
+
+
+def _holding(counts: DataFrame, nodes: DataFrame, group: list[str], by: str) -> DataFrame:
+    """Counted cells of the nodes whose cumulative position range holds a wanted rank."""
     w = Window.partitionBy(*group, "before").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
     end = F.col("before") + F.sum("c").over(w)
     cells = counts.withColumn("end", end).withColumn("start", F.col("end") - F.col("c"))
+    wanted = cells.alias("b").join(nodes.alias("n"), _same("b", "n", [*group, "before"])).select("b.*", "n.n", "n.ranks")
     mine = F.filter("ranks", lambda r: (r >= F.col("start")) & (r < F.col("end")))
-    return cells.withColumn("ranks", mine).where(F.size("ranks") > 0)
+    return wanted.withColumn("ranks", mine).where(F.size("ranks") > 0)
 
 
-def _narrow(base: DataFrame, nodes: DataFrame, group: list[str], small: bool) -> DataFrame:
-    """One pass: from (group, n, lo, hi, before, ranks) to the buckets inside that hold a rank."""
+def _narrow(base: DataFrame, nodes: DataFrame, group: list[str]) -> DataFrame:
+    """One pass: from nodes to the buckets inside them that hold a rank."""
     width = F.col("hi") - F.col("lo")
     bucket = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width * BUCKETS),
                                        F.lit(BUCKETS - 1))).otherwise(0)
-    hit = _inside(base, nodes, group, small).select(*group, "n", "v", "before", "ranks", bucket.alias("bucket"))
-    counts = hit.groupBy(*group, "n", "before", "ranks", "bucket").agg(
+    counts = _inside(base, nodes, group).groupBy(*group, "before", bucket.alias("bucket")).agg(
         F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    return _holding(counts, group, "bucket").select(*group, "n", "lo", "hi", F.col("start").alias("before"), "ranks")
+    held = _holding(counts, nodes, group, "bucket")
+    return held.select(*group, "n", "c", "lo", "hi", F.col("start").alias("before"), "ranks")
+
+
+def _settle(nodes: DataFrame) -> tuple[DataFrame, int]:
+    """Materialise the nodes and tell how many values the fullest of them still spans.
+
+    Up to ``MAX_NODES`` come to the driver and go back as a broadcast; more stay
+    distributed (persisted, so the next pass does not recount) and join by shuffle.
+    """
+    rows = nodes.limit(MAX_NODES + 1).collect()
+    if len(rows) <= MAX_NODES:
+        local = nodes.sparkSession.createDataFrame(rows, nodes.schema)
+        return F.broadcast(local), max((r["c"] for r in rows if r["lo"] < r["hi"]), default=0)
+    nodes = nodes.persist()
+    return nodes, nodes.agg(F.max(F.when(F.col("lo") < F.col("hi"), F.col("c")))).first()[0] or 0
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], *, group: Sequence[str],
-                    names: Sequence[str] | None = None, few_groups: bool = False, passes: int = 2) -> DataFrame:
+                    names: Sequence[str] | None = None, small: int | None = None) -> DataFrame:
     """Linear-interpolated quantiles per group: ``n`` plus one column per probability.
 
-    ``few_groups`` states that the number of groups is fixed by the caller (column names, a
-    declared source list); only then are the per-group bounds broadcast. Each pass divides
-    the values left by up to 4096; raise ``passes`` for very skewed value ranges.
+    Nulls and NaN are left out. Runs one job for the ranges and one per narrowing pass.
     """
     group = list(group)
-    names = list(names or [f"q{p:g}" for p in probs])
+    limit = SMALL if small is None else small
+    names = list(names or ["q" + f"{p:g}".replace(".", "_") for p in probs])
     base = df.select(*group, F.col(value).cast("double").alias("v")).where(
         F.col("v").isNotNull() & ~F.isnan("v"))
     at = {p: (F.col("n") - 1) * F.lit(float(p)) for p in probs}
     ranks = F.array_distinct(F.concat(*[
         F.array(F.floor(h), F.least(F.floor(h) + 1, F.col("n") - 1)) for h in at.values()]))
-    nodes = base.groupBy(*group).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    nodes = nodes.select(*group, "n", "lo", "hi", F.lit(0).cast("bigint").alias("before"), ranks.alias("ranks"))
-    for _ in range(passes):
-        nodes = _narrow(base, nodes, group, few_groups)
-    values = (_inside(base, nodes, group, few_groups).groupBy(*group, "n", "before", "ranks", "v")
-              .agg(F.count(F.lit(1)).alias("c")))
-    found = _holding(values, group, "v").select(*group, "n", "v", F.explode("ranks").alias("rank"))
+    spread = base.groupBy(*group).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    nodes, widest = _settle(spread.select(
+        *group, "n", F.col("n").alias("c"), "lo", "hi", F.lit(0).cast("bigint").alias("before"), ranks.alias("ranks")))
+    while widest > limit:
+        nodes, widest = _settle(_narrow(base, nodes, group))
+    values = _inside(base, nodes, group).groupBy(*group, "before", "v").agg(F.count(F.lit(1)).alias("c"))
+    found = _holding(values, nodes, group, "v").select(*group, "n", "v", F.explode("ranks").alias("rank"))
     picks = []
-    for p, name in zip(probs, names):
+    for i, p in enumerate(probs):
         low = F.floor(at[p])
-        picks.append(F.max(F.when(F.col("rank") == low, F.col("v"))).alias(f"__lo_{name}"))
-        picks.append(F.max(F.when(F.col("rank") == F.least(low + 1, F.col("n") - 1), F.col("v"))).alias(f"__hi_{name}"))
+        picks.append(F.max(F.when(F.col("rank") == low, F.col("v"))).alias(f"__lo{i}"))
+        picks.append(F.max(F.when(F.col("rank") == F.least(low + 1, F.col("n") - 1), F.col("v"))).alias(f"__hi{i}"))
     per = found.groupBy(*group, "n").agg(*picks)
     return per.select(*group, "n", *[
-        (F.col(f"__lo_{name}") + (F.col(f"__hi_{name}") - F.col(f"__lo_{name}")) * (at[p] - F.floor(at[p]))).alias(name)
-        for p, name in zip(probs, names)])
+        (F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * (at[p] - F.floor(at[p]))).alias(name)
+        for i, (p, name) in enumerate(zip(probs, names))])

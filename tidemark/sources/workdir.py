@@ -1,11 +1,11 @@
-"""Where streaming jobs keep state and tables."""
+"""The shared folder for stream state, staged frames and job output."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,3 +20,14 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="run-")
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back.
+
+    For a frame that several passes will scan: it is computed once, later passes read only
+    the columns they need, and a lost executor costs a re-read instead of a recomputation.
+    """
+    path = f"{shared_folder(df.sparkSession)}/stage"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
