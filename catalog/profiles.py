@@ -6,8 +6,8 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from catalog.base import (EVENTS_AS_OF, MARKET_COLS, MARKET_CTE, RATES_CTE, RAW_CTE, daily_rates, market_sources, query, r4, r6,
-                          raw_events, rounded, s4, s6, table)
+from catalog.base import (DAILY_CTE, EVENTS_AS_OF, MARKET_COLS, MARKET_CTE, RATES_CTE, RAW_CTE, daily_prices, daily_rates,
+                          market_sources, query, r4, r6, raw_events, rounded, s4, s6, table)
 from tidemark.operators import metrics as met
 from tidemark.operators import profile as prof
 from tidemark.operators.align import align_sources
@@ -194,11 +194,12 @@ def _spike(spark, sf):
     return rounded(out, ["series", "deviating_rows", "has_spike"], ["mean"])
 
 
-@query("drop_sparse_columns", f"WITH {MARKET_CTE} SELECT series, date, cbn_rates_central_rate, eia_brent_price_usd FROM market")
+# A column that is known on the first of each month only, next to the daily price.
+@query("drop_sparse_columns", f"WITH {DAILY_CTE} SELECT series, date, price FROM daily")
 def _sparse(spark, sf):
-    cols = ["cbn_rates_central_rate", "eia_brent_price_usd", "worldbank_reserves_reserves_usd", "dmo_debt_total_debt"]
-    df = align_sources(market_sources(spark, sf)).select("series", "date", *cols)
-    return prof.drop_sparse_columns(df, 0.6, keep=["series", "date"])
+    df = daily_prices(spark, sf).drop("__block")
+    df = df.withColumn("monthly_price", F.when(F.dayofmonth("date") == 1, F.col("price")))
+    return prof.drop_sparse_columns(df, keep=["series", "date"])
 
 
 # --- metric events ----------------------------------------------------------------------

@@ -41,12 +41,16 @@ def test_create_features_closed_form(spark, seed):
     # Reserves are seen on the day itself; two days earlier the last value is from 2025-07-23.
     assert last["fx_reserves"] == 3.5e10
     assert out.where("series = 'a' and date = '2025-07-28'").first()["fx_reserves"] == 3.5e10 - 7e8
+    for c in ("", "_lag_7", "_rsi", "_macd_signal", "_rolling_max_3", "_pct_change"):
+        assert last[f"cbn_rates_central_rate{c}"] == last[f"exchange_rate{c}"], c
+    assert last["cbn_rates_parallel_rate_lag_1"] == 1702.5
     assert "month_sin" in out.columns and "news_sentiment_sentiment_score_change" in out.columns
 
 
 def test_series_do_not_mix(seed):
-    both = create_features(seed, FeatureSpec(), "2025-07-01", "2025-07-30")
-    one = create_features(seed.where("series = 'b'"), FeatureSpec(), "2025-07-01", "2025-07-30")
+    spec = FeatureSpec(lags=(1,), windows=(3,), price_cols=["exchange_rate"])
+    both = create_features(seed, spec, "2025-07-01", "2025-07-30")
+    one = create_features(seed.where("series = 'b'"), spec, "2025-07-01", "2025-07-30")
     assert rows(both.where("series = 'b'"), "date") == rows(one, "date")
 
 

@@ -30,20 +30,28 @@ def debt_ratio(df: DataFrame, total: str, external: str, servicing: str) -> Data
     })
 
 
+# Short names of source columns.
+ALIASES = {
+    "exchange_rate": "cbn_rates_central_rate",
+    "parallel_rate": "cbn_rates_parallel_rate",
+    "oil_price": "eia_brent_price_usd",
+    "total_debt": "dmo_debt_total_debt",
+    "external_debt": "dmo_debt_external_debt",
+    "debt_servicing": "dmo_debt_debt_servicing",
+    "fx_reserves": "worldbank_reserves_reserves_usd",
+    "sentiment_score": "news_sentiment_sentiment_score",
+    "relevance_score": "news_sentiment_relevance_score",
+}
+
+
 def base_features(df: DataFrame) -> DataFrame:
     """Aliases and first ratios of the aligned source columns that are present."""
     have = set(df.columns)
-    if "cbn_rates_central_rate" in have:
+    if {"cbn_rates_central_rate", "cbn_rates_parallel_rate"} <= have:
         df = rate_spread_premium(df, "cbn_rates_central_rate", "cbn_rates_parallel_rate")
-    if "dmo_debt_total_debt" in have:
+    if {"dmo_debt_total_debt", "dmo_debt_external_debt", "dmo_debt_debt_servicing"} <= have:
         df = debt_ratio(df, "dmo_debt_total_debt", "dmo_debt_external_debt", "dmo_debt_debt_servicing")
-    plain = {
-        "oil_price": "eia_brent_price_usd",
-        "fx_reserves": "worldbank_reserves_reserves_usd",
-        "sentiment_score": "news_sentiment_sentiment_score",
-        "relevance_score": "news_sentiment_relevance_score",
-    }
-    return df.withColumns({new: F.col(old) for new, old in plain.items() if old in have})
+    return df.withColumns({new: F.col(old) for new, old in ALIASES.items() if old in have and new not in df.columns})
 
 
 def cross_source_ratios(df: DataFrame) -> DataFrame:

@@ -10,26 +10,27 @@ from pyspark.sql import functions as F
 from tidemark.functions.numeric import full_window, pct_of, safe_div
 from tidemark.operators.blocks import last_rows, series_window, windowed
 from tidemark.operators.ewm import ewm_columns, run_length
+from tidemark.operators.stage import WindowStage
 
 
 def _rsi(df: DataFrame, cols: Sequence[str], window: int, key, order) -> DataFrame:
     w = series_window(key, order)
     moved = df.select("*", *[(F.col(c) - F.lag(c, 1).over(w)).alias(f"__d_{c}") for c in cols])
     frame = last_rows(w, window)
-    means = []
+    # Gains and losses are never null, so one row count guards them all.
+    means = [F.count(F.lit(1)).over(frame).alias("__rows")]
     for c in cols:
         d = F.col(f"__d_{c}")
-        gain = F.when(d > 0, d).otherwise(0.0)
-        loss = F.when(d < 0, -d).otherwise(0.0)
-        means.append(full_window(F.avg, gain, frame, window).alias(f"__g_{c}"))
-        means.append(full_window(F.avg, loss, frame, window).alias(f"__l_{c}"))
+        means.append(F.avg(F.when(d > 0, d).otherwise(0.0)).over(frame).alias(f"__g_{c}"))
+        means.append(F.avg(F.when(d < 0, -d).otherwise(0.0)).over(frame).alias(f"__l_{c}"))
     moved = moved.select("*", *means)
+    full = F.col("__rows") == window
     out = []
     for c in cols:
         g, s = F.col(f"__g_{c}"), F.col(f"__l_{c}")
         # No losses: 100 is the limit of the ratio; no movement at all has no value.
-        out.append(F.when((s == 0) & (g > 0), F.lit(100.0))
-                    .otherwise(100 - 100 / (1 + safe_div(g, s))).alias(f"{c}_rsi"))
+        out.append(F.when(full & (s == 0) & (g > 0), F.lit(100.0))
+                    .when(full, 100 - 100 / (1 + safe_div(g, s))).alias(f"{c}_rsi"))
     return moved.select(*df.columns, *out)
 
 
@@ -62,40 +63,53 @@ def macd(df: DataFrame, cols: Sequence[str], fast: int = 12, slow: int = 26, sig
     return _macd(df, cols, fast, slow, signal, key, order)
 
 
-def _bollinger(df: DataFrame, cols: Sequence[str], window: int, num_std: float, key, order) -> DataFrame:
-    frame = last_rows(series_window(key, order), window)
-    base = df.select("*", *[x for c in cols for x in (
-        full_window(F.avg, c, frame, window).alias(f"{c}_bb_middle"),
-        full_window(F.stddev_samp, c, frame, window).alias(f"__sd_{c}"))])
-    bands = base.select("*", *[x for c in cols for x in (
-        (F.col(f"{c}_bb_middle") + num_std * F.col(f"__sd_{c}")).alias(f"{c}_bb_upper"),
-        (F.col(f"{c}_bb_middle") - num_std * F.col(f"__sd_{c}")).alias(f"{c}_bb_lower"))])
-    keep = [*df.columns, *[f"{c}_bb_{p}" for c in cols for p in ("middle", "upper", "lower")]]
-    return bands.select(*keep, *[x for c in cols for x in (
-        (F.col(f"{c}_bb_upper") - F.col(f"{c}_bb_lower")).alias(f"{c}_bb_bandwidth"),
-        safe_div(F.col(c) - F.col(f"{c}_bb_lower"), F.col(f"{c}_bb_upper") - F.col(f"{c}_bb_lower"))
-        .alias(f"{c}_bb_percent"))])
+def add_bollinger(st: WindowStage, cols: Sequence[str], window: int, num_std: float) -> None:
+    for c in cols:
+        middle, half = st.full("mean", c, window), num_std * st.full("std", c, window)
+        lower, width = middle - half, 2 * half
+        st.add(f"{c}_bb_middle", middle)
+        st.add(f"{c}_bb_upper", middle + half)
+        st.add(f"{c}_bb_lower", lower)
+        st.add(f"{c}_bb_bandwidth", width)
+        st.add(f"{c}_bb_percent", safe_div(F.col(c) - lower, width))
+
+
+def add_momentum(st: WindowStage, cols: Sequence[str], periods: Sequence[int], roc: int) -> None:
+    for c in cols:
+        for n in periods:
+            st.add(f"{c}_momentum_{n}", pct_of(c, st.lag(c, n)) * 100)
+        st.add(f"{c}_roc_{roc}", safe_div(c, st.lag(c, roc)) - 1)
+
+
+def add_sentiment(st: WindowStage, cols: Sequence[str], window: int) -> None:
+    for c in cols:
+        st.add(f"{c}_rolling_mean", st.full("mean", c, window))
+        st.add(f"{c}_rolling_std", st.full("std", c, window))
+        st.add(f"{c}_change", F.col(c) - st.lag(c, 1))
+        st.add(f"{c}_momentum", F.col(c) - st.lag(c, window))
 
 
 @windowed(lambda a: a["window"] - 1)
 def bollinger(df: DataFrame, cols: Sequence[str], window: int = 20, num_std: float = 2.0, *,
               key, order) -> DataFrame:
     """``{c}_bb_middle/upper/lower/bandwidth/percent``."""
-    return _bollinger(df, cols, window, num_std, key, order)
-
-
-def _momentum(df: DataFrame, cols: Sequence[str], periods: Sequence[int], roc: int, key, order) -> DataFrame:
-    w = series_window(key, order)
-    out = [(pct_of(c, F.lag(c, n).over(w)) * 100).alias(f"{c}_momentum_{n}") for c in cols for n in periods]
-    out += [(safe_div(c, F.lag(c, roc).over(w)) - 1).alias(f"{c}_roc_{roc}") for c in cols]
-    return df.select("*", *out)
+    st = WindowStage(df, key, order)
+    add_bollinger(st, cols, window, num_std)
+    return st.run()
 
 
 @windowed(lambda a: max(*a["periods"], a["roc"]))
 def momentum(df: DataFrame, cols: Sequence[str], periods: Sequence[int] = (5, 10, 20), roc: int = 10, *,
              key, order) -> DataFrame:
     """``{c}_momentum_{n}`` in percent and ``{c}_roc_{n}`` as a fraction."""
-    return _momentum(df, cols, periods, roc, key, order)
+    st = WindowStage(df, key, order)
+    add_momentum(st, cols, periods, roc)
+    return st.run()
+
+
+def recursive_indicators(df: DataFrame, cols: Sequence[str], rsi: int, macd: tuple[int, int, int], key, order) -> DataFrame:
+    """RSI and MACD, which need several window passes: run them while the frame is narrow."""
+    return _macd(_rsi(df, cols, rsi, key, order), cols, *macd, key, order) if cols else df
 
 
 @windowed(lambda a: max(a["rsi"], _macd_lookback(*a["macd"]), a["bb"][0] - 1, 20))
@@ -103,29 +117,18 @@ def technical_indicators(df: DataFrame, cols: Sequence[str], rsi: int = 14,
                          macd: tuple[int, int, int] = (12, 26, 9), bb: tuple[int, float] = (20, 2.0), *,
                          key, order) -> DataFrame:
     """RSI, MACD, Bollinger bands and momentum of every column in ``cols``."""
-    if not cols:
-        return df
-    out = _rsi(df, cols, rsi, key, order)
-    out = _macd(out, cols, *macd, key, order)
-    out = _bollinger(out, cols, *bb, key, order)
-    return _momentum(out, cols, (5, 10, 20), 10, key, order)
+    st = WindowStage(recursive_indicators(df, cols, rsi, macd, key, order), key, order)
+    add_bollinger(st, cols, *bb)
+    add_momentum(st, cols, (5, 10, 20), 10)
+    return st.run()
 
 
 @windowed(lambda a: a["window"])
 def sentiment_features(df: DataFrame, cols: Sequence[str], window: int = 7, *, key, order) -> DataFrame:
     """Rolling mean and std, change, momentum over ``window`` rows, and the three flags."""
-    w = series_window(key, order)
-    frame = last_rows(w, window)
-    out = []
-    for c in cols:
-        x = F.col(c)
-        out += [
-            full_window(F.avg, c, frame, window).alias(f"{c}_rolling_mean"),
-            full_window(F.stddev_samp, c, frame, window).alias(f"{c}_rolling_std"),
-            (x - F.lag(c, 1).over(w)).alias(f"{c}_change"),
-            (x - F.lag(c, window).over(w)).alias(f"{c}_momentum"),
-        ]
-    return sentiment_flags(df.select("*", *out), cols)
+    st = WindowStage(df, key, order)
+    add_sentiment(st, cols, window)
+    return sentiment_flags(st.run(), cols)
 
 
 def sentiment_flags(df: DataFrame, cols: Sequence[str], strong: float = 0.7, flat: float = 0.1) -> DataFrame:

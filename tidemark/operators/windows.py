@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numeric import full_window, pct_of, safe_div
-from tidemark.operators.blocks import (HALO, block_key, carry_in, last_rows, one_per_day, series_window,
-                                       windowed)
+from tidemark.functions.numeric import pct_of, safe_div
+from tidemark.operators.blocks import HALO, block_key, carry_in, one_per_day, series_window, windowed
+from tidemark.operators.stage import WindowStage
 
 # Default lags and rolling windows, in rows.
 LAGS = (1, 2, 3, 5, 7, 14, 30)
 WINDOWS = (3, 7, 14, 30)
-STATS = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+STATS = ("mean", "std", "min", "max")
 
 _BEFORE = (Window.unboundedPreceding, -1)
 _UNTIL = (Window.unboundedPreceding, 0)
@@ -25,57 +25,77 @@ def daily_series(df: DataFrame, aggs: dict, *, key: Sequence[str], order: str) -
     return one_per_day(df.groupBy(*key, order).agg(*[c.alias(n) for n, c in aggs.items()]))
 
 
+def add_lags(st: WindowStage, cols: Sequence[str], lags: Sequence[int]) -> None:
+    for c in cols:
+        for n in lags:
+            st.add(f"{c}_lag_{n}", st.lag(c, n))
+
+
+def add_rolling(st: WindowStage, cols: Sequence[str], windows: Sequence[int], stats: Sequence[str]) -> None:
+    for c in cols:
+        for n in windows:
+            for s in stats:
+                st.add(f"{c}_rolling_{s}_{n}", st.full(s, c, n))
+
+
+def add_pct_change(st: WindowStage, cols: Sequence[str]) -> None:
+    for c in cols:
+        st.add(f"{c}_pct_change", pct_of(c, st.lag(c, 1)) * 100)
+
+
 @windowed(lambda a: max(a["lags"]))
 def lag_features(df: DataFrame, cols: Sequence[str], lags: Sequence[int] = LAGS, *, key, order) -> DataFrame:
     """``{c}_lag_{n}``: the value ``n`` rows earlier in the series."""
-    w = series_window(key, order)
-    return df.select("*", *[F.lag(c, n).over(w).alias(f"{c}_lag_{n}") for c in cols for n in lags])
+    st = WindowStage(df, key, order)
+    add_lags(st, cols, lags)
+    return st.run()
 
 
 @windowed(lambda a: max(a["windows"]) - 1)
 def rolling_stats(df: DataFrame, cols: Sequence[str], windows: Sequence[int] = WINDOWS,
-                  stats: Sequence[str] = tuple(STATS), *, key, order) -> DataFrame:
+                  stats: Sequence[str] = STATS, *, key, order) -> DataFrame:
     """``{c}_rolling_{stat}_{n}``: null until the window holds ``n`` non-null values."""
-    w = series_window(key, order)
-    return df.select("*", *[
-        full_window(STATS[s], c, last_rows(w, n), n).alias(f"{c}_rolling_{s}_{n}")
-        for c in cols for n in windows for s in stats
-    ])
+    st = WindowStage(df, key, order)
+    add_rolling(st, cols, windows, stats)
+    return st.run()
 
 
 @windowed(lambda a: max(a["windows"]) - 1)
 def rolling_range(df: DataFrame, cols: Sequence[str], windows: Sequence[int] = WINDOWS, *, key, order) -> DataFrame:
     """``{c}_range_{n}``: rolling max minus rolling min."""
-    w = series_window(key, order)
-    return df.select("*", *[
-        (full_window(F.max, c, last_rows(w, n), n) - full_window(F.min, c, last_rows(w, n), n))
-        .alias(f"{c}_range_{n}") for c in cols for n in windows
-    ])
+    st = WindowStage(df, key, order)
+    for c in cols:
+        for n in windows:
+            st.add(f"{c}_range_{n}", st.full("max", c, n) - st.full("min", c, n))
+    return st.run()
 
 
 @windowed(lambda a: 1)
 def pct_change(df: DataFrame, cols: Sequence[str], *, key, order) -> DataFrame:
     """``{c}_pct_change``: percent change from the previous row."""
-    w = series_window(key, order)
-    return df.select("*", *[(pct_of(c, F.lag(c, 1).over(w)) * 100).alias(f"{c}_pct_change") for c in cols])
+    st = WindowStage(df, key, order)
+    add_pct_change(st, cols)
+    return st.run()
 
 
 @windowed(lambda a: max(a["days"]))
 def log_returns(df: DataFrame, cols: Sequence[str], days: Sequence[int] = (1, 5), *, key, order) -> DataFrame:
     """``{c}_log_return_{n}``; null unless both values are positive."""
-    w = series_window(key, order)
-    out = []
+    st = WindowStage(df, key, order)
     for c in cols:
         for n in days:
-            ratio = safe_div(c, F.lag(c, n).over(w))
-            out.append(F.when(ratio > 0, F.ln(ratio)).alias(f"{c}_log_return_{n}"))
-    return df.select("*", *out)
+            ratio = safe_div(c, st.lag(c, n))
+            st.add(f"{c}_log_return_{n}", F.when(ratio > 0, F.ln(ratio)))
+    return st.run()
 
 
 @windowed(lambda a: 0)
 def forward_fill(df: DataFrame, cols: Sequence[str], *, key, order) -> DataFrame:
     """Replace nulls in ``cols`` by the last non-null value before them."""
     w = series_window(key, order).rowsBetween(*_UNTIL)
+    if HALO not in df.columns:
+        fill = {c: F.last(c, ignorenulls=True).over(w).alias(c) for c in cols}
+        return df.select(*[fill.get(c, F.col(c)) for c in df.columns])
     carried = carry_in(df, cols, key, order)
     fill = {c: F.coalesce(F.last(c, ignorenulls=True).over(w), f"__carry_{c}").alias(c) for c in cols}
     return carried.select(*[fill.get(c, F.col(c)) for c in df.columns])
