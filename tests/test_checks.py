@@ -56,6 +56,13 @@ def test_empty_raw_is_critical(spark):
     assert result(rc.check_availability(raw(spark).limit(0)))[("data_availability", "raw_data")][1] == "critical"
 
 
+def test_iso_text_ingest_times(spark):
+    df = spark.createDataFrame([("cbn_rates", "all", D0, "{}", t) for t in ("2025-07-16T12:00:00Z", "2025-07-17T00:00:00", "soon")],
+                               "source string, series string, date date, data string, ingested_at string")
+    got = result(rc.check_freshness(df, ["cbn_rates"], AS_OF))
+    assert got[("data_freshness", "cbn_rates")] == (True, "info", 24.0)
+
+
 def test_outliers_count_json_numbers_only(spark):
     df = raw(spark, n=40, data=lambda i: json.dumps({"v": 5000 if i == 7 else 150 + i % 3, "text": "900000", "flag": True, "deep": {"v": 9e9}}))
     got = result(rc.validate_raw(df, ["cbn_rates"], AS_OF))
