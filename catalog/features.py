@@ -160,7 +160,7 @@ def _intent(spark, sf):
 
 @query("horizon_labels", f"""WITH {DAILY_CTE} SELECT series, date, price, {', '.join(f'LEAD(price, {h}) {W} AS price_t_plus_{h}' for h in range(1, 6))} FROM daily""")
 def _labels(spark, sf):
-    return fct.horizon_labels(daily_prices(spark, sf), "price", **BY)
+    return merge_blocks(fct.horizon_labels(daily_prices(spark, sf), "price", **BY))
 
 
 @query("temporal_split", f"""WITH {DAILY_CTE}, r AS (SELECT *, PERCENT_RANK() {W} AS pr FROM daily)

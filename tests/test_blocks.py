@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from tidemark.operators import blocks
+from tidemark.operators import forecast as fct
 from tidemark.operators import indicators as ind
 from tidemark.operators import windows as win
 from tidemark.operators.blocks import BLOCK, HALO, merge_blocks, one_per_day, split_series
@@ -57,6 +58,7 @@ CASES = {
     "momentum": lambda d: ind.momentum(d, ["x"], **BY),
     "sentiment": lambda d: ind.sentiment_features(d, ["x"], **BY),
     "regime": lambda d: ind.regime_flag(d, "x", **BY),
+    "labels": lambda d: fct.horizon_labels(d, "x", (1, 5, 40), **BY),
     "ewm": lambda d: ewm_mean(d, ["x"], 5, **BY),
     "macd": lambda d: ind.macd(d, ["x"], 3, 6, 2, **BY),
 }

@@ -38,7 +38,12 @@ def align_fanout(many: tuple[str, DataFrame], others: Mapping[str, DataFrame], *
     """Full outer alignment that keeps every row of one source, e.g. several news items a day.
 
     The other sources are first reduced to one row per key, so the output has as many rows
-    as ``many`` plus the keys only the others have.
+    as ``many`` plus the keys only the others have. It is a left join plus those keys, as
+    AQE can split a hot key in a left join but not in a full outer one.
     """
     name, df = many
-    return prefix_columns(df, name, keys).join(align_sources(others, keys=keys, how=how), list(keys), "full_outer")
+    keys = list(keys)
+    rest = align_sources(others, keys=keys, how=how)
+    mine = prefix_columns(df, name, keys)
+    only = rest.join(mine.select(*keys).distinct(), keys, "left_anti")
+    return mine.join(rest, keys, "left").unionByName(only, allowMissingColumns=True)

@@ -7,8 +7,9 @@ unbounded otherwise. Operators in this package therefore look for a block column
 * ``one_per_day(df)`` marks a frame that was just grouped by (series, day).
 * ``split_series(df, ...)`` counts rows per series and, where a series is larger than
   ``rows``, cuts it into consecutive blocks by position. Each block also receives the
-  ``lookback`` rows before it as halo rows, so a frame that reaches back at most that far
-  gives the same value as on the whole series. ``merge_blocks`` drops the halo again.
+  ``lookback`` rows before it (and ``ahead`` rows after it) as halo rows, so a frame that
+  reaches at most that far gives the same value as on the whole series. ``merge_blocks``
+  drops the halo again.
 * an operator given an unmarked frame splits it, runs, and merges.
 
 Nothing is sampled: positions come from exact counts per (series, time chunk).
@@ -60,24 +61,35 @@ def _ordinal(df: DataFrame, name: str) -> tuple[Column, int]:
     raise TypeError(f"cannot split on {name}: {kind.simpleString()}")
 
 
-def _big_chunks(df: DataFrame, key: list[str], chunk: Column, lookback: int, rows: int) -> DataFrame:
-    """Chunks of series above ``rows``: home block and the blocks they feed as halo."""
+def _big_chunks(df: DataFrame, key: list[str], chunk: Column, lookback: int, ahead: int, rows: int) -> DataFrame:
+    """Chunks of series above ``rows``: home block and the blocks they feed as halo.
+
+    A block is the chunks that start within the same ``rows`` positions. The next block
+    starts where the chunk ends at the earliest; which block a position before the chunk
+    belongs to is known up to the widest chunk, so the look-ahead side may feed one block
+    more than needed. Extra halo rows change nothing.
+    """
     sizes = df.groupBy(*key, chunk.alias(_CHUNK)).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(*key)
     ends = sizes.select(
         *key, _CHUNK, "n",
-        F.sum("n").over(w).alias("total"),
+        F.sum("n").over(w).alias("total"), F.max("n").over(w).alias("widest"),
         F.sum("n").over(w.orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, 0)).alias("end"),
     ).where(F.col("total") > rows)
     home = F.floor((F.col("end") - F.col("n")) / rows)
     first = F.greatest(home + 1, F.floor(F.col("end") / rows))
     last = F.least(F.floor((F.col("end") + lookback - 1) / rows), F.floor((F.col("total") - 1) / rows))
-    feeds = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-    return ends.select(*key, _CHUNK, "n", home.alias("home"), F.concat(F.array(home), feeds).alias("blocks"))
+    none = F.array().cast("array<bigint>")
+    feeds = F.concat(F.array(home), F.when(first <= last, F.sequence(first, last)).otherwise(none))
+    if ahead:
+        lowest = F.greatest(F.lit(0).cast("bigint"),
+                            F.floor((F.col("end") - F.col("n") - F.col("widest") - ahead) / rows))
+        feeds = F.concat(feeds, F.when(lowest < home, F.sequence(lowest, home - 1)).otherwise(none))
+    return ends.select(*key, _CHUNK, "n", home.alias("home"), feeds.alias("blocks"))
 
 
 def split_series(df: DataFrame, *, key: str | Sequence[str], order: str | Sequence[str], lookback: int,
-                 rows: int | None = None) -> DataFrame:
+                 ahead: int = 0, rows: int | None = None) -> DataFrame:
     """Cut series above ``rows`` (default ``MAX_ROWS``) into blocks with ``lookback`` halo rows.
 
     Starts one job per chunk width tried (a grouped count of key and order columns); when no
@@ -88,7 +100,7 @@ def split_series(df: DataFrame, *, key: str | Sequence[str], order: str | Sequen
     pos, width = _ordinal(df, orders[0])
     while True:
         chunk = F.floor(pos / F.lit(width))
-        big = _big_chunks(df, keys, chunk, lookback, rows)
+        big = _big_chunks(df, keys, chunk, lookback, ahead, rows)
         found = big.agg(F.count(F.lit(1)).alias("chunks"), F.max("n").alias("widest")).first()
         if not found["chunks"]:
             return one_per_day(df)
@@ -126,7 +138,7 @@ def block_key(df: DataFrame, key: str | Sequence[str]) -> list[str]:
     return keys + [BLOCK] if BLOCK in df.columns and BLOCK not in keys else keys
 
 
-def windowed(lookback: Callable[[dict], int]):
+def windowed(lookback: Callable[[dict], int], ahead: Callable[[dict], int] = lambda a: 0):
     """Make ``fn(df, ..., key=, order=)`` safe for hot series (see the module text)."""
 
     def wrap(fn):
@@ -140,7 +152,8 @@ def windowed(lookback: Callable[[dict], int]):
             call["key"], call["order"] = as_list(call["key"]), as_list(call["order"])
             marked = BLOCK in df.columns
             if not marked:
-                call["df"] = split_series(df, key=call["key"], order=call["order"], lookback=lookback(call))
+                call["df"] = split_series(df, key=call["key"], order=call["order"], lookback=lookback(call),
+                                          ahead=ahead(call))
             call["key"] = block_key(call["df"], call["key"])
             out = fn(*bound.args, **bound.kwargs)
             return out if marked else merge_blocks(out)

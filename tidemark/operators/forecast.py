@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.blocks import series_window, block_key
+from tidemark.operators.blocks import block_key, merge_blocks, one_per_day, series_window, windowed
 
 HORIZONS = (1, 2, 3, 4, 5)
 
@@ -16,8 +16,9 @@ def naive_forecast(df: DataFrame, value: str, horizons: Sequence[int] = HORIZONS
                    drift: float = 0.5, margin: float = 0.02, noise: float = 0.0, seed: int = 42,
                    model_version: str = "drift-1.0") -> DataFrame:
     """Latest value plus ``drift`` per day ahead, with a relative interval; optional uniform noise."""
-    last = df.where(F.col(value).isNotNull()).groupBy(*key).agg(F.max(F.struct(order, value)).alias("m"))
-    rows = last.select(*key, F.col(f"m.{order}").alias("prediction_date"), F.col(f"m.{value}").alias("latest"),
+    last = df.where(F.col(value).isNotNull()).groupBy(*key).agg(
+        F.max(order).alias("prediction_date"), F.max_by(value, order).alias("latest"))
+    rows = last.select(*key, "prediction_date", "latest",
                        F.explode(F.array(*[F.lit(h) for h in horizons])).alias("horizon"))
     point = F.col("latest") + F.col("horizon") * F.lit(drift)
     if noise:
@@ -51,17 +52,27 @@ def top_contributions(df: DataFrame, coefs: Mapping[str, float], k: int = 10, *,
     return ranked.withColumn("direction", F.when(F.col("contribution") < 0, "negative").otherwise("positive"))
 
 
-def horizon_labels(df: DataFrame, col: str, horizons: Sequence[int] = HORIZONS, *, key, order: str) -> DataFrame:
-    """``{col}_t_plus_{h}``: the value ``h`` rows later. Needs one row per (series, day)."""
-    w = series_window(block_key(df, key), order)
-    return df.select("*", *[F.lead(col, h).over(w).alias(f"{col}_t_plus_{h}") for h in horizons]).drop("__block")
+@windowed(lambda a: 0, ahead=lambda a: max(a["horizons"]))
+def horizon_labels(df: DataFrame, col: str, horizons: Sequence[int] = HORIZONS, *, key, order) -> DataFrame:
+    """``{col}_t_plus_{h}``: the value ``h`` rows later in the series."""
+    w = series_window(key, order)
+    return df.select("*", *[F.lead(col, h).over(w).alias(f"{col}_t_plus_{h}") for h in horizons])
 
 
-def temporal_split(df: DataFrame, val: float = 0.2, test: float = 0.1, *, key, order: str) -> DataFrame:
-    """``split``: oldest rows train, then val, newest test, per series and by position."""
-    rank = F.percent_rank().over(series_window(block_key(df, key), order))
+def temporal_split(df: DataFrame, val: float = 0.2, test: float = 0.1, *, key: Sequence[str], order: str) -> DataFrame:
+    """``split``: oldest rows train, then val, newest test, per series by relative rank of ``order``.
+
+    Ranks come from row counts per (series, day) joined back, so the window holds one row
+    per day whatever the number of rows.
+    """
+    days = one_per_day(df.groupBy(*key, order).agg(F.count(F.lit(1)).alias("__n")))
+    by = block_key(days, key)
+    before = F.sum("__n").over(series_window(by, order)) - F.col("__n")
+    total = F.sum("__n").over(Window.partitionBy(*by))
+    rank = F.coalesce(before / F.nullif(total - 1, F.lit(0)), F.lit(0.0))
     split = F.when(rank < 1 - val - test, "train").when(rank < 1 - test, "val").otherwise("test")
-    return df.withColumn("split", split).drop("__block")
+    cuts = days.select(*key, order, split.alias("split"))
+    return df.join(cuts, [*key, order])
 
 
 def champion_model(models: DataFrame, as_of: str, stale_hours: float = 48.0, metric: str = "accuracy_score") -> DataFrame:
@@ -82,7 +93,7 @@ def horizon_regression(df: DataFrame, features: Sequence[str], label: str, horiz
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
-    labelled = horizon_labels(df, label, horizons, key=key, order=order)
+    labelled = merge_blocks(horizon_labels(df, label, horizons, key=key, order=order))
     if split is not None:
         labelled = labelled.where(split)
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")

@@ -22,6 +22,8 @@ def metric_counters(events: DataFrame, labels: Sequence[str] = (), name: str = "
 def metric_gauges(events: DataFrame, labels: Sequence[str] = (), name: str = "name", value: str = "value",
                   ts: str = "ts", tiebreak: Sequence[str] = ()) -> DataFrame:
     """Last value per metric and labels; ties by ``tiebreak``."""
+    if not tiebreak:
+        return events.groupBy(name, *labels).agg(F.max_by(value, ts).alias("value"), F.max(ts).alias("ts"))
     last = F.max(F.struct(ts, *tiebreak, value)).alias("m")
     return events.groupBy(name, *labels).agg(last).select(
         name, *labels, F.col(f"m.{value}").alias("value"), F.col(f"m.{ts}").alias("ts"))

@@ -56,17 +56,30 @@ def extract_wide(raw: DataFrame, fields: Mapping[str, str] = SOURCE_FIELDS, how:
 
     Each row is parsed with its own source's fields and contributes only those columns;
     grouping by (series, date) then aligns the sources. Several rows per key reduce by
-    ``how``: ``avg`` (numbers only, others by max) or ``max``.
+    ``how``: ``avg`` (numbers only, others by max) or ``max``. Numbers aggregate by hash;
+    text would force a sort of all rows, so text fields are grouped apart, from the rows of
+    their sources only, and joined on the same partitioning.
     """
-    cols = []
-    for source, ddl in fields.items():
-        doc = F.when(F.col("source") == source, F.from_json("data", ddl))
-        for part in ddl.split(","):
-            name, kind = part.split()
-            value = doc[name]
+    parsed = [[part.split() for part in ddl.split(",")] for ddl in fields.values()]
+    rows = raw.where(F.col("source").isin(*fields)).select("source", "series", "date", *[
+        # Parsed once per row as a struct; the aggregates below only read its fields.
+        F.when(F.col("source") == source, F.from_json("data", ddl)).alias(f"__doc{i}")
+        for i, (source, ddl) in enumerate(fields.items())])
+    numbers, texts, owners, names = [], [], [], []
+    for i, source in enumerate(fields):
+        for field, kind in parsed[i]:
+            text = kind.upper() == "STRING"
             agg = F.avg if how == "avg" and kind.upper() == "DOUBLE" else F.max
-            cols.append(agg(value).alias(f"{source}_{name}"))
-    return raw.where(F.col("source").isin(*fields)).groupBy("series", "date").agg(*cols)
+            (texts if text else numbers).append(agg(F.col(f"__doc{i}.{field}")).alias(f"{source}_{field}"))
+            names.append(f"{source}_{field}")
+            owners += [source] if text else []
+    # The count keeps days that have rows but no number.
+    wide = rows.groupBy("series", "date").agg(F.count(F.lit(1)).alias("__rows"), *numbers)
+    if texts:
+        words = rows.where(F.col("source").isin(*owners)).groupBy(
+            F.col("series").alias("__s"), F.col("date").alias("__d")).agg(*texts)
+        wide = wide.join(words, F.col("series").eqNullSafe(F.col("__s")) & F.col("date").eqNullSafe(F.col("__d")), "left")
+    return wide.select("series", "date", *names)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
