@@ -123,15 +123,33 @@ def raw_numbers(spark, sf):
     return raw.withColumn("data", F.to_json(doc))
 
 
-_LOW = "CASE source " + " ".join(f"WHEN '{s}' THEN {a}::DOUBLE" for s, (a, b) in RANGES.items()) + " END"
-_HIGH = "CASE source " + " ".join(f"WHEN '{s}' THEN {b}::DOUBLE" for s, (a, b) in RANGES.items()) + " END"
-NUMBERS_CTE = f"""nums AS (SELECT source, value AS v FROM raw UNION ALL SELECT source, k FROM raw UNION ALL SELECT source, value - 20 FROM raw),
-  stats AS (SELECT source, AVG(v) AS mean, STDDEV_POP(v) AS std FROM nums GROUP BY 1),
+
+
+def bound_sql(ranges, i: int) -> str:
+    return "CASE source " + " ".join(f"WHEN '{s}' THEN {b[i]}::DOUBLE" for s, b in ranges.items()) + " END"
+
+
+_LOW, _HIGH = bound_sql(RANGES, 0), bound_sql(RANGES, 1)
+
+
+def out_cte(low: str, high: str) -> str:
+    """Outliers and values out of range per source, from (source, v) rows in ``nums``."""
+    return f"""stats AS (SELECT source, AVG(v) AS mean, STDDEV_POP(v) AS std FROM nums GROUP BY 1),
   out AS (SELECT source, COUNT(*) FILTER (WHERE abs((v - mean) / NULLIF(std, 0)) > 3) AS outliers,
-    COUNT(*) FILTER (WHERE v < {_LOW} OR v > {_HIGH}) AS out_of_range FROM nums JOIN stats USING (source) GROUP BY 1)"""
+    COUNT(*) FILTER (WHERE v < {low} OR v > {high}) AS out_of_range FROM nums JOIN stats USING (source) GROUP BY 1)"""
+
+
+NUMBERS_CTE = ("nums AS (SELECT source, value AS v FROM raw UNION ALL SELECT source, k FROM raw UNION ALL SELECT source, value - 20 FROM raw), "
+               + out_cte(_LOW, _HIGH))
 OUTLIER_SQL = row("out", "outlier_detection", "outliers = 0", W, "source", "outlier_count", "outliers", 3)
-RANGE_SQL = row("out", "range_validation", "out_of_range = 0", E, "source", "out_of_range_count", "out_of_range", 0,
-                "source IN (" + ", ".join(f"'{s}'" for s in RANGES) + ")")
+
+
+def range_sql(ranges) -> str:
+    return row("out", "range_validation", "out_of_range = 0", E, "source", "out_of_range_count", "out_of_range", 0,
+               "source IN (" + ", ".join(f"'{s}'" for s in ranges) + ")")
+
+
+RANGE_SQL = range_sql(RANGES)
 
 
 @query("check_raw_outliers", f"WITH {RAW_CTE}, {NUMBERS_CTE} {OUTLIER_SQL}")
@@ -152,9 +170,13 @@ def _outlier_values(spark, sf):
     return out.select("source", F.col("rank").cast("bigint").alias("rank"), "value", r6("z").alias("z"))
 
 
+def raw_checks_sql(as_of: str, ranges) -> str:
+    return _union([row("total", "data_availability", "n > 0", "'critical'", "'raw_data'", "record_count", "n", 1), completeness_sql(),
+                   freshness_sql(as_of), *CONSISTENCY_SQL, PAYLOAD_SQL, OUTLIER_SQL, range_sql(ranges)])
+
+
 RAW_ALL = f"""WITH {RAW_CTE}, {facts_cte(DECLARED)}, {NUMBERS_CTE}, total AS (SELECT SUM(n) AS n FROM facts),
-  checks AS ({_union([row('total', 'data_availability', 'n > 0', "'critical'", "'raw_data'", 'record_count', 'n', 1),
-                      completeness_sql(), freshness_sql(EVENTS_AS_OF), *CONSISTENCY_SQL, PAYLOAD_SQL, OUTLIER_SQL, RANGE_SQL])})"""
+  checks AS ({raw_checks_sql(EVENTS_AS_OF, RANGES)})"""
 
 
 @query("raw_validation", RAW_ALL + " SELECT * FROM checks")
@@ -243,17 +265,6 @@ def feats(spark, sf, staged: bool = False):
     return one_per_day(stage(df) if staged else df)
 
 
-NULLS_SQL = [row("feats", "feature_completeness", f"NOT ((COUNT(*) - COUNT({c}))::DOUBLE / COUNT(*) > 0.1)", W, f"'{c}'", "null_ratio",
-                 f"(COUNT(*) - COUNT({c}))::DOUBLE / COUNT(*)", 0.1) for c in FEATS]
-DIST_CTE = "sk AS (" + _union(sql_skew(c, "feats") for c in FEATS) + """),
-  lim AS (""" + _union(f"SELECT '{c}' AS \"column\", MIN({c}) = MAX({c}) AS same FROM feats" for c in FEATS) + """),
-  dist AS (SELECT * FROM sk JOIN lim USING ("column"))"""
-DIST_SQL = row("dist", "feature_distribution", "NOT same", W, '"column"', "skewness", "CASE WHEN NOT same THEN skewness END", 2, '"count" > 10')
-CORR_CTE = "cr AS (" + _union(f"SELECT {sql_corr(a, b)} AS r FROM feats" for a, b in combinations(FEATS, 2)) + """),
-  cc AS (SELECT COUNT(*) FILTER (WHERE abs(r) > 0.95) AS n FROM cr)"""
-CORR_SQL = row("cc", "feature_correlation", "n = 0", W, "'features'", "high_correlations", "n", 0.95)
-
-
 def stab_cte(cols, src: str) -> str:
     prior = "OVER (PARTITION BY series ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     lags = ", ".join(f"LAST_VALUE({c} IGNORE NULLS) {prior} AS p_{c}" for c in cols)
@@ -261,40 +272,64 @@ def stab_cte(cols, src: str) -> str:
         f"SELECT '{c}' AS \"column\", COUNT(*) FILTER (WHERE abs(({c} - p_{c}) / NULLIF(p_{c}, 0)) > 0.5) AS ex FROM pv" for c in cols) + ")")
 
 
-STAB_SQL = row("st", "feature_stability", "ex = 0", W, '"column"', "extreme_changes", "ex", 50)
-IQR_CTE = "q AS (" + _union(sql_fences(c, "feats") for c in FEATS) + "), io AS (" + _union(
-    f"SELECT '{c}' AS \"column\", COUNT(*) FILTER (WHERE {c} < (SELECT q1 - 1.5 * (q3 - q1) FROM q WHERE \"column\" = '{c}') "
-    f"OR {c} > (SELECT q3 + 1.5 * (q3 - q1) FROM q WHERE \"column\" = '{c}')) AS o, COUNT({c}) AS n FROM feats" for c in FEATS) + ")"
-IQR_SQL = row("io", "feature_outliers", "o::DOUBLE / n < 0.05", "'info'", '"column"', "outlier_ratio", "o::DOUBLE / n", 0.05, "n > 10")
+class FeatureSql:
+    """CTEs and check rows of the feature checks on ``cols`` of the CTE ``src``."""
+
+    def __init__(self, cols, src: str):
+        def ratio(c):
+            return f"(COUNT(*) - COUNT({c}))::DOUBLE / COUNT(*)"
+
+        def beyond(c):
+            fence = f"FROM q WHERE \"column\" = '{c}'"
+            return f"{c} < (SELECT q1 - 1.5 * (q3 - q1) {fence}) OR {c} > (SELECT q3 + 1.5 * (q3 - q1) {fence})"
+
+        self.nulls = [row(src, "feature_completeness", f"NOT ({ratio(c)} > 0.1)", W, f"'{c}'", "null_ratio", ratio(c), 0.1) for c in cols]
+        self.dist_cte = ("sk AS (" + _union(sql_skew(c, src) for c in cols) + "), lim AS (" + _union(
+            f"SELECT '{c}' AS \"column\", MIN({c}) = MAX({c}) AS same FROM {src}" for c in cols)
+            + '), dist AS (SELECT * FROM sk JOIN lim USING ("column"))')
+        self.dist = row("dist", "feature_distribution", "NOT same", W, '"column"', "skewness", "CASE WHEN NOT same THEN skewness END", 2,
+                        '"count" > 10')
+        self.corr_cte = ("cr AS (" + _union(f"SELECT {sql_corr(a, b)} AS r FROM {src}" for a, b in combinations(cols, 2))
+                         + "), cc AS (SELECT COUNT(*) FILTER (WHERE abs(r) > 0.95) AS n FROM cr)")
+        self.corr = row("cc", "feature_correlation", "n = 0", W, "'features'", "high_correlations", "n", 0.95)
+        self.stab_cte = stab_cte(cols, src)
+        self.stab = row("st", "feature_stability", "ex = 0", W, '"column"', "extreme_changes", "ex", 50)
+        self.iqr_cte = "q AS (" + _union(sql_fences(c, src) for c in cols) + "), io AS (" + _union(
+            f"SELECT '{c}' AS \"column\", COUNT(*) FILTER (WHERE {beyond(c)}) AS o, COUNT({c}) AS n FROM {src}" for c in cols) + ")"
+        self.iqr = row("io", "feature_outliers", "o::DOUBLE / n < 0.05", "'info'", '"column"', "outlier_ratio", "o::DOUBLE / n", 0.05, "n > 10")
+        self.ctes = ", ".join([self.dist_cte, self.corr_cte, self.stab_cte, self.iqr_cte])
+        self.all = _union([*self.nulls, self.dist, self.corr, self.stab, self.iqr])
+
+
+FS = FeatureSql(FEATS, "feats")
 
 
-@query("check_feature_nulls", f"WITH {FEATS_CTE} " + _union(NULLS_SQL))
+@query("check_feature_nulls", f"WITH {FEATS_CTE} " + _union(FS.nulls))
 def _feature_nulls(spark, sf):
     return shown(fc.check_feature_nulls(feats(spark, sf), FEATS))
 
 
-@query("check_distribution", f"WITH {FEATS_CTE}, {DIST_CTE} {DIST_SQL}")
+@query("check_distribution", f"WITH {FEATS_CTE}, {FS.dist_cte} {FS.dist}")
 def _distribution(spark, sf):
     return shown(fc.check_distribution(feats(spark, sf), FEATS))
 
 
-@query("check_correlation", f"WITH {FEATS_CTE}, {CORR_CTE} {CORR_SQL}")
+@query("check_correlation", f"WITH {FEATS_CTE}, {FS.corr_cte} {FS.corr}")
 def _correlation(spark, sf):
     return shown(fc.check_correlation(feats(spark, sf), FEATS))
 
 
-@query("check_stability", f"WITH {FEATS_CTE}, {stab_cte(FEATS, 'feats')} {STAB_SQL}")
+@query("check_stability", f"WITH {FEATS_CTE}, {FS.stab_cte} {FS.stab}")
 def _stability(spark, sf):
     return shown(fc.check_stability(feats(spark, sf), FEATS, **BY))
 
 
-@query("check_iqr_outliers", f"WITH {FEATS_CTE}, {IQR_CTE} {IQR_SQL}")
+@query("check_iqr_outliers", f"WITH {FEATS_CTE}, {FS.iqr_cte} {FS.iqr}")
 def _iqr(spark, sf):
     return shown(fc.check_iqr_outliers(feats(spark, sf, staged=True), FEATS))
 
 
-FEATURE_ALL = f"""WITH {FEATS_CTE}, {DIST_CTE}, {CORR_CTE}, {stab_cte(FEATS, 'feats')}, {IQR_CTE},
-  checks AS ({_union([*NULLS_SQL, DIST_SQL, CORR_SQL, STAB_SQL, IQR_SQL])})"""
+FEATURE_ALL = f"WITH {FEATS_CTE}, {FS.ctes}, checks AS ({FS.all})"
 
 
 @query("feature_validation", FEATURE_ALL + " SELECT * FROM checks")

@@ -72,13 +72,15 @@ _EXPR = {
 }
 
 
-def _last(c: str) -> str:
+FRAME_CTES = _SRC + ", fx AS (SELECT series, date, " + ", ".join(f"{e} AS {n}" for n, e in _EXPR.items()) + " FROM av)"
+
+
+def last_known(c: str) -> str:
     return f"LAST_VALUE({c} IGNORE NULLS) {_FF}"
 
 
-@query("feature_frame", f"WITH {MARKET_CTE}, {_SRC}, fx AS (SELECT series, date, " + ", ".join(f"{e} AS {n}" for n, e in _EXPR.items())
-       + " FROM av) SELECT " + sql_rounded([*SD, *[f"{_last(c)} AS {c}" for c in _FRAME["plain"]]],
-                                           {c: _last(c) for c in _FRAME["four"]}, {c: _last(c) for c in _FRAME["six"]}) + " FROM fx")
+@query("feature_frame", f"WITH {MARKET_CTE}, {FRAME_CTES} SELECT " + sql_rounded([*SD, *[f"{last_known(c)} AS {c}" for c in _FRAME["plain"]]],
+                                           {c: last_known(c) for c in _FRAME["four"]}, {c: last_known(c) for c in _FRAME["six"]}) + " FROM fx")
 def _feature_frame(spark, sf):
     out = create_features(raw_market(spark, sf), SPEC, START, END)
     return rounded(out, [*SD, *_FRAME["plain"]], _FRAME["four"], _FRAME["six"])

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import DECLARED, EVENT_SOURCES, EVENTS_AS_OF, ORDERS_AS_OF, RAW_CTE, query, r4, r6, raw_events, s4, table
-from catalog.checks import COLS, RAW_ALL, RANGE_CFG, raw_numbers, shown
-from catalog.features import END, SPEC, START, raw_market
+from catalog.base import (DECLARED, EVENT_SOURCES, EVENTS_AS_OF, MARKET_CTE, ORDERS_AS_OF, RAW_CTE, daily_prices, query, r4,
+                          r6, raw_events, s4, s6, table)
+from catalog.checks import (COLS, RANGE_CFG, RAW_ALL, REPORT_SQL, FeatureSql, bound_sql, facts_cte, out_cte, raw_checks_sql,
+                            raw_numbers, shown)
+from catalog.features import END, FRAME_CTES, SPEC, START, last_known, raw_market
 from catalog.profiles import MET_CTE, metric_events
 from tidemark.operators.checks.raw import validate_raw
 from tidemark.operators.forecast import naive_forecast
@@ -15,7 +17,7 @@ from tidemark.plans.full_run import full_run
 from tidemark.schemas import PREDICTIONS
 from tidemark.sources.feature_store import write_predictions, write_report
 from tidemark.sources.raw_store import ingest_all, read_raw
-from tidemark.sources.registry import Registry
+from tidemark.sources.registry import EXPECTED_RANGES, Registry
 from tidemark.streaming import jobs
 from tidemark.sources.workdir import shared_folder
 
@@ -105,8 +107,6 @@ def _report_sink(spark, sf):
   h AS (SELECT *, unnest([1, 3, 5]) AS horizon FROM m)
   SELECT series, prediction_date, horizon, round(latest + horizon * 0.5::DOUBLE, 2) AS point_forecast FROM h""")
 def _predictions_sink(spark, sf):
-    from catalog.base import daily_prices
-
     path = f"{shared_folder(spark)}/predictions"
     p = naive_forecast(daily_prices(spark, sf), "price", (1, 3, 5), key=["series"], order="date")
     p = p.withColumns({"model_name": F.lit("drift"), "features_used": F.array(F.lit("price"))})
@@ -114,13 +114,35 @@ def _predictions_sink(spark, sf):
     return spark.read.schema(PREDICTIONS).parquet(path).select("series", "prediction_date", "horizon", "point_forecast")
 
 
-MARKET_SOURCES = ("cbn_rates", "worldbank_reserves", "dmo_debt", "eia_brent", "news_sentiment")
-
-
-@query("full_run_report")
+MARKET_FIELDS = {
+    "cbn_rates": ("cbn", ("central_rate", "official_rate", "parallel_rate")),
+    "worldbank_reserves": ("reserves", ("reserves_usd",)),
+    "dmo_debt": ("debt", ("total_debt", "external_debt", "domestic_debt", "debt_servicing")),
+    "eia_brent": ("oil", ("price_usd",)),
+    "news_sentiment": ("news", ("sentiment_score", "relevance_score")),
+}
+RUN_COLS = ["exchange_rate", "rate_spread", "oil_price", "fx_reserves", "exchange_rate_rsi"]
+_RAW_ROWS = " UNION ALL ".join(f"SELECT '{s}' AS source, date, 1 AS data, CAST(date AS TIMESTAMP) AS ingested_at FROM {t}"
+                               for s, (t, _) in MARKET_FIELDS.items())
+_NUMS = " UNION ALL ".join(f"SELECT '{s}' AS source, {f} AS v FROM {t} WHERE {f} IS NOT NULL" for s, (t, fs) in MARKET_FIELDS.items() for f in fs)
+_RUN = FeatureSql(RUN_COLS, "feats")
+
+
+def _stage_sql(stage: str) -> str:
+    return f"SELECT '{stage}' AS stage, * FROM ({REPORT_SQL.replace('FROM checks', f'FROM {stage}_checks')})"
+
+
+# Ingest, raw checks, features, feature checks and both scores, all over the five sources.
+@query("full_run_report", f"""WITH {MARKET_CTE}, raw AS ({_RAW_ROWS}), {facts_cte(tuple(MARKET_FIELDS))}, nums AS ({_NUMS}),
+  {out_cte(bound_sql(EXPECTED_RANGES, 0), bound_sql(EXPECTED_RANGES, 1))}, total AS (SELECT SUM(n) AS n FROM facts),
+  raw_checks AS ({raw_checks_sql(ORDERS_AS_OF, EXPECTED_RANGES)}), {FRAME_CTES},
+  feats AS (SELECT series, date, {', '.join(f'{last_known(c)} AS {c}' for c in RUN_COLS)} FROM fx), {_RUN.ctes},
+  features_checks AS ({_RUN.all}), per AS ({_stage_sql('raw')} UNION ALL {_stage_sql('features')})
+  SELECT * FROM per UNION ALL SELECT 'overall', {', '.join(f'CAST(SUM({c}) AS BIGINT)' for c in
+    ('total_checks', 'passed_checks', 'failed_checks', 'info', 'warning', 'error', 'critical'))},
+  {s6('(SELECT AVG(passed_checks::DOUBLE / total_checks) FROM per)')}, CASE WHEN SUM(critical) > 0 THEN 'CRITICAL' WHEN SUM(error) > 0 THEN 'ERROR'
+    WHEN SUM(warning) > 0 THEN 'WARNING' ELSE 'PASSED' END FROM per""")
 def _full_run(spark, sf):
-    out = full_run(spark, raw_market(spark, sf), shared_folder(spark), MARKET_SOURCES, SPEC, start=START, end=END,
-                   as_of=ORDERS_AS_OF, grain="year", check_cols=["exchange_rate", "rate_spread", "oil_price", "fx_reserves", "exchange_rate_rsi"])
+    out = full_run(spark, raw_market(spark, sf), shared_folder(spark), tuple(MARKET_FIELDS), SPEC, start=START, end=END,
+                   as_of=ORDERS_AS_OF, grain="year", check_cols=RUN_COLS)
     return out.withColumn("quality_score", r6("quality_score"))
-
-

@@ -70,6 +70,15 @@ def test_duplicates_and_distinct(spark):
     assert tuple(prof.duplicate_rows(df.limit(0)).first()) == (0, 0)
 
 
+def test_long_texts_compare_by_digest(spark):
+    import hashlib
+
+    long = "x" * 500
+    digest = hashlib.sha256(long.encode()).hexdigest()
+    df = spark.createDataFrame([(long,), (long,), (long + "y",), (digest,), (None,), (None,), ("",)], "t string")
+    assert tuple(prof.duplicate_rows(df).first()) == (7, 2)
+
+
 def test_correlations(spark):
     rng = np.random.default_rng(1)
     a = rng.normal(size=60)

@@ -7,6 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.numeric import nan_to_null, safe_div
 from tidemark.operators.quantiles import exact_quantiles
@@ -51,9 +52,25 @@ def completeness_score(df: DataFrame) -> DataFrame:
                         .otherwise(1 - safe_div("null_cells", F.col("rows") * width)).alias("completeness"))
 
 
+def _row_key(df: DataFrame, cols: Sequence[str]) -> list[Column]:
+    """Grouping columns that tell rows apart without moving long texts.
+
+    A text longer than a digest is replaced by its SHA-256; its length stays beside it, so a
+    short text never equals a digest.
+    """
+    out = []
+    for i, c in enumerate(cols):
+        if isinstance(df.schema[c].dataType, T.StringType):
+            size = F.octet_length(c)
+            out += [size.alias(f"__n{i}"), F.when(size > 64, F.sha2(c, 256)).otherwise(F.col(c)).alias(f"__c{i}")]
+        else:
+            out.append(F.col(c).alias(f"__c{i}"))
+    return out
+
+
 def duplicate_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Rows, and rows beyond the first of each group of equal rows."""
-    groups = df.groupBy(*(cols or df.columns)).agg(F.count(F.lit(1)).alias("n"))
+    groups = df.groupBy(*_row_key(df, list(cols or df.columns))).agg(F.count(F.lit(1)).alias("n"))
     return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
                       F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
 
