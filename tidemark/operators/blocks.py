@@ -29,6 +29,7 @@ from pyspark.sql.window import WindowSpec
 BLOCK = "__block"
 HALO = "__halo"
 _CHUNK = "__chunk"
+_CARRY = "__carry"
 
 # Rows one window group may hold before its series is split.
 MAX_ROWS = 1_000_000
@@ -163,23 +164,38 @@ def windowed(lookback: Callable[[dict], int], ahead: Callable[[dict], int] = lam
     return wrap
 
 
-def carry_in(df: DataFrame, cols: Sequence[str], key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """On a split frame, add ``__carry_{c}``: the last non-null ``c`` before this block.
+def with_carry(df: DataFrame, cols: Sequence[str], key: Sequence[str], *, per_block: Callable[[str], Column],
+               over_blocks: Callable[[str], Column]) -> DataFrame:
+    """On a split frame, add one row per block that carries what came before it.
 
-    One small row per (series, block) is computed and joined back on the partitioning the
-    windows use. On a frame that is not split there is nothing to carry.
+    ``per_block`` reduces a column within a block and ``over_blocks`` the results of all
+    earlier blocks of the series. The carry row has ``__carry`` set and sorts first in
+    ``carry_window``, so unbounded frames pick it up without a join, and the frame is still
+    shuffled once. Filter it out with ``without_carry``.
     """
-    if HALO not in df.columns:
-        return df.withColumns({f"__carry_{c}": F.lit(None).cast(df.schema[c].dataType) for c in cols})
     base = [k for k in key if k != BLOCK]
-    at = F.struct(*order)
-    ends = df.where(~F.col(HALO)).groupBy(*base, BLOCK).agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in cols])
+    ends = df.where(~F.col(HALO)).groupBy(*base, BLOCK).agg(*[per_block(c).alias(c) for c in cols])
     w = Window.partitionBy(*base).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    prior = ends.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(base)], F.col(BLOCK).alias("__b"),
-        *[F.last(c, ignorenulls=True).over(w).alias(f"__carry_{c}") for c in cols])
-    on = F.col(BLOCK) == F.col("__b")
-    for i, k in enumerate(base):
-        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    return df.join(prior, on, "left").select(*df.columns, *[f"__carry_{c}" for c in cols])
+    carried = ends.select(*base, BLOCK, *[over_blocks(c).over(w).alias(c) for c in cols],
+                          F.lit(True).alias(HALO), F.lit(True).alias(_CARRY))
+    return df.withColumn(_CARRY, F.lit(False)).unionByName(carried, allowMissingColumns=True)
+
+
+def carry_window(key: Sequence[str], order: Sequence[str]) -> WindowSpec:
+    return Window.partitionBy(*key).orderBy(F.desc(_CARRY), *order)
+
+
+def without_carry(df: DataFrame) -> DataFrame:
+    return df.where(~F.col(_CARRY)).drop(_CARRY)
+
+
+def last_value_carry(order: Sequence[str]) -> dict:
+    """Carry the last non-null value."""
+    at = F.struct(*order)
+    return {"per_block": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), at)),
+            "over_blocks": lambda c: F.last(c, ignorenulls=True)}
+
+
+def sum_carry() -> dict:
+    """Carry the running total."""
+    return {"per_block": F.sum, "over_blocks": F.sum}

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import pct_of, safe_div
-from tidemark.operators.blocks import HALO, block_key, carry_in, one_per_day, series_window, windowed
+from tidemark.operators.blocks import (HALO, block_key, carry_window, last_value_carry, one_per_day, series_window,
+                                       sum_carry, windowed, with_carry, without_carry)
 from tidemark.operators.stage import WindowStage
 
 # Default lags and rolling windows, in rows.
@@ -92,22 +93,22 @@ def log_returns(df: DataFrame, cols: Sequence[str], days: Sequence[int] = (1, 5)
 @windowed(lambda a: 0)
 def forward_fill(df: DataFrame, cols: Sequence[str], *, key, order) -> DataFrame:
     """Replace nulls in ``cols`` by the last non-null value before them."""
-    w = series_window(key, order).rowsBetween(*_UNTIL)
-    if HALO not in df.columns:
-        fill = {c: F.last(c, ignorenulls=True).over(w).alias(c) for c in cols}
-        return df.select(*[fill.get(c, F.col(c)) for c in df.columns])
-    carried = carry_in(df, cols, key, order)
-    fill = {c: F.coalesce(F.last(c, ignorenulls=True).over(w), f"__carry_{c}").alias(c) for c in cols}
-    return carried.select(*[fill.get(c, F.col(c)) for c in df.columns])
+    split = HALO in df.columns
+    rows = with_carry(df, cols, key, **last_value_carry(order)) if split else df
+    w = (carry_window if split else series_window)(key, order).rowsBetween(*_UNTIL)
+    fill = {c: F.last(c, ignorenulls=True).over(w).alias(c) for c in cols}
+    out = rows.select(*[fill.get(c, F.col(c)) for c in rows.columns])
+    return without_carry(out) if split else out
 
 
 @windowed(lambda a: 0)
 def change_from_last_valid(df: DataFrame, cols: Sequence[str], *, key, order) -> DataFrame:
     """``{c}_chg``: relative change from the last non-null value; null where ``c`` is null."""
-    w = series_window(key, order).rowsBetween(*_BEFORE)
-    carried = carry_in(df, cols, key, order)
-    prior = {c: F.coalesce(F.last(c, ignorenulls=True).over(w), f"__carry_{c}") for c in cols}
-    return carried.select(*df.columns, *[pct_of(c, prior[c]).alias(f"{c}_chg") for c in cols])
+    split = HALO in df.columns
+    rows = with_carry(df, cols, key, **last_value_carry(order)) if split else df
+    w = (carry_window if split else series_window)(key, order).rowsBetween(*_BEFORE)
+    out = rows.select("*", *[pct_of(c, F.last(c, ignorenulls=True).over(w)).alias(f"{c}_chg") for c in cols])
+    return without_carry(out) if split else out
 
 
 def extreme_changes(df: DataFrame, cols: Sequence[str], limit: float = 0.5, *, key, order) -> DataFrame:
@@ -134,24 +135,14 @@ def days_since_update(df: DataFrame, col: str, *, key, order) -> DataFrame:
 @windowed(lambda a: 0)
 def cumulative_sum(df: DataFrame, cols: Sequence[str], *, key, order) -> DataFrame:
     """``{c}_cumulative``: running total within the series."""
-    w = series_window(key, order).rowsBetween(*_UNTIL)
     if HALO not in df.columns:
+        w = series_window(key, order).rowsBetween(*_UNTIL)
         return df.select("*", *[F.sum(c).over(w).alias(f"{c}_cumulative") for c in cols])
-    base = [k for k in key if k != "__block"]
-    own = df.select("*", *[F.sum(F.when(~F.col(HALO), F.col(c))).over(w).alias(f"__run_{c}") for c in cols])
-    totals = df.where(~F.col(HALO)).groupBy(*key).agg(*[F.sum(c).alias(f"__run_{c}") for c in cols])
-    before = series_window(base, "__block").rowsBetween(*_BEFORE)
-    offsets = totals.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)],
-                            *[F.sum(f"__run_{c}").over(
-                                before).alias(f"__off_{c}") for c in cols])
-    on = F.lit(True)
-    for i, k in enumerate(key):
-        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    joined = own.join(offsets, on, "left")
-    return joined.select(*df.columns, *[
-        F.when(F.col(f"__run_{c}").isNull(), F.col(f"__off_{c}"))
-        .otherwise(F.col(f"__run_{c}") + F.coalesce(f"__off_{c}", F.lit(0.0))).alias(f"{c}_cumulative")
-        for c in cols])
+    rows = with_carry(df, cols, key, **sum_carry())
+    w = carry_window(key, order).rowsBetween(*_UNTIL)
+    own = ~F.col(HALO) | F.col("__carry")
+    out = rows.select("*", *[F.sum(F.when(own, F.col(c))).over(w).alias(f"{c}_cumulative") for c in cols])
+    return without_carry(out)
 
 
 def date_gaps(df: DataFrame, *, key, order: str, max_days: int = 1) -> DataFrame:

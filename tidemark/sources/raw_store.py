@@ -58,10 +58,12 @@ def extract_wide(raw: DataFrame, fields: Mapping[str, str] = SOURCE_FIELDS, how:
     grouping by (series, date) then aligns the sources. Several rows per key reduce by
     ``how``: ``avg`` (numbers only, others by max) or ``max``. Numbers aggregate by hash;
     text would force a sort of all rows, so text fields are grouped apart, from the rows of
-    their sources only, and joined on the same partitioning.
+    their sources only, and joined on the same partitioning. A row without a date is no
+    observation and is left out; one without a series belongs to the series ``all``.
     """
     parsed = [[part.split() for part in ddl.split(",")] for ddl in fields.values()]
-    rows = raw.where(F.col("source").isin(*fields)).select("source", "series", "date", *[
+    rows = raw.where(F.col("source").isin(*fields) & F.col("date").isNotNull()).select(
+        "source", F.coalesce("series", F.lit("all")).alias("series"), "date", *[
         # Parsed once per row as a struct; the aggregates below only read its fields.
         F.when(F.col("source") == source, F.from_json("data", ddl)).alias(f"__doc{i}")
         for i, (source, ddl) in enumerate(fields.items())])
@@ -76,9 +78,8 @@ def extract_wide(raw: DataFrame, fields: Mapping[str, str] = SOURCE_FIELDS, how:
     # The count keeps days that have rows but no number.
     wide = rows.groupBy("series", "date").agg(F.count(F.lit(1)).alias("__rows"), *numbers)
     if texts:
-        words = rows.where(F.col("source").isin(*owners)).groupBy(
-            F.col("series").alias("__s"), F.col("date").alias("__d")).agg(*texts)
-        wide = wide.join(words, F.col("series").eqNullSafe(F.col("__s")) & F.col("date").eqNullSafe(F.col("__d")), "left")
+        words = rows.where(F.col("source").isin(*owners)).groupBy("series", "date").agg(*texts)
+        wide = wide.join(words, ["series", "date"], "left")
     return wide.select("series", "date", *names)
 
 
