@@ -89,6 +89,14 @@ def test_upsert_newest_wins_and_is_idempotent(spark, grain):
     assert rs.read_raw(spark, path, "2024-01-02", "2024-01-03", grain).count() == 2
 
 
+def test_upsert_keeps_rows_without_a_date(spark):
+    path = f"{shared_folder(spark)}/raw"
+    undated = ("a", "all", None, "x", dt.datetime(2024, 2, 1))
+    rs.upsert_raw(raw_frame(spark, undated, raw_row("a", 1, "dated", 1)), path)
+    rs.upsert_raw(raw_frame(spark, ("a", "s2", None, "y", dt.datetime(2024, 2, 1))), path)
+    assert sorted(r["data"] for r in rs.read_raw(spark, path).collect()) == ["dated", "x", "y"]
+
+
 def test_period_filter_prunes_partitions(spark):
     path = f"{shared_folder(spark)}/raw"
     rs.upsert_raw(raw_frame(spark, raw_row("a", 1, "x", 1)), path)

@@ -170,3 +170,9 @@ def test_empty_and_single_row(spark):
         for out in (win.lag_features(df, ["x"], **BY), win.rolling_stats(df, ["x"], **BY), ind.technical_indicators(df, ["x"], **BY),
                     win.forward_fill(df, ["x"], **BY)):
             assert out.count() == len(values)
+
+
+def test_null_series_is_a_series(spark):
+    df = spark.createDataFrame([(None, D0, 1.0), (None, D0 + dt.timedelta(days=2), 5.0)], "s string, date date, x double")
+    assert [r["date"] for r in win.missing_dates(df, **BY).collect()] == [D0 + dt.timedelta(days=1)]
+    assert win.zscore_outliers(df, ["x"], 0.5, key="s").count() == 2

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.numeric import safe_div
 from tidemark.operators.blocks import one_per_day, block_key, series_window
+from tidemark.operators.joins import join_same_key
 from tidemark.operators.checks.rows import DEFAULTS, CheckConfig, check, emit, emit_where, listed, union_checks
 from tidemark.sources.raw_store import recent_rows
 
@@ -244,7 +245,7 @@ def rate_spikes(df: DataFrame, value: str, *, key: Sequence[str], limit: float =
     """Per key: mean, rows further than ``limit`` of the mean from it, and whether there is any."""
     stats = df.groupBy(*key).agg(F.avg(value).alias("mean"))
     far = safe_div(F.abs(F.col(value) - F.col("mean")), F.col("mean")) > limit
-    return df.select(*key, value).join(stats, list(key)).groupBy(*key, "mean").agg(
+    return join_same_key(df.select(*key, value), stats, list(key)).groupBy(*key, "mean").agg(
         F.count_if(far).alias("deviating_rows"), F.coalesce(F.bool_or(far), F.lit(False)).alias("has_spike"))
 
 

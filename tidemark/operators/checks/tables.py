@@ -13,6 +13,7 @@ from tidemark.functions.numeric import is_infinite, nan_to_null, safe_div
 from tidemark.operators.checks.features import check_features, zscore_facts
 from tidemark.operators.checks.rows import (DEFAULTS, CheckConfig, check, driver_checks, emit, emit_where,
                                             union_checks)
+from tidemark.operators.joins import join_same_key
 from tidemark.operators.profile import (category_profile, completeness_score, constant_columns, duplicate_rows,
                                         iqr_outliers, numeric_profile, per_column)
 from tidemark.operators.windows import change_from_last_valid, out_of_order_rows
@@ -133,7 +134,7 @@ def check_time_series(df: DataFrame, date: str, as_of: str, cfg: CheckConfig = D
         late = out_of_order_rows(df.select(*key, date, seq), date, key=key, seq=seq).groupBy(*key).agg(
             F.count(F.lit(1)).alias("late"))
         base = facts.select(*key, "rows")
-        both = base.join(late, key, "left") if key else base.join(late)
+        both = join_same_key(base, late, key, "left")
         parts.append(emit(both, [check(
             "sorted_dates", F.coalesce("late", F.lit(0)) == 0, severity="error", subject=subject,
             metric="out_of_order", value=F.coalesce("late", F.lit(0)), threshold=0, bad="dates not in order")]))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.blocks import block_key, merge_blocks, one_per_day, series_window, windowed
+from tidemark.operators.joins import join_same_key
 
 HORIZONS = (1, 2, 3, 4, 5)
 
@@ -44,7 +45,7 @@ def top_contributions(df: DataFrame, coefs: Mapping[str, float], k: int = 10, *,
     parts = F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), ((F.col(c) - F.col(f"__m_{c}")) * F.lit(float(coefs[c]))).alias("contribution"))
         for c in names])).alias("r")
-    long = df.join(means, list(key)).select(*key, order, parts).select(*key, order, "r.*").where(
+    long = join_same_key(df, means, list(key)).select(*key, order, parts).select(*key, order, "r.*").where(
         F.col("contribution").isNotNull())
     # Groups are one row's features, so they are as small as the feature list.
     w = Window.partitionBy(*key, order).orderBy(F.desc(F.abs("contribution")), "feature")
@@ -72,7 +73,7 @@ def temporal_split(df: DataFrame, val: float = 0.2, test: float = 0.1, *, key: S
     rank = F.coalesce(before / F.nullif(total - 1, F.lit(0)), F.lit(0.0))
     split = F.when(rank < 1 - val - test, "train").when(rank < 1 - test, "val").otherwise("test")
     cuts = days.select(*key, order, split.alias("split"))
-    return df.join(cuts, [*key, order])
+    return join_same_key(df, cuts, [*key, order])
 
 
 def champion_model(models: DataFrame, as_of: str, stale_hours: float = 48.0, metric: str = "accuracy_score") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import join_same_key
 from tidemark.operators.quantiles import exact_quantiles
 
 # Upper bounds of the duration histogram, in seconds.
@@ -45,7 +46,7 @@ def metric_durations(events: DataFrame, status: str, name: str = "name", value:
         F.count(F.lit(1)).alias("calls"), F.avg(value).alias("mean"), F.max(value).alias("max"),
         (F.count_if(F.col(status) == success) / F.count(F.lit(1))).alias("success_ratio"))
     high = exact_quantiles(events, value, (p,), group=[name], names=("p",)).select(name, F.col("p").alias("p" + f"{p * 100:g}".replace(".", "_")))
-    return stats.join(high, name, "left")
+    return join_same_key(stats, high, [name], "left")
 
 
 def metric_summary(events: DataFrame, name: str = "name") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.numeric import pct_of, safe_div
 from tidemark.operators.blocks import (HALO, block_key, carry_window, last_value_carry, one_per_day, series_window,
                                        sum_carry, windowed, with_carry, without_carry)
+from tidemark.operators.joins import join_same_key
 from tidemark.operators.stage import WindowStage
 
 # Default lags and rolling windows, in rows.
@@ -163,7 +164,7 @@ def missing_dates(df: DataFrame, *, key, order: str) -> DataFrame:
     days = df.select(*keys, order).where(F.col(order).isNotNull()).distinct()
     spine = (days.groupBy(*keys).agg(F.min(order).alias("a"), F.max(order).alias("b"))
                  .select(*keys, F.explode(F.sequence("a", "b")).alias(order)))
-    return spine.join(days, [*keys, order], "left_anti")
+    return join_same_key(spine, days, [*keys, order], "left_anti")
 
 
 @windowed(lambda a: 1)
@@ -189,5 +190,5 @@ def zscore_outliers(df: DataFrame, cols: Sequence[str], limit: float = 3.0, *, k
                        "r.column", "r.value").where(F.col("value").isNotNull())
     stats = long.groupBy(*keys, "column").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
     z = safe_div(F.col("value") - F.col("mean"), "std")
-    return (long.join(stats, [*keys, "column"]).withColumn("z", z)
+    return (join_same_key(long, stats, [*keys, "column"]).withColumn("z", z)
                 .where(F.abs("z") > limit).drop("mean", "std"))

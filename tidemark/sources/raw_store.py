@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.joins import join_same_key
 from tidemark.schemas import RAW
 from tidemark.sources.registry import SOURCE_FIELDS, Registry
 
@@ -112,9 +113,12 @@ def upsert_raw(new: DataFrame, path: str, grain: str = "month") -> None:
     cols = [*RAW.fieldNames(), "part"]
     new = new.withColumn("part", _part(F.col("date"), grain)).select(*cols)
     if _exists(spark, path):
-        touched = new.select(*PARTITIONS).distinct()
-        old = _table(spark, path).join(touched, list(PARTITIONS), "left_semi").select(*cols)
-        new = old.unionByName(new)
+        table, touched, parts = _table(spark, path).select(*cols), new.select(*PARTITIONS).distinct(), list(PARTITIONS)
+        known = F.col("source").isNotNull() & F.col("part").isNotNull()
+        # A plain equi-join prunes partitions at run time; the null partitions join apart.
+        old = table.where(known).join(touched, parts, "left_semi").unionByName(
+            join_same_key(table.where(~known), touched, parts, "left_semi"))
+        new = old.select(*cols).unionByName(new)
     (latest_wins(new).hint("rebalance", *PARTITIONS).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path))
 
