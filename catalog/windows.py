@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import (DAILY_CTE, RATES_CTE, RAW_CTE, SENTIMENT_CTE, W, daily_prices, daily_rates,
-                          daily_sentiment, full, query, r4, raw_events, rounded, rows_w, s4, s6, sql_rounded, table)
+                          daily_sentiment, full, query, r4, raw_events, rounded, s4, s6, sql_rounded, table)
 from tidemark.operators import indicators as ind
 from tidemark.operators import windows as win
 from tidemark.operators.blocks import merge_blocks, split_series
