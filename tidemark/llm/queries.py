@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .suffix_sort import remove_repeats
 from .suffix_tree import dedup_substrings
 
 
@@ -20,7 +21,13 @@ def op2_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    out = remove_repeats(_table(spark, sf, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
 }
 SQL: dict[str, str] = {}
