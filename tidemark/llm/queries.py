@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .near_dup import near_duplicates
 from .suffix_sort import remove_repeats
 from .suffix_tree import dedup_substrings
 
@@ -26,8 +27,13 @@ def op5_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf, "documents"), size=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
 }
 SQL: dict[str, str] = {}

@@ -21,6 +21,8 @@ from .common import rest, unsqueeze
 from .rolling import BYTE, Prefix, anchored_runs
 
 WINDOW = 200
+#: Runs of one anchor that are sorted together: about 2 MB of text.
+HEAVY = 5_000
 GRAM = 24
 
 
@@ -105,7 +107,7 @@ def _classes(order: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
-def scheme(window: int = WINDOW, gram: int = GRAM, heavy: int = 400) -> repeats.Scheme:
+def scheme(window: int = WINDOW, gram: int = GRAM, heavy: int = HEAVY) -> repeats.Scheme:
     def runs(texts: list[bytes]):
         sizes = np.array([len(t) for t in texts], np.int64)
         begins = np.cumsum(sizes) - sizes
@@ -155,7 +157,7 @@ def scheme(window: int = WINDOW, gram: int = GRAM, heavy: int = 400) -> repeats.
     return repeats.Scheme(window, gram, "anywhere", runs, contexts, units, solve, batch=1 << 20, heavy=heavy)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: int = 400) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: int = HEAVY) -> DataFrame:
     """Remove each byte covered by a string of ``window`` bytes that also starts anywhere else.
 
     One row per document: its other columns as ``_rest``, ``doc_id``, ``kept`` (the remaining
