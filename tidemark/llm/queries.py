@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import mixing
 from .near_dup import near_duplicates
+from .packing import pack
 from .suffix_sort import remove_repeats
 from .suffix_tree import dedup_substrings
 
@@ -16,6 +18,13 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def tokenizer() -> str:
+    """The vocabulary file of the packing contract."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op2_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out = dedup_substrings(_table(spark, sf, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"),
@@ -31,9 +40,20 @@ def op9_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_table(spark, sf, "documents"), size=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op3_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    pieces, facts = mixing.mix(_table(spark, sf, "documents"))
+    return mixing.taken(pieces, facts).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(_table(spark, sf, "documents"), tokenizer()).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op3_source_mixing": op3_source_mixing,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
 }
 SQL: dict[str, str] = {}
