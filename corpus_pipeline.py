@@ -9,18 +9,53 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged
-from tidemark.llm.suffix_tree import dedup_substrings, restored
+from tidemark.llm.common import staged, unpack_rest
+from tidemark.llm.mixing import mixed
+from tidemark.llm.near_dup import one_of_each
+from tidemark.llm.packing import pack
+from tidemark.llm.quality import quality
+from tidemark.llm.queries import tokenizer
+from tidemark.llm.suffix_tree import dedup_substrings
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    """n_chars follows the text."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return unpack_rest(quality(docs).filter("kept"), docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the one with the smallest id."""
+    return one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words that an earlier document holds are removed; a document left empty stays, with no words."""
-    return restored(dedup_substrings(docs), docs.columns)
+    """Passages of 50 words that a document with a smaller id holds are removed; a document left without words stays."""
+    return _sized(unpack_rest(dedup_substrings(docs), docs.columns))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source is taken up to its target: documents stay out, stay, or come twice."""
+    return _sized(mixed(docs))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as token pieces with their places in sequences of 1024."""
+    return pack(docs, tokenizer())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
     ("substring_dedup", substring_dedup),
+    ("source_mixing", source_mixing),
+    ("packing", packing),
 ]
 
 #: Similarity classes, suffix trees and tokenisers have no SQL form; tests hold the stages against brute force.

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, running, staged
+from .common import WORD, documents, rest, running, staged, unpack_rest
 
 GOLDEN = 0.6180339887498949
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -70,8 +70,8 @@ def schedule(goals: DataFrame, block: int, chunk: int = 4096) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 64) -> tuple[DataFrame, DataFrame]:
     """The schedule's pieces and the documents' facts.
 
-    Pieces (slot, place, _doc, _text, start, length): slot's block, in order of place, is made of
-    these words of these documents. Facts (doc_id, _doc, _text, source, size, source_size,
+    Pieces (slot, turn, place, _doc, _text, start, length): slot's block, in order of place, is
+    made of these words of these documents, taken for the turn-th time (from 0). Facts (doc_id, _doc, _text, source, size, source_size,
     target): one row per document. Blocks hold exactly ``block`` words; a source's last words
     that fill no block make a shorter one. No block is taken more than ``most`` times, so no
     document exceeds ``most`` times its size. A null text has size 0, a null source is the last
@@ -93,9 +93,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     pieces = blocks.select(F.col("source").alias("_s"), "_block", F.col("_before").alias("place"), "_doc", "_text", start.alias("start"), (end - start).alias("length"))
     number = F.ceil(F.col("source_size") / block)
     used = (schedule(goals, block).join(F.broadcast(g), F.col("source").eqNullSafe(F.col("_s"))).filter(F.col("rank") < F.floor(number * most))
-            .select("slot", F.col("source").alias("_q"), (F.col("rank") % number).alias("_want")))
+            .select("slot", F.col("source").alias("_q"), (F.col("rank") % number).alias("_want"), F.floor(F.col("rank") / number).alias("turn")))
     out = used.join(pieces, F.col("_q").eqNullSafe(F.col("_s")) & (F.col("_want") == F.col("_block")))
-    return out.select("slot", "place", "_doc", "_text", "start", "length"), facts
+    return out.select("slot", "turn", "place", "_doc", "_text", "start", "length"), facts
 
 
 def taken(pieces: DataFrame, facts: DataFrame) -> DataFrame:
@@ -104,3 +104,18 @@ def taken(pieces: DataFrame, facts: DataFrame) -> DataFrame:
            .groupBy(F.col("_doc").alias("d"), F.col("_text").alias("t")).agg(F.floor(F.sum("length") / F.sum("row")).alias("_all")))
     return facts.join(got, (F.col("_doc") == F.col("d")) & (F.col("_text") == F.col("t")), "left").select(
         "doc_id", "_doc", "_text", "source", "size", "source_size", "target", F.coalesce("_all", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 64) -> DataFrame:
+    """The mix as documents, with all their columns: one row for each time a document is taken.
+
+    A document that is taken whole keeps its text; where a source's slots end inside one, the
+    words taken are joined by one space.
+    """
+    pieces, _ = mix(docs, weights, share, most, block)
+    spans = pieces.groupBy(F.col("_doc").alias("_d"), F.col("_text").alias("_t"), "turn").agg(
+        F.min("start").alias("_from"), F.max(F.col("start") + F.col("length")).alias("_to"))
+    both = documents(docs, rest(docs)).join(spans, (F.col("_doc") == F.col("_d")) & (F.col("_text") == F.col("_t")))
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.col("_from").cast("int") + 1, (F.col("_to") - F.col("_from")).cast("int")), " ")
+    text = F.when((F.col("_from") == 0) & (F.col("_to") == n_words()), F.col("text")).otherwise(part)
+    return unpack_rest(both.withColumn("text", text), docs.columns)

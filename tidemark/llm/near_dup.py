@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, slices, squeeze, staged, unsqueeze
+from .common import documents, rest, slices, squeeze, staged, unpack_rest, unsqueeze
 from .rolling import BASE, MAX, U, mix, powers, word_hashes
 
 BANDS = 32
@@ -155,7 +155,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     ``size``-word shingles (A-Z lower-cased, words split at ASCII white space). A null or
     wordless text has an empty set and is linked with nothing; its component is its own id. A
     null id counts as larger than any other and stays null as a component; of several rows with
-    one id, all are kept or none. Extra columns are ignored; ``_doc`` and ``_text`` name the row.
+    one id, all are kept or none. Extra columns are ignored; ``_doc`` and ``_text`` name the row,
+    and ``_first`` marks the one document of its component (and its identical rows).
     """
     rows = rows_per_band(percent / 100, bands)
     prints = staged(_prints(docs, size, bands, rows))
@@ -191,15 +192,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         if not more.isEmpty():
             links = staged(links.union(more))
             labels = components(links)
-    found = classes.join(labels, "node", "left").select("set", F.coalesce("label", "node").alias("label"))
-    ids = found.select("set", F.expr("cast(conv(substr(label, 1, 16), 16, -10) as long) ^ -9223372036854775808").alias("component"))
+    found = classes.join(labels, "node", "left").select(
+        "set", F.coalesce("label", "node").alias("label"), F.when(F.coalesce("label", "node") == F.col("node"), F.struct("_doc", "_text")).alias("one"))
+    ids = found.select("set", "one", F.expr("cast(conv(substr(label, 1, 16), 16, -10) as long) ^ -9223372036854775808").alias("component"))
     out = prints.drop("keys").join(ids, "set", "left")
     component = F.when(F.col("set").isNull(), F.col("_doc")).otherwise(F.col("component"))
-    return out.select("doc_id", "_doc", "_text", F.col("n").alias("n_shingles"), component.alias("_component")).select(
-        "doc_id", "_doc", "_text", "n_shingles", F.when(F.col("_component") < F.lit((1 << 63) - 1), F.col("_component")).alias("component_id"),
+    return out.select("doc_id", "_doc", "_text", F.col("n").alias("n_shingles"), component.alias("_component"),
+                      (F.col("set").isNull() | F.coalesce(F.col("one") == F.struct("_doc", "_text"), F.lit(False))).alias("_first")).select(
+        "doc_id", "_doc", "_text", "_first", "n_shingles", F.when(F.col("_component") < F.lit((1 << 63) - 1), F.col("_component")).alias("component_id"),
         (F.col("_doc") == F.col("_component")).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS) -> DataFrame:
+    """One document of each component, with all its columns: the one with the smallest id, once."""
+    first = near_duplicates(docs, size, percent, bands).filter("_first").select(F.col("_doc").alias("_d"), F.col("_text").alias("_t")).distinct()
+    keyed = documents(docs, rest(docs)).join(first, (F.col("_doc") == F.col("_d")) & (F.col("_text") == F.col("_t")))
+    return unpack_rest(keyed.dropDuplicates(["_doc", "_text"]), docs.columns)
+
+
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, compressed text) of one document of each class."""
     source = documents(docs).join(wanted.select("_doc", "_text", "node"), ["_doc", "_text"]).select("node", "text")

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import chat, mixing, neighbours, toxicity
+from .language import identify
 from .near_dup import near_duplicates
 from .packing import pack
+from .quality import quality
 from .suffix_sort import remove_repeats
 from .suffix_tree import dedup_substrings
 
@@ -49,11 +51,41 @@ def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(_table(spark, sf, "documents"), tokenizer()).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op1_rotated_one_bit_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.search(_table(spark, sf, "embeddings"))
+
+
+def op4_perspective_rotation(spark: SparkSession, sf: str) -> DataFrame:
+    return chat.rotate(_table(spark, sf, "conversations"))
+
+
+def op6_toxicity_chain(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = _table(spark, sf, "documents"), _table(spark, sf, "labels")
+    return toxicity.score(docs, toxicity.train(docs, labels, TOXICITY), list(TOXICITY))
+
+
+def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality(_table(spark, sf, "documents").select("doc_id", "text", "lang")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return identify(_table(spark, sf, "documents"))
+
+
+#: Categories in the order of the chain, as expressions over the labels.
+TOXICITY = {"low_quality": "1 - quality", "toxic": "toxic"}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_rotated_one_bit_codes": op1_rotated_one_bit_codes,
     "op2_substring_dedup": op2_substring_dedup,
-    "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op3_source_mixing": op3_source_mixing,
-    "op7_best_fit_packing": op7_best_fit_packing,
+    "op4_perspective_rotation": op4_perspective_rotation,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op6_toxicity_chain": op6_toxicity_chain,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_language_id": op10_language_id,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_rotated_one_bit_codes": neighbours.SQL, "op4_perspective_rotation": chat.SQL}
