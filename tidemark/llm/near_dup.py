@@ -7,10 +7,10 @@ concentrated about the Jaccard similarity as for t independent samples. Bands of
 give candidate buckets; candidates are verified on their full shingle sets.
 
 Equal sets form one class and travel once. Buckets that hold the same classes count once. A
-bucket's classes are linked to its hub first; only classes of one bucket that are still in
-different components are compared further, hubs of ever lower rank taking turns until every pair
-left has been verified. So no group's pairs are listed, and no link between different texts is
-lost. Components are found by hooking and pointer jumping over the links.
+bucket's classes are linked to its hub first. A bucket that is still in several components is
+then counted out exactly, in blocks of bounded size, and gives only links that join components.
+So no group's pairs are listed, and no link between different texts is lost. Components are
+found by hooking and pointer jumping over the links.
 """
 
 from __future__ import annotations
@@ -24,10 +24,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, rest, slices, squeeze, staged, unpack_rest, unsqueeze
+from .common import documents, rest, slices, squeeze, staged, unpack_rest, unsqueeze, whole_groups
 from .rolling import BASE, MAX, U, mix, powers, word_hashes
 
 BANDS = 32
+#: Shingles, and documents, of a block that is compared at once.
+BLOCK, MEMBERS = 400_000, 2_500
 #: Chance that a pair exactly at the threshold shares no band.
 MISS = 1e-5
 
@@ -127,6 +129,75 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return both.mapInArrow(run, "a string, b string")
 
 
+def group_links(sets: list[np.ndarray], label: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Places (i, j) that connect what the similar pairs of the sets connect, pairs of one label aside.
+
+    Intersections are exact counts: a shingle of many sets adds a column of a dense product, one
+    of few sets adds its pairs.
+    """
+    m = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    items, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(m), size)
+    often = np.bincount(column, minlength=len(items))
+    both = np.zeros((m, m), np.float32)
+    dense = np.flatnonzero(often > 32)
+    place = np.full(len(items), -1)
+    place[dense] = np.arange(len(dense))
+    at = place[column]
+    for c in range(0, len(dense), 2048):
+        use = (at >= c) & (at < c + 2048)
+        one = np.zeros((m, min(2048, len(dense) - c)), np.float32)
+        one[row[use], at[use] - c] = 1
+        both += one @ one.T
+    use = (often[column] > 1) & (often[column] <= 32)
+    order = np.argsort(column[use], kind="stable")
+    r, c = row[use][order], column[use][order]
+    for step in range(1, 32):
+        same = np.flatnonzero(c[step:] == c[:-step])
+        if not len(same):
+            break
+        np.add.at(both, (r[same], r[same + step]), 1)
+        np.add.at(both, (r[same + step], r[same]), 1)
+    hit = (100 * both >= percent * (size[:, None] + size[None, :] - both)) & (label[:, None] != label[None, :])
+    root = np.arange(m)
+    while True:
+        low = np.minimum(root, np.where(hit, root[None, :], m).min(axis=1))
+        low = low[low]
+        if (low == root).all():
+            return [(i, int(k)) for i, k in enumerate(root) if i != k]
+        root = low
+
+
+def _block_links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links within the buckets that hub links left in several components, found by exact counts.
+
+    A bucket too large for memory is cut into blocks, and each pair of its blocks is one group:
+    what a task holds is bounded by the block.
+    """
+    own = F.pmod(F.xxhash64("h"), F.col("cuts")).cast("int")
+    pairs = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    keyed = pairs.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("part"), "node", "label")
+    rows = keyed.join(texts, "node").repartition("part").sortWithinPartitions("part", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "part", 500):
+            part = table["part"].to_numpy()
+            edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+            for begin, end in zip(edges[:-1], edges[1:], strict=True):
+                group = table.slice(begin, end - begin)
+                labels = group["label"].to_pylist()
+                numbers = {x: i for i, x in enumerate(dict.fromkeys(labels))}
+                if len(numbers) < 2:
+                    continue
+                found = group_links([shingles(t, size) for t in unsqueeze(group["_z"])], np.array([numbers[x] for x in labels]), percent)
+                if found:
+                    nodes = group["node"].to_pylist()
+                    yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found]), pa.array([nodes[j] for _, j in found])], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a string, b string")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of the links (a, b): the least node of its component.
 
@@ -148,7 +219,7 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, and kept (doc_id = component_id).
 
     Documents are linked if 100 * |intersection| >= ``percent`` * |union| of their sets of
@@ -164,34 +235,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     classes = staged(prints.filter("n > 0").groupBy("set").agg(F.min(F.struct("_doc", "_text", "n", "keys")).alias("r"))
                      .select("set", "r.*").withColumn("node", F.concat(least, F.col("set"))))
     # buckets of two classes or more; those with the same classes count once
-    marks = classes.select(F.explode("keys").alias("key"), "node", "n")
-    sizes = marks.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s2")).filter("m > 1")
-    once = sizes.groupBy("m", "s1", "s2").agg(F.min("key").alias("key"))
-    rank = F.floor(F.log2(F.greatest(F.lit(1), F.expr("h & -h"))) / 4).cast("int")
-    members = staged(marks.join(once, "key").withColumn("h", F.expr("xxhash64(node, 2) & 4611686018427387903")).select("key", "node", "n", rank.alias("rank")))
-    hubs = staged(members.groupBy("key").agg(F.max(F.struct("rank", F.xxhash64("node").alias("h"), "node", "n")).alias("hub")).select("key", "hub.node", "hub.n"))
+    marks = classes.select(F.explode("keys").alias("key"), F.xxhash64("node").alias("h"))
+    sizes = marks.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor("h").alias("s1"), F.bit_xor(F.xxhash64("h")).alias("s2")).filter("m > 1")
+    once = sizes.groupBy("m", "s1", "s2").agg(F.min("key").alias("key")).select("key")
+    named = classes.select(F.xxhash64("node").alias("h"), "node", "n")
+    members = staged(marks.join(once, "key").join(named, "h").select("key", "h", "node", "n"))
+    hubs = staged(members.groupBy("key").agg(F.max(F.struct("h", "node", "n")).alias("hub")).select("key", "hub.node", "hub.n"))
     texts = staged(_texts(docs, classes.join(members.select("node").distinct(), "node", "left_semi")))
 
     alike = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
     hub = hubs.select("key", F.col("node").alias("b"), F.col("n").alias("nb"))
     pairs = members.select("key", F.col("node").alias("a"), F.col("n").alias("na")).join(hub, "key").filter((F.col("a") != F.col("b")) & alike)
     links = staged(_verified(pairs.select("a", "b").distinct(), texts, size, percent))
-    turn, labels = 0, components(links)
-    while True:
-        known = (members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-                 .join(hubs.select("key", F.col("node").alias("hub")), "key"))
-        open_ = known.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("rank").alias("top"), F.count("*").alias("m")).filter("l0 < l1 and m > 2")
-        left = staged(known.join(open_.select("key", "top"), "key").filter("node <> hub"))
-        if left.filter(F.col("top") >= turn).isEmpty():
-            break
-        now = left.filter(F.col("rank") == F.col("top") - turn).select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("label").alias("lb"))
-        tests = (left.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("label").alias("la")).join(now, "key")
-                 .filter((F.col("la") != F.col("lb")) & ((F.col("ra") < F.col("rb")) | ((F.col("ra") == F.col("rb")) & (F.col("a") < F.col("b")))) & alike))
-        more = staged(_verified(tests.select("a", "b").distinct(), texts, size, percent))
-        turn += 1
-        if not more.isEmpty():
-            links = staged(links.union(more))
-            labels = components(links)
+    labels = components(links)
+
+    known = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = known.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("m"), F.sum("n").alias("all")).filter("l0 < l1 and m > 2")
+    cuts = mixed.select("key", F.ceil(F.greatest(F.col("all") / block, F.col("m") / MEMBERS)).cast("int").alias("cuts"))
+    more = staged(_block_links(known.join(cuts, "key"), texts, size, percent))
+    if not more.isEmpty():
+        labels = components(links.union(more))
     found = classes.join(labels, "node", "left").select(
         "set", F.coalesce("label", "node").alias("label"), F.when(F.coalesce("label", "node") == F.col("node"), F.struct("_doc", "_text")).alias("one"))
     ids = found.select("set", "one", F.expr("cast(conv(substr(label, 1, 16), 16, -10) as long) ^ -9223372036854775808").alias("component"))

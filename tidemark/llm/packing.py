@@ -11,6 +11,7 @@ are numbered within their length by all tasks and take their places in it.
 
 from __future__ import annotations
 
+import os
 import sys
 import zlib
 from collections.abc import Iterator
@@ -36,7 +37,8 @@ class Encoder:
     token never spans such a place. Texts with other white space around spaces are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 60_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -97,7 +99,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = E
         encoder = _encoder(tokenizer)
         mark = np.array([end], "<u4").tobytes()
         for batch in batches:
-            for a, b in slices(((t.as_py() or 0) for t in pc.binary_length(batch["text"])), 1 << 20):
+            for a, b in slices(((t.as_py() or 0) for t in pc.binary_length(batch["text"])), 1 << 19):
                 part = batch.slice(a, b - a)
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
                 for i, all_ids in enumerate(encoder.encode([t or "" for t in part["text"].to_pylist()])):
