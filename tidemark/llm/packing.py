@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,7 +38,7 @@ class Encoder:
     token never spans such a place. Texts with other white space around spaces are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 60_000):
+    def __init__(self, path: str, most: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -47,7 +48,7 @@ class Encoder:
         self.old: dict[str, bytes | None] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self, words: set[str]) -> None:
         odd = {w for w in words if not w or w[0].isspace() or w[-1].isspace()}
@@ -61,20 +62,16 @@ class Encoder:
         if len(self.new) > self.most:
             self.old, self.new = self.new, {}
         cuts = [t.split(" ") for t in texts]
-        new, old, unknown = self.new, self.old, set()
-        for cut in cuts:
-            for w in cut[1:]:
-                if w not in new:
-                    if w in old:
-                        new[w] = old[w]
-                    else:
-                        unknown.add(w)
-        self._learn(unknown)
+        new, old = self.new, self.old
+        unknown = set().union(*cuts).difference(new)
+        known = unknown.intersection(old)
+        new.update({w: old[w] for w in known})
+        self._learn(unknown - known)
         firsts = self._ids([c[0] for c in cuts])
         out: list[bytes | None] = []
         for cut, first in zip(cuts, firsts, strict=True):
             try:
-                out.append(first + b"".join([new[w] for w in cut[1:]]))  # type: ignore[misc]
+                out.append(first + b"".join(map(new.__getitem__, cut[1:])))  # type: ignore[misc]
             except TypeError:
                 out.append(None)
         # an odd first word, or white space around a space, changes where tokens may begin
@@ -99,7 +96,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = E
         encoder = _encoder(tokenizer)
         mark = np.array([end], "<u4").tobytes()
         for batch in batches:
-            for a, b in slices(((t.as_py() or 0) for t in pc.binary_length(batch["text"])), 1 << 19):
+            for a, b in slices(((t.as_py() or 0) for t in pc.binary_length(batch["text"])), 1 << 20):
                 part = batch.slice(a, b - a)
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
                 for i, all_ids in enumerate(encoder.encode([t or "" for t in part["text"].to_pylist()])):
