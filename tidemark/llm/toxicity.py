@@ -56,7 +56,7 @@ class Linear:
         return sigmoid(np.bincount(row, self.weights[col], minlength=len(dense)) + dense @ self.dense + self.bias)
 
 
-def fit(row: np.ndarray, col: np.ndarray, dense: np.ndarray, y: np.ndarray, width: int, steps: int = 200, penalty: float = 2e-4, rate: float = 0.1) -> Linear:
+def fit(row: np.ndarray, col: np.ndarray, dense: np.ndarray, y: np.ndarray, width: int, steps: int = 200, penalty: float = 2e-3, rate: float = 0.1) -> Linear:
     """Adam on the whole sample; both classes weigh the same."""
     n = len(y)
     share = np.clip(y.mean(), 1e-6, 1 - 1e-6)
