@@ -133,3 +133,16 @@ def test_feature_families(spark):
     df = spark.createDataFrame([(n,) for n in ("a_lag_1", "a_lag_1", "a_rolling_std_3", "a_bb_upper", "news_sentiment", "oil")], "feature string")
     assert rows(prof.feature_families(df), "family") == [
         ("base", 1, 1), ("lag", 1, 2), ("rolling", 1, 1), ("sentiment", 1, 1), ("technical", 1, 1)]
+
+
+def test_quantiles_end_on_extreme_values(spark):
+    from tidemark.operators.quantiles import exact_quantiles
+
+    values = [float("inf"), float("-inf"), 1.7976931348623157e308, -1.7976931348623157e308, 5e-324, 0.0, -0.0, *[7.0] * 40, *[i / 7 for i in range(100)]]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = exact_quantiles(df, "v", [0.25, 0.5, 0.75], group=[], small=3).first()
+    order = sorted(values)
+    for name, p in (("q0_25", 0.25), ("q0_5", 0.5), ("q0_75", 0.75)):
+        at = p * (len(order) - 1)
+        low = order[int(at)]
+        assert abs(got[name] - (low + (order[min(int(at) + 1, len(order) - 1)] - low) * (at - int(at)))) < 1e-9

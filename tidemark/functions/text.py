@@ -29,15 +29,23 @@ def _is_sensitive(name: str, words: Sequence[str]) -> bool:
 
 
 def _mask_field(c: Column, dtype: T.DataType, words: Sequence[str]) -> Column:
-    """Mask inside nested structs and string maps; other values pass unchanged."""
+    """Mask inside nested structs, arrays and maps.
+
+    A map entry with a sensitive key keeps its key; its value is the mask if values are
+    strings and null otherwise, as a map's values share one type.
+    """
     if isinstance(dtype, T.StructType):
         return F.struct(*[
             (F.lit(MASK) if _is_sensitive(f.name, words) else _mask_field(c[f.name], f.dataType, words)).alias(f.name)
             for f in dtype
         ])
-    if isinstance(dtype, T.MapType) and isinstance(dtype.valueType, T.StringType):
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(c, lambda x: _mask_field(x, dtype.elementType, words))
+    if isinstance(dtype, T.MapType):
         hit = "(?i)" + "|".join(words)
-        return F.transform_values(c, lambda k, v: F.when(k.rlike(hit), F.lit(MASK)).otherwise(v))
+        mask = F.lit(MASK if isinstance(dtype.valueType, T.StringType) else None).cast(dtype.valueType)
+        return F.transform_values(c, lambda k, v: F.when(k.cast("string").rlike(hit), mask)
+                                  .otherwise(_mask_field(v, dtype.valueType, words)))
     return c
 
 

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import join_same_key
+
 
 def prefix_columns(df: DataFrame, source: str, keys: Sequence[str]) -> DataFrame:
     """Rename every column outside ``keys`` to ``{source}_{name}``."""
@@ -45,5 +47,5 @@ def align_fanout(many: tuple[str, DataFrame], others: Mapping[str, DataFrame], *
     keys = list(keys)
     rest = align_sources(others, keys=keys, how=how)
     mine = prefix_columns(df, name, keys)
-    only = rest.join(mine.select(*keys).distinct(), keys, "left_anti")
-    return mine.join(rest, keys, "left").unionByName(only, allowMissingColumns=True)
+    only = join_same_key(rest, mine.select(*keys).distinct(), keys, "left_anti")
+    return join_same_key(mine, rest, keys, "left").unionByName(only, allowMissingColumns=True)

@@ -77,8 +77,8 @@ def temporal_split(df: DataFrame, val: float = 0.2, test: float = 0.1, *, key: S
 
 
 def champion_model(models: DataFrame, as_of: str, stale_hours: float = 48.0, metric: str = "accuracy_score") -> DataFrame:
-    """Best model per horizon (ties: newest, then name) and whether its training is stale."""
-    best = models.groupBy("horizon").agg(
+    """Best model per horizon (ties: newest, then name) and whether its training is stale. NaN counts as no score."""
+    best = models.withColumn(metric, F.nanvl(F.col(metric).cast("double"), F.lit(None).cast("double"))).groupBy("horizon").agg(
         F.max(F.struct(metric, "training_date", "model_name", "model_version")).alias("m")).select("horizon", "m.*")
     hours = (F.unix_micros(F.to_timestamp(F.lit(as_of))) -
              F.unix_micros(F.col("training_date").cast("timestamp"))) / F.lit(3.6e9)

@@ -20,6 +20,8 @@ BUCKETS = 4096
 SMALL = 20_000
 # Buckets in progress (a few per group) that are kept on the driver and broadcast.
 MAX_NODES = 50_000
+# The largest finite double.
+LARGEST = 1.7976931348623157e308
 
 
 def _same(a: str, b: str, names: Sequence[str]) -> list[Column]:
@@ -43,11 +45,17 @@ def _holding(counts: DataFrame, nodes: DataFrame, group: list[str], by: str) ->
     return wanted.withColumn("ranks", mine).where(F.size("ranks") > 0)
 
 
-def _narrow(base: DataFrame, nodes: DataFrame, group: list[str]) -> DataFrame:
+def _narrow(base: DataFrame, nodes: DataFrame, group: list[str], first: bool) -> DataFrame:
     """One pass: from nodes to the buckets inside them that hold a rank."""
-    width = F.col("hi") - F.col("lo")
-    bucket = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width * BUCKETS),
-                                       F.lit(BUCKETS - 1))).otherwise(0)
+    lo, hi = F.greatest("lo", F.lit(-LARGEST)), F.least("hi", F.lit(LARGEST))
+    # the first pass is even in the order of magnitude, later ones in the value; halves cannot overflow
+    turned = F.asinh(hi) - F.asinh(lo)
+    wide, width = hi / 2 - lo / 2, hi - lo
+    even = F.when(wide > LARGEST / 4, F.try_divide(F.col("v") / 2 - lo / 2, wide)).otherwise(F.try_divide(F.col("v") - lo, width))
+    share = F.when(turned > 1e-6, F.try_divide(F.asinh("v") - F.asinh(lo), turned)).otherwise(even) if first else even
+    inner = F.greatest(F.lit(0), F.least(F.floor(F.coalesce(share, F.lit(0.0)) * BUCKETS), F.lit(BUCKETS - 1)))
+    # infinities have buckets of their own, so a pass always splits a node with two values
+    bucket = F.when(F.col("v") > LARGEST, BUCKETS).when(F.col("v") < -LARGEST, -1).otherwise(inner)
     counts = _inside(base, nodes, group).groupBy(*group, "before", bucket.alias("bucket")).agg(
         F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     held = _holding(counts, nodes, group, "bucket")
@@ -85,8 +93,10 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], *, group:
     spread = base.groupBy(*group).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     nodes, widest = _settle(spread.select(
         *group, "n", F.col("n").alias("c"), "lo", "hi", F.lit(0).cast("bigint").alias("before"), ranks.alias("ranks")))
+    first = True
     while widest > limit:
-        nodes, widest = _settle(_narrow(base, nodes, group))
+        nodes, widest = _settle(_narrow(base, nodes, group, first))
+        first = False
     values = _inside(base, nodes, group).groupBy(*group, "before", "v").agg(F.count(F.lit(1)).alias("c"))
     found = _holding(values, nodes, group, "v").select(*group, "n", "v", F.explode("ranks").alias("rank"))
     picks = []

@@ -33,11 +33,12 @@ def vector_keys(store: DataFrame) -> list[str]:
 
 
 def latest_features(store: DataFrame, n_days: int = 30, *, as_of: str, keys: Sequence[str] | None = None) -> DataFrame:
-    """Vectors of the ``n_days`` up to ``as_of`` as columns (union of keys)."""
+    """Vectors of the ``n_days`` up to ``as_of`` as columns (union of keys), newest first."""
     end = F.to_date(F.lit(as_of))
     recent = store.where(F.col("date").between(F.date_sub(end, n_days), end))
     names = list(keys) if keys is not None else vector_keys(recent)
-    return recent.select("series", "date", *[F.try_element_at("feature_vector", F.lit(k)).alias(k) for k in names])
+    return recent.select("series", "date", *[F.try_element_at("feature_vector", F.lit(k)).alias(k) for k in names]
+                         ).orderBy(F.desc("date"), "series")
 
 
 def _write(df: DataFrame, schema: T.StructType, path: str, by: Sequence[str], mode: str) -> None:
@@ -58,11 +59,15 @@ def write_models(df: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def latest_predictions(predictions: DataFrame) -> DataFrame:
-    """One prediction per (series, date, horizon): the highest model version."""
+    """One prediction per (series, date, horizon): the highest model version.
+
+    Versions are compared by the numbers in them, in order (1.10.0 is above 1.9.0), then as text.
+    """
     from tidemark.sources.raw_store import latest_wins
 
-    return latest_wins(predictions, key=("series", "prediction_date", "horizon"), newest="model_version",
-                       tiebreak=("model_name",))
+    numbers = F.transform(F.regexp_extract_all("model_version", F.lit("[0-9]+"), F.lit(0)), lambda x: x.cast("decimal(38,0)"))
+    return latest_wins(predictions.withColumn("__version", numbers), key=("series", "prediction_date", "horizon"),
+                       newest="__version", tiebreak=("model_version", "model_name")).drop("__version")
 
 
 def write_report(report: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import date
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,9 +14,12 @@ from pyspark.sql import types as T
 from tidemark.operators.joins import join_same_key
 from tidemark.schemas import RAW
 from tidemark.sources.registry import SOURCE_FIELDS, Registry
+from tidemark.sources.workdir import stage
 
 KEY = ("source", "series", "date")
 PARTITIONS = ("source", "part")
+# Sources of one batch whose partition ranges become literal filters.
+MAX_SOURCES = 1000
 
 
 def range_scan(raw: DataFrame, start: date | str, end: date | str,
@@ -113,11 +118,17 @@ def upsert_raw(new: DataFrame, path: str, grain: str = "month") -> None:
     cols = [*RAW.fieldNames(), "part"]
     new = new.withColumn("part", _part(F.col("date"), grain)).select(*cols)
     if _exists(spark, path):
-        table, touched, parts = _table(spark, path).select(*cols), new.select(*PARTITIONS).distinct(), list(PARTITIONS)
-        known = F.col("source").isNotNull() & F.col("part").isNotNull()
-        # A plain equi-join prunes partitions at run time; the null partitions join apart.
-        old = table.where(known).join(touched, parts, "left_semi").unionByName(
-            join_same_key(table.where(~known), touched, parts, "left_semi"))
+        new = stage(new)  # evaluated once: for the touched partitions, and for the merge
+        touched = new.groupBy("source").agg(F.min("part").alias("lo"), F.max("part").alias("hi"),
+                                            F.count_if(F.col("part").isNull()).alias("undated")).limit(MAX_SOURCES + 1).collect()
+        table = _table(spark, path).select(*cols)
+        if len(touched) <= MAX_SOURCES:
+            # one literal range of partitions per source: other partitions are not listed or read
+            here = [(F.col("source").eqNullSafe(F.lit(r["source"]))) &
+                    ((F.col("part").between(F.lit(r["lo"]), F.lit(r["hi"])) if r["lo"] else F.lit(False)) |
+                     (F.col("part").isNull() if r["undated"] else F.lit(False))) for r in touched]
+            table = table.where(reduce(or_, here, F.lit(False)))
+        old = join_same_key(table, new.select(*PARTITIONS).distinct(), list(PARTITIONS), "left_semi")
         new = old.select(*cols).unionByName(new)
     (latest_wins(new).hint("rebalance", *PARTITIONS).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path))
@@ -140,7 +151,7 @@ def read_raw(spark: SparkSession, path: str, start: date | str | None = None, en
 def ingest_source(spark: SparkSession, registry: Registry, name: str, path: str, target: str,
                   start: date | str, end: date | str, ingested_at: Column | None = None, grain: str = "month") -> int:
     """Fetch, normalise and upsert one source; returns the rows fetched."""
-    rows = normalise_raw(registry.fetch(spark, name, path, start, end), name, ingested_at)
+    rows = stage(normalise_raw(registry.fetch(spark, name, path, start, end), name, ingested_at))
     upsert_raw(rows, target, grain)
     return rows.count()
 
