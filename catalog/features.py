@@ -197,7 +197,7 @@ def _regression(spark, sf):
 
 @query("latest_predictions", """WITH p AS (SELECT o_orderpriority AS series, CAST(o_orderdate AS DATE) AS prediction_date, o_orderkey % 5 + 1 AS horizon,
     o_totalprice AS point_forecast, CAST(o_orderkey AS VARCHAR) AS model_version, o_orderstatus AS model_name FROM orders),
-  r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY series, prediction_date, horizon ORDER BY model_version DESC, model_name DESC) AS rn FROM p)
+  r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY series, prediction_date, horizon ORDER BY list_transform(regexp_extract_all(model_version, '[0-9]+'), lambda x: CAST(x AS HUGEINT)) DESC, model_version DESC, model_name DESC) AS rn FROM p)
   SELECT series, prediction_date, horizon, point_forecast, model_version, model_name FROM r WHERE rn = 1""")
 def _predictions(spark, sf):
     p = table(spark, sf, "orders").select(
