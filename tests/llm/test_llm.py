@@ -263,7 +263,7 @@ def test_chain_and_language(spark):
     kinds = {"bad": "bad", "rude": "rude"}
     out = toxicity.score(docs, toxicity.train(docs, labelled, kinds), list(kinds)).collect()
     held = [x for x in out if 300 <= x["doc_id"] < 400]
-    assert np.mean([x["rude"] == (x["doc_id"] % 7 == 0) and x["bad"] == (x["doc_id"] % 5 == 0) for x in held]) > 0.97 and len(out) == 403
+    assert np.mean([x["rude"] == (x["doc_id"] % 7 == 0) and x["bad"] == (x["doc_id"] % 5 == 0) for x in held]) > 0.95 and len(out) == 403
     none = toxicity.score(docs, toxicity.train(docs, labelled.limit(0), kinds), list(kinds)).first()
     assert none["p_rude"] is None and none["rude"] is False
     german, english = "der hund und die katze sind im garten ", "the dog and the cat are in the garden "
