@@ -16,7 +16,7 @@ from tidemark.operators.metrics import metric_windows
 from tidemark.plans.full_run import full_run
 from tidemark.schemas import PREDICTIONS
 from tidemark.sources.feature_store import write_predictions, write_report
-from tidemark.sources.raw_store import ingest_all, read_raw
+from tidemark.sources.raw_store import ingest_all, read_raw, upsert_raw
 from tidemark.sources.registry import EXPECTED_RANGES, Registry
 from tidemark.streaming import jobs
 from tidemark.sources.workdir import shared_folder
@@ -38,6 +38,29 @@ def _ingest(spark, sf):
     return out.select("source", "records_ingested", F.col("error").isNotNull().alias("failed"))
 
 
+@query("ingest_stored_rows", """SELECT event_type AS source, CAST(user_id AS VARCHAR) AS series, CAST(ts AS DATE) AS date, event_id,
+  ROUND(value, 6) AS value FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-31'""")
+def _stored(spark, sf):
+    registry = Registry()
+    for s in EVENT_SOURCES:
+        registry.add(s, lambda sp, path, s=s: raw_events(sp, path).where(F.col("source") == s).select("date", "series", "event_id", "value"),
+                     item=("event_id",))
+    target = f"{shared_folder(spark)}/raw"
+    ingest_all(spark, registry, sf, target, "2024-01-01", "2024-01-31", F.to_timestamp(F.lit(EVENTS_AS_OF)))
+    doc = F.from_json("data", "event_id BIGINT, value DOUBLE")
+    return read_raw(spark, target).select("source", "series", "date", doc["event_id"].alias("event_id"), F.round(doc["value"], 6).alias("value"))
+
+
+# The first half of the events, then all from a day before its end: the second upsert meets rows that are there.
+@query("raw_upsert_merge", f"""WITH {RAW_CTE}, r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY source, series, date
+    ORDER BY ingested_at DESC, data DESC) AS rn FROM raw) SELECT source, series, date, data, ingested_at FROM r WHERE rn = 1""")
+def _upsert_merge(spark, sf):
+    path, events = f"{shared_folder(spark)}/raw", _event_rows(table(spark, sf, "events"))
+    upsert_raw(events.where("date < '2024-01-16'"), path)
+    upsert_raw(events.where("date >= '2024-01-15'"), path)
+    return read_raw(spark, path).select("source", "series", "date", "data", F.col("ingested_at").cast("timestamp_ntz").alias("ingested_at"))
+
+
 def _event_rows(batch):
     return batch.select(F.col("event_type").alias("source"), F.col("user_id").cast("string").alias("series"),
                         F.to_date("ts").alias("date"), F.col("props").alias("data"), F.col("ts").cast("timestamp").alias("ingested_at"))

@@ -234,3 +234,12 @@ def test_custom_check_and_threshold(spark):
 
     got = result(union_checks([volume(features(spark), CheckConfig(min_rows=50)), fc.check_leakage(features(spark), ["a"])]))
     assert got[("min_rows", "table")] == (False, "error", 30.0)
+
+
+def test_undeclared_sources_are_told(spark):
+    raw = spark.createDataFrame([("x", dt.date(2024, 1, 1), '{"v": 1}', dt.datetime(2024, 1, 1)), (None, dt.date(2024, 1, 1), None, None)],
+                                "source string, date date, data string, ingested_at timestamp")
+    got = {(r["check_name"], r["subject"]): r["passed"] for r in rc.validate_raw(raw, ["a"], "2024-01-02").collect()}
+    assert got["source_declared", "x"] is False and got["source_declared", "(none)"] is False
+    assert got["data_availability", "raw_data"] and not got["data_completeness", "a"] and ("source_declared", "a") not in got
+    assert got["data_quality", "(none)"] is False and got["outlier_detection", "x"]

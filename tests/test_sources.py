@@ -66,6 +66,26 @@ def test_ingest_all_goes_on_after_a_failure(spark, json_files):
         registry.fetch(spark, "nope", "x", "2025-01-01", "2025-01-02")
 
 
+def test_ingest_keeps_several_observations_a_day(spark):
+    news = spark.createDataFrame([(D(2024, 1, 1), "a", 0.1), (D(2024, 1, 1), "b", 0.2), (D(2024, 1, 1), None, 0.3), (D(2024, 1, 1), None, 0.4)],
+                                 "date date, title string, sentiment_score double")
+    oil = spark.createDataFrame([(D(2024, 1, 1), "x", 1.0), (D(2024, 1, 1), "y", 2.0), (D(2024, 1, 1), "y", 3.0)], "date date, series string, price_usd double")
+    registry = Registry().add("news_sentiment", lambda sp, path: news).add("eia_brent", lambda sp, path: oil).add("empty", lambda sp, path: oil.limit(0))
+    target = f"{shared_folder(spark)}/raw"
+
+    def run(hour):
+        at = F.lit(dt.datetime(2024, 2, 1, hour))
+        out = rs.ingest_all(spark, registry, "", target, "2024-01-01", "2024-01-31", at)
+        return {r["source"]: (r["records_ingested"], r["records_stored"], r["error"]) for r in out.collect()}
+
+    assert run(1) == {"news_sentiment": (4, 4, None), "eia_brent": (3, 2, None), "empty": (0, 0, None)}
+    news = news.withColumn("sentiment_score", F.when(F.col("title") == "a", 0.9).otherwise(F.col("sentiment_score")))
+    assert run(2) == {"news_sentiment": (4, 4, None), "eia_brent": (3, 2, None), "empty": (0, 0, None)}
+    raw = rs.read_raw(spark, target)
+    assert raw.count() == 6 and raw.where("data like '%0.9%'").count() == 1
+    assert {r["series"] for r in raw.where("source = 'eia_brent'").collect()} == {"x", "y"}
+
+
 def raw_row(source, day, data, hour):
     return (source, "all", D(2024, 1, day), data, dt.datetime(2024, 2, 1, hour))
 

@@ -36,9 +36,14 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark):
 def test_repeats_are_dropped_in_the_stream(spark):
     work = shared_folder(spark)
     write_batches(spark, f"{work}/in", 2)
-    stream = jobs.without_repeats(jobs.file_stream(spark, f"{work}/in", RAW), ["source", "date"], "ingested_at")
+    stream = jobs.without_repeats(jobs.file_stream(spark, f"{work}/in", RAW).unionByName(
+        jobs.file_stream(spark, f"{work}/in", RAW)), "ingested_at")
     jobs.stream_ingest(stream, lambda b: b, f"{work}/raw", f"{work}/state")
-    assert read_raw(spark, f"{work}/raw").count() == 10
+    got = {r["date"].day: r["data"] for r in read_raw(spark, f"{work}/raw").collect()}
+    # A correction within the delay is no repeat: the newer payload wins.
+    assert got == {d: "b0" if d < 4 else "b1" for d in range(1, 11)}
+    jobs.run_available(stream, f"{work}/state2", lambda b, _: b.write.mode("append").parquet(f"{work}/seen"))
+    assert spark.read.parquet(f"{work}/seen").count() == 14
 
 
 def test_stream_quality_writes_each_batch_once(spark):

@@ -15,18 +15,23 @@ from tidemark.operators.checks.rows import DEFAULTS, CheckConfig, check, emit, e
 from tidemark.sources.raw_store import recent_rows
 
 
+def _named(raw: DataFrame) -> DataFrame:
+    return raw.withColumn("source", F.coalesce("source", F.lit("(none)")))
+
+
 def source_facts(raw: DataFrame, sources: Sequence[str]) -> DataFrame:
-    """Per declared source: rows, nulls, latest date and ingest, duplicate keys, date gaps.
+    """Per source, declared or present: rows, nulls, latest date and ingest, duplicate keys, date gaps.
 
     Rows are first grouped by (source, date), which combines before the shuffle, so a hot
     source never reaches the window or the last grouping with more than one row per day.
-    Sources without any row are kept with zero counts. An ingest time kept as ISO text,
+    Declared sources without any row are kept with zero counts, and sources that nobody
+    declared are marked by ``declared`` (a null source goes by the name "(none)"). An ingest time kept as ISO text,
     with or without the ``Z`` suffix, is parsed; text that is no time counts as missing.
     """
     ingested = F.col("ingested_at")
     if isinstance(raw.schema["ingested_at"].dataType, T.StringType):
         ingested = F.try_to_timestamp(ingested)
-    days = raw.where(F.col("source").isin(*sources)).groupBy("source", "date").agg(
+    days = _named(raw).groupBy("source", "date").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("data").isNull()).alias("nulls"),
         F.max(ingested).alias("latest_ingest"))
     days = one_per_day(days)
@@ -36,9 +41,8 @@ def source_facts(raw: DataFrame, sources: Sequence[str]) -> DataFrame:
         F.sum("n").alias("n"), F.sum("nulls").alias("nulls"), F.max("date").alias("latest_date"),
         F.max("latest_ingest").alias("latest_ingest"),
         F.count_if(F.col("n") > 1).alias("duplicate_keys"), F.count_if(F.col("gap") > 1).alias("gaps"))
-    # The declared list is a literal of fixed size.
-    return listed(raw.sparkSession, "source", sources).join(F.broadcast(seen), "source", "left").select(
-        "source", "latest_date", "latest_ingest",
+    return listed(raw.sparkSession, "source", sources).join(seen, "source", "full").select(
+        "source", F.col("source").isin(*sources).alias("declared"), "latest_date", "latest_ingest",
         *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("n", "nulls", "duplicate_keys", "gaps")])
 
 
@@ -82,6 +86,12 @@ def _payload(cfg: CheckConfig) -> Column:
                  good=_about("no null data in "), bad=_about("null data in "))
 
 
+def _declared() -> Column:
+    return check("source_declared", F.col("declared"), severity="warning", subject=F.col("source"),
+                 metric="record_count", value=F.col("n"), threshold=0,
+                 good=_about("declared source "), bad=_about("undeclared source "))
+
+
 def check_availability(df: DataFrame, subject: str = "raw_data") -> DataFrame:
     """Critical when the input has no rows."""
     facts = df.agg(F.count(F.lit(1)).alias("n"))
@@ -110,11 +120,11 @@ def check_null_payload(raw: DataFrame, sources: Sequence[str], cfg: CheckConfig
 
 
 def payload_numbers(raw: DataFrame, sources: Sequence[str]) -> DataFrame:
-    """(source, value): every top-level JSON number in the payloads of the declared sources.
+    """(source, value): every top-level JSON number in the payloads, of undeclared sources as well.
 
     Texts that look like numbers, booleans and nested values do not count.
     """
-    doc = raw.where(F.col("source").isin(*sources)).select("source", F.try_parse_json("data").alias("doc"))
+    doc = _named(raw).select("source", F.try_parse_json("data").alias("doc"))
     fields = doc.lateralJoin(raw.sparkSession.tvf.variant_explode(F.col("doc").outer()))
     kind = F.schema_of_variant("value")
     number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
@@ -131,8 +141,7 @@ def outlier_facts(raw: DataFrame, sources: Sequence[str], cfg: CheckConfig = DEF
         low = F.when(F.col("source") == s, F.lit(float(a))).otherwise(low)
         high = F.when(F.col("source") == s, F.lit(float(b))).otherwise(high)
     z = safe_div(F.col("value") - F.col("mean"), "std")
-    # At most one row per declared source is broadcast.
-    marked = numbers.join(F.broadcast(stats), "source").select(
+    marked = numbers.join(stats, "source").select(
         "source", "value", (F.abs(z) > cfg.z_limit).alias("is_outlier"),
         ((F.col("value") < low) | (F.col("value") > high)).alias("is_out"), low.isNotNull().alias("has_range"))
     return marked.groupBy("source").agg(
@@ -166,14 +175,17 @@ def outlier_values(raw: DataFrame, sources: Sequence[str], k: int = 10, cfg: Che
     stats = numbers.groupBy("source").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
     z = safe_div(F.col("value") - F.col("mean"), "std")
     w = Window.partitionBy("source").orderBy(F.desc(F.abs("z")), F.asc("value"))
-    far = numbers.join(F.broadcast(stats), "source").withColumn("z", z).where(F.abs("z") > cfg.z_limit)
+    far = numbers.join(stats, "source").withColumn("z", z).where(F.abs("z") > cfg.z_limit)
     return far.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
         "source", "rank", "value", "z")
 
 
 def validate_raw(raw: DataFrame, sources: Sequence[str], as_of: str, cfg: CheckConfig = DEFAULTS) -> DataFrame:
-    """All raw checks: one pass for the source facts, two for the payload numbers."""
-    # One row per declared source, so the unpartitioned total is over a handful of rows.
+    """All raw checks: one pass for the source facts, two for the payload numbers.
+
+    Sources outside the declared list are checked like the others and get a warning of their own.
+    """
+    # One row per source, so the unpartitioned total is over a handful of rows.
     facts = source_facts(raw, sources).withColumn("total", F.sum("n").over(Window.partitionBy()))
     seen = F.col("n") > 0
     per_source = emit_where(facts, [
@@ -181,7 +193,7 @@ def validate_raw(raw: DataFrame, sources: Sequence[str], as_of: str, cfg: CheckC
             "data_availability", F.col("total") > 0, severity="critical", subject="raw_data", metric="record_count",
             value=F.col("total"), threshold=1, good="data available", bad="no data found")),
         (F.lit(True), _completeness(cfg)), (F.lit(True), _freshness(cfg, as_of)), (seen, _duplicates()),
-        (F.col("n") > 1, _continuity()), (seen, _payload(cfg))])
+        (F.col("n") > 1, _continuity()), (seen, _payload(cfg)), (~F.col("declared"), _declared())])
     numbers = emit_where(outlier_facts(raw, sources, cfg), [(F.lit(True), _outliers(cfg)), (F.col("has_range"), _ranges())])
     return union_checks([per_source, numbers])
 

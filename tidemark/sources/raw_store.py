@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,9 +30,14 @@ def range_scan(raw: DataFrame, start: date | str, end: date | str,
 
 
 def normalise_raw(df: DataFrame, source: str | Column, ingested_at: Column | None = None,
-                  series: str | Column = "all") -> DataFrame:
-    """Pack every row of a source frame into the raw layout, all columns as JSON text."""
+                  series: str | Column | None = None) -> DataFrame:
+    """Pack every row of a source frame into the raw layout, all columns as JSON text.
+
+    Without ``series`` the frame's own column of that name is taken, and ``all`` if it has none.
+    """
     src = F.lit(source) if isinstance(source, str) else source
+    if series is None:
+        series = F.coalesce(F.col("series").cast("string"), F.lit("all")) if "series" in df.columns else "all"
     ser = F.lit(series) if isinstance(series, str) else series
     return df.select(src.alias("source"), ser.alias("series"), F.col("date"),
                      F.to_json(F.struct("*")).alias("data"),
@@ -104,9 +109,28 @@ def _part(day: Column, grain: str) -> Column:
     return day if grain == "day" else F.trunc(day, grain)
 
 
-def upsert_raw(new: DataFrame, path: str, grain: str = "month") -> None:
+def _item(items: Mapping[str, Sequence[str]]) -> Column:
+    """What tells the observations of one key apart: the payload fields named for the source.
+
+    A row that lacks one of them is an observation of its own, told by its whole payload.
+    """
+    out = F.lit(None).cast("string")
+    for source, names in items.items():
+        values = [F.get_json_object("data", f"$.{n}") for n in names]
+        known = reduce(and_, [v.isNotNull() for v in values])
+        out = F.when(F.col("source") == source, F.when(known, F.to_json(F.array(*values))).otherwise(F.col("data"))).otherwise(out)
+    return out
+
+
+def upsert_raw(new: DataFrame, path: str, grain: str = "month", items: Mapping[str, Sequence[str]] | None = None,
+               stored: Observation | None = None) -> None:
     """Merge ``new`` into the Parquet table at ``path``; newest row per key wins.
 
+    A source with several observations a day (news, rates of several currencies) names in
+    ``items`` the payload fields that tell them apart; they then belong to its key. Use the
+    same ``items`` for every upsert of a table. ``stored`` observes ``rows``, the number of
+    rows of ``new`` that are in the table afterwards.
+
     The table is partitioned by source and storage period, and only the partitions that
     ``new`` touches are read and rewritten (dynamic partition overwrite: files are staged,
     then swapped in at commit). Running the same batch again leaves the same rows, so a
@@ -117,6 +141,7 @@ def upsert_raw(new: DataFrame, path: str, grain: str = "month") -> None:
     spark = new.sparkSession
     cols = [*RAW.fieldNames(), "part"]
     new = new.withColumn("part", _part(F.col("date"), grain)).select(*cols)
+    key = KEY
     if _exists(spark, path):
         new = stage(new)  # evaluated once: for the touched partitions, and for the merge
         touched = new.groupBy("source").agg(F.min("part").alias("lo"), F.max("part").alias("hi"),
@@ -129,8 +154,15 @@ def upsert_raw(new: DataFrame, path: str, grain: str = "month") -> None:
                      (F.col("part").isNull() if r["undated"] else F.lit(False))) for r in touched]
             table = table.where(reduce(or_, here, F.lit(False)))
         old = join_same_key(table, new.select(*PARTITIONS).distinct(), list(PARTITIONS), "left_semi")
-        new = old.select(*cols).unionByName(new)
-    (latest_wins(new).hint("rebalance", *PARTITIONS).write.mode("overwrite")
+        new = old.select(*cols, F.lit(False).alias("__new")).unionByName(new.withColumn("__new", F.lit(True)))
+    else:
+        new = new.withColumn("__new", F.lit(True))
+    if items:
+        new, key = new.withColumn("__item", _item(items)), (*KEY, "__item")
+    kept = latest_wins(new, key)
+    if stored is not None:
+        kept = kept.observe(stored, F.count_if("__new").alias("rows"))
+    (kept.select(*cols).hint("rebalance", *PARTITIONS).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path))
 
 
@@ -148,27 +180,36 @@ def read_raw(spark: SparkSession, path: str, start: date | str | None = None, en
     return df.select(*RAW.fieldNames())
 
 
-def ingest_source(spark: SparkSession, registry: Registry, name: str, path: str, target: str,
-                  start: date | str, end: date | str, ingested_at: Column | None = None, grain: str = "month") -> int:
-    """Fetch, normalise and upsert one source; returns the rows fetched."""
+def ingest_source(spark: SparkSession, registry: Registry, name: str, path: str, target: str, start: date | str,
+                  end: date | str, ingested_at: Column | None = None, grain: str = "month") -> tuple[int, int]:
+    """Fetch, normalise and upsert one source; returns the rows fetched and the rows stored.
+
+    Fewer are stored if several rows share a key; ``Registry.add`` takes the fields that tell
+    the observations of one day apart.
+    """
     rows = stage(normalise_raw(registry.fetch(spark, name, path, start, end), name, ingested_at))
-    upsert_raw(rows, target, grain)
-    return rows.count()
+    fetched = rows.count()
+    if not fetched:
+        return 0, 0
+    stored = Observation("stored")
+    item = registry.items.get(name)
+    upsert_raw(rows, target, grain, {name: item} if item else None, stored)
+    return fetched, stored.get["rows"]
 
 
 def ingest_all(spark: SparkSession, registry: Registry, path: str, target: str, start: date | str,
                end: date | str, ingested_at: Column | None = None, grain: str = "month") -> DataFrame:
     """Ingest every source; one that fails is reported and the rest go on.
 
-    Returns (source, records_ingested, error), one row per registered source.
+    Returns (source, records_ingested, records_stored, error), one row per registered source.
     """
     done = []
     for name in registry.readers:
         try:
-            done.append((name, ingest_source(spark, registry, name, path, target, start, end, ingested_at, grain), None))
+            done.append((name, *ingest_source(spark, registry, name, path, target, start, end, ingested_at, grain), None))
         except Exception as e:
-            done.append((name, 0, str(e).split("\n")[0]))
-    return spark.createDataFrame(done, "source STRING, records_ingested BIGINT, error STRING")
+            done.append((name, 0, 0, str(e).split("\n")[0]))
+    return spark.createDataFrame(done, "source STRING, records_ingested BIGINT, records_stored BIGINT, error STRING")
 
 
 def recent_rows(raw: DataFrame, as_of: str, days: int = 7, limit: int = 100,

@@ -28,6 +28,9 @@ REQUIRED_FIELDS: Mapping[str, tuple[str, ...]] = {
     "news_sentiment": ("date", "title", "sentiment_score"),
 }
 
+# Fields that tell the observations of one day apart.
+ITEM_FIELDS: Mapping[str, tuple[str, ...]] = {"cbn_rates": ("currency",), "news_sentiment": ("title",)}
+
 # Expected range of the numbers of each source.
 EXPECTED_RANGES: Mapping[str, tuple[float, float]] = {
     "cbn_rates": (100.0, 2000.0),
@@ -42,12 +45,19 @@ Reader = Callable[[SparkSession, str], DataFrame]
 
 @dataclass
 class Registry:
-    """Readers by source name. A reader returns a frame with a ``date`` column."""
+    """Readers by source name. A reader returns a frame with a ``date`` and maybe a ``series`` column.
+
+    ``items`` names, for a source with several observations a day, the fields that tell them
+    apart. A source that has none keeps the newest row of each (series, date).
+    """
 
     readers: dict[str, Reader] = field(default_factory=dict)
+    items: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(ITEM_FIELDS))
 
-    def add(self, name: str, reader: Reader) -> "Registry":
+    def add(self, name: str, reader: Reader, item: tuple[str, ...] | None = None) -> "Registry":
         self.readers[name] = reader
+        if item is not None:
+            self.items[name] = item
         return self
 
     def fetch(self, spark: SparkSession, name: str, path: str, start: date | str, end: date | str) -> DataFrame:

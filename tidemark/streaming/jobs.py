@@ -32,10 +32,13 @@ def run_available(stream: DataFrame, state: str, each: Callable[[DataFrame, int]
     query.awaitTermination()
 
 
-def without_repeats(stream: DataFrame, key: Sequence[str], ts: str, delay: str = "7 days") -> DataFrame:
-    """Drop rows repeated within ``delay`` of event time, ahead of the upsert."""
+def without_repeats(stream: DataFrame, ts: str, delay: str = "7 days") -> DataFrame:
+    """Drop rows that repeat another within ``delay`` of event time in all columns, ahead of the upsert.
+
+    A row that differs in its payload or its time is a correction and goes on to the upsert.
+    """
     timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
-    return timed.dropDuplicatesWithinWatermark(list(key))
+    return timed.dropDuplicatesWithinWatermark()
 
 
 def stream_ingest(stream: DataFrame, normalise: Callable[[DataFrame], DataFrame], target: str, state: str,
