@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, rest, slices
+from .common import documents, rest, slices, staged
 from .rolling import U, mix, word_bounds, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
@@ -132,8 +132,8 @@ def references(docs: DataFrame, common: int = COMMON) -> list[dict]:
                                                      names=["lang", "item", "share"])
 
     # sums of doubles depend on their order: rounded, so that reruns agree
-    items = (documents(docs, F.col("lang").cast("string").alias("lang")).mapInArrow(run, "lang string, item binary, share double")
-             .groupBy("lang", "item").agg(F.round(F.sum("share"), 6).alias("share")))
+    items = staged(documents(docs, F.col("lang").cast("string").alias("lang")).mapInArrow(run, "lang string, item binary, share double")
+                   .groupBy("lang", "item").agg(F.round(F.sum("share"), 6).alias("share")))
     classes = items.filter(F.substring("item", 1, 1) == F.lit(b"\0"))
     order = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("share"), "item"))
     top = items.filter(F.substring("item", 1, 1) != F.lit(b"\0")).withColumn("_r", order).filter(F.col("_r") <= common).drop("_r")
