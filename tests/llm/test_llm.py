@@ -196,6 +196,21 @@ def test_encoder_on_odd_white_space():
         assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_encoder_equals_the_tokenizer_on_random_texts():
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.packing import Encoder
+    from tidemark.llm.queries import tokenizer
+
+    rng, whole = random.Random(7), Tokenizer.from_file(tokenizer())
+    parts = ["a", "b", "the", "word", " ", " ", " ", "  ", "\n", "\t", "\u00e9", "\u4e2d", "<|endoftext|>", "'s", "12", "!?", "\u0120", "\u00a0", "\u3000", "\r\n", "\x1c"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    encoder = Encoder(tokenizer(), most=500)
+    for i in range(0, len(texts), 300):
+        want = [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(texts[i : i + 300], add_special_tokens=False)]
+        assert encoder.encode(texts[i : i + 300]) == want
+
+
 def test_bin_completion_is_not_worse_than_best_fit():
     counts = {6: 2, 5: 2, 4: 2, 3: 4, 7: 1}
     plan = packing.plan(counts, 10)

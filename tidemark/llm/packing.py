@@ -29,6 +29,7 @@ from .common import documents, running, slices, staged
 
 SIZE = 1024
 END = 2
+GROUP = 256
 
 
 class Encoder:
@@ -43,6 +44,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # how byte-level vocabularies write a space
         self.most = most
         self.new: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}
@@ -53,8 +57,14 @@ class Encoder:
     def _learn(self, words: set[str]) -> None:
         odd = {w for w in words if not w or w[0].isspace() or w[-1].isspace()}
         plain = list(words - odd)
-        for w, ids in zip(plain, self._ids([f" {w}" for w in plain]), strict=True):
-            self.new[w] = ids
+        # Many words in one text, told apart by the tokens that begin with a space, save most of the cost of a call.
+        groups = [plain[i : i + GROUP] for i in range(0, len(plain), GROUP)]
+        for group, ids in zip(groups, self._ids([" " + " ".join(g) for g in groups]), strict=True):
+            at = (4 * np.flatnonzero(self.begins[np.frombuffer(ids, "<u4")])).tolist()
+            if len(at) == len(group):
+                self.new.update(zip(group, map(ids.__getitem__, map(slice, at, [*at[1:], len(ids)])), strict=True))
+            else:
+                self.new.update(zip(group, self._ids([f" {w}" for w in group]), strict=True))
         self.new.update(dict.fromkeys(odd))
 
     def encode(self, texts: list[str]) -> list[bytes]:
