@@ -1,5 +1,6 @@
 """Every operator against brute force on small tables, and on nulls, empty and repeated rows."""
 
+import random
 import zlib
 from collections import Counter
 
@@ -197,15 +198,11 @@ def test_encoder_on_odd_white_space():
 
 
 def test_encoder_equals_the_tokenizer_on_random_texts():
-    from tokenizers import Tokenizer
-
-    from tidemark.llm.packing import Encoder
-    from tidemark.llm.queries import tokenizer
-
-    rng, whole = random.Random(7), Tokenizer.from_file(tokenizer())
+    tokenizers = pytest.importorskip("tokenizers")
+    rng, whole = random.Random(7), tokenizers.Tokenizer.from_file(q.tokenizer())
     parts = ["a", "b", "the", "word", " ", " ", " ", "  ", "\n", "\t", "\u00e9", "\u4e2d", "<|endoftext|>", "'s", "12", "!?", "\u0120", "\u00a0", "\u3000", "\r\n", "\x1c"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(3000)]
-    encoder = Encoder(tokenizer(), most=500)
+    encoder = packing.Encoder(q.tokenizer(), most=500)
     for i in range(0, len(texts), 300):
         want = [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(texts[i : i + 300], add_special_tokens=False)]
         assert encoder.encode(texts[i : i + 300]) == want
