@@ -1,6 +1,7 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from conftest import rows
@@ -92,6 +93,31 @@ def test_correlations(spark):
     assert got[("b", "d")] == pytest.approx(np.corrcoef(b[::3], a[::3])[0, 1])
 
 
+def test_correlations_of_hard_values(spark):
+    big, inf, nan = 1.7e308, float("inf"), float("nan")
+    data = [(big * s, 1e9 + i, inf if i == 3 else nan if i == 5 else float(i), 7e15 + 0.0 * i, None) for i, s in enumerate([1, -1] * 10)]
+    df = spark.createDataFrame(data, "a double, b double, c double, d double, e double")
+    for width in (1024, 2):
+        got = {(r[0], r[1]): r[2] for r in prof.correlation_pairs(df, list("abcde"), width).collect()}
+        assert len(got) == 10
+        assert got[("b", "c")] == pytest.approx(1.0)
+        assert got[("a", "b")] == pytest.approx(np.corrcoef([1, -1] * 10, range(20))[0, 1])
+        assert all(got[p] is None for p in got if set(p) & {"d", "e"})
+    assert {r[2] for r in prof.correlation_pairs(df.limit(0), list("abc")).collect()} == {None}
+
+
+def test_wide_correlations(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 60)) + rng.normal(size=(300, 1))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    cols = [f"c{i}" for i in range(60)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=cols))
+    want = pd.DataFrame(x, columns=cols).corr()
+    got = prof.correlation_pairs(df, cols, 25).collect()
+    assert len(got) == 60 * 59 // 2
+    assert max(abs(r[2] - want.loc[r[0], r[1]]) for r in got) < 1e-9
+
+
 def test_skewness_is_population(spark):
     v = [1.0, 1.0, 1.0, 5.0]
     x = np.array(v)

@@ -65,15 +65,21 @@ def check_distribution(df: DataFrame, cols: Sequence[str], cfg: CheckConfig = DE
 
 
 def check_correlation(df: DataFrame, cols: Sequence[str], cfg: CheckConfig = DEFAULTS) -> DataFrame:
-    """One row: how many column pairs correlate above the limit; the pairs are in ``details``."""
+    """One row: how many column pairs correlate above the limit, and the strongest; ``strong_pairs`` has them all."""
     strong = F.abs("correlation") > cfg.corr_limit
     pair = F.concat_ws("~", "feature1", "feature2")
     facts = correlation_pairs(df, cols).agg(
-        F.count_if(strong).alias("n"), F.array_sort(F.collect_list(F.when(strong, pair))).alias("pairs"))
+        F.count_if(strong).alias("n"),
+        F.max(F.when(strong, F.struct(F.abs("correlation").alias("r"), pair.alias("pair"))))["pair"].alias("strongest"))
     return emit(facts, [check("feature_correlation", F.col("n") == 0, severity="warning", subject="features",
                               metric="high_correlations", value=F.col("n"), threshold=cfg.corr_limit,
                               good="no strongly correlated features", bad="strongly correlated features",
-                              details={"pairs": F.array_join("pairs", ",")})])
+                              details={"strongest": F.col("strongest")})])
+
+
+def strong_pairs(df: DataFrame, cols: Sequence[str], cfg: CheckConfig = DEFAULTS) -> DataFrame:
+    """The column pairs that correlate above the limit, as rows (feature1, feature2, correlation)."""
+    return correlation_pairs(df, cols).where(F.abs("correlation") > cfg.corr_limit)
 
 
 def check_stability(df: DataFrame, cols: Sequence[str], cfg: CheckConfig = DEFAULTS, *, key, order) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from itertools import combinations
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,29 +130,97 @@ def constant_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                       (all_null | F.coalesce(same, F.lit(False))).alias("is_constant"))
 
 
-def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    """Values by row and column; null, NaN and infinity as NaN."""
+    x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+    return np.where(np.isfinite(x), x, np.nan)
+
+
+def _column_ranges(rows: DataFrame, k: int) -> DataFrame:
+    """(i, n, mean, lo, hi) of the finite values of each column and batch; a column without any gives no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch)
+            n = np.isfinite(x).sum(axis=0)
+            at = np.flatnonzero(n)
+            x, n = x[:, at], n[at]
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n), pa.array(np.nansum(x / n, axis=0)), pa.array(np.nanmin(x, axis=0)),
+                                                  pa.array(np.nanmax(x, axis=0))], names=["i", "n", "mean", "lo", "hi"])
+
+    return rows.mapInArrow(run, "i long, n long, mean double, lo double, hi double")
+
+
+def _pair_sums(df: DataFrame, k: int, low: int, high: int, shift: np.ndarray, scale: np.ndarray) -> DataFrame:
+    """Sums over the rows where both columns have a value, for pairs (i, j) with low <= i < high and i < j < k.
+
+    A task adds its rows up as products of matrices and gives one row per pair.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, any_rows = np.zeros((6, high - low, k)), False
+        for batch in batches:
+            any_rows = any_rows or batch.num_rows > 0
+            for at in range(0, batch.num_rows, step):
+                x = _matrix(batch.slice(at, step))
+                has = np.isfinite(x)
+                x = np.where(has, (x - shift) / scale, 0.0)
+                m, xx = has.astype(float), x * x
+                left = slice(low, high)
+                for out, p, q in zip(sums, (m, x, m, xx, m, x), (m, m, x, m, xx, x), strict=True):
+                    out += p[:, left].T @ q
+        if not any_rows:
+            return
+        i, j = np.nonzero(np.arange(low, high)[:, None] < np.arange(k))
+        for at in range(0, len(i), 1 << 16):
+            a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(a + low), pa.array(b), *[pa.array(s[a, b]) for s in sums]], names=["i", "j", *_SUMS])
+
+    step = max(1, (1 << 22) // k)
+    return df.mapInArrow(run, "i long, j long, " + ", ".join(f"{s} double" for s in _SUMS))
+
+
+_SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+
+def correlation_pairs(df: DataFrame, cols: Sequence[str], width: int = 1024) -> DataFrame:
     """Pairwise-complete Pearson correlation of every column pair; null when a side is constant.
 
-    Each row is unrolled to its column pairs and grouped by pair. The group count is fixed by
-    the columns and combines before the shuffle, and the generated code stays small however
-    many pairs there are (one aggregate with a term per pair does not compile beyond a few
-    dozen columns).
+    Infinite values count as missing, as NaN does. Each task adds up matrices of sums (of ``width``
+    columns by all, in one pass per ``width`` columns) and Spark adds them up per pair; what is
+    shuffled and kept grows with the columns, not with the rows. Values are taken relative to their
+    column's mean, found by an aggregate first (one row to the driver). A side that varies, on the rows of
+    a pair, by less than 1e-13 of its squared distance from that mean counts as constant.
     """
     k = len(cols)
-    rows = df.select(F.array(*[_num(c) for c in cols]).alias("vals"))
-    left = rows.select("vals", F.posexplode("vals").alias("i", "x")).where(
-        F.col("x").isNotNull() & (F.col("i") < k - 1))
-    pairs = left.select("i", "x", F.posexplode(F.slice("vals", F.col("i") + 2, F.lit(k))).alias("d", "y")).where(
-        F.col("y").isNotNull())
-    per = pairs.groupBy("i", "d").agg(F.covar_samp("x", "y").alias("c"),
-                                      (F.stddev_samp("x") * F.stddev_samp("y")).alias("s"))
-    names = F.array(*[F.lit(c) for c in cols])
-    seen = per.select(names[F.col("i")].alias("feature1"), names[F.col("i") + F.col("d") + 1].alias("feature2"),
-                      (F.col("c") / F.nullif(F.col("s"), F.lit(0.0))).alias("correlation"))
-    # Pairs that never occur together are kept with a null; the list is fixed by the columns.
-    every = df.sparkSession.range(0, 1, 1, 1).select(F.explode(F.array(*[
-        F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2")) for a, b in combinations(cols, 2)])).alias("p"))
-    return every.select("p.*").join(F.broadcast(seen), ["feature1", "feature2"], "left")
+    rows = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    # One row per column: the table's width bounds what is collected.
+    facts = _column_ranges(rows, k).groupBy("i").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"),
+                                                     F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
+    mean, lo, hi = (np.full(k, np.nan) for _ in range(3))
+    for f in facts:
+        mean[f["i"]], lo[f["i"]], hi[f["i"]] = f["mean"], f["lo"], f["hi"]
+    shift = np.where(np.isfinite(mean), mean, 0.0)
+    far = np.fmax(np.abs(hi / 2 - shift / 2), np.abs(lo / 2 - shift / 2)) * 2
+    scale = np.where(np.isfinite(far) & (far > 0), far, 1.0)
+    spark = df.sparkSession
+    # Pairs of an empty frame are kept too, with a null.
+    sums = spark.range(k * k).select(F.floor(F.col("id") / k).alias("i"), (F.col("id") % k).alias("j"),
+                                     *[F.lit(0.0).alias(s) for s in _SUMS]).where("i < j")
+    for low in range(0, k, width):
+        sums = sums.unionByName(_pair_sums(rows, k, low, min(k, low + width), shift, scale))
+    per = sums.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in _SUMS])
+    n = F.nullif(F.col("n"), F.lit(0.0))
+    vx, vy = (F.when(F.col(f"s{s}{s}") - F.col(f"s{s}") ** 2 / n > 1e-13 * F.col(f"s{s}{s}"), F.col(f"s{s}{s}") - F.col(f"s{s}") ** 2 / n)
+              for s in ("x", "y"))
+    r = F.when(F.col("n") > 1, (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.sqrt(vx) / F.sqrt(vy))
+    # One row per column: the table's width bounds the broadcast.
+    names = spark.createDataFrame(list(enumerate(cols)), "at long, name string")
+    out = per.select("i", "j", F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r).alias("correlation"))
+    for at, name in (("i", "feature1"), ("j", "feature2")):
+        out = out.join(F.broadcast(names.select(F.col("at").alias(at), F.col("name").alias(name))), at)
+    return out.select("feature1", "feature2", "correlation")
 
 
 def category_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
