@@ -89,7 +89,7 @@ def _stream_quality(spark, sf):
         return batch.select(F.col("event_type").alias("source"), F.to_date("ts").alias("date"), F.to_json(doc).alias("data"),
                             F.col("ts").alias("ingested_at"))
 
-    jobs.stream_quality(_event_stream(spark, sf), rows, DECLARED, EVENTS_AS_OF, f"{work}/checks", f"{work}/state", RANGE_CFG)
+    jobs.stream_quality(_event_stream(spark, sf), rows, DECLARED, EVENTS_AS_OF, f"{work}/rows", f"{work}/checks", f"{work}/state", RANGE_CFG)
     return shown(spark.read.parquet(f"{work}/checks"))
 
 

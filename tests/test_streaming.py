@@ -46,14 +46,26 @@ def test_repeats_are_dropped_in_the_stream(spark):
     assert spark.read.parquet(f"{work}/seen").count() == 14
 
 
-def test_stream_quality_writes_each_batch_once(spark):
+def test_stream_quality_does_not_depend_on_batches(spark):
     work = shared_folder(spark)
-    write_batches(spark, f"{work}/in", 2)
-    for state in ("s1", "s2"):
-        jobs.stream_quality(jobs.file_stream(spark, f"{work}/in", RAW, files_per_batch=1), lambda b: b, ["s"], "2024-01-02",
-                            f"{work}/checks", f"{work}/{state}")
-    got = spark.read.parquet(f"{work}/checks").groupBy("batch_id").count().orderBy("batch_id").collect()
-    assert [r["batch_id"] for r in got] == [0, 1] and len({r["count"] for r in got}) == 1
+    write_batches(spark, f"{work}/in", 4)
+    found = []
+    for n in (1, 2, 4):
+        stream = jobs.file_stream(spark, f"{work}/in", RAW, files_per_batch=n)
+        for state in ("s1", "s2"):  # the second run replays every batch
+            jobs.stream_quality(stream, lambda b: b, ["s"], "2024-01-02", f"{work}/rows{n}", f"{work}/checks{n}", f"{work}/{state}{n}")
+        found.append(sorted(map(str, spark.read.parquet(f"{work}/checks{n}").collect())))
+    assert found[0] and found[0] == found[1] == found[2]
+
+
+def test_stream_quality_sees_duplicates_of_other_batches(spark):
+    work = shared_folder(spark)
+    for i in range(2):
+        spark.createDataFrame([("s", "a", dt.date(2024, 1, 1), "{}", T0)], RAW).coalesce(1).write.mode("append").parquet(f"{work}/in")
+    jobs.stream_quality(jobs.file_stream(spark, f"{work}/in", RAW, files_per_batch=1), lambda b: b, ["s"], "2024-01-02",
+                        f"{work}/rows", f"{work}/checks", f"{work}/state")
+    got = spark.read.parquet(f"{work}/checks").where("check_name = 'data_consistency' AND NOT passed")
+    assert got.count() == 1
 
 
 def test_metric_windows_close_after_the_watermark(spark):

@@ -48,21 +48,22 @@ def stream_ingest(stream: DataFrame, normalise: Callable[[DataFrame], DataFrame]
 
 
 def stream_quality(stream: DataFrame, normalise: Callable[[DataFrame], DataFrame], sources: Sequence[str], as_of: str,
-                   target: str, state: str, cfg: CheckConfig = DEFAULTS) -> None:
-    """Validate every micro-batch and store its check rows, one folder per batch.
+                   stored: str, target: str, state: str, cfg: CheckConfig = DEFAULTS) -> None:
+    """Store the rows of every micro-batch, then check all stored rows and replace the check rows at ``target``.
 
-    A replayed batch overwrites its own folder, so check rows are never doubled.
+    Completeness, freshness, gaps and duplicates are facts of the table, not of a batch, so the checks run
+    once at the end of the run, over what this run and earlier ones stored; how files fall into
+    batches does not matter. A replayed batch overwrites its own folder of ``stored``, and a run that
+    finds nothing new checks again. ``stored`` belongs to ``state``: begin both anew together.
     """
-    def each(batch: DataFrame, batch_id: int) -> None:
-        rows = normalise(batch)
-        rows.persist()
-        try:
-            (validate_raw(rows, sources, as_of, cfg).write.mode("overwrite")
-             .parquet(f"{target}/batch_id={batch_id}"))
-        finally:
-            rows.unpersist()
-
-    run_available(stream, state, each)
+    spark = stream.sparkSession
+    schema = normalise(spark.createDataFrame([], stream.schema)).schema
+    # Without any batch there is still a table to check.
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{stored}/batch_id=-1")
+    run_available(stream, state, lambda batch, batch_id: normalise(batch).write.mode("overwrite").parquet(
+        f"{stored}/batch_id={batch_id}"))
+    rows = spark.read.schema(schema).parquet(stored).select(*schema.fieldNames())
+    validate_raw(rows, sources, as_of, cfg).write.mode("overwrite").parquet(target)
 
 
 def stream_metric_windows(stream: DataFrame, target: str, state: str, width: str = "1 hour",
