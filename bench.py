@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -22,7 +23,7 @@ HEADLINE = [
     "numeric_profile", "iqr_fences", "correlation_pairs", "duplicate_rows", "category_profile",
     "raw_validation", "feature_validation", "score_quality",
     "metric_windows", "metric_durations", "naive_forecast", "top_contributions", "feature_vector_pack",
-    "stream_ingest_upsert",
+    "stream_ingest_upsert", "raw_upsert_merge",
 ]
 
 
@@ -42,6 +43,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

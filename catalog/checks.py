@@ -213,8 +213,7 @@ def _score(spark, sf):
 REQUIRED = {"click": ("k", "value"), "error": ("k", "currency"), "purchase": ("title", "value"), "view": ("k", "absent"),
             "signup": ()}
 RECENT_CFG = CheckConfig(required=REQUIRED)
-RECENT_CTE = f"""r0 AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY source ORDER BY ingested_at DESC) AS rn FROM raw
-    WHERE ingested_at >= TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 7 DAY), recent AS (SELECT * FROM r0 WHERE rn <= 100),
+RECENT_CTE = f"""recent AS (SELECT * FROM raw WHERE ingested_at >= TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 7 DAY),
   rm AS (SELECT AVG(NULLIF(value, 0)) AS mean FROM recent WHERE source IN ('click', 'error')),
   rmm AS (SELECT source, AVG(NULLIF(value, 0)) AS mean FROM recent WHERE source IN ('click', 'error') GROUP BY 1),
   rs AS (SELECT source, COUNT(*) AS n, BOOL_OR(k < 2) AS no_currency,

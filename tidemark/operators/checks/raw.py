@@ -203,10 +203,9 @@ def validate_raw(raw: DataFrame, sources: Sequence[str], as_of: str, cfg: CheckC
 def recent_facts(raw: DataFrame, sources: Sequence[str], as_of: str, rate_field: str, price_field: str,
                  rate_sources: Sequence[str], price_sources: Sequence[str],
                  cfg: CheckConfig = DEFAULTS) -> DataFrame:
-    """Per source over its newest rows: missing required fields, rate spikes, negative prices.
+    """Per source over the rows of the last ``cfg.recent_days`` days: missing required fields, rate spikes, negative prices.
 
-    The newest rows are at most ``cfg.recent_rows`` per source, so the mean over a source
-    is a small window.
+    With ``cfg.recent_rows`` a source is judged by that many of its newest rows instead of all.
     """
     recent = recent_rows(raw.where(F.col("source").isin(*sources)), as_of, cfg.recent_days, cfg.recent_rows)
     doc = F.from_json("data", "map<string,string>")
@@ -220,8 +219,10 @@ def recent_facts(raw: DataFrame, sources: Sequence[str], as_of: str, rate_field:
                    F.try_element_at("doc", F.lit(price_field)).try_cast("double"))
     rows = rows.select("source", F.filter("need", lambda f: F.try_element_at(F.col("doc"), f).isNull()).alias("missing"),
                        rate.alias("rate"), price.alias("price"))
-    mean = F.avg("rate").over(Window.partitionBy("source"))
-    rows = rows.select("*", (safe_div(F.abs(F.col("rate") - mean), mean) > cfg.rate_spike).alias("spike"))
+    # One row per declared source.
+    means = F.broadcast(rows.where(F.col("rate").isNotNull()).groupBy("source").agg(F.avg("rate").alias("mean")))
+    far = safe_div(F.abs(F.col("rate") - F.col("mean")), "mean") > cfg.rate_spike
+    rows = rows.join(means, "source", "left").select(*rows.columns, far.alias("spike"))
     seen = rows.groupBy("source").agg(
         F.count(F.lit(1)).alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("missing")))).alias("missing"),
         F.coalesce(F.bool_or("spike"), F.lit(False)).alias("rate_spike"),

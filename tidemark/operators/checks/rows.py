@@ -44,7 +44,7 @@ class CheckConfig:
     fx_volatility: float = 0.5
     rate_spike: float = 0.1
     recent_days: int = 7
-    recent_rows: int = 100
+    recent_rows: int | None = None  # judge a source by this many of its newest rows; all by default
     ranges: Mapping[str, tuple[float, float]] = field(default_factory=lambda: dict(EXPECTED_RANGES))
     required: Mapping[str, Sequence[str]] = field(default_factory=lambda: dict(REQUIRED_FIELDS))
 

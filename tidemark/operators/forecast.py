@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.blocks import block_key, merge_blocks, one_per_day, series_window, windowed
 from tidemark.operators.joins import join_same_key
+from tidemark.sources.workdir import stage
 
 HORIZONS = (1, 2, 3, 4, 5)
 
@@ -89,7 +90,8 @@ def horizon_regression(df: DataFrame, features: Sequence[str], label: str, horiz
                        key: Sequence[str], order: str, split: Column | None = None) -> DataFrame:
     """One linear model per horizon; returns rows, RMSE, R2 and coefficients of each.
 
-    Labels come from ``horizon_labels``; training runs in ``pyspark.ml`` over all series.
+    Labels come from ``horizon_labels`` and are written once, as every fit and score reads them;
+    training runs in ``pyspark.ml`` over all series.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
@@ -97,6 +99,7 @@ def horizon_regression(df: DataFrame, features: Sequence[str], label: str, horiz
     labelled = merge_blocks(horizon_labels(df, label, horizons, key=key, order=order))
     if split is not None:
         labelled = labelled.where(split)
+    labelled = stage(labelled.select(*dict.fromkeys([*features, *[f"{label}_t_plus_{h}" for h in horizons]])))
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
     out = None
     for h in horizons:

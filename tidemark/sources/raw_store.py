@@ -212,14 +212,14 @@ def ingest_all(spark: SparkSession, registry: Registry, path: str, target: str,
     return spark.createDataFrame(done, "source STRING, records_ingested BIGINT, records_stored BIGINT, error STRING")
 
 
-def recent_rows(raw: DataFrame, as_of: str, days: int = 7, limit: int = 100,
+def recent_rows(raw: DataFrame, as_of: str, days: int = 7, limit: int | None = 100,
                 tiebreak: Sequence[str] = ("date", "data")) -> DataFrame:
-    """The newest ``limit`` rows per source ingested in the last ``days`` days before ``as_of``.
+    """The newest ``limit`` rows (None: all, without a rank) per source ingested in the last ``days`` days before ``as_of``.
 
     The rank filter is applied before the shuffle as well, so a hot source sends at most
     ``limit`` rows per task.
     """
     w = Window.partitionBy("source").orderBy(F.desc("ingested_at"), *[F.desc(c) for c in tiebreak])
     cut = F.to_timestamp(F.lit(as_of)) - F.make_dt_interval(F.lit(days))
-    return (raw.where(F.col("ingested_at") >= cut).withColumn("rank", F.row_number().over(w))
-               .where(F.col("rank") <= limit))
+    recent = raw.where(F.col("ingested_at") >= cut)
+    return recent if limit is None else recent.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
