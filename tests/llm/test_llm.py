@@ -287,6 +287,25 @@ def test_chain_and_language(spark):
     assert language.identify(two.limit(0)).count() == 0
 
 
+def labelled(spark, texts):
+    """Documents none of which is held out, from (text, lang)."""
+    ids = (i for i in range(1 << 30) if zlib.crc32(str(i).encode()) % 4 != 2)
+    return spark.createDataFrame([(next(ids), t, lang) for t, lang in texts], "doc_id long, text string, lang string")
+
+
+def drawn_samples(monkeypatch, docs, **more):
+    monkeypatch.setattr(language, "Parser", lambda samples, **_: samples)
+    return language.train(docs, **more)
+
+
+def test_language_of_copies(spark, monkeypatch):
+    copied = {c: [(text(seed, 200)[:1000], c)] * 1000 for seed, c in enumerate("abcdef")}
+    mixed_ = [(text(50 + i, 30)[:100], "m") for i in range(400)] + [(text(99, 30)[:100], "m")] * 5000
+    samples = drawn_samples(monkeypatch, labelled(spark, [x for v in copied.values() for x in v] + mixed_))
+    assert all(samples[c] == [v[0][0]] for c, v in copied.items())
+    assert sum(map(len, samples["m"])) == 30_000 and len(set(samples["m"])) == len(samples["m"])
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert suffix_tree.dedup_substrings(docs).count() == 0 and near_dup.one_of_each(docs).count() == 0

@@ -127,30 +127,30 @@ def held_out(doc_id: str = "doc_id"):
 def train(docs: DataFrame, sample: int = SAMPLE) -> Parser | None:
     """Automata from at most ``sample`` characters of each language's labelled, not held-out documents.
 
-    Documents are drawn by a hash of their text; those of up to a tenth of the sample come first.
+    Different texts are drawn in the order of a hash, each once however many copies there are;
+    those of up to a tenth of the sample come first. The draw is found by sums per power of two
+    of the hash, so about twice the sample is fetched, and nothing only if there is no text.
     """
     base = docs.select(held_out().alias("_held"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     base = base.filter(~F.col("_held") & F.col("lang").isNotNull() & (F.length(F.coalesce("text", F.lit(""))) > 0))
-    fit = F.length("text") <= sample // 10
-    facts = base.groupBy("lang").agg(F.sum(F.when(fit, F.length("text"))).alias("small"), F.min(F.length("text")).alias("least")).collect()
-    if not facts:
+    units = base.select("lang", (F.length("text") > sample // 10).alias("long"), F.substring("text", 1, sample).alias("text"))
+    units = units.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 1)).withColumn("level", F.floor(F.log2(F.col("h") + 1.0)).cast("int"))
+    sizes = units.select("lang", "long", "level", "h", F.length("text").alias("n")).distinct().groupBy("lang", "long", "level").agg(F.sum("n").alias("n")).collect()
+    if not sizes:
         return None
+    total, upto = Counter(), {}
+    for r in sorted(sizes, key=lambda r: (r["lang"], r["long"], r["level"])):
+        if total[r["lang"]] < sample and not (r["long"] and (r["lang"], False) in upto):
+            upto[r["lang"], r["long"]] = r["level"]
+            total[r["lang"]] += r["n"]
+    drawn = docs.sparkSession.createDataFrame([(*k, v) for k, v in upto.items()], "lang string, long boolean, upto int")
+    texts = units.join(F.broadcast(drawn), ["lang", "long"]).filter("level <= upto").select("lang", "long", "h", "text").distinct().collect()
     samples: dict[str, list[str]] = {}
-    for r in sorted(facts, key=lambda r: r["lang"]):
-        own = base.filter(F.col("lang") == r["lang"])
-        if r["small"]:
-            share = min(1.0, 2.0 * sample / r["small"])
-            own = own.filter(fit & (F.shiftrightunsigned(F.xxhash64("text"), 11) <= F.lit(int(share * (1 << 53)))))
-        else:
-            own = own.filter(F.length("text") == r["least"]).limit(1)
-        total, chosen = 0, []
-        for x in own.select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(sample // 20).collect():
-            text = x["text"] if r["small"] else x["text"][:sample]
-            if total + len(text) > sample and chosen:
-                break
-            chosen.append(text)
-            total += len(text)
-        samples[r["lang"]] = chosen
+    total = Counter()
+    for r in sorted(texts, key=lambda r: (r["lang"], r["long"], r["h"], r["text"])):
+        if total[r["lang"]] < sample:
+            samples.setdefault(r["lang"], []).append(r["text"][: sample - total[r["lang"]]])
+            total[r["lang"]] += len(samples[r["lang"]][-1])
     return Parser(samples)
 
 
