@@ -306,6 +306,17 @@ def test_language_of_copies(spark, monkeypatch):
     assert sum(map(len, samples["m"])) == 30_000 and len(set(samples["m"])) == len(samples["m"])
 
 
+def test_language_of_long_documents(spark, monkeypatch):
+    long = [text(seed, 1500)[:6000] for seed in range(20)]
+    docs = labelled(spark, [(t, "a") for t in long] + [("one short line", "a"), (text(77, 30_000)[:100_000] + "\nend", "b"), (long[0][:5000] + "\n", "c")])
+    samples = drawn_samples(monkeypatch, docs)
+    assert samples["a"][0] == "one short line" and sum(map(len, samples["a"])) == 30_000
+    assert all(any(x in t for t in long) for x in samples["a"][1:]) and len({x[:100] for x in samples["a"]}) == len(samples["a"])
+    whole = docs.filter("lang = 'b'").first()["text"]
+    assert sum(map(len, samples["b"])) == 30_000 and max(whole.index(x) for x in samples["b"]) > 30_000
+    assert sorted(map(len, samples["c"])) == [2001, 3000]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert suffix_tree.dedup_substrings(docs).count() == 0 and near_dup.one_of_each(docs).count() == 0

@@ -128,19 +128,23 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Parser | None:
     """Automata from at most ``sample`` characters of each language's labelled, not held-out documents.
 
     Different texts are drawn in the order of a hash, each once however many copies there are;
-    those of up to a tenth of the sample come first. The draw is found by sums per power of two
+    those of up to a tenth of the sample come first, then pieces of that length from all over the
+    longer ones, until the sample is full or the language used up. The draw is found by sums per power of two
     of the hash, so about twice the sample is fetched, and nothing only if there is no text.
     """
     base = docs.select(held_out().alias("_held"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     base = base.filter(~F.col("_held") & F.col("lang").isNotNull() & (F.length(F.coalesce("text", F.lit(""))) > 0))
-    units = base.select("lang", (F.length("text") > sample // 10).alias("long"), F.substring("text", 1, sample).alias("text"))
+    piece = max(1, sample // 10)
+    long = F.length("text") > piece
+    cut = F.when(long, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))).otherwise(F.array("text"))
+    units = base.select("lang", long.alias("long"), F.explode(cut).alias("text"))
     units = units.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 1)).withColumn("level", F.floor(F.log2(F.col("h") + 1.0)).cast("int"))
     sizes = units.select("lang", "long", "level", "h", F.length("text").alias("n")).distinct().groupBy("lang", "long", "level").agg(F.sum("n").alias("n")).collect()
     if not sizes:
         return None
     total, upto = Counter(), {}
     for r in sorted(sizes, key=lambda r: (r["lang"], r["long"], r["level"])):
-        if total[r["lang"]] < sample and not (r["long"] and (r["lang"], False) in upto):
+        if total[r["lang"]] < sample:
             upto[r["lang"], r["long"]] = r["level"]
             total[r["lang"]] += r["n"]
     drawn = docs.sparkSession.createDataFrame([(*k, v) for k, v in upto.items()], "lang string, long boolean, upto int")
