@@ -317,6 +317,15 @@ def test_language_of_long_documents(spark, monkeypatch):
     assert sorted(map(len, samples["c"])) == [2001, 3000]
 
 
+@pytest.mark.parametrize("rare", ["ok", "etao", "-"])
+def test_language_of_one_short_text(spark, rare):
+    r = np.random.default_rng(3)
+    words = {c: ["".join(r.choice(list(letters), r.integers(2, 9))) for _ in range(300)] for c, letters in {"a": "etaoinshrdlk", "b": "etaoinsrzumk"}.items()}
+    docs = labelled(spark, [(" ".join(r.choice(words[c], 40)) + " 12.50 13.60, 14.70 - 15 16" * (i % 3), c) for i in range(200) for c in "ab"] + [(rare, "xx")])
+    got = Counter((x["lang"], x["lang_pred"]) for x in docs.join(language.identify(docs), "doc_id").filter("lang != 'xx'").collect())
+    assert got == {("a", "a"): 200, ("b", "b"): 200}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert suffix_tree.dedup_substrings(docs).count() == 0 and near_dup.one_of_each(docs).count() == 0

@@ -2,8 +2,10 @@
 
 For each language a suffix automaton is built over a bounded sample of its labelled texts. A text
 is parsed by each automaton into the longest phrases that occur in the sample, each beginning
-where the last one ended; the language that needs the fewest bits (phrases times the log of the
-sample's length, per character) wins. Whole texts are parsed, in segments of 256 characters, so
+where the last one ended; the language that needs the fewest bits wins. A phrase costs the log of
+the sample's length, and a character that the sample does not hold costs the log of the longest
+sample's length besides, so a short sample is not cheap. Whatever is between letters counts as one
+character. Whole texts are parsed, in segments of 256 characters, so
 that a batch of segments walks all automata in step.
 """
 
@@ -61,6 +63,11 @@ def suffix_automaton(text: list[int], symbols: int) -> np.ndarray:
     return table
 
 
+def joined(codes: np.ndarray) -> np.ndarray:
+    """Codes with one 0 for each run of them."""
+    return codes[np.append(True, (codes[1:] != 0) | (codes[:-1] != 0))] if len(codes) else codes
+
+
 class Parser:
     """Automata of all languages in one table: state * symbols + symbol -> next state * 2 + new phrase."""
 
@@ -72,17 +79,19 @@ class Parser:
         self.letters = np.array([ord(c) for c in known], np.uint32)
         self.langs = sorted(samples)
         self.bits = []
-        tables, self.roots, base = [], [], 0
+        tables, self.roots, self.unseen, base = [], [], [], 0
         for lang in self.langs:
-            text = np.concatenate([np.append(self.encode(t), 0) for t in samples[lang]]).tolist()
+            text = joined(np.concatenate([np.append(self.encode(t), 0) for t in samples[lang]])).tolist()
             raw = suffix_automaton(text, self.symbols)
             step = np.where(raw >= 0, (raw + base) * 2, np.where(raw[:1] >= 0, (raw[:1] + base) * 2 + 1, base * 2 + 1))
             step[:, -1] = base * 2
             tables.append(step.astype(np.int32))
             self.roots.append(base)
+            self.unseen.append(np.append(raw[0, :-1] < 0, False))
             self.bits.append(float(np.log2(max(2, len(text)))))
             base += len(raw)
         self.table = np.concatenate(tables).ravel()
+        self.escape = max(self.bits)
 
     def encode(self, text: str) -> np.ndarray:
         codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -94,10 +103,10 @@ class Parser:
         if other.any():
             kinds = {c: bool(_LETTER.match(chr(c))) for c in np.unique(codes[other]).tolist()}
             other[other] = [kinds[c] for c in codes[other].tolist()]
-        return np.where(hit, at + 1, np.where(other, len(self.letters) + 1, 0)).astype(np.int16)
+        return joined(np.where(hit, at + 1, np.where(other, len(self.letters) + 1, 0)).astype(np.int16))
 
-    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases per text and language, and characters per text."""
+    def cost(self, texts: list[str]) -> np.ndarray:
+        """Bits a character of each text in each language."""
         codes = [self.encode(t) for t in texts]
         size = np.array([len(c) for c in codes])
         parts = -(-size // SEGMENT)
@@ -108,7 +117,7 @@ class Parser:
                 grid[row : row + k].reshape(-1)[: len(c)] = c
             row += k
         owner = np.repeat(np.arange(len(texts)), parts)
-        count = np.zeros((len(texts), len(self.langs)), np.int64)
+        bits = np.zeros((len(texts), len(self.langs)))
         columns = np.ascontiguousarray(grid.T.astype(np.int64))
         for k, root in enumerate(self.roots):
             state, n = np.full(len(owner), root * self.symbols, np.int64), np.zeros(len(owner), np.int64)
@@ -116,8 +125,8 @@ class Parser:
                 move = self.table[state + column]
                 n += move & 1
                 state = (move >> 1).astype(np.int64) * self.symbols
-            np.add.at(count[:, k], owner, n + 1)
-        return count, size
+            bits[:, k] = np.bincount(owner, (n + 1) * self.bits[k] + self.unseen[k][grid].sum(axis=1) * self.escape, minlength=len(texts))
+        return bits / np.maximum(1, size)[:, None]
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -178,8 +187,7 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                 known = np.array([p is not None and _LETTER.search(t) is not None for t in texts])
                 langs, scores = ["und"] * len(texts), np.zeros(len(texts))
                 if known.any():
-                    count, size = p.phrases(texts)
-                    bits = count * np.array(p.bits) / np.maximum(1, size)[:, None]
+                    bits = p.cost(texts)
                     best = bits.argmin(axis=1)
                     ranked = np.sort(bits, axis=1)
                     margin = 1 - ranked[:, 0] / ranked[:, 1] if bits.shape[1] > 1 else np.ones(len(texts))
