@@ -326,6 +326,41 @@ def test_language_of_one_short_text(spark, rare):
     assert got == {("a", "a"): 200, ("b", "b"): 200}
 
 
+@pytest.mark.parametrize("letters", [60, 2])
+def test_phrases_equal_brute_force(letters):
+    r = np.random.default_rng(4)
+    samples = {c: ["".join(r.choice(list(s), 300))] for c, s in {"a": "abc ", "b": "bcde1 ", "c": "".join(map(chr, range(0x4E00, 0x4E50)))}.items()}
+    p = language.Parser(samples, letters)
+    texts = ["".join(r.choice(list("abcde 1z\u4e00\u4e07\u4e20\u5e00"), n)) for n in (1, 40, 255)] + [samples["c"][0][40:240], "", "1"]
+    cost = p.cost(texts)
+    for i, t in enumerate(texts):
+        t = "".join("0" if not c.isalpha() else c for c in t)
+        while "00" in t:
+            t = t.replace("00", "0")
+        for k, lang in enumerate(p.langs):
+            s = "".join("0" if not c.isalpha() else c for c in samples[lang][0] + " ")
+            while "00" in s:
+                s = s.replace("00", "0")
+            n, now = 1, ""
+            for c in t:
+                if now + c in s:
+                    now += c
+                else:
+                    n, now = n + 1, c if c in s else ""
+            unseen = sum(c not in s for c in t)
+            want = 0 if not t else (n * np.log2(len(s)) + unseen * p.escape) / len(t)
+            assert abs(cost[i, k] - want) < 1e-9
+
+
+def test_languages_of_many_letters(spark):
+    r = np.random.default_rng(5)
+    scripts = {"en": range(97, 123), "ru": range(0x430, 0x450), "el": range(0x3B1, 0x3CA), "ar": range(0x627, 0x64B), "he": range(0x5D0, 0x5EB),
+               "zh": range(0x4E00, 0x5600), "ja": range(0x3041, 0x3097), "ko": range(0xAC00, 0xB400), "z2": range(0x7000, 0x7800)}
+    docs = labelled(spark, [("".join(map(chr, r.choice(list(s), 80))), c) for c, s in scripts.items() for _ in range(400 if c == "en" else 40)])
+    got = Counter((x["lang"], x["lang_pred"]) for x in docs.join(language.identify(docs), "doc_id").collect())
+    assert got == {(c, c): 400 if c == "en" else 40 for c in scripts}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert suffix_tree.dedup_substrings(docs).count() == 0 and near_dup.one_of_each(docs).count() == 0

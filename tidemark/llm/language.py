@@ -29,8 +29,8 @@ LETTERS = 60
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def suffix_automaton(text: list[int], symbols: int) -> np.ndarray:
-    """Transitions [state, symbol] of the automaton of all substrings; -1 where there is none."""
+def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state, by symbol, of the automaton of all substrings."""
     to: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in text:
@@ -56,11 +56,7 @@ def suffix_automaton(text: list[int], symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    table = np.full((len(to), symbols), -1, np.int32)
-    for s, moves in enumerate(to):
-        if moves:
-            table[s, list(moves)] = list(moves.values())
-    return table
+    return to
 
 
 def joined(codes: np.ndarray) -> np.ndarray:
@@ -68,49 +64,95 @@ def joined(codes: np.ndarray) -> np.ndarray:
     return codes[np.append(True, (codes[1:] != 0) | (codes[:-1] != 0))] if len(codes) else codes
 
 
+class Automaton:
+    """A language's automaton, as next state * 2 + new phrase.
+
+    The most frequent letters of the sample have columns in a dense table (state * width +
+    column); its other letters are looked up among sorted keys (state * symbols + symbol).
+    """
+
+    def __init__(self, text: np.ndarray, symbols: int, letters: int):
+        moves = suffix_automaton(text.tolist())
+        counts = np.bincount(text, minlength=symbols)
+        counts[0] = 0
+        dense = [0, *sorted(np.argsort(-counts, kind="stable")[: min(letters, np.count_nonzero(counts))].tolist())]
+        self.rare, self.unseen, self.padding = len(dense), len(dense) + 1, len(dense) + 2
+        self.width, self.symbols = len(dense) + 3, symbols
+        self.column = np.full(symbols, self.unseen, np.int16)
+        self.column[counts > 0] = self.rare
+        self.column[dense] = np.arange(len(dense))
+        self.column[-1] = self.padding
+        column, states = self.column.tolist(), len(moves)
+        back = np.array([moves[0].get(c, 0) * 2 + 1 for c in [*dense, 0, 0, 0]], np.int32)
+        back[self.rare], back[self.unseen], back[self.padding] = 1, 1, 0
+        table = np.tile(back, (states, 1))
+        keys, to = [], []
+        for s, own in enumerate(moves):
+            for c, q in own.items():
+                if column[c] < self.rare:
+                    table[s, column[c]] = q * 2
+                else:
+                    keys.append(s * symbols + c)
+                    to.append(q * 2)
+        order = np.argsort(np.array(keys, np.int64), kind="stable")
+        self.keys, self.to = np.array(keys, np.int64)[order], np.array(to, np.int32)[order]
+        self.restart = np.zeros(symbols, np.int32)  # of a rare letter: from the first state, as a new phrase
+        for c, q in moves[0].items():
+            self.restart[c] = q * 2 + 1
+        self.table = table.ravel()
+        self.bits = float(np.log2(max(2, len(text))))
+
+    def parse(self, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases, and characters that the sample does not hold, of each row of symbols."""
+        local = self.column[grid]
+        rare = (local == self.rare).any(axis=0)
+        columns = np.ascontiguousarray(local.T.astype(np.int64))
+        state, n = np.zeros(len(grid), np.int64), np.ones(len(grid), np.int64)
+        for j, column in enumerate(columns):
+            move = self.table[state * self.width + column]
+            if rare[j]:
+                at = np.flatnonzero(column == self.rare)
+                symbol = grid[at, j].astype(np.int64)
+                key = state[at] * self.symbols + symbol
+                i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                move[at] = np.where(self.keys[i] == key, self.to[i], self.restart[symbol])
+            n += move & 1
+            state = (move >> 1).astype(np.int64)
+        return n, (local == self.unseen).sum(axis=1)
+
+
 class Parser:
-    """Automata of all languages in one table: state * symbols + symbol -> next state * 2 + new phrase."""
+    """Automata of all languages over the letters of all samples.
+
+    Symbols: 0 is whatever is no letter; then come the letters; then any other letter, which no
+    sample holds; then padding.
+    """
 
     def __init__(self, samples: dict[str, list[str]], letters: int = LETTERS):
-        counts = Counter(c for texts in samples.values() for t in texts for c in t.lower() if _LETTER.match(c))
-        # 0: whatever is no letter; then the known letters; then other letters; then padding
-        known = sorted(sorted(counts, key=lambda c: (-counts[c], c))[:letters])
-        self.symbols = len(known) + 3
-        self.letters = np.array([ord(c) for c in known], np.uint32)
+        self.letters = np.array(sorted({ord(c) for texts in samples.values() for t in texts for c in t.lower() if _LETTER.match(c)}), np.uint32)
+        self.symbols = len(self.letters) + 3
         self.langs = sorted(samples)
-        self.bits = []
-        tables, self.roots, self.unseen, base = [], [], [], 0
-        for lang in self.langs:
-            text = joined(np.concatenate([np.append(self.encode(t), 0) for t in samples[lang]])).tolist()
-            raw = suffix_automaton(text, self.symbols)
-            step = np.where(raw >= 0, (raw + base) * 2, np.where(raw[:1] >= 0, (raw[:1] + base) * 2 + 1, base * 2 + 1))
-            step[:, -1] = base * 2
-            tables.append(step.astype(np.int32))
-            self.roots.append(base)
-            self.unseen.append(np.append(raw[0, :-1] < 0, False))
-            self.bits.append(float(np.log2(max(2, len(text)))))
-            base += len(raw)
-        self.table = np.concatenate(tables).ravel()
-        self.escape = max(self.bits)
+        self.automata = [Automaton(joined(np.concatenate([np.append(self.encode(t), 0) for t in samples[lang]])), self.symbols, letters) for lang in self.langs]
+        self.escape = max(a.bits for a in self.automata)
 
     def encode(self, text: str) -> np.ndarray:
         codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         if not len(codes):
-            return np.zeros(0, np.int16)
+            return np.zeros(0, np.int32)
         at = np.searchsorted(self.letters, codes)
         hit = self.letters[np.minimum(at, len(self.letters) - 1)] == codes if len(self.letters) else np.zeros(len(codes), bool)
-        other = (codes > 127) & ~hit
+        other = ~hit & ((codes > 127) | ((codes >= 97) & (codes <= 122)))
         if other.any():
             kinds = {c: bool(_LETTER.match(chr(c))) for c in np.unique(codes[other]).tolist()}
             other[other] = [kinds[c] for c in codes[other].tolist()]
-        return joined(np.where(hit, at + 1, np.where(other, len(self.letters) + 1, 0)).astype(np.int16))
+        return joined(np.where(hit, at + 1, np.where(other, len(self.letters) + 1, 0)).astype(np.int32))
 
     def cost(self, texts: list[str]) -> np.ndarray:
         """Bits a character of each text in each language."""
         codes = [self.encode(t) for t in texts]
         size = np.array([len(c) for c in codes])
         parts = -(-size // SEGMENT)
-        grid = np.full((int(parts.sum()), SEGMENT), self.symbols - 1, np.int16)
+        grid = np.full((int(parts.sum()), SEGMENT), self.symbols - 1, np.int32)
         row = 0
         for c, k in zip(codes, parts.tolist(), strict=True):
             if k:
@@ -118,14 +160,9 @@ class Parser:
             row += k
         owner = np.repeat(np.arange(len(texts)), parts)
         bits = np.zeros((len(texts), len(self.langs)))
-        columns = np.ascontiguousarray(grid.T.astype(np.int64))
-        for k, root in enumerate(self.roots):
-            state, n = np.full(len(owner), root * self.symbols, np.int64), np.zeros(len(owner), np.int64)
-            for column in columns:
-                move = self.table[state + column]
-                n += move & 1
-                state = (move >> 1).astype(np.int64) * self.symbols
-            bits[:, k] = np.bincount(owner, (n + 1) * self.bits[k] + self.unseen[k][grid].sum(axis=1) * self.escape, minlength=len(texts))
+        for k, a in enumerate(self.automata):
+            n, unseen = a.parse(grid)
+            bits[:, k] = np.bincount(owner, n * a.bits + unseen * self.escape, minlength=len(texts))
         return bits / np.maximum(1, size)[:, None]
 
 
@@ -138,8 +175,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Parser | None:
 
     Different texts are drawn in the order of a hash, each once however many copies there are;
     those of up to a tenth of the sample come first, then pieces of that length from all over the
-    longer ones, until the sample is full or the language used up. The draw is found by sums per power of two
-    of the hash, so about twice the sample is fetched, and nothing only if there is no text.
+    longer ones, until the sample is full or the language used up. The draw is found by sums per
+    power of two of the hash, so about twice the sample is fetched, and nothing only if there is no text.
     """
     base = docs.select(held_out().alias("_held"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     base = base.filter(~F.col("_held") & F.col("lang").isNotNull() & (F.length(F.coalesce("text", F.lit(""))) > 0))
