@@ -169,6 +169,29 @@ def test_mixing(spark, docs, rows):
     assert mixing.mixed(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("share", [1.5, 1.9])
+def test_mixing_of_small_sources(spark, share):
+    r = np.random.default_rng(6)
+    sizes = {"big": 20_000, "s65": 65, "s20": 20, None: 7} | {f"t{i}": int(r.integers(1, 300)) for i in range(60)}
+    data = []
+    for s, n in sizes.items():
+        while n:
+            k = min(n, int(r.integers(1, 90)))
+            data.append((len(data), text(len(data), k), s))
+            n -= k
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    pieces, facts = mixing.mix(docs, share=share)
+    got = {}
+    for x in mixing.taken(pieces, facts).collect():
+        assert x["taken"] <= 2 * x["size"]
+        s = got.setdefault(x["source"], [x["target"], 0])
+        s[1] += x["taken"]
+    assert got.keys() == sizes.keys() and all(abs(target - taken) <= 0.5 for target, taken in got.values())
+    slots = sorted({x["slot"] for x in pieces.select("slot").collect()})
+    assert slots == list(range(len(slots)))
+    assert mixing.mixed(docs).agg(F.sum(mixing.n_words())).first()[0] == sum(round(x["target"]) for x in mixing.mix(docs)[1].select("source", "target").distinct().collect())
+
+
 def test_packing(docs, rows):
     tokenizers = pytest.importorskip("tokenizers")
     t = tokenizers.Tokenizer.from_file(q.tokenizer())

@@ -1,9 +1,11 @@
 """Mixing sources to target weights along a low-discrepancy schedule.
 
-A slot takes one block of ``block`` words. Slot i's point is the fractional part of i times the
-golden ratio; the cumulative target weights map it to a source, so every stretch of the schedule
-holds each source in proportion. A source's documents are shuffled by a hash, laid end to end and
-cut into equal blocks; its r-th slot takes block r, and starts over when they are used up.
+A source's documents are shuffled by a hash, laid end to end and cut into blocks of ``block`` words,
+the last one shorter; its r-th slot takes block r, and starts over when they are used up. It gets
+as many slots as its target takes, and the last is cut where the target is reached. Slot i's point
+is the fractional part of i times the golden ratio; the cumulative slots of the sources map it to
+a source, so every stretch of the schedule holds each source in proportion. What a source gets
+too many goes to those that got too few.
 """
 
 from __future__ import annotations
@@ -46,25 +48,34 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     return one.select("source", "source_size", F.coalesce(F.least(level * F.col("_w"), F.col("_cap")), F.col("_cap")).alias("target"))
 
 
-def schedule(goals: DataFrame, block: int, chunk: int = 4096) -> DataFrame:
-    """Slots (slot, source, rank): each slot's source, and how many slots of it came before.
+def schedule(goals: DataFrame, chunk: int = 4096) -> DataFrame:
+    """Slots (slot, source, rank): each source (source, slots) has its number of slots, with ranks from 0.
 
     Slots are made in chunks; a source's rank is its count in earlier chunks plus its place in
-    the chunk, so no window holds more than a chunk, or one row per chunk and source.
+    the chunk, so no window holds more than a chunk, or one row per chunk and source. Points
+    miss a source's number by a few slots; these few are dealt anew.
     """
-    spans = goals.withColumn("_to", F.sum("target").over(W.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))))
-    spans = spans.select("source", "target", (F.col("_to") - F.col("target")).alias("_from"), "_to").filter("target > 0")
-    total = goals.agg(F.sum("target")).first()[0] or 0.0
-    slots = goals.sparkSession.range(int(round(total / block))).select(
-        F.col("id").alias("slot"), ((F.col("id") * F.lit(GOLDEN) + F.lit(0.5)) % 1.0 * F.lit(float(total))).alias("_point"))
+    spans = goals.withColumn("_to", F.sum("slots").over(W.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))))
+    spans = spans.select("source", "slots", (F.col("_to") - F.col("slots")).alias("_from"), "_to").filter("slots > 0")
+    total = goals.agg(F.sum("slots")).first()[0] or 0
+    slots = goals.sparkSession.range(total).select(
+        F.col("id").alias("slot"), F.least(F.floor((F.col("id") * F.lit(GOLDEN) + F.lit(0.5)) % 1.0 * F.lit(float(total))), F.lit(total - 1)).alias("_point"))
     placed = slots.join(F.broadcast(spans), (F.col("_point") >= F.col("_from")) & (F.col("_point") < F.col("_to"))).select(
-        "slot", "source", F.floor(F.col("slot") / chunk).alias("_chunk"))
+        "slot", "source", "slots", F.floor(F.col("slot") / chunk).alias("_chunk"))
     counts = placed.groupBy("_chunk", "source").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy("source").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     before = before.select(F.col("_chunk").alias("_c"), F.col("source").alias("_s"), "_before")
     inner = F.row_number().over(W.partitionBy("_chunk", "source").orderBy("slot")) - 1
     both = placed.withColumn("_in", inner).join(before, (F.col("_chunk") == F.col("_c")) & F.col("source").eqNullSafe(F.col("_s")))
-    return both.select("slot", "source", (F.col("_before") + F.col("_in")).alias("rank"))
+    ranked = staged(both.select("slot", "source", (F.col("_before") + F.col("_in")).alias("rank"), "slots"))
+    # a few rows per source, as many of the one as of the other
+    over = ranked.filter("rank >= slots").select("slot", F.row_number().over(W.orderBy("slot")).alias("_n"))
+    got = ranked.groupBy(F.col("source").alias("_s")).agg(F.count("*").alias("_got"))
+    short = (spans.join(got, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("_got", F.coalesce("_got", F.lit(0))).filter("_got < slots")
+             .select("source", F.explode(F.sequence(F.col("_got"), F.col("slots") - 1)).alias("rank")))
+    short = short.withColumn("_m", F.row_number().over(W.orderBy(F.xxhash64("source", "rank"), "source", "rank")))
+    anew = over.join(short, F.col("_n") == F.col("_m")).select("slot", "source", "rank")
+    return ranked.filter("rank < slots").select("slot", "source", "rank").unionByName(anew)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 64) -> tuple[DataFrame, DataFrame]:
@@ -73,17 +84,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     Pieces (slot, turn, place, _doc, _text, start, length): slot's block, in order of place, is
     made of these words of these documents, taken for the turn-th time (from 0). Facts (doc_id, _doc, _text, source, size, source_size,
     target): one row per document. Blocks hold exactly ``block`` words; a source's last words
-    that fill no block make a shorter one. No block is taken more than ``most`` times, so no
-    document exceeds ``most`` times its size. A null text has size 0, a null source is the last
+    that fill no block make a shorter one. Each source is taken to its target, rounded to a word.
+    No block is taken more than ``most`` times, so no document exceeds ``most`` times its size. A null text has size 0, a null source is the last
     source, rows without words appear in no piece. Reruns agree: order and slots depend on
     hashes of ids and texts and on counts alone. Copies of a row share their pieces evenly. An empty
     table gives no pieces.
     """
     base = staged(documents(docs, F.col("source").cast("string").alias("source")).withColumn("size", n_words()).select("doc_id", "_doc", "_text", "source", "size"))
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goals = staged(targets(sizes, weights, share, most))
-    g = goals.select(F.col("source").alias("_s"), "source_size", "target")
-    facts = base.join(F.broadcast(g), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    # a source's words to take, in full turns of its blocks and a part of one
+    words = F.least(F.round("target"), F.floor(F.col("source_size") * F.lit(float(most)))).cast("long")
+    goals = targets(sizes, weights, share, most).withColumn("words", words).withColumn("number", F.ceil(F.col("source_size") / block))
+    turns = F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(0)
+    goals = staged(goals.withColumn("slots", (turns * F.col("number") + F.ceil((F.col("words") - turns * F.col("source_size")) / block)).cast("long")))
+    g = goals.select(F.col("source").alias("_s"), "source_size", "target", "words", "number")
+    facts = base.join(F.broadcast(g.drop("words", "number")), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
 
     laid = running(base.filter("size > 0"), [F.col("source")], [F.col("_doc"), F.col("_text")], F.col("size"))
     laid = laid.select("_doc", "_text", "source", "size", "_before")
@@ -91,10 +106,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     start = F.greatest(F.lit(0), F.col("_block") * block - F.col("_before"))
     end = F.least(F.col("size"), (F.col("_block") + 1) * block - F.col("_before"))
     pieces = blocks.select(F.col("source").alias("_s"), "_block", F.col("_before").alias("place"), "_doc", "_text", start.alias("start"), (end - start).alias("length"))
-    number = F.ceil(F.col("source_size") / block)
-    used = (schedule(goals, block).join(F.broadcast(g), F.col("source").eqNullSafe(F.col("_s"))).filter(F.col("rank") < F.floor(number * most))
-            .select("slot", F.col("source").alias("_q"), (F.col("rank") % number).alias("_want"), F.floor(F.col("rank") / number).alias("turn")))
+    used = (schedule(goals).join(F.broadcast(g), F.col("source").eqNullSafe(F.col("_s")))
+            .withColumns({"_want": F.col("rank") % F.col("number"), "turn": F.floor(F.col("rank") / F.col("number"))})
+            .select("slot", F.col("source").alias("_q"), "_want", "turn", (F.col("words") - F.col("turn") * F.col("source_size")).alias("_end")))
     out = used.join(pieces, F.col("_q").eqNullSafe(F.col("_s")) & (F.col("_want") == F.col("_block")))
+    # the last slot ends where the source has its words
+    out = out.withColumn("length", F.least(F.col("length"), F.col("_end") - F.col("place") - F.col("start"))).filter("length > 0")
     return out.select("slot", "turn", "place", "_doc", "_text", "start", "length"), facts
 
 
