@@ -139,6 +139,16 @@ def test_group_links_equal_brute_force():
     assert parts(near_dup.group_links(sets, np.arange(80), 92)) == parts(pairs)
 
 
+def test_window_hashes_are_independent():
+    from tidemark.llm import repeats, rolling
+
+    a = np.random.default_rng(7).integers(0, 1 << 62, 50).astype(np.uint64)
+    b = a.copy()
+    b[:2] += np.array([rolling.BASE, (1 << 64) - 1], np.uint64)  # equal by the first hash
+    (one, two), (one_, two_) = (repeats.window_hashes(x, np.array([0]), 50) for x in (a, b))
+    assert one == one_ and two != two_ and rolling.Prefix(~a * np.uint64(3)).range(0, 50) == rolling.Prefix(~b * np.uint64(3)).range(0, 50)
+
+
 def test_mixing(spark, docs, rows):
     pieces, facts = mixing.mix(docs, block=16)
     got = mixing.taken(pieces, facts).collect()

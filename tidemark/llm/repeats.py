@@ -31,11 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, packed, slices, staged, unsqueeze, whole_groups
-from .rolling import Prefix, covered
+from .rolling import Prefix, U, covered, mix
 
 #: One row per distinct run, with its text; what ``solve`` gets, sorted by (anchor, extent).
 CONTEXT = "anchor long, extent long, doc long, seen long, n int, offset int, left int, context binary"
 SOLVED = "anchor long, extent long, bits binary"
+SECOND = U(0x5851F42D4C957F2D)
 
 
 @dataclass(frozen=True)
@@ -112,15 +113,20 @@ def _solved(contexts: DataFrame, scheme: Scheme) -> DataFrame:
     return contexts.repartition("anchor").sortWithinPartitions("anchor", "extent").mapInArrow(run, SOLVED)
 
 
+def window_hashes(values: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each window; the second's units are scrambled anew, so that it is no image of the first."""
+    return Prefix(values).range(start, start + window), Prefix(mix(values ^ SECOND)).range(start, start + window)
+
+
 def _by_window(contexts: DataFrame, scheme: Scheme) -> DataFrame:
-    """Heavy anchors: each window is a class of its own, found by a 128-bit hash."""
+    """Heavy anchors: each window is a class of its own, found by its anchor and two 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 values = scheme.units(row["context"])
                 start = row["left"] - row["offset"] + np.arange(row["n"])
-                one, two = Prefix(values).range(start, start + scheme.window), Prefix(~values * np.uint64(3)).range(start, start + scheme.window)
+                one, two = window_hashes(values, start, scheme.window)
                 n = len(start)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.full(n, row["anchor"])), pa.array(np.full(n, row["extent"])),
@@ -128,9 +134,9 @@ def _by_window(contexts: DataFrame, scheme: Scheme) -> DataFrame:
                     names=["one", "two", "anchor", "extent", "doc", "seen", "i"])
 
     rows = contexts.dropDuplicates(["anchor", "extent"]).mapInArrow(run, "one long, two long, anchor long, extent long, doc long, seen long, i int")
-    classes = rows.groupBy("one", "two").agg(F.min("doc").alias("least"), F.sum("seen").alias("all"))
+    classes = rows.groupBy("anchor", "one", "two").agg(F.min("doc").alias("least"), F.sum("seen").alias("all"))
     test = F.col("doc") > F.col("least") if scheme.rule == "earlier" else F.col("all") > 1
-    hits = rows.join(classes.filter("all > 1"), ["one", "two"]).filter(test)
+    hits = rows.join(classes.filter("all > 1"), ["anchor", "one", "two"]).filter(test)
 
     listed = hits.groupBy("anchor", "extent").agg(F.collect_set("i").alias("places"))
 
