@@ -11,12 +11,9 @@ are numbered within their length by all tasks and take their places in it.
 
 from __future__ import annotations
 
-import os
 import sys
 import zlib
-from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,74 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import documents, running, slices, staged
+from .encoder import Encoder
 
 SIZE = 1024
 END = 2
-GROUP = 256
-
-
-class Encoder:
-    """Token ids of texts, with the ids of words seen before remembered.
-
-    A text may be cut before a single space between two characters that are no white space: a
-    token never spans such a place. Texts with other white space around spaces are encoded whole.
-    """
-
-    def __init__(self, path: str, most: int = 150_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.begins[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # how byte-level vocabularies write a space
-        self.most = most
-        self.new: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]) -> None:
-        odd = {w for w in words if not w or w[0].isspace() or w[-1].isspace()}
-        plain = list(words - odd)
-        # Many words in one text, told apart by the tokens that begin with a space, save most of the cost of a call.
-        groups = [plain[i : i + GROUP] for i in range(0, len(plain), GROUP)]
-        for group, ids in zip(groups, self._ids([" " + " ".join(g) for g in groups]), strict=True):
-            at = (4 * np.flatnonzero(self.begins[np.frombuffer(ids, "<u4")])).tolist()
-            if len(at) == len(group):
-                self.new.update(zip(group, map(ids.__getitem__, map(slice, at, [*at[1:], len(ids)])), strict=True))
-            else:
-                self.new.update(zip(group, self._ids([f" {w}" for w in group]), strict=True))
-        self.new.update(dict.fromkeys(odd))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit numbers."""
-        if len(self.new) > self.most:
-            self.old, self.new = self.new, {}
-        cuts = [t.split(" ") for t in texts]
-        new, old = self.new, self.old
-        unknown = set().union(*cuts).difference(new)
-        known = unknown.intersection(old)
-        new.update({w: old[w] for w in known})
-        self._learn(unknown - known)
-        firsts = self._ids([c[0] for c in cuts])
-        out: list[bytes | None] = []
-        for cut, first in zip(cuts, firsts, strict=True):
-            try:
-                out.append(first + b"".join(map(new.__getitem__, cut[1:])))  # type: ignore[misc]
-            except TypeError:
-                out.append(None)
-        # an odd first word, or white space around a space, changes where tokens may begin
-        odd = [i for i, (c, o) in enumerate(zip(cuts, out, strict=True)) if o is None or (len(c) > 1 and (not c[0] or c[0][-1].isspace()))]
-        for i, ids in zip(odd, self._ids([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        return out  # type: ignore[return-value]
-
-
-@lru_cache(maxsize=2)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, with_ids: bool = False) -> DataFrame:
@@ -103,30 +36,30 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = E
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer)
-        mark = np.array([end], "<u4").tobytes()
+        encoder = Encoder(tokenizer)  # of this task only: a reused worker does not hold it on
         for batch in batches:
-            for a, b in slices(((t.as_py() or 0) for t in pc.binary_length(batch["text"])), 1 << 20):
+            for a, b in slices(((t.as_py() or 0) for t in pc.binary_length(batch["text"])), 4 << 20):
                 part = batch.slice(a, b - a)
-                row, piece, start, length, crc, ids = [], [], [], [], [], []
-                for i, all_ids in enumerate(encoder.encode([t or "" for t in part["text"].to_pylist()])):
-                    all_ids += mark
-                    n = len(all_ids) // 4
-                    first = n % size or size
-                    for k, s in enumerate([0, *range(first, n, size)] if n > size else [0]):
-                        e = min(n, first + k * size) if n > size else n
-                        row.append(i)
-                        piece.append(k)
-                        start.append(s)
-                        length.append(e - s)
-                        crc.append(zlib.crc32(all_ids[4 * s : 4 * e]))
-                        if with_ids:
-                            ids.append(np.frombuffer(all_ids[4 * s : 4 * e], "<u4").astype(np.int32))
-                at = pa.array(row, pa.int64())
+                ids, ends = encoder.encode_flat(part["text"], end)
+                begin = np.append(0, ends[:-1])
+                n = ends - begin
+                many = -(-n // size)
+                row = np.repeat(np.arange(len(n)), many)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                first = (n - (many - 1) * size)[row]
+                start = np.where(piece == 0, 0, first + (piece - 1) * size)
+                length = np.where(piece == 0, first, size)
+                place = begin[row] + start
+                raw = memoryview(ids).cast("B")
+                crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(place.tolist(), (place + length).tolist(), strict=True)]
+                at = pa.array(row)
                 columns = [part["doc_id"].take(at), part["_doc"].take(at), part["_text"].take(at), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                            pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 names = ["doc_id", "_doc", "_text", "piece", "start", "length", "ids_crc32"]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.list_(pa.int32()))] if with_ids else columns, names=[*names, "ids"] if with_ids else names)
+                if with_ids:  # pieces lie end to end in the ids
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(place, len(ids)), pa.int32()), pa.array(ids.view(np.int32))))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "doc_id long, _doc long, _text long, piece int, start long, length long, ids_crc32 long"
     return documents(docs).mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, neighbours, toxicity
+from . import chat, mixing, neighbours, negatives, token_files, toxicity
 from .language import identify
 from .near_dup import near_duplicates
 from .packing import pack
 from .quality import quality
+from .spelling import spelling_variants
 from .suffix_sort import remove_repeats
 from .suffix_tree import dedup_substrings
 
@@ -73,6 +74,18 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return identify(_table(spark, sf, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    return negatives.mine(negatives.quantised(negatives.moved_labels(_table(spark, sf, "embeddings"))))
+
+
+def op12_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    return token_files.round_trip(_table(spark, sf, "documents"), tokenizer())
+
+
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf, "documents"), drop_every=199)
+
+
 #: Categories in the order of the chain, as expressions over the labels.
 TOXICITY = {"low_quality": "1 - quality", "toxic": "toxic"}
 
@@ -87,5 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_language_id": op10_language_id,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_token_files": op12_token_files,
+    "op13_spelling_variants": op13_spelling_variants,
 }
-SQL: dict[str, str] = {"op1_rotated_one_bit_codes": neighbours.SQL, "op4_perspective_rotation": chat.SQL}
+SQL: dict[str, str] = {"op1_rotated_one_bit_codes": neighbours.SQL, "op4_perspective_rotation": chat.SQL, "op11_hard_negatives": negatives.SQL}
