@@ -91,7 +91,10 @@ def test_random_access_of_a_file(tmp_path):
     r = np.random.default_rng(0)
     docs = [r.integers(0, 32_000, n).astype(np.uint32) for n in (0, 1, 700, 5, 64, 300)]
     ids, begins = np.concatenate(docs), np.append(0, np.cumsum([len(d) for d in docs]))
-    data = token_files.file_bytes([1, None, 3, -4, 5, 6], begins, ids, token_files.bits_for(32_000), 2, 3, block=64) + b"\n"
+    file = token_files.FileBuilder(token_files.bits_for(32_000), 2, 3, block=64)
+    file.add([1, None], begins[1:3], ids[: begins[2]])
+    file.add([3, -4, 5, 6], begins[3:] - begins[2], ids[begins[2] :])
+    data = file.bytes() + b"\n"
     (tmp_path / "f").write_bytes(data)
     f = token_files.TokenFile(np.memmap(tmp_path / "f", np.uint8, "r"))
     assert (f.bits, f.doc_ids, f.shard, f.part, f.n_ids) == (15, [1, None, 3, -4, 5, 6], 2, 3, len(ids))

@@ -27,7 +27,7 @@ MARKS = ".,;:!?"
 class Encoder:
     """Ids of texts as little-endian 32-bit numbers; about ``most`` words are remembered."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -142,7 +142,7 @@ class Encoder:
         cut = pc.split_pattern(texts, " ")
         edges, table = cut.offsets.to_numpy(), cut.flatten().dictionary_encode()
         edges = edges - edges[0]
-        distinct, code = table.dictionary.to_pylist(), table.indices.to_numpy()
+        distinct, code = table.dictionary.to_numpy(zero_copy_only=False).tolist(), table.indices.to_numpy()
         rows_of = np.fromiter(map(self.inner.get, distinct, repeat(-1)), np.int64, len(distinct))
         self.again[rows_of[rows_of >= 0]] = True
         # White space at an end of a word stands beside a space. No such word is known.

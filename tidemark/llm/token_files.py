@@ -29,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.sources.workdir import shared_folder
@@ -39,7 +40,7 @@ from .encoder import Encoder
 MAGIC = b"TMTOKENS"
 HEADER = struct.Struct("<8sIIQQIIQ")
 BLOCK = 1 << 14
-FILE_IDS = 1 << 22
+FILE_IDS = 1 << 24
 END = 2
 
 
@@ -83,16 +84,35 @@ def unpack_bits(data: bytes | memoryview | np.ndarray, n: int, bits: int) -> np.
     return out.ravel()[:n]
 
 
-def file_bytes(doc_ids: Sequence[int | None], begins: np.ndarray, ids: np.ndarray, bits: int, shard: int, part: int, block: int = BLOCK) -> bytes:
-    """One file: documents with these ids, where each begins (and, last, where all end), and all their token ids."""
-    blocks = [pack_bits(ids[i : i + block], bits) for i in range(0, len(ids), block)]
-    n = len(doc_ids)
-    known = np.array([d is not None for d in doc_ids], np.uint8).tobytes()
-    names = np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes()
-    front = HEADER.size + 8 * n + n + 8 * (n + 1) + 8 * (len(blocks) + 1)
-    places = front + np.append(0, np.cumsum([len(b) for b in blocks], dtype=np.int64))
-    head = HEADER.pack(MAGIC, bits, block, n, len(ids), shard, part, len(blocks))
-    return b"".join([head, names, known, begins.astype("<u8").tobytes(), places.astype("<u8").tobytes(), *blocks])
+class FileBuilder:
+    """One file in the making: whole documents, their ids packed block by block as they come."""
+
+    def __init__(self, bits: int, shard: int, part: int, block: int = BLOCK):
+        self.bits, self.shard, self.part, self.block = bits, shard, part, block
+        self.names: list[int | None] = []
+        self.ends: list[np.ndarray] = [np.zeros(1, np.int64)]
+        self.blocks: list[bytes] = []
+        self.open, self.n_ids = np.zeros(0, np.uint32), 0
+
+    def add(self, names: Sequence[int | None], ends: np.ndarray, ids: np.ndarray) -> None:
+        """Documents with these ids; ``ends`` counts from the first of them."""
+        self.names += names
+        self.ends.append(ends + self.n_ids)
+        self.n_ids += len(ids)
+        ids = np.concatenate([self.open, ids])
+        full = len(ids) - len(ids) % self.block
+        self.blocks += [pack_bits(ids[i : i + self.block], self.bits) for i in range(0, full, self.block)]
+        self.open = ids[full:].copy()
+
+    def bytes(self) -> bytes:
+        blocks = [*self.blocks, pack_bits(self.open, self.bits)] if len(self.open) else self.blocks
+        n = len(self.names)
+        known = np.array([d is not None for d in self.names], np.uint8).tobytes()
+        names = np.array([0 if d is None else d for d in self.names], "<i8").tobytes()
+        front = HEADER.size + 8 * n + n + 8 * (n + 1) + 8 * (len(blocks) + 1)
+        places = front + np.append(0, np.cumsum([len(b) for b in blocks], dtype=np.int64))
+        head = HEADER.pack(MAGIC, self.bits, self.block, n, self.n_ids, self.shard, self.part, len(blocks))
+        return b"".join([head, names, known, np.concatenate(self.ends).astype("<u8").tobytes(), places.astype("<u8").tobytes(), *blocks])
 
 
 @dataclass
@@ -133,7 +153,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END, fil
     """Write every document's ids, then ``end``, to token files under ``path``, in ascending doc_id.
 
     Documents are dealt by ranges of (doc_id, hash of the text) and a number that spreads equal rows, so
-    many rows with one id do not meet in one task, and sorted in each task; a task encodes about 4 MB of text at a
+    many rows with one id do not meet in one task, and sorted in each task; a task encodes about 3 MB of text at a
     time. Documents with one id follow one another in the order of their texts' hashes, those
     without id come last; an empty or null text has the end id alone. A text longer than a file
     makes that file longer. An empty table gives no documents. Other columns are ignored.
@@ -142,35 +162,24 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END, fil
     rows = documents(docs).withColumn("_spread", spread).repartitionByRange("_doc", "_text", "_spread").sortWithinPartitions("_doc", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, part = Encoder(tokenizer), TaskContext.get().partitionId(), 0
-        bits = bits_for(max(encoder.size, end + 1))
-        names: list[int | None] = []
-        held: list[np.ndarray] = []
-        begins: list[np.ndarray] = [np.zeros(1, np.int64)]
-        total = 0
-
-        def record() -> pa.RecordBatch:
-            whole = file_bytes(names, np.concatenate(begins), np.concatenate(held), bits, shard, part, block)
-            return pa.RecordBatch.from_arrays([pa.array([whole], pa.binary())], names=["value"])
-
+        encoder = Encoder(tokenizer)
+        bits, shard = bits_for(max(encoder.size, end + 1)), TaskContext.get().partitionId()
+        file = FileBuilder(bits, shard, 0, block)
         for batch in batches:
-            for a, b in slices(((t.as_py() or 0) for t in pc.binary_length(batch["text"])), 4 << 20):
+            for a, b in slices(((t.as_py() or 0) for t in pc.binary_length(batch["text"])), 3 << 20):
                 piece = batch.slice(a, b - a)
                 ids, ends = encoder.encode_flat(piece["text"], end)
                 own, done = piece["doc_id"].to_pylist(), 0
                 while done < len(own):
                     base = int(ends[done - 1]) if done else 0
-                    stop = max(done + 1, int(np.searchsorted(ends, base + file_ids - total, side="right")))
-                    upto = int(ends[stop - 1])
-                    names += own[done:stop]
-                    held.append(ids[base:upto])
-                    begins.append(ends[done:stop] - base + total)
-                    total, done = total + upto - base, stop
-                    if total >= file_ids or done < len(own):
-                        yield record()
-                        names, held, begins, total, part = [], [], [np.zeros(1, np.int64)], 0, part + 1
-        if names:
-            yield record()
+                    stop = max(done + 1, int(np.searchsorted(ends, base + file_ids - file.n_ids, side="right")))
+                    file.add(own[done:stop], ends[done:stop] - base, ids[base : int(ends[stop - 1])])
+                    done = stop
+                    if file.n_ids >= file_ids or done < len(own):
+                        yield pa.RecordBatch.from_arrays([pa.array([file.bytes()], pa.binary())], names=["value"])
+                        file = FileBuilder(bits, shard, file.part + 1, block)
+        if file.names:
+            yield pa.RecordBatch.from_arrays([pa.array([file.bytes()], pa.binary())], names=["value"])
 
     files = rows.select("doc_id", "text").mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
     files.write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
@@ -187,7 +196,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
     """Documents of the token files under ``path``: doc_id, start, n_tokens, ids_crc32, and the ids on demand.
 
     ``start`` is the number of ids of all documents before. A file is one row of the reader; it is
-    unpacked block by block. The sums over files are one row a file, kept by the driver.
+    unpacked in pieces of 10,000 documents. The driver sees one number per shard (task of the writer).
     """
     files = spark.read.format("binaryFile").load(path).select("content")
     fields = "shard int, part int, place long, doc_id long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
@@ -215,17 +224,18 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
 
     rows = files.mapInArrow(run, fields)
     if with_ids:
-        counts = files.mapInArrow(sizes, "shard int, part int, n long")
+        counts = staged(files.mapInArrow(sizes, "shard int, part int, n long"))
     else:
         rows = staged(rows)
         counts = rows.groupBy("shard", "part").agg(F.sum("n_tokens").alias("n"))
     starts, total = [], 0
-    for r in sorted(counts.collect()):
-        starts.append((r["shard"], r["part"], total))
+    for r in counts.groupBy("shard").agg(F.sum("n").alias("n")).orderBy("shard").collect():
+        starts.append((r["shard"], total))
         total += r["n"]
-    # one row a file, as the driver has held them
-    before = spark.createDataFrame(starts, "shard int, part int, before long")
-    out = rows.join(F.broadcast(before) if len(starts) <= 100_000 else before, ["shard", "part"])
+    earlier = W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    shards = spark.createDataFrame(starts, "shard int, base long")
+    places = counts.join(shards, "shard").select("shard", "part", (F.col("base") + F.coalesce(F.sum("n").over(earlier), F.lit(0))).alias("before"))
+    out = rows.join(places, ["shard", "part"])
     return out.select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 
 
