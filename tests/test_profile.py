@@ -97,25 +97,30 @@ def test_correlations_of_hard_values(spark):
     big, inf, nan = 1.7e308, float("inf"), float("nan")
     data = [(big * s, 1e9 + i, inf if i == 3 else nan if i == 5 else float(i), 7e15 + 0.0 * i, None) for i, s in enumerate([1, -1] * 10)]
     df = spark.createDataFrame(data, "a double, b double, c double, d double, e double")
-    for width in (1024, 2):
-        got = {(r[0], r[1]): r[2] for r in prof.correlation_pairs(df, list("abcde"), width).collect()}
+    for width, narrow in ((1024, 32), (1024, 0), (2, 0)):
+        got = {(r[0], r[1]): r[2] for r in prof.correlation_pairs(df, list("abcde"), width, narrow).collect()}
         assert len(got) == 10
         assert got[("b", "c")] == pytest.approx(1.0)
         assert got[("a", "b")] == pytest.approx(np.corrcoef([1, -1] * 10, range(20))[0, 1])
         assert all(got[p] is None for p in got if set(p) & {"d", "e"})
-    assert {r[2] for r in prof.correlation_pairs(df.limit(0), list("abc")).collect()} == {None}
+    for narrow in (32, 0):
+        assert {r[2] for r in prof.correlation_pairs(df.limit(0), list("abc"), narrow=narrow).collect()} == {None}
 
 
-def test_wide_correlations(spark):
+def test_wide_correlations(spark, monkeypatch):
+    monkeypatch.setattr(prof, "BLOCK", 16)
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 60)) + rng.normal(size=(300, 1))
     x[rng.random(x.shape) < 0.2] = np.nan
     cols = [f"c{i}" for i in range(60)]
     df = spark.createDataFrame(pd.DataFrame(x, columns=cols))
     want = pd.DataFrame(x, columns=cols).corr()
-    got = prof.correlation_pairs(df, cols, 25).collect()
-    assert len(got) == 60 * 59 // 2
-    assert max(abs(r[2] - want.loc[r[0], r[1]]) for r in got) < 1e-9
+    for parts in (1, 40):
+        got = prof.correlation_pairs(df.repartition(parts), cols, 25).collect()
+        assert len(got) == 60 * 59 // 2
+        assert max(abs(r[2] - want.loc[r[0], r[1]]) for r in got) < 1e-9
+    few = prof.correlation_pairs(df, cols[:8]).collect()
+    assert len(few) == 28 and max(abs(r[2] - want.loc[r[0], r[1]]) for r in few) < 1e-9
 
 
 def test_skewness_is_population(spark):
@@ -172,3 +177,33 @@ def test_quantiles_end_on_extreme_values(spark):
         at = p * (len(order) - 1)
         low = order[int(at)]
         assert abs(got[name] - (low + (order[min(int(at) + 1, len(order) - 1)] - low) * (at - int(at)))) < 1e-9
+
+
+def test_quantiles_take_few_passes(spark, monkeypatch):
+    from tidemark.operators import quantiles
+
+    passes = []
+    settle = quantiles._settle
+    monkeypatch.setattr(quantiles, "_settle", lambda *a: passes.append(1) or settle(*a))
+    rng = np.random.default_rng(5)
+    for values in (10.0 ** rng.uniform(-300, -5, 60_000), 10.0 ** rng.uniform(-300, 300, 60_000) * rng.choice([-1, 1], 60_000),
+                   np.concatenate([np.full(30_000, 2.5), rng.standard_cauchy(30_000)])):
+        df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(4)
+        for few in (True, False):
+            passes.clear()
+            got = quantiles.exact_quantiles(df, "v", (0.25, 0.5, 0.99), group=[], small=40, few_groups=few).first()
+            # 60,000 values to at most 40, as 10^8 to 100,000 would be
+            assert len(passes) <= 5 and [got[1], got[2], got[3]] == pytest.approx(np.quantile(values, (0.25, 0.5, 0.99)).tolist(), rel=1e-12)
+
+
+def test_discrete_and_estimated_quantiles(spark):
+    from tidemark.operators import quantiles
+
+    df = spark.createDataFrame([(g, float(v)) for g, n in (("a", 1), ("b", 10), ("c", 4001)) for v in range(n)] + [("d", None)], "g string, v double")
+    for small in (None, 20):
+        got = {r["g"]: tuple(r[2:]) for r in quantiles.exact_quantiles(df, "v", (0.0, 0.25, 0.5, 1.0), group=["g"], method="disc", small=small).collect()}
+        assert got == {"a": (0.0,) * 4, "b": (0.0, 2.0, 4.0, 9.0), "c": (0.0, 1000.0, 2000.0, 4000.0)}
+    for r in quantiles.approx_quantiles(df, "v", (0.25, 0.9), group=["g"]).collect():
+        assert abs(r["q0_25"] - 0.25 * (r["n"] - 1)) <= 0.01 * r["n"] + 1 and abs(r["q0_9"] - 0.9 * (r["n"] - 1)) <= 0.01 * r["n"] + 1
+    with pytest.raises(ValueError, match="unknown method"):
+        quantiles.exact_quantiles(df, "v", (0.5,), group=[], method="near")

@@ -45,7 +45,7 @@ def metric_durations(events: DataFrame, status: str, name: str = "name", value:
     stats = events.groupBy(name).agg(
         F.count(F.lit(1)).alias("calls"), F.avg(value).alias("mean"), F.max(value).alias("max"),
         (F.count_if(F.col(status) == success) / F.count(F.lit(1))).alias("success_ratio"))
-    high = exact_quantiles(events, value, (p,), group=[name], names=("p",)).select(name, F.col("p").alias("p" + f"{p * 100:g}".replace(".", "_")))
+    high = exact_quantiles(events, value, (p,), group=[name], names=("p",), few_groups=True).select(name, F.col("p").alias("p" + f"{p * 100:g}".replace(".", "_")))
     return join_same_key(stats, high, [name], "left")
 
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,7 +96,7 @@ def numeric_profile(df: DataFrame, cols: Sequence[str], *, key: Sequence[str] =
 def iqr_fences(df: DataFrame, cols: Sequence[str], *, key: Sequence[str] = (), k: float = 1.5) -> DataFrame:
     """Quartiles and ``q1 - k*iqr``, ``q3 + k*iqr`` per column (and key)."""
     q = exact_quantiles(melt_numbers(df, cols, key), "value", (0.25, 0.75), group=[*key, "column"],
-                        names=("q1", "q3"))
+                        names=("q1", "q3"), few_groups=not key)
     iqr = F.col("q3") - F.col("q1")
     return q.select(*key, "column", "n", "q1", "q3", (F.col("q1") - k * iqr).alias("lower"),
                     (F.col("q3") + k * iqr).alias("upper"))
@@ -137,64 +138,174 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _column_ranges(rows: DataFrame, k: int) -> DataFrame:
-    """(i, n, mean, lo, hi) of the finite values of each column and batch; a column without any gives no row."""
+    """(i, n, mean, lo, hi) of the finite values of each column and task; a column without any gives no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, mean, low, high = np.zeros(k), np.zeros(k), np.full(k, np.inf), np.full(k, -np.inf)
         for batch in batches:
-            x = _matrix(batch)
-            n = np.isfinite(x).sum(axis=0)
-            at = np.flatnonzero(n)
-            x, n = x[:, at], n[at]
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n), pa.array(np.nansum(x / n, axis=0)), pa.array(np.nanmin(x, axis=0)),
-                                                  pa.array(np.nanmax(x, axis=0))], names=["i", "n", "mean", "lo", "hi"])
+            for at in range(0, batch.num_rows, step):
+                x = _matrix(batch.slice(at, step))
+                n = np.isfinite(x).sum(axis=0)
+                total = np.maximum(count + n, 1)
+                mean = mean * (count / total) + np.nansum(x / total, axis=0)
+                count += n
+                low, high = np.fmin(low, np.fmin.reduce(x, axis=0)), np.fmax(high, np.fmax.reduce(x, axis=0))
+        at = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at].astype(np.int64)), *[pa.array(v[at]) for v in (mean, low, high)]], names=["i", "n", "mean", "lo", "hi"])
 
+    step = max(1, (1 << 22) // k)
     return rows.mapInArrow(run, "i long, n long, mean double, lo double, hi double")
 
 
-def _pair_sums(df: DataFrame, k: int, low: int, high: int, shift: np.ndarray, scale: np.ndarray) -> DataFrame:
-    """Sums over the rows where both columns have a value, for pairs (i, j) with low <= i < high and i < j < k.
+# Sums of a pair of columns over the rows where both have a value.
+_SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+# Up to this many columns the moments of a task are a few kilobytes; beyond, sums travel as square blocks of columns.
+NARROW = 32
+BLOCK = 128
+# Tasks that may send blocks, and groups that add them up before the last sum.
+SENDERS = 512
+ADDERS = 16
+
+
+def _moments(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Count, mean and second moment of column i, and co-moment, over the rows where columns i and j have values.
 
-    A task adds its rows up as products of matrices and gives one row per pair.
+    Values are taken relative to one of them near the mean; columns beyond 2^300 are scaled by a power of two,
+    whose exponents come second.
+    """
+    has = np.isfinite(x)
+    values = np.where(has, x, 0.0)
+    power = np.frexp(np.abs(values).max(axis=0, initial=0.0))[1]
+    power = np.where(np.abs(power) > 300, power, 0)
+    values = np.ldexp(values, -power)
+    m = has.astype(float)
+    far = np.where(has, np.abs(values - values.sum(axis=0) / np.maximum(m.sum(axis=0), 1)), np.inf)
+    shift = values[far.argmin(axis=0), np.arange(x.shape[1])] if len(x) else np.zeros(x.shape[1])
+    values = np.where(has, values - shift, 0.0)
+    n, s, q, c = m.T @ m, values.T @ m, (values * values).T @ m, values.T @ values
+    some = np.maximum(n, 1)
+    return np.stack([n, shift[:, None] + s / some, np.maximum(0, q - s * s / some), c - s * s.T / some]), power
+
+
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The moments of two sets of rows together."""
+    # a column of zeros only has no exponent to say
+    power = np.where(np.abs(a[1]) > np.abs(b[1]), a[1], b[1])
+    (n1, mean1, m1, c1), (n2, mean2, m2, c2) = (_rescaled(*one, power) for one in (a, b))
+    n = n1 + n2
+    share, weight, d = n2 / np.maximum(n, 1), n1 * n2 / np.maximum(n, 1), np.where((n1 > 0) & (n2 > 0), mean2 - mean1, 0.0)
+    return np.stack([n, np.where(n1 > 0, mean1 + d * share, mean2), m1 + m2 + weight * d * d, c1 + c2 + weight * d * d.T]), power
+
+
+def _rescaled(moments: np.ndarray, power: np.ndarray, to: np.ndarray) -> np.ndarray:
+    if (power == to).all():
+        return moments
+    by = power - to
+    return np.stack([moments[0], np.ldexp(moments[1], by[:, None]), np.ldexp(moments[2], 2 * by[:, None]), np.ldexp(moments[3], by[:, None] + by)])
+
+
+def _narrow_pairs(rows: DataFrame, cols: Sequence[str]) -> list[tuple[str, str, float | None]]:
+    """All pairs from one scan: each task sends the moments of its rows, and the driver merges those of at most SENDERS tasks."""
+    k = len(cols)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            one = _moments(_matrix(batch))
+            total = one if total is None else _merged(total, one)
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"moments": [total[0].tobytes()], "power": [total[1].astype(np.int64).tobytes()]})
+
+    total = None
+    for r in rows.coalesce(SENDERS).mapInArrow(run, "moments binary, power binary").collect():
+        one = np.frombuffer(r["moments"]).reshape(4, k, k), np.frombuffer(r["power"], np.int64)
+        total = one if total is None else _merged(total, one)
+    if total is None:
+        return [(cols[i], cols[j], None) for i in range(k) for j in range(i + 1, k)]
+    n, mean, m, c = total[0]
+    varies = m > 1e-28 * n * mean * mean
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = np.clip(c / np.sqrt(m) / np.sqrt(m.T), -1.0, 1.0)
+    return [(cols[i], cols[j], float(r[i, j]) if n[i, j] > 1 and varies[i, j] and varies[j, i] else None) for i in range(k) for j in range(i + 1, k)]
+
+
+def _block_sums(rows: DataFrame, k: int, low: int, high: int, shift: np.ndarray, scale: np.ndarray) -> DataFrame:
+    """(bi, bj, part, sums): one row per task and pair of column blocks with low <= BLOCK * bi < high and bi <= bj.
+
+    A task adds its rows up as products of matrices; ``sums`` holds the six matrices of a block.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, any_rows = np.zeros((6, high - low, k)), False
+        sums, any_rows = np.zeros((6, high - low, k - low)), False
         for batch in batches:
             any_rows = any_rows or batch.num_rows > 0
             for at in range(0, batch.num_rows, step):
-                x = _matrix(batch.slice(at, step))
+                x = _matrix(batch.slice(at, step))[:, low:]
                 has = np.isfinite(x)
-                x = np.where(has, (x - shift) / scale, 0.0)
+                x = np.where(has, (x - shift[low:]) / scale[low:], 0.0)
                 m, xx = has.astype(float), x * x
-                left = slice(low, high)
+                left = slice(0, high - low)
                 for out, p, q in zip(sums, (m, x, m, xx, m, x), (m, m, x, m, xx, x), strict=True):
                     out += p[:, left].T @ q
         if not any_rows:
             return
-        i, j = np.nonzero(np.arange(low, high)[:, None] < np.arange(k))
-        for at in range(0, len(i), 1 << 16):
-            a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(a + low), pa.array(b), *[pa.array(s[a, b]) for s in sums]], names=["i", "j", *_SUMS])
+        part = TaskContext.get().partitionId() % ADDERS
+        for i in range(low, high, BLOCK):
+            for j in range(i, k, BLOCK):
+                block = sums[:, i - low : min(i + BLOCK, high) - low, j - low : j - low + BLOCK]
+                yield pa.RecordBatch.from_pylist([{"bi": i // BLOCK, "bj": j // BLOCK, "part": part, "sums": block.tobytes()}], schema=schema)
 
+    schema = pa.schema([("bi", pa.int32()), ("bj", pa.int32()), ("part", pa.int32()), ("sums", pa.binary())])
     step = max(1, (1 << 22) // k)
-    return df.mapInArrow(run, "i long, j long, " + ", ".join(f"{s} double" for s in _SUMS))
+    return rows.mapInArrow(run, "bi int, bj int, part int, sums binary")
 
 
-_SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+def _added(blocks: DataFrame, *keys: str) -> DataFrame:
+    """Blocks with equal keys added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for *key, sums in zip(*[batch[c].to_pylist() for c in keys], batch["sums"], strict=True):
+                one = np.frombuffer(sums.as_buffer())
+                total[tuple(key)] = total[tuple(key)] + one if tuple(key) in total else one
+        for key, sums in total.items():
+            yield pa.RecordBatch.from_pylist([{**dict(zip(keys, key, strict=True)), "sums": sums.tobytes()}], schema=schema)
+
+    schema = pa.schema([*[(c, pa.int32()) for c in keys], ("sums", pa.binary())])
+    # A task holds the blocks of its keys: some of the fixed number of blocks, whatever the rows.
+    return blocks.repartition(*keys).mapInArrow(run, ", ".join(f"{c} int" for c in keys) + ", sums binary")
+
 
+def _pair_rows(blocks: DataFrame, k: int) -> DataFrame:
+    """(i, j, sums...) for i < j, from whole blocks; a block without sums has zeros."""
 
-def correlation_pairs(df: DataFrame, cols: Sequence[str], width: int = 1024) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bi, bj, sums in zip(batch["bi"].to_pylist(), batch["bj"].to_pylist(), batch["sums"].to_pylist(), strict=True):
+                high, wide = min(BLOCK, k - bi * BLOCK), min(BLOCK, k - bj * BLOCK)
+                x = np.zeros((6, high, wide)) if sums is None else np.frombuffer(sums).reshape(6, high, wide)
+                i, j = np.nonzero(np.arange(bi * BLOCK, bi * BLOCK + high)[:, None] < np.arange(bj * BLOCK, bj * BLOCK + wide))
+                yield pa.RecordBatch.from_arrays([pa.array(i + bi * BLOCK), pa.array(j + bj * BLOCK), *[pa.array(m[i, j]) for m in x]], names=["i", "j", *_SUMS])
+
+    return blocks.mapInArrow(run, "i long, j long, " + ", ".join(f"{s} double" for s in _SUMS))
+
+
+def correlation_pairs(df: DataFrame, cols: Sequence[str], width: int = 1024, narrow: int = NARROW) -> DataFrame:
     """Pairwise-complete Pearson correlation of every column pair; null when a side is constant.
 
-    Infinite values count as missing, as NaN does. Each task adds up matrices of sums (of ``width``
-    columns by all, in one pass per ``width`` columns) and Spark adds them up per pair; what is
-    shuffled and kept grows with the columns, not with the rows. Values are taken relative to their
-    column's mean, found by an aggregate first (one row to the driver). A side that varies, on the rows of
-    a pair, by less than 1e-13 of its squared distance from that mean counts as constant.
+    Infinite values count as missing, as NaN does. Up to ``narrow`` columns take one scan, and the driver
+    merges one row of moments per task. Wider
+    frames are scanned for their columns' means (one row a column to the driver), then, once per ``width``
+    columns, at most ``SENDERS`` tasks add up matrices of sums, relative to the mean, and send one binary row per block of
+    columns; ``ADDERS`` groups and then one per block add those up, and pairs become rows at the very end. What is shuffled
+    grows with the columns, not with the rows or the splits. There, a side that varies on the rows of
+    a pair by less than 1e-13 of its squared distance from the mean counts as constant.
     """
-    k = len(cols)
+    k, spark = len(cols), df.sparkSession
     rows = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    if k <= narrow:
+        return spark.createDataFrame(_narrow_pairs(rows, cols), "feature1 string, feature2 string, correlation double")
     # One row per column: the table's width bounds what is collected.
     facts = _column_ranges(rows, k).groupBy("i").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"),
                                                      F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
@@ -204,13 +315,16 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str], width: int = 1024) ->
     shift = np.where(np.isfinite(mean), mean, 0.0)
     far = np.fmax(np.abs(hi / 2 - shift / 2), np.abs(lo / 2 - shift / 2)) * 2
     scale = np.where(np.isfinite(far) & (far > 0), far, 1.0)
-    spark = df.sparkSession
-    # Pairs of an empty frame are kept too, with a null.
-    sums = spark.range(k * k).select(F.floor(F.col("id") / k).alias("i"), (F.col("id") % k).alias("j"),
-                                     *[F.lit(0.0).alias(s) for s in _SUMS]).where("i < j")
+    # Pairs of an empty frame are kept too, with a null: every pair of blocks is there once without sums.
+    many = -(-k // BLOCK)
+    width = max(BLOCK, width // BLOCK * BLOCK)
+    named = spark.createDataFrame([(i, j, None) for i in range(many) for j in range(i, many)], "bi int, bj int, sums binary")
+    blocks = None
     for low in range(0, k, width):
-        sums = sums.unionByName(_pair_sums(rows, k, low, min(k, low + width), shift, scale))
-    per = sums.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in _SUMS])
+        one = _block_sums(rows.coalesce(SENDERS), k, low, min(k, low + width), shift, scale)
+        blocks = one if blocks is None else blocks.unionByName(one)
+    added = _added(_added(blocks, "bi", "bj", "part"), "bi", "bj")
+    per = _pair_rows(named.select("bi", "bj").join(added, ["bi", "bj"], "left"), k)
     n = F.nullif(F.col("n"), F.lit(0.0))
     vx, vy = (F.when(F.col(f"s{s}{s}") - F.col(f"s{s}") ** 2 / n > 1e-13 * F.col(f"s{s}{s}"), F.col(f"s{s}{s}") - F.col(f"s{s}") ** 2 / n)
               for s in ("x", "y"))
