@@ -70,11 +70,13 @@ def _event_stream(spark, sf):
     return jobs.file_stream(spark, sf, table(spark, sf, "events").schema, "events*.parquet")
 
 
-@query("stream_ingest_upsert", f"""WITH {RAW_CTE}, r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY source, series, date
+# Several observations a day are told apart by a field of their payload.
+@query("stream_ingest_upsert", f"""WITH {RAW_CTE}, r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY source, series, date, json_extract_string(data, '$.k')
     ORDER BY ingested_at DESC, data DESC) AS rn FROM raw) SELECT source, series, date, data, ingested_at FROM r WHERE rn = 1""")
 def _stream_ingest(spark, sf):
     work = shared_folder(spark)
-    jobs.stream_ingest(_event_stream(spark, sf), _event_rows, f"{work}/raw", f"{work}/state")
+    jobs.stream_ingest(_event_stream(spark, sf), _event_rows, f"{work}/raw", f"{work}/state",
+                       items={s: ("k",) for s in EVENT_SOURCES})
     return read_raw(spark, f"{work}/raw").select("source", "series", "date", "data",
                                                  F.col("ingested_at").cast("timestamp_ntz").alias("ingested_at"))
 

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from tidemark.schemas import RAW
-from tidemark.sources.raw_store import latest_wins, read_raw
+from tidemark.sources.raw_store import ingest_all, ingest_recent, latest_wins, read_raw
+from tidemark.sources.registry import Registry
 from tidemark.sources.workdir import shared_folder
 from tidemark.streaming import jobs
 
@@ -76,3 +77,43 @@ def test_metric_windows_close_after_the_watermark(spark):
     jobs.stream_metric_windows(jobs.file_stream(spark, f"{work}/in", ev.schema), f"{work}/out", f"{work}/state", "6 hours", "2 hours")
     got = rows(spark.read.parquet(f"{work}/out"), "window_start")
     assert len(got) == 7 and all(r[3:] == (6, 6.0) for r in got)
+
+
+def news(day, *titles, hour=0):
+    return [("news_sentiment", "all", dt.date(2024, 1, day), f'{{"title": "{t}", "sentiment_score": {hour}}}', T0 + dt.timedelta(hours=hour)) for t in titles]
+
+
+def test_stream_keeps_all_observations_of_a_day(spark):
+    work = shared_folder(spark)
+    registry = Registry().add("news_sentiment", lambda sp, path: sp.createDataFrame(
+        [(dt.date(2024, 1, 3), t, 0.1) for t in "abcde"], "date date, title string, sentiment_score double"))
+    done = ingest_all(spark, registry, "", f"{work}/raw", "2024-01-01", "2024-01-31", F.lit(T0)).first()
+    assert tuple(done) == ("news_sentiment", 5, 5, None)
+    # other days and a correction of the same day, without any word about items
+    spark.createDataFrame(news(9, "x", "y") + news(3, "c", hour=5), RAW).coalesce(1).write.parquet(f"{work}/in")
+    jobs.stream_ingest(jobs.file_stream(spark, f"{work}/in", RAW), lambda b: b, f"{work}/raw", f"{work}/state")
+    stored = read_raw(spark, f"{work}/raw").select("date", F.get_json_object("data", "$.title").alias("t"), F.get_json_object("data", "$.sentiment_score").alias("s"))
+    want = {(dt.date(2024, 1, 3), t, "5" if t == "c" else "0.1") for t in "abcde"} | {(dt.date(2024, 1, 9), t, "0") for t in "xy"}
+    assert {tuple(r) for r in stored.collect()} == want and stored.count() == 7
+    # the scheduled run meets its rows again: nothing changes but what it reads anew
+    again = ingest_recent(spark, registry, "", f"{work}/raw", "2024-01-05", 7, F.lit(T0)).first()
+    assert again["records_ingested"] == 5 and read_raw(spark, f"{work}/raw").count() == 7
+    assert ingest_recent(spark, registry, "", f"{work}/raw", "2024-02-20", 7, F.lit(T0)).first()["records_ingested"] == 0
+
+
+def test_upsert_reads_only_the_partitions_of_its_rows(spark, monkeypatch):
+    from tidemark.sources import raw_store
+
+    work = shared_folder(spark)
+    rows = [("s", "all", dt.date(2024, m, 5), "{}", T0) for m in range(1, 13)]
+    raw_store.upsert_raw(spark.createDataFrame(rows, RAW), f"{work}/raw")
+    late = spark.createDataFrame([("s", "all", dt.date(2024, 1, 6), "{}", T0), ("s", "all", dt.date(2024, 12, 6), "{}", T0)], RAW)
+    part = lambda: late.withColumn("part", F.trunc("date", "month"))
+    table = raw_store._table(spark, f"{work}/raw")
+    assert table.where(raw_store._touched(part())).count() == 2
+    monkeypatch.setattr(raw_store, "MAX_PARTS", 1)
+    assert table.where(raw_store._touched(part())).count() == 12
+    monkeypatch.setattr(raw_store, "MAX_SOURCES", 0)
+    assert raw_store._touched(part()) is None
+    raw_store.upsert_raw(late, f"{work}/raw")
+    assert read_raw(spark, f"{work}/raw").count() == 14

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,13 +32,14 @@ def stage_report(raw_checks: DataFrame, feature_checks: DataFrame) -> DataFrame:
 
 def full_run(spark: SparkSession, new_rows: DataFrame, work: str, sources: Sequence[str], spec: FeatureSpec, *,
              start: str, end: str, as_of: str, check_cols: Sequence[str] | None = None,
-             grain: str = "month", cfg: CheckConfig = DEFAULTS) -> DataFrame:
+             grain: str = "month", cfg: CheckConfig = DEFAULTS, items: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Run every stage under the folder ``work`` and return the report.
 
     Each stage reads what the stage before wrote, so a lost executor costs at most one
-    stage, and the wide feature frame is computed once for validation and storage.
+    stage, and the wide feature frame is computed once for validation and storage. ``items`` tells several
+    observations of a day apart (see ``upsert_raw``).
     """
-    upsert_raw(new_rows, f"{work}/raw", grain)
+    upsert_raw(new_rows, f"{work}/raw", grain, items)
     raw = read_raw(spark, f"{work}/raw")
     window = read_raw(spark, f"{work}/raw", start, end, grain)
     create_features(window, spec, start, end).write.mode("overwrite").parquet(f"{work}/frame")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from datetime import date
+from datetime import date, timedelta
 from functools import reduce
 from operator import and_, or_
 
@@ -13,12 +13,13 @@ from pyspark.sql import types as T
 
 from tidemark.operators.joins import join_same_key
 from tidemark.schemas import RAW
-from tidemark.sources.registry import SOURCE_FIELDS, Registry
+from tidemark.sources.registry import ITEM_FIELDS, SOURCE_FIELDS, Registry
 from tidemark.sources.workdir import stage
 
 KEY = ("source", "series", "date")
 PARTITIONS = ("source", "part")
-# Sources of one batch whose partition ranges become literal filters.
+# Partitions of one batch that become literal filters, and sources whose partition ranges do beyond that.
+MAX_PARTS = 1000
 MAX_SOURCES = 1000
 
 
@@ -122,13 +123,34 @@ def _item(items: Mapping[str, Sequence[str]]) -> Column:
     return out
 
 
+def _touched(new: DataFrame) -> Column | None:
+    """Literal filter for the partitions of ``new``: each of them while they are few, a range per source beyond, else none."""
+    parts = new.groupBy(*PARTITIONS).agg(F.count(F.lit(1)).alias("n")).limit(MAX_PARTS + 1).collect()
+    if len(parts) <= MAX_PARTS:
+        by_source: dict[str | None, list[date | None]] = {}
+        for r in parts:
+            by_source.setdefault(r["source"], []).append(r["part"])
+        here = [F.col("source").eqNullSafe(F.lit(s)) & (F.col("part").isin([p for p in days if p is not None]) |
+                                                        (F.col("part").isNull() if None in days else F.lit(False))) for s, days in by_source.items()]
+        return reduce(or_, here, F.lit(False))
+    ranges = new.groupBy("source").agg(F.min("part").alias("lo"), F.max("part").alias("hi"),
+                                       F.count_if(F.col("part").isNull()).alias("undated")).limit(MAX_SOURCES + 1).collect()
+    if len(ranges) > MAX_SOURCES:
+        return None
+    here = [(F.col("source").eqNullSafe(F.lit(r["source"]))) &
+            ((F.col("part").between(F.lit(r["lo"]), F.lit(r["hi"])) if r["lo"] else F.lit(False)) |
+             (F.col("part").isNull() if r["undated"] else F.lit(False))) for r in ranges]
+    return reduce(or_, here, F.lit(False))
+
+
 def upsert_raw(new: DataFrame, path: str, grain: str = "month", items: Mapping[str, Sequence[str]] | None = None,
                stored: Observation | None = None) -> None:
     """Merge ``new`` into the Parquet table at ``path``; newest row per key wins.
 
     A source with several observations a day (news, rates of several currencies) names in
-    ``items`` the payload fields that tell them apart; they then belong to its key. Use the
-    same ``items`` for every upsert of a table. ``stored`` observes ``rows``, the number of
+    ``items`` the payload fields that tell them apart; by default those of ``registry.ITEM_FIELDS``. What tells a row
+    apart is stored with it as ``item`` and always belongs to the key, so stored rows keep their
+    own whatever a later caller passes. ``stored`` observes ``rows``, the number of
     rows of ``new`` that are in the table afterwards.
 
     The table is partitioned by source and storage period, and only the partitions that
@@ -139,27 +161,19 @@ def upsert_raw(new: DataFrame, path: str, grain: str = "month", items: Mapping[s
     several files and merge small ones.
     """
     spark = new.sparkSession
-    cols = [*RAW.fieldNames(), "part"]
-    new = new.withColumn("part", _part(F.col("date"), grain)).select(*cols)
-    key = KEY
+    cols = [*RAW.fieldNames(), "item", "part"]
+    item = _item(ITEM_FIELDS if items is None else items)
+    new = new.withColumns({"part": _part(F.col("date"), grain), "item": F.coalesce("item", item) if "item" in new.columns else item}).select(*cols)
     if _exists(spark, path):
         new = stage(new)  # evaluated once: for the touched partitions, and for the merge
-        touched = new.groupBy("source").agg(F.min("part").alias("lo"), F.max("part").alias("hi"),
-                                            F.count_if(F.col("part").isNull()).alias("undated")).limit(MAX_SOURCES + 1).collect()
+        here = _touched(new)
         table = _table(spark, path).select(*cols)
-        if len(touched) <= MAX_SOURCES:
-            # one literal range of partitions per source: other partitions are not listed or read
-            here = [(F.col("source").eqNullSafe(F.lit(r["source"]))) &
-                    ((F.col("part").between(F.lit(r["lo"]), F.lit(r["hi"])) if r["lo"] else F.lit(False)) |
-                     (F.col("part").isNull() if r["undated"] else F.lit(False))) for r in touched]
-            table = table.where(reduce(or_, here, F.lit(False)))
+        table = table if here is None else table.where(here)
         old = join_same_key(table, new.select(*PARTITIONS).distinct(), list(PARTITIONS), "left_semi")
         new = old.select(*cols, F.lit(False).alias("__new")).unionByName(new.withColumn("__new", F.lit(True)))
     else:
         new = new.withColumn("__new", F.lit(True))
-    if items:
-        new, key = new.withColumn("__item", _item(items)), (*KEY, "__item")
-    kept = latest_wins(new, key)
+    kept = latest_wins(new, (*KEY, "item"))
     if stored is not None:
         kept = kept.observe(stored, F.count_if("__new").alias("rows"))
     (kept.select(*cols).hint("rebalance", *PARTITIONS).write.mode("overwrite")
@@ -167,7 +181,7 @@ def upsert_raw(new: DataFrame, path: str, grain: str = "month", items: Mapping[s
 
 
 def _table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(T.StructType([*RAW, T.StructField("part", T.DateType())])).parquet(path)
+    return spark.read.schema(T.StructType([*RAW, T.StructField("item", T.StringType()), T.StructField("part", T.DateType())])).parquet(path)
 
 
 def read_raw(spark: SparkSession, path: str, start: date | str | None = None, end: date | str | None = None,
@@ -193,7 +207,7 @@ def ingest_source(spark: SparkSession, registry: Registry, name: str, path: str,
         return 0, 0
     stored = Observation("stored")
     item = registry.items.get(name)
-    upsert_raw(rows, target, grain, {name: item} if item else None, stored)
+    upsert_raw(rows, target, grain, {name: item} if item else {}, stored)
     return fetched, stored.get["rows"]
 
 
@@ -212,6 +226,17 @@ def ingest_all(spark: SparkSession, registry: Registry, path: str, target: str,
     return spark.createDataFrame(done, "source STRING, records_ingested BIGINT, records_stored BIGINT, error STRING")
 
 
+def ingest_recent(spark: SparkSession, registry: Registry, path: str, target: str, as_of: date | str, days: int = 7,
+                  ingested_at: Column | None = None, grain: str = "month") -> DataFrame:
+    """The scheduled run: ingest again what is dated in the ``days`` days up to ``as_of``.
+
+    Late rows and corrections of that time are merged; rows that have not changed stay one row, and only the
+    partitions of those days are read and rewritten.
+    """
+    end = date.fromisoformat(str(as_of)[:10])
+    return ingest_all(spark, registry, path, target, end - timedelta(days=days), end, ingested_at, grain)
+
+
 def recent_rows(raw: DataFrame, as_of: str, days: int = 7, limit: int | None = 100,
                 tiebreak: Sequence[str] = ("date", "data")) -> DataFrame:
     """The newest ``limit`` rows (None: all, without a rank) per source ingested in the last ``days`` days before ``as_of``.

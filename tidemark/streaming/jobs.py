@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,9 +42,12 @@ def without_repeats(stream: DataFrame, ts: str, delay: str = "7 days") -> DataFr
 
 
 def stream_ingest(stream: DataFrame, normalise: Callable[[DataFrame], DataFrame], target: str, state: str,
-                  grain: str = "month") -> None:
-    """Upsert every micro-batch into the raw table; replaying a batch changes nothing."""
-    run_available(stream, state, lambda batch, _: upsert_raw(normalise(batch), target, grain))
+                  grain: str = "month", items: Mapping[str, Sequence[str]] | None = None) -> None:
+    """Upsert every micro-batch into the raw table; replaying a batch changes nothing.
+
+    ``items`` tells several observations of a day apart (see ``upsert_raw``).
+    """
+    run_available(stream, state, lambda batch, _: upsert_raw(normalise(batch), target, grain, items))
 
 
 def stream_quality(stream: DataFrame, normalise: Callable[[DataFrame], DataFrame], sources: Sequence[str], as_of: str,
