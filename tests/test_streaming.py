@@ -117,3 +117,25 @@ def test_upsert_reads_only_the_partitions_of_its_rows(spark, monkeypatch):
     assert raw_store._touched(part()) is None
     raw_store.upsert_raw(late, f"{work}/raw")
     assert read_raw(spark, f"{work}/raw").count() == 14
+
+
+def test_stream_quality_reads_new_files_and_facts_only(spark):
+    from tidemark.operators.checks.raw import validate_raw
+
+    work = shared_folder(spark)
+    data = [("s" if i % 3 else "t", "all", dt.date(2024, 1, 1 + i % 9), None if i == 4 else f'{{"v": {1000 if i == 7 else i % 5}}}', T0) for i in range(40)]
+    files = [spark.createDataFrame(data[a : a + 20], RAW).coalesce(1) for a in (0, 20)]
+
+    def run():
+        jobs.stream_quality(jobs.file_stream(spark, f"{work}/in", RAW), lambda b: b, ["s", "u"], "2024-01-02", f"{work}/facts", f"{work}/checks", f"{work}/state")
+        return sorted(map(str, spark.read.parquet(f"{work}/checks").collect()))
+
+    files[0].write.mode("append").parquet(f"{work}/in")
+    run()
+    # the first file can be gone: what it held is in the facts
+    first = spark.read.schema(RAW).parquet(f"{work}/in").cache()
+    assert first.count() == 20
+    both = sorted(map(str, validate_raw(first.unionByName(files[1]), ["s", "u"], "2024-01-02").collect()))
+    files[1].write.mode("overwrite").parquet(f"{work}/in")
+    assert run() == both
+    assert spark.read.parquet(f"{work}/facts/days").count() < 40

@@ -19,21 +19,36 @@ def _named(raw: DataFrame) -> DataFrame:
     return raw.withColumn("source", F.coalesce("source", F.lit("(none)")))
 
 
-def source_facts(raw: DataFrame, sources: Sequence[str]) -> DataFrame:
-    """Per source, declared or present: rows, nulls, latest date and ingest, duplicate keys, date gaps.
+def day_facts(raw: DataFrame) -> DataFrame:
+    """(source, date): rows, null payloads and latest ingest. Facts of parts of a table add up with ``merge_days``.
 
-    Rows are first grouped by (source, date), which combines before the shuffle, so a hot
-    source never reaches the window or the last grouping with more than one row per day.
-    Declared sources without any row are kept with zero counts, and sources that nobody
-    declared are marked by ``declared`` (a null source goes by the name "(none)"). An ingest time kept as ISO text,
-    with or without the ``Z`` suffix, is parsed; text that is no time counts as missing.
+    The grouping combines before the shuffle, so a hot source never sends more than one row per day and task. A null
+    source goes by the name "(none)". An ingest time kept as ISO text, with or without the ``Z`` suffix, is parsed;
+    text that is no time counts as missing.
     """
     ingested = F.col("ingested_at")
     if isinstance(raw.schema["ingested_at"].dataType, T.StringType):
         ingested = F.try_to_timestamp(ingested)
-    days = _named(raw).groupBy("source", "date").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("data").isNull()).alias("nulls"),
-        F.max(ingested).alias("latest_ingest"))
+    return _named(raw).groupBy("source", "date").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("data").isNull()).alias("nulls"), F.max(ingested).alias("latest_ingest"))
+
+
+def merge_days(facts: DataFrame) -> DataFrame:
+    return facts.groupBy("source", "date").agg(F.sum("n").alias("n"), F.sum("nulls").alias("nulls"), F.max("latest_ingest").alias("latest_ingest"))
+
+
+def source_facts(raw: DataFrame, sources: Sequence[str]) -> DataFrame:
+    """Per source, declared or present: rows, nulls, latest date and ingest, duplicate keys, date gaps.
+
+    Declared sources without any row are kept with zero counts, and sources that nobody
+    declared are marked by ``declared``.
+    """
+    return facts_of_days(day_facts(raw), sources)
+
+
+def facts_of_days(days: DataFrame, sources: Sequence[str]) -> DataFrame:
+    """``source_facts`` from one row per (source, date)."""
+    spark = days.sparkSession
     days = one_per_day(days)
     prev = F.lag("date").over(series_window(block_key(days, "source"), "date"))
     days = days.select("*", F.datediff("date", prev).alias("gap"))
@@ -41,7 +56,7 @@ def source_facts(raw: DataFrame, sources: Sequence[str]) -> DataFrame:
         F.sum("n").alias("n"), F.sum("nulls").alias("nulls"), F.max("date").alias("latest_date"),
         F.max("latest_ingest").alias("latest_ingest"),
         F.count_if(F.col("n") > 1).alias("duplicate_keys"), F.count_if(F.col("gap") > 1).alias("gaps"))
-    return listed(raw.sparkSession, "source", sources).join(seen, "source", "full").select(
+    return listed(spark, "source", sources).join(seen, "source", "full").select(
         "source", F.col("source").isin(*sources).alias("declared"), "latest_date", "latest_ingest",
         *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("n", "nulls", "duplicate_keys", "gaps")])
 
@@ -132,21 +147,44 @@ def payload_numbers(raw: DataFrame, sources: Sequence[str]) -> DataFrame:
     return fields.where(number).select("source", value.alias("value")).where(F.col("value").isNotNull())
 
 
+def value_facts(raw: DataFrame, sources: Sequence[str]) -> DataFrame:
+    """(source, value, n): how often each payload number occurs. Facts of parts of a table add up with ``merge_values``."""
+    return payload_numbers(raw, sources).groupBy("source", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merge_values(facts: DataFrame) -> DataFrame:
+    return facts.groupBy("source", "value").agg(F.sum("n").alias("n"))
+
+
 def outlier_facts(raw: DataFrame, sources: Sequence[str], cfg: CheckConfig = DEFAULTS) -> DataFrame:
     """Per source: numbers, z-score outliers (population deviation) and values out of range."""
     numbers = payload_numbers(raw, sources)
     stats = numbers.groupBy("source").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    return _outlier_counts(numbers.withColumn("n", F.lit(1).cast("bigint")), stats, cfg)
+
+
+def outliers_of_values(values: DataFrame, cfg: CheckConfig = DEFAULTS) -> DataFrame:
+    """``outlier_facts`` from one row per (source, value)."""
+    means = values.groupBy("source").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"))
+    apart = F.col("value") - F.col("mean")
+    stats = join_same_key(values, means, ["source"]).groupBy("source").agg(
+        F.first("mean").alias("mean"), F.sqrt(F.sum(apart * apart * F.col("n")) / F.sum("n")).alias("std"))
+    return _outlier_counts(values, stats, cfg)
+
+
+def _outlier_counts(numbers: DataFrame, stats: DataFrame, cfg: CheckConfig) -> DataFrame:
     low, high = F.lit(None).cast("double"), F.lit(None).cast("double")
     for s, (a, b) in cfg.ranges.items():
         low = F.when(F.col("source") == s, F.lit(float(a))).otherwise(low)
         high = F.when(F.col("source") == s, F.lit(float(b))).otherwise(high)
     z = safe_div(F.col("value") - F.col("mean"), "std")
     marked = numbers.join(stats, "source").select(
-        "source", "value", (F.abs(z) > cfg.z_limit).alias("is_outlier"),
+        "source", "value", "n", (F.abs(z) > cfg.z_limit).alias("is_outlier"),
         ((F.col("value") < low) | (F.col("value") > high)).alias("is_out"), low.isNotNull().alias("has_range"))
+    some = lambda flag: F.coalesce(F.sum(F.when(F.col(flag), F.col("n"))), F.lit(0).cast("bigint"))
     return marked.groupBy("source").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("is_outlier").alias("outliers"),
-        F.count_if("is_out").alias("out_of_range"), F.bool_or("has_range").alias("has_range"))
+        F.sum("n").alias("n"), some("is_outlier").alias("outliers"),
+        some("is_out").alias("out_of_range"), F.bool_or("has_range").alias("has_range"))
 
 
 def _outliers(cfg: CheckConfig) -> Column:
@@ -185,8 +223,17 @@ def validate_raw(raw: DataFrame, sources: Sequence[str], as_of: str, cfg: CheckC
 
     Sources outside the declared list are checked like the others and get a warning of their own.
     """
+    return _all_checks(source_facts(raw, sources), outlier_facts(raw, sources, cfg), sources, as_of, cfg)
+
+
+def validate_facts(days: DataFrame, values: DataFrame, sources: Sequence[str], as_of: str, cfg: CheckConfig = DEFAULTS) -> DataFrame:
+    """``validate_raw`` of a table of which only its facts per (source, date) and per (source, value) are kept."""
+    return _all_checks(facts_of_days(days, sources), outliers_of_values(values, cfg), sources, as_of, cfg)
+
+
+def _all_checks(facts: DataFrame, numbers: DataFrame, sources: Sequence[str], as_of: str, cfg: CheckConfig) -> DataFrame:
     # One row per source, so the unpartitioned total is over a handful of rows.
-    facts = source_facts(raw, sources).withColumn("total", F.sum("n").over(Window.partitionBy()))
+    facts = facts.withColumn("total", F.sum("n").over(Window.partitionBy()))
     seen = F.col("n") > 0
     per_source = emit_where(facts, [
         (F.col("source") == sources[0], check(
@@ -194,8 +241,7 @@ def validate_raw(raw: DataFrame, sources: Sequence[str], as_of: str, cfg: CheckC
             value=F.col("total"), threshold=1, good="data available", bad="no data found")),
         (F.lit(True), _completeness(cfg)), (F.lit(True), _freshness(cfg, as_of)), (seen, _duplicates()),
         (F.col("n") > 1, _continuity()), (seen, _payload(cfg)), (~F.col("declared"), _declared())])
-    numbers = emit_where(outlier_facts(raw, sources, cfg), [(F.lit(True), _outliers(cfg)), (F.col("has_range"), _ranges())])
-    return union_checks([per_source, numbers])
+    return union_checks([per_source, emit_where(numbers, [(F.lit(True), _outliers(cfg)), (F.col("has_range"), _ranges())])])
 
 
 # --- quality of the rows ingested lately -------------------------------------------------
@@ -205,9 +251,10 @@ def recent_facts(raw: DataFrame, sources: Sequence[str], as_of: str, rate_field:
                  cfg: CheckConfig = DEFAULTS) -> DataFrame:
     """Per source over the rows of the last ``cfg.recent_days`` days: missing required fields, rate spikes, negative prices.
 
-    With ``cfg.recent_rows`` a source is judged by that many of its newest rows instead of all.
+    With ``cfg.recent_rows`` a source is judged by that many of its newest rows instead of all. Sources that nobody
+    declared have rows of their own, without required fields.
     """
-    recent = recent_rows(raw.where(F.col("source").isin(*sources)), as_of, cfg.recent_days, cfg.recent_rows)
+    recent = recent_rows(_named(raw), as_of, cfg.recent_days, cfg.recent_rows)
     doc = F.from_json("data", "map<string,string>")
     required = F.lit(None).cast("array<string>")
     for s, fields in cfg.required.items():
@@ -219,15 +266,14 @@ def recent_facts(raw: DataFrame, sources: Sequence[str], as_of: str, rate_field:
                    F.try_element_at("doc", F.lit(price_field)).try_cast("double"))
     rows = rows.select("source", F.filter("need", lambda f: F.try_element_at(F.col("doc"), f).isNull()).alias("missing"),
                        rate.alias("rate"), price.alias("price"))
-    # One row per declared source.
-    means = F.broadcast(rows.where(F.col("rate").isNotNull()).groupBy("source").agg(F.avg("rate").alias("mean")))
+    means = rows.where(F.col("rate").isNotNull()).groupBy("source").agg(F.avg("rate").alias("mean"))
     far = safe_div(F.abs(F.col("rate") - F.col("mean")), "mean") > cfg.rate_spike
     rows = rows.join(means, "source", "left").select(*rows.columns, far.alias("spike"))
     seen = rows.groupBy("source").agg(
         F.count(F.lit(1)).alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("missing")))).alias("missing"),
         F.coalesce(F.bool_or("spike"), F.lit(False)).alias("rate_spike"),
         F.coalesce(F.bool_or(F.col("price") < 0), F.lit(False)).alias("negative_price"))
-    return listed(raw.sparkSession, "source", sources).join(F.broadcast(seen), "source", "left").select(
+    return listed(raw.sparkSession, "source", sources).join(seen, "source", "full").select(
         "source", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"),
         F.coalesce("missing", F.array().cast("array<string>")).alias("missing"),
         F.coalesce("rate_spike", F.lit(False)).alias("rate_spike"),

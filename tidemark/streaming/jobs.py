@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.checks.raw import validate_raw
+from tidemark.operators.checks.raw import day_facts, merge_days, merge_values, validate_facts, value_facts
 from tidemark.operators.checks.rows import DEFAULTS, CheckConfig
 from tidemark.operators.metrics import metric_windows
 from tidemark.sources.raw_store import upsert_raw
@@ -52,21 +52,25 @@ def stream_ingest(stream: DataFrame, normalise: Callable[[DataFrame], DataFrame]
 
 def stream_quality(stream: DataFrame, normalise: Callable[[DataFrame], DataFrame], sources: Sequence[str], as_of: str,
                    stored: str, target: str, state: str, cfg: CheckConfig = DEFAULTS) -> None:
-    """Store the rows of every micro-batch, then check all stored rows and replace the check rows at ``target``.
+    """Keep the facts of every micro-batch, then check all of them together and replace the check rows at ``target``.
 
-    Completeness, freshness, gaps and duplicates are facts of the table, not of a batch, so the checks run
-    once at the end of the run, over what this run and earlier ones stored; how files fall into
-    batches does not matter. A replayed batch overwrites its own folder of ``stored``, and a run that
-    finds nothing new checks again. ``stored`` belongs to ``state``: begin both anew together.
+    Completeness, freshness, gaps, duplicates and outliers are facts of the whole table, so ``stored`` keeps, per batch, one row per
+    (source, date) and one per (source, number) with their counts. These add up, so the checks equal those of all
+    rows however files fall into batches, and a run reads its new files and the facts, never earlier rows. A replayed batch
+    overwrites its own folder of ``stored``, and a run that finds nothing new checks again. ``stored``
+    belongs to ``state``: begin both anew together.
     """
     spark = stream.sparkSession
-    schema = normalise(spark.createDataFrame([], stream.schema)).schema
-    # Without any batch there is still a table to check.
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{stored}/batch_id=-1")
-    run_available(stream, state, lambda batch, batch_id: normalise(batch).write.mode("overwrite").parquet(
-        f"{stored}/batch_id={batch_id}"))
-    rows = spark.read.schema(schema).parquet(stored).select(*schema.fieldNames())
-    validate_raw(rows, sources, as_of, cfg).write.mode("overwrite").parquet(target)
+
+    def keep(rows: DataFrame, batch_id: int) -> None:
+        for kind, facts in (("days", day_facts(rows)), ("values", value_facts(rows, sources))):
+            facts.write.mode("overwrite").parquet(f"{stored}/{kind}/batch_id={batch_id}")
+
+    # Without any batch there are still facts to check: none.
+    keep(normalise(spark.createDataFrame([], stream.schema)), -1)
+    run_available(stream, state, lambda batch, batch_id: keep(normalise(batch), batch_id))
+    days, values = (spark.read.parquet(f"{stored}/{kind}").drop("batch_id") for kind in ("days", "values"))
+    validate_facts(merge_days(days), merge_values(values), sources, as_of, cfg).write.mode("overwrite").parquet(target)
 
 
 def stream_metric_windows(stream: DataFrame, target: str, state: str, width: str = "1 hour",
