@@ -6,13 +6,16 @@ unbounded otherwise. Operators in this package therefore look for a block column
 
 * ``one_per_day(df)`` marks a frame that was just grouped by (series, day).
 * ``split_series(df, ...)`` counts rows per series and, where a series is larger than
-  ``rows``, cuts it into consecutive blocks by position. Each block also receives the
+  ``rows``, cuts it into consecutive blocks of exactly that many rows. Each block also receives the
   ``lookback`` rows before it (and ``ahead`` rows after it) as halo rows, so a frame that
   reaches at most that far gives the same value as on the whole series. ``merge_blocks``
   drops the halo again.
 * an operator given an unmarked frame splits it, runs, and merges.
 
-Nothing is sampled: positions come from exact counts per (series, time chunk).
+Positions are exact: rows are sorted into range partitions of (series, order, hash of the row), each row gets
+its number in its partition, and the counts of the partitions before are added. The hash parts rows
+that are tied in the order, so a burst of one instant is cut like any other run of rows, and the
+position breaks ties the same way in every block.
 """
 
 from __future__ import annotations
@@ -23,18 +26,20 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
+from tidemark.sources.workdir import stage
+
 BLOCK = "__block"
 HALO = "__halo"
-_CHUNK = "__chunk"
+POSITION = "__position"
+_PART, _ROW, _TIE = "__part", "__row", "__tie"
 _CARRY = "__carry"
 
 # Rows one window group may hold before its series is split.
 MAX_ROWS = 1_000_000
-# Chunk rows that may be broadcast (about 50 bytes each); beyond it the join shuffles.
-MAX_BROADCAST_CHUNKS = 100_000
+# Rows per series and range partition that may be broadcast (about 50 bytes each); beyond it the join shuffles.
+MAX_BROADCAST_PARTS = 100_000
 
 
 def as_list(x: str | Sequence[str]) -> list[str]:
@@ -50,77 +55,47 @@ def last_rows(w: WindowSpec, n: int) -> WindowSpec:
     return w.rowsBetween(-(n - 1), 0)
 
 
-def _ordinal(df: DataFrame, name: str) -> tuple[Column, int]:
-    """Order column as a whole number, and a first chunk width in its unit."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.DateType):
-        return F.unix_date(name), 4096
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(name).cast("timestamp")), 86_400_000_000
-    if isinstance(kind, (T.LongType, T.IntegerType, T.ShortType)):
-        return F.col(name).cast("long"), 1 << 20
-    raise TypeError(f"cannot split on {name}: {kind.simpleString()}")
-
-
-def _big_chunks(df: DataFrame, key: list[str], chunk: Column, lookback: int, ahead: int, rows: int) -> DataFrame:
-    """Chunks of series above ``rows``: home block and the blocks they feed as halo.
-
-    A block is the chunks that start within the same ``rows`` positions. The next block
-    starts where the chunk ends at the earliest; which block a position before the chunk
-    belongs to is known up to the widest chunk, so the look-ahead side may feed one block
-    more than needed. Extra halo rows change nothing.
-    """
-    sizes = df.groupBy(*key, chunk.alias(_CHUNK)).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*key)
-    ends = sizes.select(
-        *key, _CHUNK, "n",
-        F.sum("n").over(w).alias("total"), F.max("n").over(w).alias("widest"),
-        F.sum("n").over(w.orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, 0)).alias("end"),
-    ).where(F.col("total") > rows)
-    home = F.floor((F.col("end") - F.col("n")) / rows)
-    first = F.greatest(home + 1, F.floor(F.col("end") / rows))
-    last = F.least(F.floor((F.col("end") + lookback - 1) / rows), F.floor((F.col("total") - 1) / rows))
-    none = F.array().cast("array<bigint>")
-    feeds = F.concat(F.array(home), F.when(first <= last, F.sequence(first, last)).otherwise(none))
-    if ahead:
-        lowest = F.greatest(F.lit(0).cast("bigint"),
-                            F.floor((F.col("end") - F.col("n") - F.col("widest") - ahead) / rows))
-        feeds = F.concat(feeds, F.when(lowest < home, F.sequence(lowest, home - 1)).otherwise(none))
-    return ends.select(*key, _CHUNK, "n", home.alias("home"), feeds.alias("blocks"))
+def _numbered(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """All rows, written once in order, with their range partition and their number in it."""
+    plain = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    ranged = df.withColumn(_TIE, F.xxhash64(*plain))
+    by = [*key, *order, _TIE]
+    ranged = ranged.repartitionByRange(*by).sortWithinPartitions(*by).drop(_TIE)
+    return stage(ranged.select("*", F.spark_partition_id().alias(_PART), F.monotonically_increasing_id().alias(_ROW)))
 
 
 def split_series(df: DataFrame, *, key: str | Sequence[str], order: str | Sequence[str], lookback: int,
                  ahead: int = 0, rows: int | None = None) -> DataFrame:
     """Cut series above ``rows`` (default ``MAX_ROWS``) into blocks with ``lookback`` halo rows.
 
-    Starts one job per chunk width tried (a grouped count of key and order columns); when no
-    series is above ``rows`` the frame comes back with a constant block and no other change.
+    Starts three jobs: a count per series, the write of the ordered rows, and a count per series and range
+    partition. When no series is above ``rows`` only the first runs, and the frame comes back with a constant
+    block and no other change. Rows that are equal in all columns and tied stay in one range partition.
     """
     keys, orders = as_list(key), as_list(order)
     rows = MAX_ROWS if rows is None else rows
-    pos, width = _ordinal(df, orders[0])
-    while True:
-        chunk = F.floor(pos / F.lit(width))
-        big = _big_chunks(df, keys, chunk, lookback, ahead, rows)
-        found = big.agg(F.count(F.lit(1)).alias("chunks"), F.max("n").alias("widest")).first()
-        if not found["chunks"]:
-            return one_per_day(df)
-        if found["widest"] <= rows or width == 1:
-            break
-        width = max(1, width // 64)
-    small = found["chunks"] <= MAX_BROADCAST_CHUNKS
-    side = big.drop("n").select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-                                F.col(_CHUNK).alias("__c"), "home", "blocks")
-    left = df.withColumn(_CHUNK, chunk)
-    on = F.col(_CHUNK).eqNullSafe(F.col("__c"))
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if (largest or 0) <= rows:
+        return one_per_day(df)
+    placed = _numbered(df, keys, orders)
+    parts = placed.groupBy(*keys, _PART).agg(F.count(F.lit(1)).alias("n"), F.min(_ROW).alias("first"))
+    w = Window.partitionBy(*keys)
+    before = F.sum("n").over(w.orderBy(_PART).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    big = parts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(_PART).alias("__p"),
+                       (before - F.col("first")).alias("__offset"), F.sum("n").over(w).alias("__total")).where(F.col("__total") > rows)
+    small = big.limit(MAX_BROADCAST_PARTS + 1).count() <= MAX_BROADCAST_PARTS
+    on = F.col(_PART) == F.col("__p")
     for i, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    joined = left.join(F.broadcast(side) if small else side, on, "left")
-    own = F.coalesce(F.col("home"), F.lit(0))
-    exploded = joined.select(
-        *df.columns, own.alias("__own"),
-        F.explode(F.coalesce("blocks", F.array(F.lit(0).cast("bigint")))).alias(BLOCK))
-    return exploded.select(*df.columns, BLOCK, (F.col(BLOCK) != F.col("__own")).alias(HALO))
+    position = F.col(_ROW) + F.coalesce("__offset", F.lit(0).cast("bigint"))
+    joined = placed.join(F.broadcast(big) if small else big, on, "left").withColumn(POSITION, position)
+    split = F.col("__total").isNotNull()
+    own = F.when(split, F.floor(F.col(POSITION) / rows)).otherwise(F.lit(0).cast("bigint"))
+    lowest = F.floor(F.greatest(F.lit(0).cast("bigint"), F.col(POSITION) - ahead) / rows)
+    highest = F.floor(F.least(F.col(POSITION) + lookback, F.col("__total") - 1) / rows)
+    feeds = F.when(split, F.sequence(lowest, highest)).otherwise(F.array(F.lit(0).cast("bigint")))
+    exploded = joined.select(*df.columns, POSITION, own.alias("__own"), F.explode(feeds).alias(BLOCK))
+    return exploded.select(*df.columns, POSITION, BLOCK, (F.col(BLOCK) != F.col("__own")).alias(HALO))
 
 
 def one_per_day(df: DataFrame) -> DataFrame:
@@ -131,7 +106,7 @@ def one_per_day(df: DataFrame) -> DataFrame:
 def merge_blocks(df: DataFrame) -> DataFrame:
     """Drop halo rows and the block columns."""
     out = df.where(~F.col(HALO)) if HALO in df.columns else df
-    return out.drop(BLOCK, HALO)
+    return out.drop(BLOCK, HALO, POSITION)
 
 
 def block_key(df: DataFrame, key: str | Sequence[str]) -> list[str]:
@@ -156,6 +131,8 @@ def windowed(lookback: Callable[[dict], int], ahead: Callable[[dict], int] = lam
                 call["df"] = split_series(df, key=call["key"], order=call["order"], lookback=lookback(call),
                                           ahead=ahead(call))
             call["key"] = block_key(call["df"], call["key"])
+            if POSITION in call["df"].columns and POSITION not in call["order"]:
+                call["order"] = [*call["order"], POSITION]  # the same order of ties in every block
             out = fn(*bound.args, **bound.kwargs)
             return out if marked else merge_blocks(out)
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.numeric import pct_of, safe_div
 from tidemark.operators.blocks import (HALO, block_key, carry_window, last_value_carry, one_per_day, series_window,
@@ -23,8 +24,12 @@ _UNTIL = (Window.unboundedPreceding, 0)
 
 
 def daily_series(df: DataFrame, aggs: dict, *, key: Sequence[str], order: str) -> DataFrame:
-    """Group to one row per (series, day). Map-side partial sums keep hot series cheap."""
-    return one_per_day(df.groupBy(*key, order).agg(*[c.alias(n) for n, c in aggs.items()]))
+    """Group to one row per (series, day). Map-side partial sums keep hot series cheap.
+
+    Only a date bounds a series by the calendar; with a time of day it is counted like any other frame.
+    """
+    out = df.groupBy(*key, order).agg(*[c.alias(n) for n, c in aggs.items()])
+    return one_per_day(out) if isinstance(out.schema[order].dataType, T.DateType) else out
 
 
 def add_lags(st: WindowStage, cols: Sequence[str], lags: Sequence[int]) -> None:
