@@ -16,6 +16,7 @@ from tidemark.operators.metrics import metric_windows
 from tidemark.plans.full_run import full_run
 from tidemark.schemas import PREDICTIONS
 from tidemark.sources.feature_store import write_predictions, write_report
+from tidemark.sources.metric_store import read_metrics, remove_old_metrics, write_metrics
 from tidemark.sources.raw_store import ingest_all, read_raw, upsert_raw
 from tidemark.sources.registry import EXPECTED_RANGES, Registry
 from tidemark.streaming import jobs
@@ -171,3 +172,13 @@ def _full_run(spark, sf):
     out = full_run(spark, raw_market(spark, sf), shared_folder(spark), tuple(MARKET_FIELDS), SPEC, start=START, end=END,
                    as_of=ORDERS_AS_OF, grain="year", check_cols=RUN_COLS)
     return out.withColumn("quality_score", r6("quality_score"))
+
+
+# The metric table after old rows were removed: whole days, and a part of the day of the cut.
+@query("metric_table_after_removal", "SELECT event_type AS name, ts, ROUND(value, 6) AS value FROM events WHERE ts > TIMESTAMP '2024-01-12 10:30:00'")
+def _metric_removal(spark, sf):
+    path = f"{shared_folder(spark)}/metrics"
+    events = table(spark, sf, "events").select(F.col("event_type").alias("name"), "ts", "value")
+    write_metrics(events, path)
+    remove_old_metrics(spark, path, events.schema, 36, "2024-01-13T22:30:00")
+    return read_metrics(spark, path, events.schema).select("name", "ts", F.round("value", 6).alias("value"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import functions as F
@@ -253,3 +254,15 @@ def _summary(spark, sf):
 def _retention(spark, sf):
     return met.retention_counts(metric_events(spark, sf), 72, EVENTS_AS_OF)
 
+
+
+# All columns of a wide frame, exact, null as a value.
+_DISTINCT = {"lineitem": ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate"],
+             "orders": ["o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"], "documents": ["text", "lang", "source"]}
+
+
+@query("distinct_counts", _union(f"SELECT '{t}' AS table_name, '{c}' AS \"column\", COUNT(DISTINCT {c}) + CAST(COUNT(*) > COUNT({c}) AS INTEGER) AS distinct_count FROM {t}"
+                                 for t, cols in _DISTINCT.items() for c in cols))
+def _distinct(spark, sf):
+    out = [prof.distinct_counts(table(spark, sf, t), cols).withColumn("table_name", F.lit(t)) for t, cols in _DISTINCT.items()]
+    return reduce(lambda a, b: a.unionByName(b), out)

@@ -207,3 +207,15 @@ def test_discrete_and_estimated_quantiles(spark):
         assert abs(r["q0_25"] - 0.25 * (r["n"] - 1)) <= 0.01 * r["n"] + 1 and abs(r["q0_9"] - 0.9 * (r["n"] - 1)) <= 0.01 * r["n"] + 1
     with pytest.raises(ValueError, match="unknown method"):
         quantiles.exact_quantiles(df, "v", (0.5,), group=[], method="near")
+
+
+def test_distinct_counts(spark):
+    long = "x" * 100
+    data = [(i % 7, None if i % 5 == 0 else float(i % 3) * (-1 if i % 2 else 1), long + str(i % 11), [i % 2], None, f"u{i}") for i in range(3000)]
+    df = spark.createDataFrame(data, "a int, b double, c string, d array<int>, e string, f string").repartition(4)
+    exact = {r["column"]: r["distinct_count"] for r in prof.distinct_counts(df).collect()}
+    assert exact == {"a": 7, "b": 6, "c": 11, "d": 2, "e": 1, "f": 3000}
+    about = {r["column"]: r["distinct_count"] for r in prof.distinct_counts(df, exact=False).collect()}
+    assert all(abs(about[c] - exact[c]) <= 0.05 * exact[c] for c in exact)
+    for mode in (True, False):
+        assert {r["column"]: r["distinct_count"] for r in prof.distinct_counts(df.limit(0), exact=mode).collect()} == dict.fromkeys(exact, 0)

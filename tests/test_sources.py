@@ -186,3 +186,44 @@ def test_column_selection(spark):
     df = spark.createDataFrame([], "date date, exchange_rate double, n int, price_label string, oil_Price float, sentiment_score double")
     assert numeric_columns(df) == ["exchange_rate", "n", "oil_Price", "sentiment_score"]
     assert columns_named(df, ("rate", "price")) == ["exchange_rate", "oil_Price"]
+
+
+def test_sources_are_ingested_side_by_side(spark):
+    """Two readers that wait for each other, one that fails, one that is empty."""
+    import threading
+
+    meet = threading.Barrier(2, timeout=60)
+
+    def reader(name):
+        def read(sp, path):
+            meet.wait()
+            return sp.createDataFrame([(D(2024, 1, d), name, float(d)) for d in range(1, 6)], "date date, what string, v double")
+        return read
+
+    def failing(sp, path):
+        raise OSError("feed is down")
+
+    registry = rs.Registry().add("a", reader("a")).add("b", reader("b")).add("bad", failing)
+    registry.add("none", lambda sp, path: sp.createDataFrame([], "date date, v double"))
+    target = f"{shared_folder(spark)}/raw"
+    out = rs.ingest_all(spark, registry, "", target, "2024-01-01", "2024-01-31", F.lit(dt.datetime(2024, 2, 1)))
+    assert [tuple(r) for r in out.collect()] == [("a", 5, 5, None), ("b", 5, 5, None), ("bad", 0, 0, "feed is down"), ("none", 0, 0, None)]
+    got = rs.read_raw(spark, target).groupBy("source").count().collect()
+    assert {r["source"]: r["count"] for r in got} == {"a": 5, "b": 5}
+
+
+def test_removal_of_old_metrics(spark):
+    from tidemark.sources.metric_store import read_metrics, remove_old_metrics, write_metrics
+
+    start = dt.datetime(2024, 1, 1)
+    data = [("m", start + dt.timedelta(hours=h), float(h)) for h in range(0, 120)] + [("m", None, -1.0)]
+    df = spark.createDataFrame(data, "name string, ts timestamp, value double")
+    path = f"{shared_folder(spark)}/metrics"
+    write_metrics(df, path)
+    assert remove_old_metrics(spark, path, df.schema, 24, "2024-01-04T06:00:00") == 55
+    left = read_metrics(spark, path, df.schema)
+    assert sorted(r["value"] for r in left.collect()) == [-1.0, *map(float, range(55, 120))]
+    assert left.select("day").distinct().count() == 4
+    assert remove_old_metrics(spark, path, df.schema, 24, "2024-01-04T06:00:00") == 0
+    # the cut at the very end of a day leaves nothing of it
+    assert remove_old_metrics(spark, path, df.schema, 0, "2024-01-03T23:00:00") == 17 and read_metrics(spark, path, df.schema).count() == 49

@@ -131,6 +131,36 @@ def constant_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                       (all_null | F.coalesce(same, F.lit(False))).alias("is_constant"))
 
 
+def _as_text(df: DataFrame, c: str) -> Column:
+    """A value's text: equal exactly for equal values of the column."""
+    if df.schema[c].dataType.typeName() in ("float", "double"):
+        return (F.col(c) + F.lit(0.0)).cast("string")  # zeros of both signs are one value
+    if isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.to_json(c)
+    return F.col(c).cast("string")
+
+
+def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
+    """``distinct_count`` per column, null as a value of its own.
+
+    Exact counts take two levels: equal (column, value) pairs first, which combines before the shuffle and parts a
+    column over all tasks, then pairs per column; texts beyond 64 bytes travel as their SHA-256, marked as such. With ``exact=False`` one
+    pass keeps a HyperLogLog sketch of 4,096 registers per column and task; the estimate is within 5 % (three standard errors).
+    """
+    cols = list(cols or df.columns)
+    if not exact:
+        sketch = lambda c: F.hll_sketch_estimate(F.hll_sketch_agg(_as_text(df, c), F.lit(12)))
+        return per_column(df, cols, {"distinct_count": lambda c: F.coalesce(sketch(c), F.lit(0).cast("bigint")) + F.bool_or(F.col(c).isNull()).cast("bigint")}
+                          ).select("column", F.coalesce("distinct_count", F.lit(0).cast("bigint")).alias("distinct_count"))
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), _as_text(df, c).alias("value")) for c in cols])).alias("r")).select("r.*")
+    long = F.octet_length("value") > 64
+    pairs = pairs.select("column", long.alias("long"), F.when(long, F.sha2("value", 256)).otherwise(F.col("value")).alias("value")).distinct()
+    counts = pairs.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"))
+    # One row per column; a column of an empty frame has no pair.
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    return names.join(counts, "column", "left").select("column", F.coalesce("distinct_count", F.lit(0).cast("bigint")).alias("distinct_count"))
+
+
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     """Values by row and column; null, NaN and infinity as NaN."""
     x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
