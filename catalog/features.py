@@ -160,6 +160,14 @@ def _intent(spark, sf):
     return message_intent(ev, "text").drop("text")
 
 
+@query("conversation_intent", """WITH m AS (SELECT conv_id, turn, lower(text) AS t FROM conversations)
+  SELECT conv_id, turn, CASE WHEN t LIKE '%forecast%' OR t LIKE '%prediction%' THEN 'forecast' WHEN t LIKE '%why%' OR t LIKE '%explain%' THEN 'explain'
+    WHEN t LIKE '%help%' THEN 'help' ELSE 'other' END AS intent,
+  CASE WHEN t LIKE '%forecast%' OR t LIKE '%prediction%' THEN CASE WHEN t LIKE '%week%' THEN 5 ELSE 1 END END AS horizon FROM m""")
+def _conversation_intent(spark, sf):
+    return message_intent(table(spark, sf, "conversations").select("conv_id", "turn", "text"), "text").drop("text")
+
+
 @query("horizon_labels", f"""WITH {DAILY_CTE} SELECT series, date, price, {', '.join(f'LEAD(price, {h}) {W} AS price_t_plus_{h}' for h in range(1, 6))} FROM daily""")
 def _labels(spark, sf):
     return merge_blocks(fct.horizon_labels(daily_prices(spark, sf), "price", **BY))
@@ -195,6 +203,26 @@ def _regression(spark, sf):
                       F.round(F.col("intercept") + F.lit(0.00123457), 2).alias("intercept"))
 
 
+# Two features; fitted on the oldest 70 % of each series, scored on the newest 10 %.
+@query("horizon_regression_held_out", f"""WITH {DAILY_CTE}, l AS (SELECT series, date, price AS x1, LAG(price) {W} AS x2, PERCENT_RANK() {W} AS pr,
+    {', '.join(f'LEAD(price, {h}) {W} AS y{h}' for h in (1, 2, 5))} FROM daily),
+  u AS ({' UNION ALL '.join(f'SELECT {h} AS horizon, pr, x1, x2, y{h} AS y FROM l WHERE x2 IS NOT NULL AND y{h} IS NOT NULL' for h in (1, 2, 5))}),
+  f AS (SELECT horizon, COUNT(*) AS n, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2, var_pop(x1) AS v1, var_pop(x2) AS v2,
+    covar_pop(x1, x2) AS c12, AVG(x1) AS m1, AVG(x2) AS m2, AVG(y) AS my FROM u WHERE pr < 1 - 0.2::DOUBLE - 0.1::DOUBLE GROUP BY 1),
+  b AS (SELECT *, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2 FROM f),
+  e AS (SELECT horizon, n, b1, b2, my - b1 * m1 - b2 * m2 AS b0, y, y - (my + b1 * (x1 - m1) + b2 * (x2 - m2)) AS off
+    FROM u JOIN b USING (horizon) WHERE NOT pr < 1 - 0.1::DOUBLE)
+  SELECT horizon, n AS rows, COUNT(*) AS test_rows, round(sqrt(AVG(off * off)) + 0.00123457::DOUBLE, 2) AS rmse,
+    round(1 - AVG(off * off) / var_pop(y) + 0.0000123457::DOUBLE, 4) AS r2, round(b0 + 0.00123457::DOUBLE, 2) AS intercept,
+    round(b1 + 0.0000123457::DOUBLE, 4) AS coef_price, round(b2 + 0.0000123457::DOUBLE, 4) AS coef_price_lag_1 FROM e GROUP BY horizon, n, b0, b1, b2""")
+def _regression_held_out(spark, sf):
+    parts = fct.temporal_split(daily_prices(spark, sf), **BY)
+    df = win.lag_features(parts, ["price"], (1,), **BY)
+    out = fct.horizon_regression(df, ["price", "price_lag_1"], "price", (1, 2, 5), train=F.col("split") == "train", test=F.col("split") == "test", **BY)
+    two = [F.round(F.col(c) + F.lit(0.00123457), 2).alias(c) for c in ("rmse", "intercept")]
+    return out.select("horizon", "rows", "test_rows", *two, *[r4(c).alias(c) for c in ("r2", "coef_price", "coef_price_lag_1")])
+
+
 @query("latest_predictions", """WITH p AS (SELECT o_orderpriority AS series, CAST(o_orderdate AS DATE) AS prediction_date, o_orderkey % 5 + 1 AS horizon,
     o_totalprice AS point_forecast, CAST(o_orderkey AS VARCHAR) AS model_version, o_orderstatus AS model_name FROM orders),
   r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY series, prediction_date, horizon ORDER BY list_transform(regexp_extract_all(model_version, '[0-9]+'), lambda x: CAST(x AS HUGEINT)) DESC, model_version DESC, model_name DESC) AS rn FROM p)

@@ -2,6 +2,7 @@ import datetime as dt
 import json
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +108,76 @@ def test_forecasts(spark):
     assert (reg["rows"], reg["coef_x"], reg["intercept"]) == (19, pytest.approx(2.0), pytest.approx(2.0))
 
 
+def _two_series(spark, n=120):
+    """y = 3 + 2a - b two rows later, with noise that is not linear in them."""
+    rng = np.random.default_rng(7)
+    data = []
+    for s in ("p", "q"):
+        a, b = rng.normal(1e6, 3.0, n), rng.normal(0, 1.0, n)
+        e = rng.normal(0, 0.1, n)
+        for i in range(n):
+            y = None if i < 2 or i == 50 else float(3 + 2 * a[i - 2] - b[i - 2] + e[i])
+            data.append((s, dt.date(2025, 1, 1) + dt.timedelta(days=i), float(a[i]), None if i == 9 else float(b[i]), 5.0, y, "train" if i < 80 else "test"))
+    return spark.createDataFrame(data, "series string, date date, a double, b double, c double, y double, split string"), data
+
+
+def _plain_fit(data, h):
+    by = {(r[0], r[1]): r for r in data}
+    parts = {"train": [], "test": []}
+    for r in data:
+        later = by.get((r[0], r[1] + dt.timedelta(days=h)))
+        if later and later[5] is not None and r[3] is not None:
+            parts[r[6]].append((r[2], r[3], later[5]))
+    t, s = (np.array(parts[p]) for p in ("train", "test"))
+    design = lambda m: np.column_stack([np.ones(len(m)), m[:, 0] - 1e6, m[:, 1]])
+    coef = np.linalg.lstsq(design(t), t[:, 2], rcond=None)[0]
+    off = s[:, 2] - design(s) @ coef
+    return len(t), len(s), coef, float(np.sqrt(np.mean(off ** 2))), 1 - float(np.mean(off ** 2) / s[:, 2].var())
+
+
+def test_regression_held_out_equals_least_squares(spark):
+    df, data = _two_series(spark)
+    on = {"train": F.col("split") == "train", "test": F.col("split") == "test"}
+    got = fct.horizon_regression(df.repartition(7), ["a", "b", "c"], "y", (1, 2), **on, **BY).orderBy("horizon").collect()
+    for r in got:
+        n, m, coef, rmse, r2 = _plain_fit(data, r["horizon"])
+        assert (r["rows"], r["test_rows"]) == (n, m)
+        # a lies a million away from zero, so moments must be taken about the mean
+        assert (r["coef_a"], r["coef_b"], r["coef_c"]) == (pytest.approx(coef[1], rel=1e-6), pytest.approx(coef[2], rel=1e-6), 0.0)
+        assert r["intercept"] == pytest.approx(coef[0] - coef[1] * 1e6, rel=1e-6)
+        assert (r["rmse"], r["r2"]) == (pytest.approx(rmse, rel=1e-5), pytest.approx(r2, abs=1e-6))
+    assert got[1]["coef_a"] == pytest.approx(2.0, abs=0.02) and got[1]["rmse"] < 0.15
+
+
+def test_regression_of_no_rows_collinear_and_split_series(spark, monkeypatch):
+    df, data = _two_series(spark)
+    empty = fct.horizon_regression(df.where("false"), ["a"], "y", (1, 2), **BY).orderBy("horizon").collect()
+    assert [(r["horizon"], r["rows"], r["test_rows"], r["rmse"], r["coef_a"]) for r in empty] == [(1, 0, 0, None, None), (2, 0, 0, None, None)]
+    none = fct.horizon_regression(df, ["a"], "y", (1,), train=F.lit(False), **BY).first()
+    assert none["rows"] == 0 and none["test_rows"] > 0 and none["rmse"] is None
+    twice = fct.horizon_regression(df.withColumn("a2", F.col("a")), ["a", "a2"], "y", (2,), **BY).first()
+    once = fct.horizon_regression(df, ["a"], "y", (2,), **BY).first()
+    assert twice["coef_a"] + twice["coef_a2"] == pytest.approx(once["coef_a"], rel=1e-6)
+    assert twice["rmse"] == pytest.approx(once["rmse"], rel=1e-6)
+    bad = df.withColumn("a", F.when(F.dayofmonth("date") == 3, float("nan")).otherwise(F.col("a")))
+    assert fct.horizon_regression(bad, ["a"], "y", (2,), **BY).first()["rows"] < once["rows"]
+    # blocks of ten rows give the same labels, so the same model
+    monkeypatch.setattr("tidemark.operators.blocks.MAX_ROWS", 10)
+    cut = fct.horizon_regression(df, ["a"], "y", (2,), **BY).first()
+    assert (cut["rows"], cut["coef_a"]) == (once["rows"], pytest.approx(once["coef_a"], rel=1e-9))
+
+
+def test_boosting_follows_what_is_not_linear(spark):
+    data = [("s", dt.date(2020, 1, 1) + dt.timedelta(days=i), float(i % 7), float(((i + 6) % 7 - 3) ** 2)) for i in range(400)]
+    df = spark.createDataFrame(data, "series string, date date, x double, y double")
+    on = {"train": F.col("date") < "2020-11-01", "test": F.col("date") >= "2020-11-01"}
+    tree = fct.horizon_boosting(df, ["x"], "y", (1,), depth=5, **on, **BY).first()
+    line = fct.horizon_regression(df, ["x"], "y", (1,), **on, **BY).first()
+    assert (tree["rows"], tree["test_rows"]) == (line["rows"], line["test_rows"])
+    assert tree["rmse"] < 0.2 and line["rmse"] > 2 and tree["r2"] > 0.99
+    assert fct.horizon_boosting(df, ["x"], "y", (1,), train=F.lit(False), test=F.lit(True), **BY).first()["rmse"] is None
+
+
 def test_champion(spark):
     t = dt.datetime(2025, 1, 1)
     df = spark.createDataFrame([("a", "1", 1, 0.8, t), ("b", "1", 1, 0.9, t), ("c", "1", 2, 0.5, t + dt.timedelta(days=3))],

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.blocks import block_key, merge_blocks, one_per_day, series_window, windowed
+from tidemark.operators.blocks import HALO, block_key, merge_blocks, one_per_day, series_window, windowed
 from tidemark.operators.joins import join_same_key
+from tidemark.operators.profile import ADDERS, SENDERS
 from tidemark.sources.workdir import stage
 
 HORIZONS = (1, 2, 3, 4, 5)
@@ -86,32 +91,176 @@ def champion_model(models: DataFrame, as_of: str, stale_hours: float = 48.0, met
     return best.withColumns({"hours_old": hours, "is_stale": hours > stale_hours})
 
 
+@windowed(lambda a: 0, ahead=lambda a: max(a["horizons"]))
+def _regression_rows(df: DataFrame, features: Sequence[str], label: str, horizons: Sequence[int], train: Column, test: Column, *,
+                     key, order) -> DataFrame:
+    """Features ``x0``..., labels ``y0``... and the two row conditions, under names of their own."""
+    w = series_window(key, order)
+    return df.select(*[c for c in ("__block", HALO) if c in df.columns], *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)],
+                     *[F.lead(F.col(label).cast("double"), h).over(w).alias(f"y{i}") for i, h in enumerate(horizons)],
+                     *[F.coalesce(c, F.lit(False)).alias(n) for n, c in (("train", train), ("test", test))])
+
+
 def horizon_regression(df: DataFrame, features: Sequence[str], label: str, horizons: Sequence[int] = HORIZONS, *,
-                       key: Sequence[str], order: str, split: Column | None = None) -> DataFrame:
-    """One linear model per horizon; returns rows, RMSE, R2 and coefficients of each.
+                       key: Sequence[str], order: str, train: Column | None = None, test: Column | None = None,
+                       l2: float = 0.0) -> DataFrame:
+    """One linear model per horizon, fitted on the rows of ``train`` and scored on those of ``test`` (both all rows by default).
 
-    Labels come from ``horizon_labels`` and are written once, as every fit and score reads them;
-    training runs in ``pyspark.ml`` over all series.
+    One pass: each task adds up count, means and co-moments of (features, label) per horizon and part, two levels of merges
+    bring them together, and every horizon is solved and scored from its own matrices. Nothing is collected, and what is
+    shuffled is bounded by ``SENT_BYTES``, whatever the rows. A row counts for a horizon if its features and
+    that label are finite. Labels are the values ``h`` rows later in the whole series, so a condition does not cut them.
+
+    Columns: horizon, rows, test_rows, train_rmse, rmse, r2 (the last two of the test rows, null without any; r2 also where the
+    label does not vary), intercept, ``coef_{feature}``. Without training rows the fitted values are null. A constant
+    feature has coefficient 0, and among collinear ones the smallest standardised coefficients are taken. ``l2`` adds a ridge penalty on
+    standardised coefficients. As errors come from moments, an RMSE below about 1e-7 of the label's spread is not resolved.
+    """
+    everything = F.lit(True)
+    rows = _regression_rows(df, features, label, horizons, everything if train is None else train, everything if test is None else test,
+                            key=key, order=order)
+    rows = merge_blocks(rows)
+    fits = _solved(_horizon_moments(rows, len(features), len(horizons)), len(features), l2)
+    # One row per horizon, so the broadcast is as small as the declared list.
+    asked = df.sparkSession.createDataFrame(list(enumerate(horizons)), "at int, horizon int")
+    out = asked.join(F.broadcast(fits), "at", "left")
+    count = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("rows", "test_rows")]
+    return out.select("horizon", *count, "train_rmse", "rmse", "r2", "intercept", *[F.get("coef", i).alias(f"coef_{n}") for i, n in enumerate(features)])
+
+
+# Bytes of matrices that all tasks together may send; a small table has far fewer tasks than this allows.
+SENT_BYTES = 1 << 35
+_MOMENTS = "at int, test boolean, adder int, moments binary"
+
+
+def _pooled(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Moments of two sets of rows together. Row 0 holds the count, row 1 the means, the others the co-moments."""
+    n, d = a[0, 0] + b[0, 0], b[1] - a[1]
+    out = a + b
+    out[1] = a[1] + d * (b[0, 0] / n)
+    out[2:] += np.outer(d, d) * (a[0, 0] * b[0, 0] / n)
+    return out
+
+
+def _merge_rows(batches: Iterator[pa.RecordBatch], width: int, keys: Callable[[int, bool, int], tuple]) -> dict[tuple, np.ndarray]:
+    total: dict[tuple, np.ndarray] = {}
+    for batch in batches:
+        for at, test, adder, binary in zip(*[batch[c].to_pylist() for c in ("at", "test", "adder")], batch["moments"], strict=True):
+            one, k = np.frombuffer(binary.as_buffer()).reshape(width + 2, width), keys(at, test, adder)
+            total[k] = _pooled(total[k], one) if k in total else one
+    return total
+
+
+def _moment_batch(at: int, test: bool, adder: int, moments: np.ndarray) -> pa.RecordBatch:
+    schema = pa.schema([("at", pa.int32()), ("test", pa.bool_()), ("adder", pa.int32()), ("moments", pa.binary())])
+    return pa.RecordBatch.from_pylist([{"at": at, "test": test, "adder": adder, "moments": moments.tobytes()}], schema=schema)
+
+
+def _horizon_moments(rows: DataFrame, k: int, many: int) -> DataFrame:
+    """(at, test, adder, moments): features and label of each horizon and part, added up in ``ADDERS`` groups of tasks."""
+    width = k + 1
+    step = max(1, (1 << 21) // (k + many))
+    senders = max(SENDERS, SENT_BYTES // (2 * many * 8 * (width + 2) * width))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for begin in range(0, batch.num_rows, step):
+                piece = batch.slice(begin, step)
+                z = np.column_stack([piece[i].to_numpy(zero_copy_only=False) for i in range(k + many)]).astype(float)
+                fine = np.isfinite(z)
+                whole = fine[:, :k].all(axis=1)
+                for name in ("train", "test"):
+                    wanted = whole & piece[name].to_numpy(zero_copy_only=False)
+                    for h in range(many):
+                        mine = wanted & fine[:, k + h]
+                        n = int(mine.sum())
+                        if not n:
+                            continue
+                        v = np.column_stack([z[mine, :k], z[mine, k + h]])
+                        mean = v.mean(axis=0)
+                        v -= mean
+                        one = np.vstack([np.full(width, float(n)), mean, v.T @ v])
+                        at = h, name == "test"
+                        total[at] = _pooled(total[at], one) if at in total else one
+        adder = TaskContext.get().partitionId() % ADDERS
+        for (h, test), one in total.items():
+            yield _moment_batch(h, test, adder, one)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (at, test, adder), one in _merge_rows(batches, width, lambda *key: key).items():
+            yield _moment_batch(at, test, adder, one)
+
+    ordered = rows.select(*[f"x{i}" for i in range(k)], *[f"y{h}" for h in range(many)], "train", "test")
+    return ordered.coalesce(senders).mapInArrow(gather, _MOMENTS).repartition("at", "test", "adder").mapInArrow(add, _MOMENTS)
+
+
+def _solved(moments: DataFrame, k: int, l2: float) -> DataFrame:
+    """(at, rows, test_rows, train_rmse, rmse, r2, intercept, coef) of each horizon that has rows."""
+    width = k + 1
+    schema = pa.schema([("at", pa.int32()), ("rows", pa.int64()), ("test_rows", pa.int64()), *[(c, pa.float64()) for c in
+                        ("train_rmse", "rmse", "r2", "intercept")], ("coef", pa.list_(pa.float64()))])
+
+    def error(m: np.ndarray, intercept: float, coef: np.ndarray) -> float:
+        """Mean squared error of a model on the rows of ``m``."""
+        edge = np.append(-coef, 1.0)
+        return max(0.0, edge @ (m[2:] / m[0, 0]) @ edge) + (edge @ m[1] - intercept) ** 2
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = _merge_rows(batches, width, lambda at, test, adder: (at, test))
+        for at in {at for at, _ in total}:
+            fit, held = total.get((at, False)), total.get((at, True))
+            row = {c: None for c in schema.names} | {"at": at, "rows": 0 if fit is None else int(fit[0, 0]), "test_rows": 0 if held is None else int(held[0, 0])}
+            if fit is not None:
+                cov = fit[2:] / fit[0, 0]
+                spread = np.sqrt(np.diag(cov)[:k])
+                varies = spread > 1e-14 * np.abs(fit[1, :k])
+                unit = np.where(varies, spread, 1.0)
+                x = np.where(np.outer(varies, varies), cov[:k, :k] / np.outer(unit, unit), 0.0)
+                coef = np.linalg.pinv(x + l2 * np.diag(varies.astype(float)), rcond=1e-12, hermitian=True) @ np.where(varies, cov[:k, k] / unit, 0.0) / unit
+                intercept = float(fit[1, k] - fit[1, :k] @ coef)
+                row |= {"train_rmse": error(fit, intercept, coef) ** 0.5, "intercept": intercept, "coef": coef.tolist()}
+                if held is not None:
+                    mse, var = error(held, intercept, coef), held[width + 1, k] / held[0, 0]
+                    row |= {"rmse": mse ** 0.5, "r2": 1 - mse / var if var > 0 else None}
+            yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+    return moments.repartition("at").mapInArrow(solve, "at int, rows long, test_rows long, train_rmse double, rmse double, r2 double, "
+                                                       "intercept double, coef array<double>")
+
+
+def horizon_boosting(df: DataFrame, features: Sequence[str], label: str, horizons: Sequence[int] = HORIZONS, *,
+                     key: Sequence[str], order: str, train: Column | None = None, test: Column | None = None,
+                     trees: int = 20, depth: int = 4, seed: int = 42) -> DataFrame:
+    """Boosted regression trees per horizon (``pyspark.ml``), for labels that are not linear: horizon, rows, test_rows, rmse, r2.
+
+    Conditions, labels and scores are those of ``horizon_regression``. The labelled rows are written once, as every tree reads
+    them; a horizon without training rows has null scores.
     """
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
+    from pyspark.ml.regression import GBTRegressor
 
-    labelled = merge_blocks(horizon_labels(df, label, horizons, key=key, order=order))
-    if split is not None:
-        labelled = labelled.where(split)
-    labelled = stage(labelled.select(*dict.fromkeys([*features, *[f"{label}_t_plus_{h}" for h in horizons]])))
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
+    everything = F.lit(True)
+    rows = stage(merge_blocks(_regression_rows(df, features, label, horizons, everything if train is None else train,
+                                               everything if test is None else test, key=key, order=order)))
+    names = [f"x{i}" for i in range(len(features))]
+    assembler = VectorAssembler(inputCols=names, outputCol="features")
     out = None
-    for h in horizons:
-        target = f"{label}_t_plus_{h}"
-        data = assembler.transform(labelled.where(F.col(target).isNotNull())).select("features", target)
-        model = LinearRegression(labelCol=target, featuresCol="features", solver="normal").fit(data)
-        scored = model.transform(data).agg(
-            F.count(F.lit(1)).alias("rows"), F.sqrt(F.avg(F.pow(F.col(target) - F.col("prediction"), 2))).alias("rmse"),
-            F.var_pop(target).alias("v"), F.avg(F.pow(F.col(target) - F.col("prediction"), 2)).alias("mse"))
-        one = scored.select(F.lit(h).alias("horizon"), "rows", "rmse",
-                            (1 - F.col("mse") / F.nullif(F.col("v"), F.lit(0.0))).alias("r2"),
-                            F.lit(float(model.intercept)).alias("intercept"),
-                            *[F.lit(float(c)).alias(f"coef_{n}") for n, c in zip(features, model.coefficients)])
+    for i, h in enumerate(horizons):
+        def finite(c: str) -> Column:
+            return F.coalesce(F.abs(c) < float("inf"), F.lit(False))
+
+        mine = rows.where(reduce(lambda a, b: a & b, [finite(c) for c in (*names, f"y{i}")]))
+        data = assembler.transform(mine).select("features", F.col(f"y{i}").alias("label"), "train", "test")
+        fitted = data.where("train").agg(F.count(F.lit(1)).alias("rows"))
+        known = fitted.first()["rows"]
+        guess = data.where("test").withColumn("prediction", F.lit(None).cast("double"))
+        if known:
+            model = GBTRegressor(maxIter=trees, maxDepth=depth, seed=seed).fit(data.where("train"))
+            guess = model.transform(data.where("test"))
+        off = F.avg(F.pow(F.col("label") - F.col("prediction"), 2))
+        one = guess.agg(F.count(F.lit(1)).alias("test_rows"), F.sqrt(off).alias("rmse"),
+                        (1 - off / F.nullif(F.var_pop("label"), F.lit(0.0))).alias("r2"))
+        one = one.select(F.lit(h).alias("horizon"), F.lit(known).cast("bigint").alias("rows"), "test_rows", "rmse", "r2")
         out = one if out is None else out.unionByName(one)
     return out
