@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalog.base import (DAILY_CTE, DECLARED, EVENTS_AS_OF, MARKET_CTE, RATES_CTE, RAW_CTE, daily_prices,
+from catalog.base import (DAILY_CTE, DECLARED, EVENTS_AS_OF, MARKET_CTE, ORDERS_AS_OF, RATES_CTE, RAW_CTE, daily_prices,
                           daily_rates, market_sources, query, r6, raw_events, s6, table)
 from catalog.profiles import _union, sql_corr, sql_fences, sql_skew
 from tidemark.operators.align import align_sources
@@ -184,6 +184,53 @@ def _raw_validation(spark, sf):
     return shown(rc.validate_raw(raw_numbers(spark, sf), DECLARED, EVENTS_AS_OF, RANGE_CFG))
 
 
+# The raw checks of the orders with their messages and evidence, one row per date, gap or value named in the details.
+MESSAGES = {"data_completeness": ("enough records in ", "too few records in "), "data_freshness": ("fresh data from ", "stale data from "),
+            "data_consistency": ("no duplicate dates in ", "duplicate dates in "), "data_continuity": ("no date gaps in ", "date gaps in "),
+            "data_quality": ("no null data in ", "null data in "), "outlier_detection": ("no outliers in ", "outliers in "),
+            "range_validation": ("all values in range in ", "values out of range in ")}
+_MESSAGE_SQL = "CASE check_name WHEN 'data_availability' THEN 'data available' " + " ".join(
+    f"WHEN '{c}' THEN CASE WHEN passed THEN '{good}' ELSE '{bad}' END || subject" for c, (good, bad) in MESSAGES.items()) + " END"
+ORDER_RANGES = {"1-URGENT": (1000.0, 250000.0), "3-MEDIUM": (0.0, 1e9), "5-LOW": (2000.0, 400000.0)}
+ORDER_CFG = CheckConfig(ranges=ORDER_RANGES, z_limit=2.0)
+
+
+def shown_evidence(checks: DataFrame) -> DataFrame:
+    named = checks.select("check_name", "subject", "passed", "message", F.explode_outer("details").alias("key", "entry"))
+    items = named.select("check_name", "subject", "passed", "message", "key", F.posexplode(F.split(F.coalesce("entry", F.lit("")), ",")).alias("pos", "item"))
+    number = F.col("item").try_cast("double")
+    return items.select("check_name", "subject", "passed", "message", "key", F.col("pos").cast("bigint").alias("pos"),
+                        F.when(number.isNull(), F.nullif("item", F.lit(""))).alias("text"), r6(number).alias("number"))
+
+
+@query("raw_validation_evidence", f"""WITH {RAW_ORDERS}, {facts_cte(ORDER_SOURCES)}, total AS (SELECT SUM(n) AS n FROM facts),
+  nums AS (SELECT source, data AS v FROM raw WHERE data IS NOT NULL
+    UNION ALL SELECT o_orderpriority, CAST(o_orderkey AS DOUBLE) FROM orders WHERE o_orderstatus <> 'P'),
+  {out_cte(bound_sql(ORDER_RANGES, 0), bound_sql(ORDER_RANGES, 1)).replace('> 3', '> 2')},
+  checks AS ({_union([row("total", "data_availability", "n > 0", "'critical'", "'raw_data'", "record_count", "n", 1), completeness_sql(),
+    freshness_sql(ORDERS_AS_OF), *CONSISTENCY_SQL, PAYLOAD_SQL, OUTLIER_SQL,
+    row("out", "range_validation", "out_of_range = 0", E, "source", "out_of_range_count", "out_of_range", 0,
+        "source IN (" + ", ".join(f"'{k}'" for k in ORDER_RANGES) + ")")])}),
+  named AS (SELECT DISTINCT source, v, abs((v - mean) / NULLIF(std, 0)) AS far FROM nums JOIN stats USING (source)),
+  evidence AS (
+    SELECT 'data_freshness' AS check_name, source, 'latest_date' AS key, 0 AS pos, CAST(ld AS VARCHAR) AS text, NULL::DOUBLE AS number FROM facts
+    UNION ALL SELECT 'data_freshness', source, 'latest_ingest', 0, CAST(CAST(li AS TIMESTAMP) AS VARCHAR), NULL FROM facts
+    UNION ALL SELECT 'data_consistency', source, 'dates', ROW_NUMBER() OVER (PARTITION BY source ORDER BY date) - 1, CAST(date AS VARCHAR), NULL FROM days WHERE n > 1
+    UNION ALL SELECT 'data_continuity', source, 'missing', ROW_NUMBER() OVER (PARTITION BY source ORDER BY date) - 1,
+      CAST(CAST(date - CAST(gap AS INTEGER) + 1 AS DATE) AS VARCHAR) || '..' || CAST(CAST(date - 1 AS DATE) AS VARCHAR), NULL FROM gaps WHERE gap > 1
+    UNION ALL SELECT 'outlier_detection', source, 'values', ROW_NUMBER() OVER (PARTITION BY source ORDER BY far DESC, v) - 1, NULL, {s6('v')} FROM named WHERE far > 2
+    UNION ALL SELECT 'range_validation', source, 'values', ROW_NUMBER() OVER (PARTITION BY source ORDER BY v) - 1, NULL, {s6('v')} FROM named
+      WHERE v < {bound_sql(ORDER_RANGES, 0)} OR v > {bound_sql(ORDER_RANGES, 1)}),
+  keys AS (SELECT unnest(['data_freshness', 'data_freshness', 'data_consistency', 'data_continuity', 'outlier_detection', 'range_validation']) AS check_name,
+    unnest(['latest_date', 'latest_ingest', 'dates', 'missing', 'values', 'values']) AS key)
+  SELECT c.check_name, c.subject, c.passed, {_MESSAGE_SQL.replace('check_name', 'c.check_name').replace('subject', 'c.subject')} AS message, k.key,
+    CAST(COALESCE(e.pos, 0) AS BIGINT) AS pos, e.text, e.number
+  FROM checks c LEFT JOIN keys k USING (check_name) LEFT JOIN evidence e ON e.check_name = c.check_name AND e.source = c.subject AND e.key = k.key
+    AND e.pos < CASE c.check_name WHEN 'range_validation' THEN 5 ELSE 10 END""")
+def _raw_evidence(spark, sf):
+    return shown_evidence(rc.validate_raw(raw_orders(spark, sf), ORDER_SOURCES, ORDERS_AS_OF, ORDER_CFG))
+
+
 REPORT_COLS = """COUNT(*) AS total_checks, COUNT(*) FILTER (WHERE passed) AS passed_checks, COUNT(*) FILTER (WHERE NOT passed) AS failed_checks,
   COUNT(*) FILTER (WHERE severity = 'info') AS info, COUNT(*) FILTER (WHERE severity = 'warning') AS warning,
   COUNT(*) FILTER (WHERE severity = 'error') AS error, COUNT(*) FILTER (WHERE severity = 'critical') AS critical"""
@@ -401,6 +448,19 @@ def _time_series(spark, sf):
     return shown(tc.check_time_series(df, "date", "2001-07-01", key=["series"], seq="o_orderkey"))
 
 
+# The dates behind the failed series checks, one row each.
+@query("series_evidence", """WITH d AS (SELECT o_orderpriority AS series, CAST(o_orderdate AS DATE) AS d, COUNT(*) AS n FROM orders GROUP BY 1, 2),
+  g AS (SELECT *, d - LAG(d) OVER (PARTITION BY series ORDER BY d) AS gap FROM d),
+  e AS (SELECT 'unique_dates' AS check_name, series AS subject, 'dates' AS key, ROW_NUMBER() OVER (PARTITION BY series ORDER BY d) - 1 AS pos, CAST(d AS VARCHAR) AS text FROM d WHERE n > 1
+    UNION ALL SELECT 'missing_dates', series, 'missing', ROW_NUMBER() OVER (PARTITION BY series ORDER BY d) - 1,
+      CAST(CAST(d - CAST(gap AS INTEGER) + 1 AS DATE) AS VARCHAR) || '..' || CAST(CAST(d - 1 AS DATE) AS VARCHAR) FROM g WHERE gap > 1)
+  SELECT * FROM e WHERE pos < 10""")
+def _series_evidence(spark, sf):
+    df = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("series"), F.to_date("o_orderdate").alias("date"))
+    shown_rows = shown_evidence(tc.check_time_series(df, "date", "2001-07-01", key=["series"]))
+    return shown_rows.where(F.col("text").isNotNull()).select("check_name", "subject", "key", "pos", "text")
+
+
 @query("check_series_v2", f"""WITH sv AS (SELECT CAST(o_orderdate AS DATE) AS d FROM orders),
   f AS (SELECT COUNT(*) AS n, COUNT(DISTINCT d) AS u, MIN(d) AS lo, MAX(d) AS hi FROM sv) """ + _union([
     "SELECT 'date_type' AS check_name, 'info' AS severity, 'date' AS subject, 'is_date' AS metric, TRUE AS passed, 1::DOUBLE AS value, 1::DOUBLE AS threshold",

@@ -45,6 +45,39 @@ def test_raw_checks_fail(spark):
     assert ("data_continuity", "eia_brent") not in got and ("data_quality", "eia_brent") not in got
 
 
+def test_check_rows_name_their_evidence(spark):
+    df = raw(spark, n=5, step=3).unionByName(raw(spark, n=2, hours_old=9)).unionByName(raw(spark, source="x", n=1))
+    details = {(r["check_name"], r["subject"]): r["details"] for r in rc.validate_raw(df, ["cbn_rates"], AS_OF).collect()}
+    assert details[("data_consistency", "cbn_rates")] == {"dates": "2025-07-13"}
+    assert details[("data_continuity", "cbn_rates")] == {"missing": "2025-07-15..2025-07-15,2025-07-17..2025-07-18,2025-07-20..2025-07-21,2025-07-23..2025-07-24"}
+    assert details[("data_consistency", "x")] == {"dates": None}
+    two = CheckConfig(evidence_dates=2)
+    cut = {(r["check_name"], r["subject"]): r["details"] for r in rc.validate_raw(df, ["cbn_rates"], AS_OF, two).collect()}
+    assert cut[("data_continuity", "cbn_rates")] == {"missing": "2025-07-15..2025-07-15,2025-07-17..2025-07-18"}
+
+
+def test_outlier_evidence_is_cut_ordered_and_equal_from_facts(spark):
+    values = [5.0] * 300 + [60.0, -70.0, 60.0, 80.0, 75.0]
+    df = spark.createDataFrame([("s", "all", D0, json.dumps({"v": v}), None) for v in values], RAW)
+    cfg = CheckConfig(ranges={"s": (0.0, 5.0)}, evidence_outliers=3, evidence_ranges=2)
+    batch = rc.outlier_facts(df, ["s"], cfg).first()
+    assert (batch["outliers"], batch["out_of_range"]) == (5, 5)
+    # a value met twice is named once; the furthest from the mean of 5.5 come first
+    assert (batch["outlier_values"], batch["range_values"]) == ("-70.0,80.0,75.0", "-70.0,60.0")
+    half = [rc.value_facts(df.where(c), ["s"]) for c in ("data LIKE '%5.0%'", "data NOT LIKE '%5.0%'")]
+    facts = rc.outliers_of_values(rc.merge_values(half[0].unionByName(half[1])), cfg).first()
+    assert facts.asDict() | {"max_abs_z": 0} == batch.asDict() | {"max_abs_z": 0}
+    calm = rc.outlier_facts(df.where("data LIKE '%5.0%' AND data NOT LIKE '%75%'"), ["s"], cfg).first()
+    assert (calm["outliers"], calm["outlier_values"], calm["range_values"]) == (0, None, None)
+
+
+def test_series_evidence(spark):
+    days = [D0, D0, None, None, D0 + dt.timedelta(days=4)]
+    df = spark.createDataFrame([("a", d) for d in days], "series string, date date")
+    got = {r["check_name"]: r["details"] for r in tc.check_time_series(df, "date", AS_OF, key=["series"]).collect()}
+    assert (got["unique_dates"], got["missing_dates"]) == ({"dates": "2025-07-13"}, {"missing": "2025-07-14..2025-07-16"})
+
+
 def test_null_payload_is_a_warning_below_ten_percent(spark):
     df = raw(spark, n=11, data=lambda i: None if i == 0 else "{}")
     assert result(rc.check_null_payload(df, ["cbn_rates"]))[("data_quality", "cbn_rates")][:2] == (False, "warning")

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from tidemark.functions.numeric import safe_div
 from tidemark.operators.blocks import one_per_day, block_key, series_window
 from tidemark.operators.joins import join_same_key
+from tidemark.operators.checks.evidence import first_values, mark_days
+from tidemark.operators.checks.evidence import listed as dates_listed
 from tidemark.operators.checks.rows import DEFAULTS, CheckConfig, check, emit, emit_where, listed, union_checks
 from tidemark.sources.raw_store import recent_rows
 
@@ -37,27 +39,27 @@ def merge_days(facts: DataFrame) -> DataFrame:
     return facts.groupBy("source", "date").agg(F.sum("n").alias("n"), F.sum("nulls").alias("nulls"), F.max("latest_ingest").alias("latest_ingest"))
 
 
-def source_facts(raw: DataFrame, sources: Sequence[str]) -> DataFrame:
-    """Per source, declared or present: rows, nulls, latest date and ingest, duplicate keys, date gaps.
+def source_facts(raw: DataFrame, sources: Sequence[str], cfg: CheckConfig = DEFAULTS) -> DataFrame:
+    """Per source, declared or present: rows, nulls, latest date and ingest, duplicate keys, date gaps, and the first of both.
 
     Declared sources without any row are kept with zero counts, and sources that nobody
     declared are marked by ``declared``.
     """
-    return facts_of_days(day_facts(raw), sources)
+    return facts_of_days(day_facts(raw), sources, cfg)
 
 
-def facts_of_days(days: DataFrame, sources: Sequence[str]) -> DataFrame:
+def facts_of_days(days: DataFrame, sources: Sequence[str], cfg: CheckConfig = DEFAULTS) -> DataFrame:
     """``source_facts`` from one row per (source, date)."""
     spark = days.sparkSession
     days = one_per_day(days)
-    prev = F.lag("date").over(series_window(block_key(days, "source"), "date"))
-    days = days.select("*", F.datediff("date", prev).alias("gap"))
+    days = mark_days(days, "date", cfg.evidence_dates, key=block_key(days, "source"))
     seen = days.groupBy("source").agg(
         F.sum("n").alias("n"), F.sum("nulls").alias("nulls"), F.max("date").alias("latest_date"),
         F.max("latest_ingest").alias("latest_ingest"),
-        F.count_if(F.col("n") > 1).alias("duplicate_keys"), F.count_if(F.col("gap") > 1).alias("gaps"))
+        F.count_if(F.col("n") > 1).alias("duplicate_keys"), F.count_if(F.col("gap") > 1).alias("gaps"),
+        dates_listed("__twice").alias("duplicate_dates"), dates_listed("__hole").alias("missing_dates"))
     return listed(spark, "source", sources).join(seen, "source", "full").select(
-        "source", F.col("source").isin(*sources).alias("declared"), "latest_date", "latest_ingest",
+        "source", F.col("source").isin(*sources).alias("declared"), "latest_date", "latest_ingest", "duplicate_dates", "missing_dates",
         *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("n", "nulls", "duplicate_keys", "gaps")])
 
 
@@ -84,13 +86,15 @@ def _freshness(cfg: CheckConfig, as_of: str) -> Column:
 def _duplicates() -> Column:
     return check("data_consistency", F.col("duplicate_keys") == 0, severity="warning",
                  subject=F.col("source"), metric="duplicate_keys", value=F.col("duplicate_keys"), threshold=0,
-                 good=_about("no duplicate dates in "), bad=_about("duplicate dates in "))
+                 good=_about("no duplicate dates in "), bad=_about("duplicate dates in "),
+                 details={"dates": F.col("duplicate_dates")})
 
 
 def _continuity() -> Column:
     return check("data_continuity", F.col("gaps") == 0, severity="warning",
                  subject=F.col("source"), metric="date_gaps", value=F.col("gaps"), threshold=0,
-                 good=_about("no date gaps in "), bad=_about("date gaps in "))
+                 good=_about("no date gaps in "), bad=_about("date gaps in "),
+                 details={"missing": F.col("missing_dates")})
 
 
 def _payload(cfg: CheckConfig) -> Column:
@@ -157,7 +161,10 @@ def merge_values(facts: DataFrame) -> DataFrame:
 
 
 def outlier_facts(raw: DataFrame, sources: Sequence[str], cfg: CheckConfig = DEFAULTS) -> DataFrame:
-    """Per source: numbers, z-score outliers (population deviation) and values out of range."""
+    """Per source: numbers, z-score outliers (population deviation), values out of range, and the first different ones of both.
+
+    Outliers are named from the one furthest from the mean, values out of range from the smallest.
+    """
     numbers = payload_numbers(raw, sources)
     stats = numbers.groupBy("source").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
     return _outlier_counts(numbers.withColumn("n", F.lit(1).cast("bigint")), stats, cfg)
@@ -179,24 +186,33 @@ def _outlier_counts(numbers: DataFrame, stats: DataFrame, cfg: CheckConfig) -> D
         high = F.when(F.col("source") == s, F.lit(float(b))).otherwise(high)
     z = safe_div(F.col("value") - F.col("mean"), "std")
     marked = numbers.join(stats, "source").select(
-        "source", "value", "n", (F.abs(z) > cfg.z_limit).alias("is_outlier"),
-        ((F.col("value") < low) | (F.col("value") > high)).alias("is_out"), low.isNotNull().alias("has_range"))
+        "source", "value", "n", F.abs(z).alias("far"), F.coalesce(F.abs(z) > cfg.z_limit, F.lit(False)).alias("is_outlier"),
+        F.coalesce((F.col("value") < low) | (F.col("value") > high), F.lit(False)).alias("is_out"), low.isNotNull().alias("has_range"))
+    # One row per value that is named by a check, and one per source for all others.
+    named = F.col("is_outlier") | F.col("is_out")
+    folded = marked.groupBy("source", F.when(named, F.col("value")).alias("value"), "is_outlier", "is_out").agg(
+        F.sum("n").alias("n"), F.max("far").alias("far"), F.bool_or("has_range").alias("has_range"))
     some = lambda flag: F.coalesce(F.sum(F.when(F.col(flag), F.col("n"))), F.lit(0).cast("bigint"))
-    return marked.groupBy("source").agg(
-        F.sum("n").alias("n"), some("is_outlier").alias("outliers"),
-        some("is_out").alias("out_of_range"), F.bool_or("has_range").alias("has_range"))
+    counts = folded.groupBy("source").agg(
+        F.sum("n").alias("n"), some("is_outlier").alias("outliers"), some("is_out").alias("out_of_range"),
+        F.bool_or("has_range").alias("has_range"), F.max("far").alias("max_abs_z"))
+    values = first_values(folded, [("outlier_values", F.col("is_outlier"), -F.col("far"), cfg.evidence_outliers),
+                                   ("range_values", F.col("is_out"), F.lit(0), cfg.evidence_ranges)])
+    return counts.join(values, "source", "left")
 
 
 def _outliers(cfg: CheckConfig) -> Column:
     return check("outlier_detection", F.col("outliers") == 0, severity="warning", subject=F.col("source"),
                  metric="outlier_count", value=F.col("outliers"), threshold=cfg.z_limit,
-                 good=_about("no outliers in "), bad=_about("outliers in "))
+                 good=_about("no outliers in "), bad=_about("outliers in "),
+                 details={"values": F.col("outlier_values")})
 
 
 def _ranges() -> Column:
     return check("range_validation", F.col("out_of_range") == 0, severity="error", subject=F.col("source"),
                  metric="out_of_range_count", value=F.col("out_of_range"), threshold=0,
-                 good=_about("all values in range in "), bad=_about("values out of range in "))
+                 good=_about("all values in range in "), bad=_about("values out of range in "),
+                 details={"values": F.col("range_values")})
 
 
 def check_raw_outliers(raw: DataFrame, sources: Sequence[str], cfg: CheckConfig = DEFAULTS) -> DataFrame:
@@ -223,12 +239,12 @@ def validate_raw(raw: DataFrame, sources: Sequence[str], as_of: str, cfg: CheckC
 
     Sources outside the declared list are checked like the others and get a warning of their own.
     """
-    return _all_checks(source_facts(raw, sources), outlier_facts(raw, sources, cfg), sources, as_of, cfg)
+    return _all_checks(source_facts(raw, sources, cfg), outlier_facts(raw, sources, cfg), sources, as_of, cfg)
 
 
 def validate_facts(days: DataFrame, values: DataFrame, sources: Sequence[str], as_of: str, cfg: CheckConfig = DEFAULTS) -> DataFrame:
     """``validate_raw`` of a table of which only its facts per (source, date) and per (source, value) are kept."""
-    return _all_checks(facts_of_days(days, sources), outliers_of_values(values, cfg), sources, as_of, cfg)
+    return _all_checks(facts_of_days(days, sources, cfg), outliers_of_values(values, cfg), sources, as_of, cfg)
 
 
 def _all_checks(facts: DataFrame, numbers: DataFrame, sources: Sequence[str], as_of: str, cfg: CheckConfig) -> DataFrame:

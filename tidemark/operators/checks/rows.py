@@ -45,6 +45,10 @@ class CheckConfig:
     rate_spike: float = 0.1
     recent_days: int = 7
     recent_rows: int | None = None  # judge a source by this many of its newest rows; all by default
+    # How many outliers, values out of range and dates a check row names.
+    evidence_outliers: int = 10
+    evidence_ranges: int = 5
+    evidence_dates: int = 10
     ranges: Mapping[str, tuple[float, float]] = field(default_factory=lambda: dict(EXPECTED_RANGES))
     required: Mapping[str, Sequence[str]] = field(default_factory=lambda: dict(REQUIRED_FIELDS))
 

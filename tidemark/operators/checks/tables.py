@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.columns import columns_named, numeric_columns
 from tidemark.functions.numeric import is_infinite, nan_to_null, safe_div
+from tidemark.operators.checks.evidence import listed, mark_days
 from tidemark.operators.checks.features import check_features, zscore_facts
 from tidemark.operators.checks.rows import (DEFAULTS, CheckConfig, check, driver_checks, emit, emit_where,
                                             union_checks)
@@ -92,17 +93,18 @@ def check_rates(df: DataFrame, cols: Sequence[str] | None = None, cfg: CheckConf
                                            F.col("spread"), cfg.rate_max_spread_pct))])
 
 
-def series_facts(df: DataFrame, date: str, as_of: str, *, key: Sequence[str]) -> DataFrame:
-    """Per series: rows, nulls, distinct and future dates, first and last date.
+def series_facts(df: DataFrame, date: str, as_of: str, cfg: CheckConfig = DEFAULTS, *, key: Sequence[str]) -> DataFrame:
+    """Per series: rows, nulls, distinct and future dates, first and last date, and the first repeated and missing dates.
 
     Rows combine to one per (series, date) first, so no series is held by a distinct count.
     """
     end = F.to_date(F.lit(as_of))
     days = df.select(*key, F.col(date).cast("date").alias("d")).groupBy(*key, "d").agg(F.count(F.lit(1)).alias("n"))
-    return days.groupBy(*key).agg(
+    return mark_days(days, "d", cfg.evidence_dates, key=key).groupBy(*key).agg(
         F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("d").isNull(), F.col("n"))), F.lit(0)).alias("null_dates"),
         F.count("d").alias("dates"), F.coalesce(F.sum(F.when(F.col("d") > end, F.col("n"))), F.lit(0)).alias("future"),
-        F.min("d").alias("first"), F.max("d").alias("last"), F.datediff(end, F.max("d")).alias("days_old"))
+        F.min("d").alias("first"), F.max("d").alias("last"), F.datediff(end, F.max("d")).alias("days_old"),
+        listed("__twice").alias("duplicates"), listed("__hole").alias("missing"))
 
 
 def _subject(key: Sequence[str]) -> Column:
@@ -116,15 +118,16 @@ def check_time_series(df: DataFrame, date: str, as_of: str, cfg: CheckConfig = D
     if date not in df.columns:
         return driver_checks(df.sparkSession, [("date_column", "error", date, "present", 0.0, 1.0, False,
                                                 "no date column")])
-    facts = series_facts(df, date, as_of, key=key)
+    facts = series_facts(df, date, as_of, cfg, key=key)
     subject = _subject(key)
     spans = F.datediff("last", "first") + 1 - F.col("dates")
     checks = [
         check("unique_dates", F.col("rows") - F.col("null_dates") == F.col("dates"), severity="error", subject=subject,
               metric="duplicate_dates", value=F.col("rows") - F.col("null_dates") - F.col("dates"), threshold=0,
-              bad="duplicate dates"),
+              bad="duplicate dates", details={"dates": F.col("duplicates")}),
         check("missing_dates", F.coalesce(spans, F.lit(0)) == 0, severity="error", subject=subject,
-              metric="missing_dates", value=F.coalesce(spans, F.lit(0)), threshold=0, bad="missing dates"),
+              metric="missing_dates", value=F.coalesce(spans, F.lit(0)), threshold=0, bad="missing dates",
+              details={"missing": F.col("missing")}),
         check("future_dates", F.col("future") == 0, severity="error", subject=subject, metric="future_dates",
               value=F.col("future"), threshold=0, bad="future dates"),
         check("stale_data", F.col("days_old") <= cfg.stale_days, severity="error", subject=subject, metric="days_old",
@@ -152,7 +155,7 @@ def check_series_v2(df: DataFrame, date: str, as_of: str, cfg: CheckConfig = DEF
                                              "ok" if ok else f"invalid type {kind.simpleString()}")])
     if not ok:
         return typed
-    facts = series_facts(df, date, as_of, key=[])
+    facts = series_facts(df, date, as_of, cfg, key=[])
     dup = F.col("rows") - F.col("dates") - (F.col("null_dates") > 0).cast("int")
     return union_checks([typed, emit(facts, [
         check("null_dates", F.col("null_dates") == 0, severity="error", subject=date, metric="null_dates",
@@ -162,7 +165,7 @@ def check_series_v2(df: DataFrame, date: str, as_of: str, cfg: CheckConfig = DEF
         check("staleness", ~F.coalesce(F.col("days_old") > cfg.stale_days, F.lit(False)), severity="error", subject=date,
               metric="days_old", value=F.col("days_old"), threshold=cfg.stale_days, bad="data is stale"),
         check("duplicate_dates", dup == 0, severity="warning", subject=date, metric="duplicate_dates", value=dup,
-              threshold=0, bad="duplicate dates")])])
+              threshold=0, bad="duplicate dates", details={"dates": F.col("duplicates")})])])
 
 
 def _two_step(name: str, value: Column, limits: tuple[float, float], subject, metric: str) -> Column:
