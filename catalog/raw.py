@@ -11,9 +11,10 @@ from tidemark.operators.align import align_fanout, align_sources
 from tidemark.operators.blocks import merge_blocks
 from tidemark.operators.derived import cross_source_ratios, debt_ratio, drop_all_null_rows, rate_spread_premium
 from tidemark.operators.profile import distinct_rows
-from tidemark.sources.json_layouts import LAYOUTS, explode_documents
+from tidemark.sources.json_layouts import LAYOUTS, explode_documents, json_lines_reader
 from tidemark.sources.raw_store import latest_wins, normalise_raw, range_scan, recent_rows
 from tidemark.sources.registry import Registry
+from tidemark.sources.workdir import shared_folder
 
 SD = ["series", "date"]
 
@@ -56,6 +57,52 @@ def _json_monthly(spark, sf):
     return explode_documents(docs, "text", LAYOUTS["worldbank_reserves"], keep=("source",))
 
 
+# All five layouts as JSON lines, a document per (series, year) or a record per line, written and read back by day ranges.
+_FIVE = {"cbn_rates": ("cbn", ("central_rate", "official_rate", "parallel_rate")), "worldbank_reserves": ("reserves", ("reserves_usd",)),
+         "dmo_debt": ("debt", ("total_debt", "external_debt", "domestic_debt", "debt_servicing")), "eia_brent": ("oil", ("price_usd",)),
+         "news_sentiment": ("news", ("sentiment_score", "relevance_score"))}
+_FIVE_SQL = " UNION ALL ".join(f"SELECT '{s}' AS source, date, '{f}' AS field, {f} AS value FROM {t}" for s, (t, fs) in _FIVE.items() for f in fs)
+
+
+def _documents(df, source):
+    """One document per series and year, in the layout of ``source``."""
+    day = F.date_format("date", "yyyy-MM-dd")
+    fields = [c for c in df.columns if c not in SD]
+    record = {"eia_brent": lambda: F.array(day, F.col("price_usd").cast("string")),
+              "news_sentiment": lambda: F.struct(F.concat(day, F.lit("T08:00:00Z")).alias("publishedAt"), *fields)}.get(
+        source, lambda: F.struct(day.alias("date"), *fields))()
+    lists = df.groupBy("series", F.year("date").alias("year")).agg(F.collect_list(record).alias("a"))
+    a = F.col("a")
+    doc = {"cbn_rates": F.struct(F.struct(a.alias("exchange_rates")).alias("data")), "worldbank_reserves": F.struct(a.alias("data")),
+           "dmo_debt": F.struct(F.struct(a.alias("monthly_debt_data")).alias("data")),
+           "eia_brent": F.struct(F.struct(F.struct(F.array(F.struct(a.alias("data"))).alias("series")).alias("data")).alias("response")),
+           "news_sentiment": F.struct(a.alias("articles"))}[source]
+    return lists.select(F.to_json(doc).alias("value"))
+
+
+@query("json_lines_layouts", f"WITH {MARKET_CTE}, five AS ({_FIVE_SQL}) SELECT * FROM five WHERE date BETWEEN DATE '1995-03-01' AND DATE '2000-10-31'")
+def _json_lines(spark, sf):
+    folder, registry, out = shared_folder(spark), Registry(), None
+    for name, df in market_sources(spark, sf).items():
+        _documents(df, name).write.text(f"{folder}/{name}")
+        reader = json_lines_reader(LAYOUTS[name])
+        registry.add(name, lambda sp, path, start, end, n=name, reader=reader: reader(sp, f"{path}/{n}", start, end))
+        rows = registry.fetch(spark, name, folder, "1995-03-01", "2000-10-31")
+        cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in _FIVE[name][1]])).alias("c")
+        one = rows.select(F.lit(name).alias("source"), "date", cells).select("source", "date", "c.field", "c.value")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("json_record_lines", f"WITH {MARKET_CTE} SELECT date, total_debt, external_debt, domestic_debt, debt_servicing FROM debt WHERE date BETWEEN DATE '1996-02-01' AND DATE '1999-12-31'")
+def _json_records(spark, sf):
+    folder = f"{shared_folder(spark)}/debt"
+    debt = market_sources(spark, sf)["dmo_debt"].drop("series").withColumn("date", F.date_format("date", "yyyy-MM"))
+    debt.select(F.to_json(F.struct(*debt.columns)).alias("value"), F.concat("date", F.lit("-01")).alias("day")).repartition("day").write.partitionBy("day").text(folder)
+    registry = Registry().add("dmo_debt", json_lines_reader(LAYOUTS["dmo_debt"], records=True))
+    return registry.fetch(spark, "dmo_debt", folder, "1996-02-01", "1999-12-31")
+
+
 @query("raw_normalise", """SELECT 'orders' AS source, o_orderpriority AS series, CAST(o_orderdate AS DATE) AS date,
   o_orderkey, o_totalprice, o_orderstatus, o_orderdate AS ingested_at FROM orders""")
 def _normalise(spark, sf):
@@ -142,17 +189,28 @@ def _align(spark, sf):
     return align_sources(market_sources(spark, sf))
 
 
-# Every event row of a user stays; the user's daily means of two other sources are aligned to it.
+# Every event row of a user stays; the newest value of the user's day of each of three other sources is aligned to it.
 @query("multi_source_align_fanout", f"""WITH {RAW_CTE},
   n AS (SELECT series, date, event_id, k FROM raw WHERE source IN ('click', 'view')),
-  p AS (SELECT series, date, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / COUNT(*) AS v FROM raw WHERE source = 'purchase' GROUP BY 1, 2)
-  SELECT series, date, event_id AS news_event_id, k AS news_k, {s6('v')} AS purchase_value FROM n FULL JOIN p USING (series, date)""")
+  l AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY source, series, date ORDER BY ingested_at DESC, value DESC) AS rn FROM raw
+    WHERE source IN ('purchase', 'error', 'signup') AND value IS NOT NULL),
+  p AS (SELECT series, date, MAX(value) FILTER (WHERE source = 'purchase') AS purchase_value, MAX(value) FILTER (WHERE source = 'error') AS error_value,
+    MAX(value) FILTER (WHERE source = 'signup') AS signup_value FROM l WHERE rn = 1 GROUP BY 1, 2)
+  SELECT series, date, event_id AS news_event_id, k AS news_k, purchase_value, error_value, signup_value FROM n FULL JOIN p USING (series, date)""")
 def _fanout(spark, sf):
     raw = raw_events(spark, sf).withColumn("k", F.get_json_object("data", "$.k").cast("double"))
     news = raw.where(F.col("source").isin("click", "view")).select("series", "date", "event_id", "k")
-    bought = raw.where(F.col("source") == "purchase").select("series", "date", "value")
-    out = align_fanout(("news", news), {"purchase": bought})
-    return rounded(out, [*SD, "news_event_id", "news_k"], six=["purchase_value"])
+    others = {s: raw.where(F.col("source") == s).select("series", "date", "value", "ingested_at") for s in ("purchase", "error", "signup")}
+    return align_fanout(("news", news), others, how="last", by="ingested_at")
+
+
+@query("multi_source_align_mean", f"""WITH {RAW_CTE} SELECT series, date, {', '.join(
+    s6(f"CAST(SUM(CAST(value AS DECIMAL(18,2))) FILTER (WHERE source = '{s}') AS DOUBLE) / COUNT(value) FILTER (WHERE source = '{s}')") + f' AS {s}_value'
+    for s in EVENT_SOURCES)} FROM raw GROUP BY 1, 2""")
+def _align_mean(spark, sf):
+    raw = raw_events(spark, sf)
+    out = align_sources({s: raw.where(F.col("source") == s).select("series", "date", "value") for s in EVENT_SOURCES}, how="avg")
+    return rounded(out, SD, six=[f"{s}_value" for s in EVENT_SOURCES])
 
 
 @query("distinct_rows", f"""WITH {RAW_CTE} SELECT DISTINCT source, date, data FROM raw""")

@@ -3,6 +3,7 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
 from tidemark.operators import metrics as met
@@ -138,6 +139,18 @@ def test_categories(spark):
     assert [t[1:4] for t in rows(prof.category_top(df, ["c"], 2), "rank")] == [("a", 25, 1), ("b", 2, 2)]
 
 
+def test_align_takes_the_newest_value_of_each_column(spark):
+    D = dt.date(2025, 1, 1)
+    a = spark.createDataFrame([("x", D, 1.0, "p", 1), ("x", D, None, "q", 3), ("x", D, 5.0, None, 2), ("x", D, 4.0, "a", None)],
+                              "series string, date date, v double, t string, at int")
+    b = spark.createDataFrame([("x", D, 7.0, 2), ("x", D, 9.0, 2), ("y", D, None, 1)], "series string, date date, v double, at int")
+    for first, second in ((a, b), (a.orderBy(F.desc("at")), b.orderBy("v"))):
+        got = rows(align_sources({"a": first, "b": second}, how="last", by="at").select("series", "a_v", "a_t", "b_v"), "series")
+        assert got == [("x", 5.0, "q", 9.0), ("y", None, None, None)]
+    with pytest.raises(ValueError):
+        align_sources({"a": a}, how="last")
+
+
 def test_align_does_not_depend_on_source_order_or_multiply(spark):
     a = spark.createDataFrame([("s", D0, 1.0), ("s", D0, 3.0)], "series string, date date, v double")
     b = spark.createDataFrame([("s", D0, "x"), ("s", D0 + dt.timedelta(days=1), "y")], "series string, date date, w string")

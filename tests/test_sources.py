@@ -9,7 +9,7 @@ from tidemark.functions.columns import columns_named, numeric_columns
 from tidemark.functions.text import mask_sensitive, message_intent
 from tidemark.sources import feature_store as fs
 from tidemark.sources import raw_store as rs
-from tidemark.sources.json_layouts import LAYOUTS, json_reader
+from tidemark.sources.json_layouts import LAYOUTS, json_lines_reader, json_reader
 from tidemark.sources.registry import Registry
 from tidemark.sources.workdir import shared_folder, stage
 
@@ -45,6 +45,35 @@ def test_five_json_layouts(spark, json_files):
     assert rows(got["news_sentiment"].select("date", "title", "sentiment_score"), "date") == [(D(2025, 7, 15), "t", 0.25)]
 
 
+def test_json_lines_are_split_and_broken_lines_skipped(spark, json_files, tmp_path):
+    for n in DOCS:
+        (tmp_path / "lines" / n).mkdir(parents=True)
+        (tmp_path / "lines" / n / "a.jsonl").write_text("\n".join([json.dumps(DOCS[n]), "", "{broken", "null", json.dumps(DOCS[n])]) + "\n")
+        once = json_reader(LAYOUTS[n])(spark, str(json_files / n))
+        twice = json_lines_reader(LAYOUTS[n])(spark, str(tmp_path / "lines" / n))
+        order = twice.columns
+        assert rows(twice, *order) == rows(once.unionByName(once), *order)
+    record = '{"date": "2025-05", "total_debt": %d.0}\n'
+    (tmp_path / "big.jsonl").write_text("".join(record % i for i in range(40_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(256 << 10))
+    try:
+        big = json_lines_reader(LAYOUTS["dmo_debt"], records=True)(spark, str(tmp_path / "big.jsonl"))
+        assert big.select(F.spark_partition_id().alias("p")).distinct().count() > 3
+        assert big.agg(F.count("*"), F.sum("total_debt"), F.min("date")).first()[:] == (40_000, float(sum(range(40_000))), D(2025, 5, 1))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_reader_gets_the_date_range(spark, tmp_path):
+    for day in ("2025-05-01", "2025-06-01", "2025-07-01"):
+        (tmp_path / f"day={day}").mkdir()
+        (tmp_path / f"day={day}" / "a.jsonl").write_text(json.dumps({"date": day[:7], "total_debt": 1.0}) + "\n")
+    registry = Registry().add("dmo_debt", json_lines_reader(LAYOUTS["dmo_debt"], records=True))
+    got = registry.fetch(spark, "dmo_debt", str(tmp_path), "2025-06-01", "2025-06-15")
+    assert [r["date"] for r in got.collect()] == [D(2025, 6, 1)]
+    assert len(got.inputFiles()) == 3 and "PartitionFilters: [isnotnull(day" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ingest_all_goes_on_after_a_failure(spark, json_files):
     registry = Registry()
     for n in DOCS:

@@ -1,13 +1,15 @@
 """JSON documents in the five layouts of the sources, exploded to one row per observation.
 
 A document is one JSON text: a line of a JSON-lines file, a whole file (``wholetext``), or a
-string column. Arrays are exploded on executors; nothing is parsed on the driver.
+string column. Arrays are exploded on executors; nothing is parsed on the driver. A whole file is one
+value in one task, so large feeds are kept as JSON lines (``json_lines_reader``), which Spark splits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,7 +55,18 @@ def _date(text: Column, monthly: bool) -> Column:
 def explode_documents(df: DataFrame, text: str, layout: Layout, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per record of every document in column ``text``, with a DATE ``date`` first."""
     doc = df.select(*keep, F.from_json(F.col(text), layout.schema).alias("doc"))
-    rows = doc.select(*keep, F.explode(F.expr(f"doc.{layout.records}")).alias("rec"))
+    return _observations(doc.select(*keep, F.explode(F.expr(f"doc.{layout.records}")).alias("rec")), layout, keep)
+
+
+def explode_records(df: DataFrame, text: str, layout: Layout, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per text in column ``text``, each a single record of ``layout`` without the document around it."""
+    whole = df.sparkSession.createDataFrame([], layout.schema).select(F.expr(f"{layout.records}").alias("r"))
+    record = whole.schema["r"].dataType.elementType
+    rows = df.select(*keep, F.from_json(F.col(text), record).alias("rec")).where(F.col("rec").isNotNull())
+    return _observations(rows, layout, keep)
+
+
+def _observations(rows: DataFrame, layout: Layout, keep: tuple[str, ...]) -> DataFrame:
     if layout.pairs:
         day, number = layout.pairs
         return rows.select(*keep, _date(F.get("rec", 0), layout.monthly).alias(day),
@@ -64,9 +77,29 @@ def explode_documents(df: DataFrame, text: str, layout: Layout, keep: tuple[str,
 
 
 def json_reader(layout: Layout):
-    """Reader for a file or folder of JSON documents, one document per file."""
+    """Reader for a file or folder of JSON documents, one document per file, each read by one task."""
 
     def read(spark: SparkSession, path: str) -> DataFrame:
         return explode_documents(spark.read.text(path, wholetext=True), "value", layout)
 
     return read
+
+
+def json_lines_reader(layout: Layout, records: bool = False):
+    """Reader for a file or folder of JSON lines; a large file is split over many tasks.
+
+    A line is a document of ``layout``, or with ``records`` a single record of it. Blank and broken lines give no row.
+    Below a folder of partitions ``day=YYYY-MM-DD`` the range given by the registry leaves out the folders of other days
+    (of other months for a monthly layout) before any line is read; a folder's day is that of its records.
+    """
+
+    def read(spark: SparkSession, path: str, start: date | str | None = None, end: date | str | None = None) -> DataFrame:
+        lines = spark.read.text(path)
+        if "day" in lines.columns and start is not None and end is not None:
+            low = F.to_date(F.lit(str(start)))
+            low = F.trunc(low, "month").cast("date") if layout.monthly else low
+            high = F.to_date(F.lit(str(end)))
+            lines = lines.where(F.col("day").cast("date").between(low, F.last_day(high) if layout.monthly else high))
+        return (explode_records if records else explode_documents)(lines, "value", layout)
+
+    return read

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from datetime import date
@@ -40,13 +41,15 @@ EXPECTED_RANGES: Mapping[str, tuple[float, float]] = {
     "news_sentiment": (-1.0, 1.0),
 }
 
-Reader = Callable[[SparkSession, str], DataFrame]
+Reader = Callable[..., DataFrame]
 
 
 @dataclass
 class Registry:
     """Readers by source name. A reader returns a frame with a ``date`` and maybe a ``series`` column.
 
+    It takes (spark, path), or (spark, path, start, end) if it can leave out other dates while reading.
+
     ``items`` names, for a source with several observations a day, the fields that tell them
     apart. A source that has none keeps the newest row of each (series, date).
     """
@@ -64,5 +67,7 @@ class Registry:
         """Rows of one source with ``start <= date <= end``; an unknown name is an error."""
         if name not in self.readers:
             raise ValueError(f"unknown source {name!r}; known: {sorted(self.readers)}")
-        return self.readers[name](spark, path).where(F.col("date").between(F.lit(start).cast("date"),
-                                                                          F.lit(end).cast("date")))
+        reader = self.readers[name]
+        ranged = {"start", "end"} <= set(inspect.signature(reader).parameters)
+        rows = reader(spark, path, start=start, end=end) if ranged else reader(spark, path)
+        return rows.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
