@@ -20,26 +20,24 @@ RATE_COLS = ["official_rate", "parallel_rate"]
 
 @query("count_per_source", f"WITH {RAW_CTE} SELECT source, COUNT(*) AS records FROM raw GROUP BY 1")
 def _count(spark, sf):
-    return raw_events(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("records"))
+    return prof.count_per_source(raw_events(spark, sf))
 
 
 @query("latest_per_source", f"""WITH {RAW_CTE} SELECT source, MAX(date) AS latest_date, MAX(ingested_at) AS latest_ingest
   FROM raw GROUP BY 1""")
 def _latest(spark, sf):
-    return raw_events(spark, sf).groupBy("source").agg(F.max("date").alias("latest_date"),
-                                                       F.max("ingested_at").alias("latest_ingest"))
+    return prof.latest_per_source(raw_events(spark, sf))
 
 
 @query("source_coverage", f"""WITH {RAW_CTE} SELECT source, COUNT(*) AS records, MIN(date) AS earliest, MAX(date) AS latest
   FROM raw GROUP BY 1""")
 def _coverage(spark, sf):
-    return raw_events(spark, sf).groupBy("source").agg(
-        F.count(F.lit(1)).alias("records"), F.min("date").alias("earliest"), F.max("date").alias("latest"))
+    return prof.source_coverage(raw_events(spark, sf))
 
 
 @query("duplicate_keys", f"WITH {RAW_CTE} SELECT source, date, COUNT(*) AS records FROM raw GROUP BY 1, 2 HAVING COUNT(*) > 1")
 def _dup_keys(spark, sf):
-    return raw_events(spark, sf).groupBy("source", "date").agg(F.count(F.lit(1)).alias("records")).where("records > 1")
+    return prof.duplicate_keys(raw_events(spark, sf))
 
 
 def _union(parts) -> str:

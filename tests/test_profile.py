@@ -139,6 +139,17 @@ def test_categories(spark):
     assert [t[1:4] for t in rows(prof.category_top(df, ["c"], 2), "rank")] == [("a", 25, 1), ("b", 2, 2)]
 
 
+def test_source_summaries(spark):
+    day, at = dt.date(2025, 1, 1), dt.datetime(2025, 1, 5)
+    raw = spark.createDataFrame([("a", day, at), ("a", day, None), ("a", day + dt.timedelta(days=2), None), (None, day, at), ("b", None, None)],
+                                "source string, date date, ingested_at timestamp")
+    assert rows(prof.count_per_source(raw), "source") == [(None, 1), ("a", 3), ("b", 1)]
+    assert rows(prof.latest_per_source(raw, only=["a", "b"]), "source") == [("a", day + dt.timedelta(days=2), at), ("b", None, None)]
+    assert rows(prof.source_coverage(raw), "source")[1] == ("a", 3, day, day + dt.timedelta(days=2))
+    assert rows(prof.duplicate_keys(raw), "source") == [("a", day, 2)]
+    assert prof.duplicate_keys(raw.limit(0)).count() == 0
+
+
 def test_align_takes_the_newest_value_of_each_column(spark):
     D = dt.date(2025, 1, 1)
     a = spark.createDataFrame([("x", D, 1.0, "p", 1), ("x", D, None, "q", 3), ("x", D, 5.0, None, 2), ("x", D, 4.0, "a", None)],

@@ -367,6 +367,27 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str], width: int = 1024, nar
     return out.select("feature1", "feature2", "correlation")
 
 
+def count_per_source(raw: DataFrame, by: Sequence[str] = ("source",)) -> DataFrame:
+    """Rows of each source; a null source is a group of its own."""
+    return raw.groupBy(*by).agg(F.count(F.lit(1)).alias("records"))
+
+
+def latest_per_source(raw: DataFrame, by: Sequence[str] = ("source",), only: Sequence[str] | None = None) -> DataFrame:
+    """Newest date and newest ingest of each source, or of the sources in ``only`` (a filter that reaches the scan)."""
+    rows = raw if only is None else raw.where(F.col("source").isin(*only))
+    return rows.groupBy(*by).agg(F.max("date").alias("latest_date"), F.max("ingested_at").alias("latest_ingest"))
+
+
+def source_coverage(raw: DataFrame, by: Sequence[str] = ("source",)) -> DataFrame:
+    """Rows, first and last date of each source."""
+    return raw.groupBy(*by).agg(F.count(F.lit(1)).alias("records"), F.min("date").alias("earliest"), F.max("date").alias("latest"))
+
+
+def duplicate_keys(raw: DataFrame, key: Sequence[str] = ("source", "date")) -> DataFrame:
+    """Keys that several rows share, with the number of rows. Counts combine before the shuffle, so a hot key sends one row a task."""
+    return count_per_source(raw, key).where(F.col("records") > 1)
+
+
 def category_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``n`` rows per (column, category); null is a category."""
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("category"))
