@@ -1,5 +1,6 @@
 """Every operator against brute force on small tables, and on nulls, empty and repeated rows."""
 
+import hashlib
 import random
 import zlib
 from collections import Counter
@@ -294,6 +295,33 @@ def test_rotation_of_perspectives(spark):
     assert chat.rotate(df.limit(0)).count() == 0
 
 
+def test_pieces_of_a_perspective_join_to_the_whole_dialogue(spark):
+    data = [(1, i, f"r{i % 3}", f"turn {i} é") for i in range(200)]
+    # 600 turns share a number, two roles, one of them with 500 texts; and a second conversation of the same turns
+    data += [(2, 70 if i < 600 else i, "loud" if i < 500 else "calm", f"{i}" * (1 + i % 4)) for i in range(700)] + [(None, None, None, None), (2, -3, "calm", "")]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumn("start", F.lit(1)).repartition(5)
+    got = {}
+    for r in chat.rotate(df).orderBy("conv_id", "speaker", "part", "piece").collect():
+        got.setdefault((r["conv_id"], r["speaker"]), []).append(r)
+    order = lambda x: (x[1], x[2], hashlib.md5(x[3].encode()).hexdigest())
+    for (conv, speaker), pieces in got.items():
+        whole, own = "", []
+        for _, _, role, words in sorted((x for x in set(data) if x[0] == conv and conv), key=order):
+            whole += "<|assistant|>\n" if role == speaker else f"<|user name={role}|>\n"
+            own += [words] * (role == speaker)
+            whole += words + "\n"
+        if conv is None:
+            whole, own = "<|assistant|>\n\n", [""]
+        assert "".join(r["dialogue"] for r in pieces) == whole
+        assert [r["start"] for r in pieces] == [sum(len(x["dialogue"]) for x in pieces[:i]) for i in range(len(pieces))]
+        assert max(r["n_turns"] for r in pieces) <= chat.MOST and sum(r["n_own"] for r in pieces) == len(own)
+        spans = [tuple(map(int, x.split("-"))) for r in pieces for x in r["mask"].split(",") if x]
+        shifts = [r["start"] for r in pieces for x in r["mask"].split(",") if x]
+        assert [whole[a + s : b + s] for (a, b), s in zip(spans, shifts, strict=True)] == own
+    assert set(got) == {(1, "r0"), (1, "r1"), (1, "r2"), (2, "loud"), (2, "calm"), (None, "unknown")}
+    assert [len(v) for k, v in sorted(got.items(), key=repr) if k[0] == 1] == [4, 4, 4]
+
+
 def test_chain_and_language(spark):
     r = np.random.default_rng(2)
     data, labels = [], []

@@ -7,40 +7,72 @@ named users, and the mask marks the speaker's own words.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 TURNS = 64
 MOST = 256
+FIRST = -(1 << 63)
 
 
 def _header(own: Column, role: Column) -> Column:
     return F.when(own, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), role, F.lit("|>\n")))
 
 
+def _pieces(base: DataFrame, most: int) -> DataFrame:
+    """``base`` with the number of each row's piece within its part.
+
+    Only parts above ``most`` rows are counted out: rows are counted per (turn, role, first digits of the digest), the counts of
+    a part are summed up in order, and a row's place in its small group is added. No text takes part in the sums.
+    """
+    full = base.groupBy("c", "part").agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select("c", "part")
+    group = ["c", "part", "turn", "role", "_digits"]
+    crowded = base.join(full, ["c", "part"]).withColumn("_digits", F.substring("digest", 1, 4))
+    counts = crowded.groupBy(*group).agg(F.count("*").alias("_n"))
+    earlier = W.partitionBy("c", "part").orderBy("turn", "role", "_digits").rowsBetween(W.unboundedPreceding, -1)
+    places = counts.select(*group, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.row_number().over(W.partitionBy(*group).orderBy("digest", "text")) - 1
+    numbered = crowded.join(places, group).withColumn("piece", F.floor(place / most).cast("long")).select(*base.columns, "piece")
+    return base.join(full, ["c", "part"], "left_anti").select(*base.columns, F.lit(0).cast("long").alias("piece")).unionByName(numbered)
+
+
+def _places(cut: DataFrame) -> DataFrame:
+    """(c, part, piece, speaker, start): every rendering, and the characters of its dialogue before it. Numbers only, no texts."""
+    by = ["c", "part", "piece"]
+    other = F.length(_header(F.lit(False), F.col("role")))
+    own = F.length(_header(F.lit(True), F.col("role")))
+    sizes = cut.groupBy(*by, "role").agg(F.sum(other + F.length("text") + 1).alias("_size"), F.sum(own - other).alias("_own"))
+    pieces = sizes.groupBy(*by).agg(F.sum("_size").alias("_size"))
+    grid = pieces.join(sizes.select("c", F.col("role").alias("speaker")).distinct(), "c")
+    grid = grid.join(sizes.select(*by, F.col("role").alias("speaker"), "_own"), [*by, "speaker"], "left")
+    earlier = W.partitionBy("c", "speaker").orderBy("part", "piece").rowsBetween(W.unboundedPreceding, -1)
+    start = F.sum(F.col("_size") + F.coalesce("_own", F.lit(0))).over(earlier)
+    return grid.select(*by, "speaker", F.coalesce(start, F.lit(0)).cast("long").alias("start"))
+
+
 def rotate(turns: DataFrame, span: int = TURNS, most: int = MOST) -> DataFrame:
-    """One row per conversation, speaker and part: dialogue, mask, and counts.
-
-    Columns: conv_id, speaker, part, piece, n_turns, n_own, dialogue, mask. ``mask`` lists the
-    character ranges of the speaker's words ("from-to", separated by commas), which training
-    counts; "" if there are none. A part holds the turns numbered from part * ``span`` on, so a
-    long conversation is many parts; a part of more than ``most`` different rows (turns that
-    share a number) is dealt by hash into pieces. Participants are all roles of the whole
-    conversation, so every part has a rendering for each. Turns are ordered by number, role and
-    text; repeated rows are one turn. A null role is named "unknown", a null text is empty, a null
-    turn stands before all others in a part of its own (-1), and null conv_ids form one
+    """One row per conversation, speaker and piece: where it stands in the dialogue, its text, mask, and counts.
+
+    Columns: conv_id, speaker, part, piece, start, n_turns, n_own, dialogue, mask. A dialogue is its pieces, one after the
+    other in the order of (part, piece); ``start`` is the number of characters before a piece, so pieces are joined without
+    reading the others. ``mask`` lists the character ranges of the speaker's words in the piece ("from-to", separated by
+    commas), which training counts; "" if there are none. A part holds the turns numbered from part * ``span`` on, and is cut
+    after every ``most`` rows, which needs turns that share a number. Participants are all roles of the whole
+    conversation, so every piece has a rendering for each. Turns are ordered by number, then role, then MD5 of the text and the text
+    itself, so that turns which share number and role are placed by many tasks; repeated rows are one turn. A null role is named "unknown", a null text
+    is empty, a null turn is in part -1 before all that have a number there, and null conv_ids form one
     conversation. Extra columns are ignored; an empty table gives an empty result.
     """
     base = turns.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+        F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(FIRST)).alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
-    base = base.withColumn("part", F.coalesce(F.floor(F.col("turn") / span), F.lit(-1)).cast("long"))
-    full = (base.groupBy("conv_id", "part").agg(F.ceil(F.count("*") / most).cast("long").alias("pieces")).filter("pieces > 1")
-            .select(F.col("conv_id").alias("_c"), F.col("part").alias("_p"), "pieces"))
-    base = base.join(full, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("part") == F.col("_p")), "left").withColumn(
-        "piece", F.coalesce(F.pmod(F.xxhash64("turn", "role", "text"), F.col("pieces")), F.lit(0)).cast("long"))
-    speakers = base.select(F.col("conv_id").alias("_s"), F.col("role").alias("speaker")).distinct()
-    each = base.join(speakers, F.col("conv_id").eqNullSafe(F.col("_s"))).select("conv_id", "speaker", "part", "piece", "turn", "role", "text")
-    listed = each.groupBy("conv_id", "speaker", "part", "piece").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    # "c" is never null, so plain equalities serve joins and groups alike.
+    base = base.select("*", F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("c"), F.md5("text").alias("digest"),
+                       F.when(F.col("turn") == FIRST, F.lit(-1)).otherwise(F.floor(F.col("turn") / span)).cast("long").alias("part"))
+    cut = _pieces(base, most)
+    each = cut.join(_places(cut), ["c", "part", "piece"])
+    listed = each.groupBy("c", "part", "piece", "speaker", "start", "conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "role", "digest", "text"))).alias("t"))
 
     def segment(x: Column) -> Column:
         own = x["role"] == F.col("speaker")
@@ -55,7 +87,7 @@ def rotate(turns: DataFrame, span: int = TURNS, most: int = MOST) -> DataFrame:
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("mask"))
     out = listed.withColumn("g", F.transform("t", segment))
     return out.select(
-        "conv_id", "speaker", "part", "piece", F.size("g").cast("long").alias("n_turns"), F.size(F.filter("g", lambda x: x["own"])).cast("long").alias("n_own"),
+        "conv_id", "speaker", "part", "piece", "start", F.size("g").cast("long").alias("n_turns"), F.size(F.filter("g", lambda x: x["own"])).cast("long").alias("n_own"),
         F.array_join(F.transform("g", lambda x: x["s"]), "").alias("dialogue"), F.array_join(F.aggregate("g", start, add)["mask"], ",").alias("mask"))
 
 
@@ -64,16 +96,22 @@ WITH b AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
          coalesce(CAST(floor(turn / {TURNS}.0) AS BIGINT), -1) AS part FROM conversations
 ), s AS (SELECT DISTINCT conv_id, role AS speaker FROM b
+), p AS (
+  SELECT *, (row_number() OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST, role, md5(text), text) - 1) // {MOST} AS piece FROM b
 ), e AS (
-  SELECT b.*, s.speaker, b.role = s.speaker AS own,
-         CASE WHEN b.role = s.speaker THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || b.role || '|>' || chr(10) END AS head
-  FROM b JOIN s ON b.conv_id IS NOT DISTINCT FROM s.conv_id
+  SELECT p.*, s.speaker, p.role = s.speaker AS own,
+         CASE WHEN p.role = s.speaker THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || p.role || '|>' || chr(10) END AS head
+  FROM p JOIN s ON p.conv_id IS NOT DISTINCT FROM s.conv_id
 ), o AS (
-  SELECT *, sum(length(head) + length(text) + 1) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn NULLS FIRST, role, text)
-         - length(text) - 1 AS start FROM e
+  SELECT *, sum(length(head) + length(text) + 1) OVER (PARTITION BY conv_id, speaker, part, piece ORDER BY turn NULLS FIRST, role, md5(text), text)
+         - length(text) - 1 AS begin FROM e
+), r AS (
+  SELECT conv_id, speaker, part, piece, count(*) AS n_turns, count(*) FILTER (own) AS n_own,
+       string_agg(head || text || chr(10), '' ORDER BY turn NULLS FIRST, role, md5(text), text) AS dialogue,
+       coalesce(string_agg(CAST(CAST(begin AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(begin + length(text) AS BIGINT) AS VARCHAR), ',' ORDER BY turn NULLS FIRST, role, md5(text), text) FILTER (own), '') AS mask
+  FROM o GROUP BY conv_id, speaker, part, piece
 )
-SELECT conv_id, speaker, part, CAST(0 AS BIGINT) AS piece, count(*) AS n_turns, count(*) FILTER (own) AS n_own,
-       string_agg(head || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS dialogue,
-       coalesce(string_agg(CAST(CAST(start AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(start + length(text) AS BIGINT) AS VARCHAR), ',' ORDER BY turn NULLS FIRST, role, text) FILTER (own), '') AS mask
-FROM o GROUP BY conv_id, speaker, part
+SELECT conv_id, speaker, part, CAST(piece AS BIGINT) AS piece,
+       CAST(coalesce(sum(length(dialogue)) OVER (PARTITION BY conv_id, speaker ORDER BY part, piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+       n_turns, n_own, dialogue, mask FROM r
 """
