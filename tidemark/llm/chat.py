@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import staged
+
 TURNS = 64
 MOST = 256
 FIRST = -(1 << 63)
@@ -19,29 +21,37 @@ def _header(own: Column, role: Column) -> Column:
     return F.when(own, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), role, F.lit("|>\n")))
 
 
-def _pieces(base: DataFrame, most: int) -> DataFrame:
-    """``base`` with the number of each row's piece within its part.
+def _pieces(rows: DataFrame, most: int) -> DataFrame | None:
+    """(c, part, turn, role, digest, _piece) of the rows of parts above ``most`` rows; None if no part is.
 
-    Only parts above ``most`` rows are counted out: rows are counted per (turn, role, first digits of the digest), the counts of
-    a part are summed up in order, and a row's place in its small group is added. No text takes part in the sums.
+    Rows are counted per (turn, role, first digits of the digest), the counts of a part are summed up in order, and a
+    row's place in its small group is added.
     """
-    full = base.groupBy("c", "part").agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select("c", "part")
+    full = rows.groupBy("c", "part").agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select("c", "part")
+    if full.isEmpty():
+        return None
     group = ["c", "part", "turn", "role", "_digits"]
-    crowded = base.join(full, ["c", "part"]).withColumn("_digits", F.substring("digest", 1, 4))
+    crowded = rows.join(full, ["c", "part"]).withColumn("_digits", F.substring("digest", 1, 4))
     counts = crowded.groupBy(*group).agg(F.count("*").alias("_n"))
     earlier = W.partitionBy("c", "part").orderBy("turn", "role", "_digits").rowsBetween(W.unboundedPreceding, -1)
     places = counts.select(*group, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    place = F.col("_before") + F.row_number().over(W.partitionBy(*group).orderBy("digest", "text")) - 1
-    numbered = crowded.join(places, group).withColumn("piece", F.floor(place / most).cast("long")).select(*base.columns, "piece")
-    return base.join(full, ["c", "part"], "left_anti").select(*base.columns, F.lit(0).cast("long").alias("piece")).unionByName(numbered)
+    place = F.col("_before") + F.row_number().over(W.partitionBy(*group).orderBy("digest")) - 1
+    return crowded.join(places, group).select("c", "part", "turn", "role", "digest", F.floor(place / most).cast("long").alias("_piece"))
+
+
+def _with_piece(rows: DataFrame, pieces: DataFrame | None) -> DataFrame:
+    if pieces is None:
+        return rows.withColumn("piece", F.lit(0).cast("long"))
+    found = rows.join(pieces, ["c", "part", "turn", "role", "digest"], "left")
+    return found.select(*rows.columns, F.coalesce("_piece", F.lit(0)).cast("long").alias("piece"))
 
 
-def _places(cut: DataFrame) -> DataFrame:
-    """(c, part, piece, speaker, start): every rendering, and the characters of its dialogue before it. Numbers only, no texts."""
+def _places(rows: DataFrame) -> DataFrame:
+    """(c, part, piece, speaker, start): every rendering, and the characters of its dialogue before it."""
     by = ["c", "part", "piece"]
     other = F.length(_header(F.lit(False), F.col("role")))
     own = F.length(_header(F.lit(True), F.col("role")))
-    sizes = cut.groupBy(*by, "role").agg(F.sum(other + F.length("text") + 1).alias("_size"), F.sum(own - other).alias("_own"))
+    sizes = rows.groupBy(*by, "role").agg(F.sum(other + F.col("size") + 1).alias("_size"), F.sum(own - other).alias("_own"))
     pieces = sizes.groupBy(*by).agg(F.sum("_size").alias("_size"))
     grid = pieces.join(sizes.select("c", F.col("role").alias("speaker")).distinct(), "c")
     grid = grid.join(sizes.select(*by, F.col("role").alias("speaker"), "_own"), [*by, "speaker"], "left")
@@ -65,12 +75,14 @@ def rotate(turns: DataFrame, span: int = TURNS, most: int = MOST) -> DataFrame:
     """
     base = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(FIRST)).alias("turn"),
-        F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
+        F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # "c" is never null, so plain equalities serve joins and groups alike.
     base = base.select("*", F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("c"), F.md5("text").alias("digest"),
                        F.when(F.col("turn") == FIRST, F.lit(-1)).otherwise(F.floor(F.col("turn") / span)).cast("long").alias("part"))
-    cut = _pieces(base, most)
-    each = cut.join(_places(cut), ["c", "part", "piece"])
+    # What places the turns needs no texts: their digests and lengths are written once and read by every step.
+    rows = staged(base.select("c", "part", "turn", "role", "digest", F.length("text").alias("size")).distinct())
+    pieces = _pieces(rows, most)
+    each = _with_piece(base.distinct(), pieces).join(_places(_with_piece(rows, pieces)), ["c", "part", "piece"])
     listed = each.groupBy("c", "part", "piece", "speaker", "start", "conv_id").agg(
         F.array_sort(F.collect_list(F.struct("turn", "role", "digest", "text"))).alias("t"))
 
