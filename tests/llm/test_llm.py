@@ -267,6 +267,26 @@ def test_quality_counts(docs, rows):
     assert quality.jensen_shannon(np.array([[1.0, 0.0]]), np.array([0.0, 1.0]))[0] == 1
 
 
+def test_neighbours_rank_few_pairs_one_by_one(monkeypatch):
+    """In many random dimensions the codes leave out little; single distances are for the closest pairs, ties and copies included."""
+    r = np.random.default_rng(5)
+    c = r.standard_normal((3_000, 64))
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    c[40:70], c[90:95] = c[100], 1e6 * c[90:95]  # the first query's copies fill its list; some vectors are far longer
+    c_id, q, q_id = np.arange(3_000), c[::100], np.arange(0, 3_000, 100)
+    ranked, exact = [], neighbours.exact
+    monkeypatch.setattr(neighbours, "exact", lambda a, b: ranked.append(len(a)) or exact(a, b))
+    centre = c.mean(axis=0)
+    row, col, d = neighbours.block_search(q_id, q, c_id, c, neighbours.encode(c, centre), centre, 10, 8.0)
+    for i in range(len(q)):
+        full = exact(np.broadcast_to(q[i], c.shape), c)
+        best = [j for j in np.lexsort((c_id, full)) if j != q_id[i]][:10]
+        assert col[row == i].tolist() == best and d[row == i].tolist() == full[best].tolist()
+    assert sum(ranked) < 20 * len(q)
+    huge = 1e200 * c[:50]  # squares overflow: every pair stays, in the order of ids
+    assert neighbours.contenders(huge[:2], huge, np.ones((2, 50), bool), 10)[0].tolist() == [0] * 50 + [1] * 50
+
+
 def test_neighbours_recall(spark):
     r = np.random.default_rng(1)
     x = r.standard_normal((700, 32)).astype(np.float32)

@@ -4,7 +4,8 @@ A vector less the centre is rotated at random; its code is one bit per dimension
 correction scalars: its length, and the inner product of code and direction. The inner product
 with a query is estimated from packed bits and scalars, with an error bound that holds with a
 chosen confidence. A vector whose nearest possible distance is beyond a query's k-th farthest
-possible one is left out; the rest are ranked by exact distance.
+possible one is left out. Inner products of the rest, a matrix at a time, leave out those that are
+farther than the k-th by more than rounding can explain; what is left is ranked by exact distance.
 
 Queries and candidates are cut into blocks of bounded size, and each pair of blocks is one group.
 """
@@ -65,6 +66,25 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
+def contenders(q: np.ndarray, c: np.ndarray, keep: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the kept pairs that may be among the k nearest of their query.
+
+    Squared distances from inner products differ from those of ``exact`` by rounding alone; a pair
+    leaves only if it is farther than the k-th whatever the rounding was. Where numbers overflow, all pairs stay.
+    """
+    columns = np.flatnonzero(keep.any(axis=0))
+    near, kept = c[columns], keep[:, columns]
+    with np.errstate(over="ignore", invalid="ignore"):
+        scale = (q * q).sum(axis=1)[:, None] + (near * near).sum(axis=1)
+        error = 8 * (q.shape[1] + 8) * np.finfo(np.float64).eps * scale
+        low = scale - 2 * (q @ near.T) - error
+        if len(columns) > k:
+            limit = np.partition(np.where(kept, low + 2 * error, np.inf), k - 1, axis=1)[:, k - 1]
+            kept &= ~(low > limit[:, None])
+    row, col = np.nonzero(kept)
+    return row, columns[col]
+
+
 def block_search(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, codes: tuple, centre: np.ndarray, k: int, confidence: float):
     """Row numbers of queries and candidates and their distances: each query's k nearest of the block."""
     out = []
@@ -74,7 +94,7 @@ def block_search(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarra
         own = q_id[s : s + 256, None] == c_id[None, :]
         low[own], high[own] = np.inf, np.inf
         limit = np.partition(high, k - 1, axis=1)[:, k - 1] if len(c) > k else np.full(len(part), np.inf)
-        row, col = np.nonzero((low <= limit[:, None]) & ~own)
+        row, col = contenders(part, c, (low <= limit[:, None]) & ~own, k)
         d = np.concatenate([exact(part[row[i : i + 100_000]], c[col[i : i + 100_000]]) for i in range(0, len(row), 100_000)] or [np.zeros(0)])
         order = np.lexsort((c_id[col], d, row))
         row, col, d = row[order], col[order], d[order]
