@@ -1,9 +1,11 @@
 """Hard negatives, token files and spelling variants against brute force, with nulls, ties, repeated rows and empty tables."""
 
+import os
 import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -141,6 +143,17 @@ def test_encoder_keeps_words_it_meets_again():
     assert len(encoder.inner) < 400
 
 
+def test_encoders_of_a_process_share_one_tokenizer(tmp_path):
+    """A tokenizer that has encoded leaves memory behind when it goes, and a worker makes an encoder for every task."""
+    path = tmp_path / "tokenizer.json"
+    path.write_bytes(Path(q.tokenizer()).read_bytes())
+    first, second = Encoder(str(path)), Encoder(str(path))
+    assert first.encode(["one two"]) == second.encode(["one two"])
+    assert first.tokenizer is second.tokenizer and first.inner is not second.inner
+    os.utime(path, ns=(1, 1))  # a file written anew is read anew
+    assert Encoder(str(path)).tokenizer is not first.tokenizer
+
+
 def neighbours(w, letters):
     out = {w[:i] + w[i + 1 :] for i in range(len(w))}
     for i in range(len(w) + 1):

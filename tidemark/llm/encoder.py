@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -24,18 +25,29 @@ SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 MARKS = ".,;:!?"
 
 
+@lru_cache(maxsize=1)
+def _loaded(path: str, changed: int) -> tuple:
+    """The tokenizer of a file, and which of its ids begin with a space.
+
+    Kept by the process: each tokenizer that has encoded leaves some MB behind when it goes, and a
+    worker runs many tasks.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    vocabulary = tokenizer.get_vocab()
+    begins = np.zeros(max(vocabulary.values()) + 1, bool)
+    begins[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True  # how byte-level vocabularies write a space
+    return tokenizer, begins
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit numbers; about ``most`` words are remembered."""
 
     def __init__(self, path: str, most: int = 300_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.size = max(vocabulary.values()) + 1
-        self.begins = np.zeros(self.size, bool)
-        self.begins[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True  # how byte-level vocabularies write a space
+        self.tokenizer, self.begins = _loaded(path, os.stat(path).st_mtime_ns)
+        self.size = len(self.begins)
         self.most = most
         # The bank: ids of known words end to end; rows say where each begins, how long it is, and if it was met again.
         self.inner: dict[str, int] = {}

@@ -36,7 +36,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = E
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)  # of this task only: a reused worker does not hold it on
+        encoder = Encoder(tokenizer)  # of this task only: a reused worker does not hold its words on
         for batch in batches:
             for a, b in slices(((t.as_py() or 0) for t in pc.binary_length(batch["text"])), 3 << 20):
                 part = batch.slice(a, b - a)
